@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["events"]
+FAMILIES = ["events", "temporal"]
 
 
 def load():

@@ -51,6 +51,8 @@ def expand(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

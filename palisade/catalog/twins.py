@@ -86,7 +86,7 @@ FROM packets"""
 
 CTES["correlation_events"] = """
 SELECT event_id, ip, t_us, CASE WHEN best_label = 'portscan' THEN 'network' ELSE 'application' END AS layer,
-       best_label AS "type", final_score AS score FROM attack_events"""
+       best_label AS "type", least(1000, cents // 20) / 1000.0::DOUBLE AS score FROM attack_events"""
 
 CTES["network_threats"] = """
 SELECT event_id AS threat_id, ip, t_us, network_score AS score, best_label AS attack_type

@@ -132,7 +132,8 @@ def correlation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = attack_events(spark, sf_dir)
     return e.select("event_id", "ip", "t_us",
                     F.when(F.col("best_label") == "portscan", "network").otherwise("application").alias("layer"),
-                    F.col("best_label").alias("type"), F.col("final_score").alias("score"))
+                    F.col("best_label").alias("type"),
+                    (F.least(F.lit(1000), F.floor(F.col("cents") / 20)) / F.lit(1000.0)).alias("score"))
 
 
 def network_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
