@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["events", "temporal"]
+FAMILIES = ["events", "temporal", "detection"]
 
 
 def load():

@@ -151,3 +151,29 @@ SELECT row_id, y_true, true_label, CASE WHEN k < 80 THEN true_label ELSE {sql_pi
 FROM (SELECT event_id AS row_id, k, cents, CASE WHEN event_type IN ('error', 'purchase') THEN 1 ELSE 0 END AS y_true,
              CASE event_type WHEN 'error' THEN 'ddos' WHEN 'purchase' THEN 'portscan' WHEN 'signup' THEN 'botnet' ELSE 'benign' END AS true_label
       FROM base_events)"""
+
+
+def _captured() -> str:
+    cols = []
+    for i, name in enumerate(A.captured_columns()):
+        v = f"((cents // {i + 1} + o_custkey * {i + 3}) % {1000 + 37 * i}) / 10.0::DOUBLE"
+        if name == "Flow Bytes/s":
+            v = f"CASE WHEN o_orderkey % 11 = 0 THEN 'Infinity'::DOUBLE WHEN o_orderkey % 13 = 1 THEN 'NaN'::DOUBLE ELSE {v} END"
+        if name == "Init_Win_bytes_forward":
+            v = f"CASE WHEN o_orderkey % 5 = 0 THEN -1.0 ELSE {v} END"
+        cols.append(f'{v} AS "{name}"')
+    return ", ".join(cols)
+
+
+CTES["raw_flows"] = f"""SELECT o_orderkey AS row_id, {_captured()}, ' ' || {sql_pick(A.RAW_LABELS, 'o_orderkey')} AS "Label"
+FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)"""
+
+CTES["intel_reports"] = f"""SELECT {sql_ip('s_suppkey')} AS ip, s_suppkey * 7 % 30 AS "count", '2024-01-01' AS first_seen, '2024-01-30' AS last_seen FROM supplier"""
+CTES["intel_abuse"] = f"""SELECT {sql_ip('c_custkey')} AS ip, c_custkey * 13 % 101 AS abuse_confidence_score, c_custkey % 17 AS total_reports, 'N' || c_nationkey AS country_code
+FROM customer WHERE c_custkey % 3 <> 0"""
+CTES["intel_geo"] = f"""SELECT {sql_ip('c_custkey')} AS ip, {sql_pick(A.OWNERS, 'c_custkey')} AS org, {sql_pick(["Net One", "proxy net", "Mullvad"], 'c_custkey')} AS isp FROM customer"""
+CTES["analyses"] = f"""SELECT request_id AS event_id, CASE WHEN k % 3 = 0 THEN 'pending' ELSE 'complete' END AS status,
+{sql_pick(["CRITICAL", "HIGH", "MEDIUM"], 'event_id')} AS severity, ts_us, best_label, final_score FROM attack_events WHERE final_score >= 0.65 AND NOT short_circuited"""
+CTES["rule_store"] = f"""SELECT substr(md5(p_brand), 1, 8) AS rule_id, '<svg/onloadx' || (n % 40) AS pattern, 'xss' AS attack_type,
+CASE WHEN n % 4 = 0 THEN 'rejected' ELSE 'active' END AS status, {A.EPOCH_2024_US} + n AS created_us FROM (SELECT p_brand, min(p_partkey) AS n FROM part GROUP BY 1)"""
+CTES["hit_text"] = """SELECT doc_id, ip, method, path, path || chr(10) || 'page=' || q_page || '&q=' || q_q || chr(10) || chr(10) || 'user-agent:' || user_agent || ' x-forwarded-for:' || forwarded || ' accept:*/*' || chr(10) || body AS txt FROM request_rows"""

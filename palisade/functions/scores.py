@@ -9,7 +9,8 @@ from palisade import constants as K
 
 
 def clamp(col: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col))
+    """Into [low, high]; NULL stays NULL (``greatest`` alone would skip it)."""
+    return F.when(col.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col)))
 
 
 def round4(col: Column) -> Column:

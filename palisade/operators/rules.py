@@ -71,6 +71,15 @@ def static_decision(df: DataFrame, rate_limited: Column | None = None) -> DataFr
 
 # -- signatures ------------------------------------------------------------------------------------
 
+def jvm_compiles(spark, pattern: str) -> bool:
+    """Whether the engine that will run the pattern accepts it; a rule it rejects is ignored, not fatal."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(P.portable("(?is)" + pattern))
+    except Exception:  # noqa: BLE001 - any JVM complaint means unusable
+        return False
+    return True
+
+
 class RuleBook:
     """Signatures and user rules in the order in which a single text is judged.
 
@@ -79,8 +88,8 @@ class RuleBook:
     """
 
     def __init__(self, adaptive: list[tuple[str, str, str]] | None = None):
-        fixed = [(f, c, P.portable(p), d, None) for f, c, p, d in P.SIGNATURES]
-        user = [(t, 1.0, P.portable("(?is)" + p), f"adaptive:{i}", i) for i, p, t in adaptive or []]
+        fixed = [(f, c, P.portable(p), d, None, g) for (f, c, p, d), g in zip(P.SIGNATURES, P.SIGNATURE_GUARDS, strict=True)]
+        user = [(t, 1.0, P.portable("(?is)" + p), f"adaptive:{i}", i, None) for i, p, t in adaptive or []]
         high = [r for r in fixed if r[1] >= 1.0]
         medium = sorted((r for r in fixed if r[1] < 1.0), key=lambda r: -r[1])
         self.rules = high + user + medium
@@ -88,18 +97,21 @@ class RuleBook:
     @classmethod
     def from_table(cls, rules: DataFrame) -> "RuleBook":
         """Active user rules, newest first; the table is capped on admission, and the cap is checked here."""
+        spark = rules.sparkSession
         active = (rules.where(F.col("status") == "active").orderBy(F.desc("created_us"), "rule_id")
                        .select("rule_id", "pattern", "attack_type"))
         got = active.limit(K.MAX_ADAPTIVE_RULES + 1).collect()
         if len(got) > K.MAX_ADAPTIVE_RULES:
             raise ValueError(f"more than {K.MAX_ADAPTIVE_RULES} active rules")
-        return cls([(r.rule_id, r.pattern, r.attack_type) for r in got if P.compiles(r.pattern)])
+        return cls([(r.rule_id, r.pattern, r.attack_type) for r in got if P.compiles(r.pattern) and jvm_compiles(spark, r.pattern)])
 
-    def code(self, text: Column) -> Column:
-        """Index of the deciding rule for one text, NULL when none matches."""
+    def code(self, text: Column, low: Column) -> Column:
+        """Index of the deciding rule for one text (``low``: the same in lower case), NULL when none matches."""
         out = None
         for i, rule in enumerate(self.rules):
             test = text.rlike(rule[2])
+            if rule[5]:
+                test = has(low, *rule[5]) & test
             out = F.when(test, F.lit(i)) if out is None else out.when(test, F.lit(i))
         return out
 
@@ -136,7 +148,8 @@ def _judge(df: DataFrame, book: RuleBook, entities: bool) -> DataFrame:
         variants = decode_variants(value, F.col("__u"), F.col("__ud"))
     else:
         variants = decode_variants(F.col("value"))
-    hits = F.transform(variants, lambda v, i: F.struct(book.code(v).alias("code"), i.alias("variant_pos"), v.alias("decoded")))
+    pairs = F.transform(variants, lambda v: F.struct(v.alias("v"), F.lower(v).alias("low")))
+    hits = F.transform(pairs, lambda x, i: F.struct(book.code(x["v"], x["low"]).alias("code"), i.alias("variant_pos"), x["v"].alias("decoded")))
     confidence = F.array(*[F.lit(float(r[1])) for r in book.rules])
     best = F.aggregate(
         F.filter(hits, lambda h: h["code"].isNotNull()), F.lit(None).cast("struct<code:int,variant_pos:int,decoded:string>"),

@@ -29,6 +29,15 @@ def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few splits (one small file, say) as many tasks as there are cores.
+
+    For work that is heavy per row. A large input has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # -- ordered scans -------------------------------------------------------------------------------
 
 def time_bucket(ts_us: Column, seconds: int) -> Column:

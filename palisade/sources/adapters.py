@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.scores import action
+from palisade.operators.scale import spread
 
 EPOCH_2024_US = 1_704_067_200_000_000
 TIME_SQUEEZE = 3600
@@ -155,13 +156,13 @@ def blacklist(spark: SparkSession, sf_dir: str, ttl_seconds: int = 20) -> DataFr
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents, conversations and pages with attack strings spliced in."""
-    d = table(spark, sf_dir, "documents").select(
+    d = spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("doc-"), F.col("doc_id")).alias("payload_id"), F.lit("documents").alias("source"),
         F.col("text").alias("text"), F.col("doc_id").alias("n"))
     c = table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("conv-"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("payload_id"),
         F.lit("conversations").alias("source"), F.col("text"), (F.col("conv_id") * 7 + F.col("turn")).alias("n"))
-    g = table(spark, sf_dir, "pages").select(
+    g = spread(table(spark, sf_dir, "pages")).select(
         F.concat(F.lit("page-"), F.col("page_id")).alias("payload_id"), F.lit("pages").alias("source"),
         F.col("html").alias("text"), F.col("page_id").alias("n"))
     u = d.unionByName(c).unionByName(g)
@@ -172,7 +173,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One HTTP request per document: whole text as body, attack strings in body, path or query."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     n = F.col("doc_id")
     texts = [t for _, t in SNIPPETS]
     body = F.concat(F.col("text"), F.lit(" "), pick(texts, n))
@@ -241,3 +242,85 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((y * 3000 + k * 50 + F.pmod(c, F.lit(2000))) / F.lit(10000.0)).alias("score"),
         model(2500, 7001).alias("ae"), model(1500, 8009).alias("vae"), model(3500, 6007).alias("occ"),
         model(1000, 9001).alias("iso"))
+
+
+RAW_LABELS = ["BENIGN", "DDoS", "BENIGN", "DoS Hulk", "PortScan", "BENIGN", "Bot", "Web Attack – XSS", "BENIGN",
+              "Heartbleed", "DoS slowloris", "SQL Injection", "Infilteration", "BENIGN", "FTP-BruteForce", "Odd"]
+
+
+def captured_columns() -> list[str]:
+    return [s for s in K.UNIFIED_FEATURES.values() if s]
+
+
+def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as captured flows: spaced headers, infinities, NaN and negatives left in."""
+    o = table(spark, sf_dir, "orders")
+    n, c = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
+    cols = []
+    for i, name in enumerate(captured_columns()):
+        v = F.pmod(F.floor(c / (i + 1)) + F.col("o_custkey") * (i + 3), F.lit(1000 + 37 * i)) / F.lit(10.0)
+        if name == "Flow Bytes/s":
+            v = F.when(n % 11 == 0, F.lit(float("inf"))).when(n % 13 == 1, F.lit(float("nan"))).otherwise(v)
+        if name == "Init_Win_bytes_forward":
+            v = F.when(n % 5 == 0, -1.0).otherwise(v)
+        cols.append(v.alias(name))
+    return o.select(n.alias("row_id"), *cols, F.concat(F.lit(" "), pick(RAW_LABELS, n)).alias("Label"))
+
+
+def honeypot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as honeypot hits, with a reputation verdict for every third."""
+    r = requests(spark, sf_dir)
+    found = F.col("doc_id") % 3 == 0
+    return r.select(
+        F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"),
+        "ip", "method", "path", "query_params", F.create_map().cast("map<string,string>").alias("form_data"), "headers",
+        F.col("body").alias("raw_body"),
+        F.when(found, F.struct(F.lit("honeydb").alias("ti_source"), F.lit(True).alias("ti_found"),
+                               F.concat(F.lit('{"count":'), (F.col("doc_id") % 30).cast("string"), F.lit("}")).alias("ti_raw"))).alias("threat_intel"),
+        "doc_id")
+
+
+def intel_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(user_ip(F.col("s_suppkey")).alias("ip"), (F.col("s_suppkey") * 7 % 30).alias("count"),
+                    F.lit("2024-01-01").alias("first_seen"), F.lit("2024-01-30").alias("last_seen"))
+
+
+def intel_abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 != 0)
+    return c.select(user_ip(F.col("c_custkey")).alias("ip"), (F.col("c_custkey") * 13 % 101).alias("abuse_confidence_score"),
+                    (F.col("c_custkey") % 17).alias("total_reports"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("country_code"))
+
+
+OWNERS = ["Tor Project", "NordVPN S.A.", "Acme Hosting", "Amazon AWS", "City Proxy Ltd", "Plain Telecom"]
+
+
+def intel_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(user_ip(F.col("c_custkey")).alias("ip"), pick(OWNERS, F.col("c_custkey")).alias("org"),
+                    pick(["Net One", "proxy net", "Mullvad"], F.col("c_custkey")).alias("isp"))
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = attack_events(spark, sf_dir).where((F.col("final_score") >= K.ANALYSIS_FLOOR) & ~F.col("short_circuited"))
+    return e.select(F.col("request_id").alias("event_id"), F.when(F.col("k") % 3 == 0, "pending").otherwise("complete").alias("status"),
+                    pick(["CRITICAL", "HIGH", "MEDIUM"], F.col("event_id")).alias("severity"), "ts_us", "best_label", "final_score")
+
+
+PROPOSALS = [r"union\s+select\s+\d+", r".*", r"(?i)xp_\w+", r"a", r"[unclosed", r"/api/|/health|GET|POST", r"\bwhoami\b", r"e", r"<svg/onload"]
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule patterns suggested by analyses."""
+    a = analyses(spark, sf_dir)
+    n = F.pmod(F.floor(F.col("ts_us") / 1000), F.lit(1000))
+    return a.select(F.concat(pick(PROPOSALS, n), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("x"), (n % 40).cast("string")))).alias("pattern"),
+                    F.col("best_label").alias("attack_type"), "event_id", "severity", F.col("final_score").alias("confidence"), F.col("ts_us").alias("proposed_us"))
+
+
+def rule_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User rules already stored: one per part brand."""
+    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("n"))
+    return p.select(F.substring(F.md5("p_brand"), 1, 8).alias("rule_id"), F.concat(F.lit(r"<svg/onloadx"), (F.col("n") % 40).cast("string")).alias("pattern"),
+                    F.lit("xss").alias("attack_type"), F.when(F.col("n") % 4 == 0, "rejected").otherwise("active").alias("status"),
+                    (F.lit(EPOCH_2024_US) + F.col("n")).alias("created_us"))
