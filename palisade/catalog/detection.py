@@ -356,12 +356,12 @@ _DETAIL = ["pattern_group", "pattern", "confidence", "rule_id", "matched_in", "m
 
 @query("d04_signature_filter", f"SELECT doc_id, pattern_group, confidence, decision, score FROM ({signature_sql(R.RuleBook())})")
 def _(spark, d):
-    return R.signature_filter(A.requests(spark, d), "doc_id").select("doc_id", "pattern_group", "confidence", "decision", "score")
+    return R.signature_filter(A.requests(spark, d)).select("doc_id", "pattern_group", "confidence", "decision", "score")
 
 
 @query("d05_match_detail", f"SELECT doc_id, pattern, matched_in, matched_text, decoded_input FROM ({signature_sql(R.RuleBook())})")
 def _(spark, d):
-    return R.signature_filter(A.requests(spark, d), "doc_id").select("doc_id", "pattern", "matched_in", "matched_text", "decoded_input")
+    return R.signature_filter(A.requests(spark, d)).select("doc_id", "pattern", "matched_in", "matched_text", "decoded_input")
 
 
 USER_RULES = [("r1", r"products\s+where", "sqli"), ("r2", r"onen.hah", "anomaly"), ("r3", r"^src1\b", "odd")]
@@ -369,15 +369,14 @@ USER_RULES = [("r1", r"products\s+where", "sqli"), ("r2", r"onen.hah", "anomaly"
 
 @query("d06_adaptive_rules", f"SELECT doc_id, {', '.join(_DETAIL)} FROM ({signature_sql(R.RuleBook(USER_RULES))}) WHERE rule_id IS NOT NULL")
 def _(spark, d):
-    return R.signature_filter(A.requests(spark, d), "doc_id", R.RuleBook(USER_RULES)).where(F.col("rule_id").isNotNull()).select("doc_id", *_DETAIL)
+    return R.signature_filter(A.requests(spark, d), R.RuleBook(USER_RULES)).where(F.col("rule_id").isNotNull()).select("doc_id", *_DETAIL)
 
 
 @query("a17_rule_counters", f"""SELECT s.rule_id, count(*) AS match_count, max(r.t_us) AS last_matched_us FROM ({signature_sql(R.RuleBook(USER_RULES))}) s JOIN request_rows r ON r.doc_id = s.doc_id
 WHERE s.rule_id IS NOT NULL GROUP BY 1""")
 def _(spark, d):
-    req = A.requests(spark, d)
-    hits = R.signature_filter(req, "doc_id", R.RuleBook(USER_RULES)).where(F.col("rule_id").isNotNull())
-    return D.rule_counters(hits.join(req.select("doc_id", F.col("t_us").alias("ts_us")), "doc_id"))
+    hits = R.signature_filter(A.requests(spark, d), R.RuleBook(USER_RULES)).where(F.col("rule_id").isNotNull())
+    return D.rule_counters(hits.withColumn("ts_us", F.col("t_us")))
 
 
 @query("a18_rule_census", "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'rejected') AS rejected, max(created_us) AS newest_us FROM rule_store")

@@ -15,8 +15,9 @@ BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
 def count_text(col: Column, part: str) -> Column:
-    """Non-overlapping occurrences of a literal."""
-    return ((F.length(col) - F.length(F.replace(col, F.lit(part), F.lit("")))) / F.lit(len(part))).cast("int")
+    """Non-overlapping occurrences of a literal, from the bytes that vanish with it."""
+    size = len(part.encode())
+    return ((F.octet_length(col) - F.octet_length(F.replace(col, F.lit(part), F.lit("")))) / F.lit(size)).cast("int")
 
 
 def count_class(col: Column, chars: str) -> Column:
@@ -44,12 +45,16 @@ def count_present(col: Column, parts: list[str]) -> Column:
 
 
 def entropy(col: Column, base: float = 2.0) -> Column:
-    """Shannon entropy of the characters; 0 for empty text."""
+    """Shannon entropy of the characters; 0 for empty text.
+
+    Written as log n - sum(c log c)/n over the character counts c. Each count is the number of bytes
+    that disappear with the character, so no text is decoded inside the loop.
+    """
+    gone = lambda c: (F.octet_length(col) - F.octet_length(F.replace(col, c, F.lit("")))) / F.octet_length(c)
+    counts = F.transform(F.array_distinct(F.split(col, "")), gone)
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + F.when(c > 1, c * F.log(c)).otherwise(0.0))
     n = F.length(col)
-    shares = F.transform(F.array_distinct(F.split(col, "")),
-                         lambda c: (n - F.length(F.replace(col, c, F.lit("")))) / n)
-    total = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log(p)).otherwise(0.0))
-    return F.when(n > 0, total / F.lit(math.log(base))).otherwise(F.lit(0.0))
+    return F.when(n > 0, (F.log(n) - total / n) / F.lit(math.log(base))).otherwise(F.lit(0.0))
 
 
 def special_ratio(col: Column) -> Column:

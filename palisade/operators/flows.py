@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palisade import constants as K
 from palisade.functions.text import flag_set
 from palisade.operators.scale import US, ordered_scan, previous_within, time_bucket
-from palisade.session import cut_lineage
+from palisade.session import materialize
 
 
 def mark_sessions(packets: DataFrame, idle: int = K.FLOW_IDLE_SECONDS, key: str = "remote_ip") -> DataFrame:
@@ -51,21 +51,24 @@ def flow_starts(sessions: DataFrame, idle: int, max_age: int, key: str) -> DataF
                 .where(F.col("next_us").isNotNull()).select(*sess, F.col("t_us").alias("at_us"), "next_us"))
     reached = roots.join(long.select(*sess), sess, "left_semi")
     rounds = max(1, math.ceil(math.log2(longest / (max_age * US) + 1)))
-    jump = cut_lineage(jump)
+    jump = materialize(jump, "jump")
     for i in range(rounds):
+        # After round i the set holds every start within 2**(i+1) - 1 cuts of the session start.
         hop = jump.withColumnRenamed("at_us", "start_us")
         step = reached.join(hop, [*sess, "start_us"]).select(*sess, F.col("next_us").alias("start_us"))
-        reached = cut_lineage(reached.unionByName(step).distinct())
+        reached = reached.unionByName(step).distinct()
         if i + 1 < rounds:
             far = jump.select(*sess, F.col("at_us").alias("next_us"), F.col("next_us").alias("far_us"))
-            jump = cut_lineage(jump.join(far, [*sess, "next_us"]).select(*sess, "at_us", F.col("far_us").alias("next_us")))
+            jump = materialize(jump.join(far, [*sess, "next_us"]).select(*sess, "at_us", F.col("far_us").alias("next_us")), "jump")
+            if i % 4 == 3:
+                reached = materialize(reached, "starts")
     return roots.unionByName(reached).distinct()
 
 
 def assign_flows(packets: DataFrame, idle: int = K.FLOW_IDLE_SECONDS, max_age: int = K.FLOW_MAX_SECONDS, key: str = "remote_ip") -> DataFrame:
     """Every packet with its session and the start of its flow."""
     sess = [key, "session_us", "session_packet"]
-    sessions = mark_sessions(packets, idle, key)
+    sessions = materialize(mark_sessions(packets, idle, key), "sessions")
     starts = flow_starts(sessions, idle, max_age, key).select(*sess, F.col("start_us").alias("t_us"), F.col("start_us").alias("__start"), F.lit(-1).cast("bigint").alias("packet_id"))
     both = sessions.unionByName(starts, allowMissingColumns=True).withColumn("__bucket", time_bucket(F.col("t_us"), max_age))
     filled = ordered_scan(both, sess, "__bucket", ["t_us", "packet_id"], fill={"flow_us": "__start"})

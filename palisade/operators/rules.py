@@ -10,10 +10,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade import constants as K
 from palisade.functions import patterns as P
-from palisade.functions.decode import decode_variants, html_unescape, percent_decode
+from palisade.functions.decode import decode_variants, percent_decode
 from palisade.functions.scores import confidence_to_score
 from palisade.functions.text import has, special_ratio
 
@@ -140,44 +141,45 @@ def scan_targets() -> Column:
     return F.filter(every, lambda t: F.coalesce(t["value"], F.lit("")) != "")
 
 
-def _judge(df: DataFrame, book: RuleBook, entities: bool) -> DataFrame:
-    """Rows with (target_pos, field, value) to their deciding rule: ``code``, ``variant_pos``, ``decoded``."""
-    if entities:
-        value = F.col("value")
-        df = df.withColumn("__u", html_unescape(value)).withColumn("__ud", html_unescape(percent_decode(value)))
-        variants = decode_variants(value, F.col("__u"), F.col("__ud"))
-    else:
-        variants = decode_variants(F.col("value"))
-    pairs = F.transform(variants, lambda v: F.struct(v.alias("v"), F.lower(v).alias("low")))
-    hits = F.transform(pairs, lambda x, i: F.struct(book.code(x["v"], x["low"]).alias("code"), i.alias("variant_pos"), x["v"].alias("decoded")))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_all(values):
+    import html
+
+    return values.map(lambda vs: None if vs is None else [None if v is None else html.unescape(v) for v in vs])
+
+
+def _best_hit(book: RuleBook) -> Column:
+    """Best (target, reading, rule) of a request from ``__targets`` and the entity-decoded values."""
+    def readings(t, i):
+        value, raw, decoded = t["value"], F.get("__raw", i), F.get("__decoded", i)
+        texts = F.array_compact(decode_variants(value, raw, decoded))
+        pairs = F.transform(texts, lambda v: F.struct(v.alias("v"), F.lower(v).alias("low")))
+        return F.transform(pairs, lambda x: F.struct(book.code(x["v"], x["low"]).alias("code"), t["field"].alias("field"), x["v"].alias("decoded")))
+
+    hits = F.filter(F.flatten(F.transform("__targets", readings)), lambda h: h["code"].isNotNull())
     confidence = F.array(*[F.lit(float(r[1])) for r in book.rules])
-    best = F.aggregate(
-        F.filter(hits, lambda h: h["code"].isNotNull()), F.lit(None).cast("struct<code:int,variant_pos:int,decoded:string>"),
-        lambda acc, h: F.when(acc.isNull() | (F.get(confidence, h["code"]) > F.get(confidence, acc["code"])), h).otherwise(acc))
-    return df.withColumn("__best", best).drop("__u", "__ud")
+    return F.aggregate(hits, F.lit(None).cast("struct<code:int,field:string,decoded:string>"),
+                       lambda acc, h: F.when(acc.isNull() | (F.get(confidence, h["code"]) > F.get(confidence, acc["code"])), h).otherwise(acc))
 
 
-def signature_filter(df: DataFrame, key: str, book: RuleBook | None = None) -> DataFrame:
-    """Best signature hit per request, with decision, score and match detail.
+def signature_filter(df: DataFrame, book: RuleBook | None = None) -> DataFrame:
+    """Append the best signature hit of each request: decision, score and match detail. No shuffle.
 
-    Targets with an ``&`` take the entity-decoding path (Arrow); all others stay in the JVM. Both kinds
-    are judged row by row, then one aggregate per request keeps the best hit: only short columns move.
+    Only requests with an ``&`` somewhere send text to Python (for entity decoding); the others pass
+    NULL. The hit is produced by a one-element explode, which keeps later filters on the decision from
+    being pushed below it and evaluating all patterns twice.
     """
     book = book or RuleBook()
-    targets = df.select(key, F.posexplode(scan_targets()).alias("target_pos", "t")).select(key, "target_pos", "t.field", "t.value")
-    plain = _judge(targets.where(~F.col("value").contains("&")), book, False)
-    coded = _judge(targets.where(F.col("value").contains("&")), book, True)
-    code = F.col("__best.code")
-    judged = plain.unionByName(coded).where(F.col("__best").isNotNull()).select(
-        key, F.col("target_pos"), F.col("__best.variant_pos").alias("variant_pos"), code.alias("code"),
-        book.column(code, 0).alias("pattern_group"), book.column(code, 1).alias("confidence"),
-        book.column(code, 3).alias("pattern"), book.column(code, 4).alias("rule_id"), F.col("field").alias("matched_in"),
-        F.substring(book.match(code, F.col("__best.decoded")), 1, 100).alias("matched_text"),
-        F.substring("__best.decoded", 1, 200).alias("decoded_input"))
-    order = F.struct((-F.col("confidence")).alias("c"), "target_pos", "variant_pos")
-    fields = ["pattern_group", "pattern", "confidence", "rule_id", "matched_in", "matched_text", "decoded_input"]
-    best = judged.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("h")).select(key, "h.*")
-    return df.select(key).join(best, key, "left").withColumn(
+    coded = F.exists("__targets", lambda t: t["value"].contains("&"))
+    out = df.withColumn("__targets", scan_targets())
+    out = out.withColumn("__raw", _unescape_all(F.when(coded, F.transform("__targets", lambda t: t["value"]))))
+    out = out.withColumn("__decoded", _unescape_all(F.when(coded, F.transform("__targets", lambda t: percent_decode(t["value"])))))
+    out = out.select(*df.columns, F.explode(F.array(_best_hit(book))).alias("__hit"))
+    code, text = F.col("__hit.code"), F.col("__hit.decoded")
+    out = out.select(*df.columns, book.column(code, 0).alias("pattern_group"), book.column(code, 3).alias("pattern"), book.column(code, 1).alias("confidence"),
+                     book.column(code, 4).alias("rule_id"), F.col("__hit.field").alias("matched_in"),
+                     F.substring(book.match(code, text), 1, 100).alias("matched_text"), F.substring(text, 1, 200).alias("decoded_input"))
+    return out.withColumn(
         "decision", F.when(F.col("confidence") >= 1.0, "MITIGATE").when(F.col("confidence").isNotNull(), "FORWARD_TO_ML").otherwise("ALLOW")
     ).withColumn("score", F.when(F.col("confidence").isNull(), 0.0).otherwise(confidence_to_score(F.col("confidence"))))
 
@@ -190,7 +192,7 @@ def match_rules(df: DataFrame, key: str, text: str, rules: list[tuple[str, str]]
 
 # -- rule admission ---------------------------------------------------------------------------------
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _usable(patterns):
     """Compiles, does not match empty text, and hits fewer than three benign samples."""
     import re
