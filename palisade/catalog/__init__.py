@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["events", "temporal", "detection"]
+FAMILIES = ["events", "temporal", "detection", "datasets", "evaluation", "learning"]
 
 
 def load():
