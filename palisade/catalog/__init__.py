@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["events", "temporal", "detection", "datasets", "evaluation", "learning"]
+FAMILIES = ["events", "temporal", "detection", "datasets", "evaluation", "learning", "streams"]
 
 
 def load():

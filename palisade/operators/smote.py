@@ -59,6 +59,7 @@ def k_nearest(df: DataFrame, label: str, feats: list[str], key: str, k: int = 5,
     pairs = a.join(b, "label").where((F.col("a") != F.col("b")) & (F.col("lo") <= F.col("to")) & (F.col("hi") >= F.col("from"))).select("label", "a", "b")
     left = celled.join(first.select("label", "id", "far"), ["label", "id"]).withColumnRenamed("cell", "a").join(pairs, ["label", "a"])
     right = celled.withColumnRenamed("cell", "b").join(pairs, ["label", "b"])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # its own column identities for the cogroup
 
     def across(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
