@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["events", "temporal", "detection", "datasets", "evaluation", "learning", "streams"]
+FAMILIES = ["events", "temporal", "detection", "datasets", "evaluation", "learning", "streams", "jobs"]
 
 
 def load():

@@ -162,16 +162,21 @@ def _best_hit(book: RuleBook) -> Column:
                        lambda acc, h: F.when(acc.isNull() | (F.get(confidence, h["code"]) > F.get(confidence, acc["code"])), h).otherwise(acc))
 
 
-def signature_filter(df: DataFrame, book: RuleBook | None = None) -> DataFrame:
+def signature_filter(df: DataFrame, book: RuleBook | None = None, only: Column | None = None) -> DataFrame:
     """Append the best signature hit of each request: decision, score and match detail. No shuffle.
 
+    Rows outside ``only`` have nothing to scan and come back as no hit.
+
     Only requests with an ``&`` somewhere send text to Python (for entity decoding); the others pass
     NULL. The hit is produced by a one-element explode, which keeps later filters on the decision from
     being pushed below it and evaluating all patterns twice.
     """
     book = book or RuleBook()
     coded = F.exists("__targets", lambda t: t["value"].contains("&"))
-    out = df.withColumn("__targets", scan_targets())
+    targets = scan_targets()
+    if only is not None:
+        targets = F.when(only, targets).otherwise(F.array().cast("array<struct<field:string,value:string>>"))
+    out = df.withColumn("__targets", targets)
     out = out.withColumn("__raw", _unescape_all(F.when(coded, F.transform("__targets", lambda t: t["value"]))))
     out = out.withColumn("__decoded", _unescape_all(F.when(coded, F.transform("__targets", lambda t: percent_decode(t["value"])))))
     out = out.select(*df.columns, F.explode(F.array(_best_hit(book))).alias("__hit"))
