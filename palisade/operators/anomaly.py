@@ -189,9 +189,9 @@ def learn_weights(df: DataFrame, truth: str, models: list[str], low: float = 0.0
     """
     grid = weight_grid(len(models), low, high, step)
     cands = F.explode(F.array(*[F.struct(F.lit(i).alias("cand"), F.array(*[F.lit(w) for w in g]).alias("w")) for i, g in enumerate(grid)]))
-    fused = F.aggregate(F.zip_with(F.array(*models), F.col("c.w"), lambda s, w: s * w), F.lit(0.0), lambda a, x: a + x)
+    fused = F.aggregate(F.zip_with(F.array(*models), F.col("__c.w"), lambda s, w: s * w), F.lit(0.0), lambda a, x: a + x)
     cell = F.least(F.lit(bins - 1), F.floor(fused * bins + 1e-9))
-    binned = df.select(truth, *models, cands.alias("c")).select(truth, F.col("c.cand").alias("cand"), (cell / F.lit(float(bins))).alias("s"))
+    binned = df.select(truth, *models, cands.alias("__c")).select(truth, F.col("__c.cand").alias("cand"), (cell / F.lit(float(bins))).alias("s"))
     auc = roc_auc(binned, truth, "s", ["cand"])
     best = auc.agg(F.max_by(F.struct("cand", "auc"), F.struct("auc", (-F.col("cand")).alias("o"))).alias("b"), F.max(F.when(F.col("cand") == 0, F.col("auc"))).alias("equal_auc"))
     table = F.array(*[F.array(*[F.lit(w) for w in g]) for g in grid])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.labels import map_labels
-from palisade.operators.scale import broadcast_checked
 
 
 def map_attack(df: DataFrame, label: str) -> DataFrame:
@@ -24,10 +23,14 @@ def map_attack(df: DataFrame, label: str) -> DataFrame:
 
 
 def enrich_intel(df: DataFrame, reports: DataFrame, abuse: DataFrame, geo: DataFrame, key: str = "ip") -> DataFrame:
-    """Honeypot reports, abuse scores and location by address; sides are broadcast only if shown small."""
-    r = broadcast_checked(reports.select(key, F.col("count").alias("honeypot_count"), "first_seen", "last_seen"))
-    a = broadcast_checked(abuse.select(key, "abuse_confidence_score", "total_reports", "country_code"))
-    g = broadcast_checked(geo.select(key, "org", "isp"))
+    """Honeypot reports, abuse scores and location by address.
+
+    No broadcast hint: the intel tables grow with the address space, so the choice is left to the
+    adaptive planner, which broadcasts a side only after it has measured it.
+    """
+    r = reports.select(key, F.col("count").alias("honeypot_count"), "first_seen", "last_seen")
+    a = abuse.select(key, "abuse_confidence_score", "total_reports", "country_code")
+    g = geo.select(key, "org", "isp")
     out = df.join(r, key, "left").join(a, key, "left").join(g, key, "left")
     c = F.col("honeypot_count")
     return out.withColumn("threat_level", F.when(c > 10, "high").when(c > 2, "medium").when(c.isNotNull(), "low"))
@@ -67,6 +70,6 @@ def route(df: DataFrame, raw: str = "raw_label") -> DataFrame:
 
 
 def holdout_split(df: DataFrame, held: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is held out, the others); the list of held-out types is small and checked."""
-    side = broadcast_checked(held.select(key).distinct())
+    """(rows whose key is held out, the others)."""
+    side = held.select(key).distinct()
     return df.join(side, key, "left_semi"), df.join(side, key, "left_anti")

@@ -124,14 +124,19 @@ def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[swap.get(c, q(c)) for c in df.columns])
 
 
+def finite(c: str) -> Column:
+    """Not NULL, infinite or NaN (which Spark orders above every number)."""
+    return F.abs(q(c)) < F.lit(float("inf"))
+
+
 def nonfinite_to_null(df: DataFrame, cols: list[str]) -> DataFrame:
-    inf = F.lit(float("inf"))
-    swap = {c: F.when(~F.isnan(q(c)) & (F.abs(q(c)) != inf), q(c)).alias(c) for c in cols}
+    swap = {c: F.when(finite(c), q(c)).alias(c) for c in cols}
     return df.select(*[swap.get(c, q(c)) for c in df.columns])
 
 
 def drop_nonfinite(df: DataFrame, cols: list[str]) -> DataFrame:
-    return nonfinite_to_null(df, cols).na.drop(subset=[c for c in cols])
+    """Rows whose listed features are all finite numbers."""
+    return df.where(reduce(lambda a, b: a & b, [finite(c) for c in cols]))
 
 
 def clip(df: DataFrame, cols: list[str], low: float | None = None, high: float | None = None) -> DataFrame:

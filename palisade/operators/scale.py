@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 US = 1_000_000
 HASH_BITS = 52
-BROADCAST_ROWS = 200_000
 
 
 def hash52(*cols: Column | str, seed: int = 42) -> Column:
@@ -24,11 +23,6 @@ def hash52(*cols: Column | str, seed: int = 42) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
 
 
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it is shown to have at most ``rows`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few splits (one small file, say) as many tasks as there are cores.
 
@@ -232,7 +226,7 @@ def percentiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     if not exact:
         aggs = [F.percentile_approx(c, probs, int(1 / accuracy)).alias(c) for c in cols]
-    elif data.limit(exact_rows + 1).count() <= exact_rows:
+    elif data.count() <= exact_rows:
         aggs = [F.percentile(c, F.lit(probs)).alias(c) for c in cols]
     else:
         values = bracketed_percentiles(data, cols, probs, accuracy)

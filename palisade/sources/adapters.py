@@ -254,7 +254,7 @@ def captured_columns() -> list[str]:
 
 def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as captured flows: spaced headers, infinities, NaN and negatives left in."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     n, c = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("bigint")
     cols = []
     for i, name in enumerate(captured_columns()):
