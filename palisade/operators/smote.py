@@ -63,12 +63,12 @@ def k_nearest(df: DataFrame, label: str, feats: list[str], key: str, k: int = 5,
 
     def across(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
-            return pd.DataFrame({"label": [], "cell": [], "id": [], "far": [], "near": []})
+            return pd.DataFrame(columns=["label", "cell", "id", "far", "near"])
         rp = r["p"].to_numpy()
         mask = (l["p"].to_numpy() - l["far"].to_numpy() <= rp.max()) & (l["p"].to_numpy() + l["far"].to_numpy() >= rp.min())
         l = l[mask]
         if l.empty:
-            return pd.DataFrame({"label": [], "cell": [], "id": [], "far": [], "near": []})
+            return pd.DataFrame(columns=["label", "cell", "id", "far", "near"])
         near = _nearest(l["id"].to_numpy(), np.vstack(l["v"].to_numpy()), r["id"].to_numpy(), np.vstack(r["v"].to_numpy()), k)
         return pd.DataFrame({"label": l["label"].to_numpy(), "cell": l["a"].to_numpy(), "id": l["id"].to_numpy(), "far": 0.0, "near": near})
 
