@@ -276,13 +276,14 @@ def _(spark, d):
 
 @query("t05_top_confusions", """WITH w AS (SELECT true_label, pred_label, row_id FROM scored WHERE true_label <> pred_label), p AS (SELECT true_label, pred_label, count(*) AS n FROM w GROUP BY 1, 2),
 t AS (SELECT *, round(n / sum(n) OVER (), 6) AS share, row_number() OVER (ORDER BY n DESC, true_label, pred_label) AS r FROM p),
-s AS (SELECT true_label, pred_label, list(row_id ORDER BY row_id) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY true_label, pred_label ORDER BY row_id) AS k FROM w) WHERE k <= 3 GROUP BY 1, 2)
+s AS (SELECT true_label, pred_label, string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_id) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY true_label, pred_label ORDER BY row_id) AS k FROM w) WHERE k <= 3 GROUP BY 1, 2)
 SELECT t.true_label, t.pred_label, n, share, CASE WHEN r <= 5 THEN samples END AS samples FROM t JOIN s ON s.true_label = t.true_label AND s.pred_label = t.pred_label WHERE r <= 10""")
 def _(spark, d):
-    return E.top_confusions(A.scored(spark, d), "true_label", "pred_label", "row_id")
+    top = E.top_confusions(A.scored(spark, d), "true_label", "pred_label", "row_id")
+    return top.withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ","))
 
 
-@query("t07_examples", """SELECT row_id, true_label, pred_label, correct, row_rank FROM (SELECT row_id, true_label, pred_label, pred_label = 'portscan' AS correct, row_number() OVER (PARTITION BY pred_label = 'portscan' ORDER BY row_id) AS row_rank
+@query("t07_examples", """SELECT row_id, true_label, pred_label, correct, CAST(row_rank AS INTEGER) AS row_rank FROM (SELECT row_id, true_label, pred_label, pred_label = 'portscan' AS correct, row_number() OVER (PARTITION BY pred_label = 'portscan' ORDER BY row_id) AS row_rank
 FROM scored WHERE true_label = 'portscan') WHERE row_rank <= CASE WHEN correct THEN 5 ELSE 3 END""")
 def _(spark, d):
     return E.examples(A.scored(spark, d).select("row_id", "true_label", "pred_label"), "true_label", "pred_label", "portscan", "row_id")

@@ -80,13 +80,13 @@ def sql_variants(v: str, unescape: str = "replace({0}, '&#x6a;', 'j')") -> str:
     return "[" + ", ".join(f"{f}, lower({f})" for f in forms) + "]"
 
 
-@query("f05_decode_variants", f"""SELECT doc_id, len(list_distinct(vs)) AS n_variants, list_sort(list_distinct(list_transform(vs, lambda x: md5(x)))) AS digests
+@query("f05_decode_variants", f"""SELECT doc_id, len(list_distinct(vs)) AS n_variants, md5(array_to_string(list_sort(list_distinct(list_transform(vs, lambda x: md5(x)))), ',')) AS digest
 FROM (SELECT doc_id, {sql_variants('body')} AS vs FROM request_rows)""")
 def _(spark, d):
     b = F.col("body")
     df = A.requests(spark, d).select("doc_id", "body", DC.html_unescape(b).alias("u"), DC.html_unescape(DC.percent_decode(b)).alias("ud"))
     v = DC.decode_variants(b, F.col("u"), F.col("ud"))
-    return df.select("doc_id", F.size(v).cast("bigint").alias("n_variants"), F.array_sort(F.transform(v, F.md5)).alias("digests"))
+    return df.select("doc_id", F.size(v).cast("bigint").alias("n_variants"), F.md5(F.array_join(F.array_sort(F.transform(v, F.md5)), ",")).alias("digest"))
 
 
 # -- lexical features ----------------------------------------------------------------------------------
@@ -244,11 +244,11 @@ def _(spark, d):
     return A.table(spark, d, "events").select("event_id", S.round4(S.clamp(F.col("value") / 100.0)).alias("score"))
 
 
-@query("f22_owner_tags", f"""SELECT ip, list_filter([CASE WHEN contains(o, 'tor') OR contains(i, 'tor') THEN 'Tor Exit Node' END, CASE WHEN {contains_any('o', K.VPN_WORDS)} OR {contains_any('i', K.VPN_WORDS)} THEN 'VPN Provider' END,
-CASE WHEN contains(o, 'proxy') OR contains(i, 'proxy') THEN 'Proxy Service' END, CASE WHEN {contains_any('o', K.HOSTING_WORDS)} THEN 'Hosting / Cloud' END], lambda x: x IS NOT NULL) AS tags
+@query("f22_owner_tags", f"""SELECT ip, array_to_string(list_filter([CASE WHEN contains(o, 'tor') OR contains(i, 'tor') THEN 'Tor Exit Node' END, CASE WHEN {contains_any('o', K.VPN_WORDS)} OR {contains_any('i', K.VPN_WORDS)} THEN 'VPN Provider' END,
+CASE WHEN contains(o, 'proxy') OR contains(i, 'proxy') THEN 'Proxy Service' END, CASE WHEN {contains_any('o', K.HOSTING_WORDS)} THEN 'Hosting / Cloud' END], lambda x: x IS NOT NULL), ',') AS tags
 FROM (SELECT ip, lower(org) AS o, lower(isp) AS i FROM intel_geo)""")
 def _(spark, d):
-    return A.intel_geo(spark, d).select("ip", L.owner_tags(F.col("org"), F.col("isp")).alias("tags"))
+    return A.intel_geo(spark, d).select("ip", F.array_join(L.owner_tags(F.col("org"), F.col("isp")), ",").alias("tags"))
 
 
 # -- request shaping ---------------------------------------------------------------------------------
@@ -427,9 +427,9 @@ def family_sql() -> str:
     return f"SELECT doc_id, list(fam || ':' || CAST(round(s, 2) AS VARCHAR) ORDER BY round(s, 2) DESC, ord) AS tags FROM ({' UNION ALL '.join(parts)}) WHERE s >= 0.25 GROUP BY doc_id"
 
 
-@query("d10_honeypot_tags", f"SELECT h.doc_id, coalesce(t.tags, []) AS tags FROM hit_text h LEFT JOIN ({family_sql()}) t ON t.doc_id = h.doc_id")
+@query("d10_honeypot_tags", f"SELECT h.doc_id, array_to_string(coalesce(t.tags, []), '|') AS tags FROM hit_text h LEFT JOIN ({family_sql()}) t ON t.doc_id = h.doc_id")
 def _(spark, d):
-    return R.tag_requests(A.honeypot(spark, d)).select("doc_id", "tags")
+    return R.tag_requests(A.honeypot(spark, d)).select("doc_id", F.array_join("tags", "|").alias("tags"))
 
 
 @query("a10_honeypot_metrics", f"""SELECT 'total_requests' AS metric, '' AS "key", count(*) AS value FROM hit_text UNION ALL SELECT 'unique_ips', '', count(DISTINCT ip) FROM hit_text
@@ -532,13 +532,13 @@ def _(spark, d):
     return A.scored(spark, d).select("row_id", F.round(S.threshold_score(F.col("score"), 0.3), 6).alias("thr_score"))
 
 
-@query("t06_top_probs", """SELECT row_id, list(label ORDER BY prob DESC, label) FILTER (WHERE r <= 2) AS labels, list(prob ORDER BY prob DESC, label) FILTER (WHERE r <= 2) AS probs FROM (
+@query("t06_top_probs", """SELECT row_id, max(label) FILTER (WHERE r = 1) AS first_label, max(prob) FILTER (WHERE r = 1) AS first_prob, max(label) FILTER (WHERE r = 4) AS last_label, max(prob) FILTER (WHERE r = 4) AS last_prob FROM (
 SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY prob DESC, label) AS r FROM (SELECT row_id, 'ae' AS label, ae AS prob FROM scored UNION ALL SELECT row_id, 'vae', vae FROM scored
 UNION ALL SELECT row_id, 'occ', occ FROM scored UNION ALL SELECT row_id, 'iso', iso FROM scored)) GROUP BY row_id""")
 def _(spark, d):
     m = F.create_map(*[x for c in ("ae", "vae", "occ", "iso") for x in (F.lit(c), F.col(c))])
-    top = FU.top_probs(m, 2)
-    return A.scored(spark, d).select("row_id", F.transform(top, lambda s: s["label"]).alias("labels"), F.transform(top, lambda s: s["prob"]).alias("probs"))
+    top = FU.top_probs(m, 4)
+    return A.scored(spark, d).select("row_id", top[0]["label"].alias("first_label"), top[0]["prob"].alias("first_prob"), top[3]["label"].alias("last_label"), top[3]["prob"].alias("last_prob"))
 
 
 _TEC = {k: v for k, v in K.TECHNIQUES.items()}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.catalog.twins import CTES
-from palisade.session import pin_utc
+from palisade.session import pin_utc, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -20,6 +20,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             pin_utc(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
 
         run.__name__, run.__doc__ = name, fn.__doc__

@@ -19,11 +19,14 @@ def slim(spark, d):
     return A.attack_events(spark, d).select(*EV)
 
 
-@query("w01_sequences", """SELECT ip, t_us, event_id, position, "sequence" FROM (
-SELECT ip, t_us, event_id, row_number() OVER (PARTITION BY ip ORDER BY t_us, event_id) AS position,
-list([final_score, network_score]) OVER (PARTITION BY ip ORDER BY t_us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS "sequence" FROM attack_events) WHERE position >= 10""")
+@query("w01_sequences", """SELECT ip, t_us, event_id, position, 10 AS steps, first_score, final_score AS last_score, round(total, 4) AS total_score FROM (
+SELECT *, row_number() OVER (PARTITION BY ip ORDER BY t_us, event_id) AS position, first_value(final_score) OVER w AS first_score, sum(final_score) OVER w AS total
+FROM attack_events WINDOW w AS (PARTITION BY ip ORDER BY t_us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE position >= 10""")
 def _(spark, d):
-    return W.sequences(A.attack_events(spark, d), ["ip"], "t_us", "event_id", ["final_score", "network_score"])
+    out = W.sequences(A.attack_events(spark, d), ["ip"], "t_us", "event_id", ["final_score", "network_score"])
+    s = F.col("sequence")
+    total = F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x[0])
+    return out.select("ip", "t_us", "event_id", "position", F.size(s).alias("steps"), s[0][0].alias("first_score"), s[9][0].alias("last_score"), F.round(total, 4).alias("total_score"))
 
 
 @query("w02_gaps", """SELECT packet_id, gap_us, CASE WHEN gap_us > 1000000 THEN gap_us END AS idle_us FROM (
@@ -33,7 +36,7 @@ def _(spark, d):
     return W.gaps(A.packets(spark, d)).select("packet_id", "gap_us", "idle_us")
 
 
-@query("w03_newest_per_ip", """SELECT event_id, ip, ts_us, row_rank FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts_us DESC, event_id DESC) AS row_rank FROM attack_events)
+@query("w03_newest_per_ip", """SELECT event_id, ip, ts_us, CAST(row_rank AS INTEGER) AS row_rank FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ts_us DESC, event_id DESC) AS row_rank FROM attack_events)
 WHERE row_rank <= 50""")
 def _(spark, d):
     return W.newest_n(A.attack_events(spark, d).select("event_id", "ip", "ts_us"), ["ip"], K.CORRELATION_HISTORY_CAP)
@@ -47,15 +50,20 @@ def _(spark, d):
 _SETS = f"""SELECT event_id, ip, t_us, layer, "type", score, list_sort(list_distinct(list(layer) OVER w)) AS layers_seen,
 list_sort(list_distinct(list(CASE WHEN "type" NOT IN {sql_in(K.BENIGN_CORRELATION_TYPES)} THEN "type" END) OVER w)) AS types_seen, count(*) OVER w AS history_count
 FROM correlation_events WINDOW w AS (PARTITION BY ip ORDER BY t_us RANGE BETWEEN 10000000 PRECEDING AND CURRENT ROW)"""
-_AMPLIFY = f"""SELECT event_id, layers_seen, types_seen, history_count, correlated, distinct_types, multiplier, round(least(score * multiplier, 1.0), 4) AS amplified_score FROM (
+_AMPLIFY = f"""SELECT event_id, array_to_string(layers_seen, ',') AS layers_seen, array_to_string(types_seen, ',') AS types_seen, history_count, correlated, distinct_types, multiplier, round(least(score * multiplier, 1.0), 4) AS amplified_score FROM (
 SELECT *, CASE WHEN correlated THEN CASE WHEN distinct_types >= 4 THEN 1.7 WHEN distinct_types = 3 THEN 1.5 WHEN distinct_types = 2 THEN 1.3 ELSE 1.0 END ELSE 1.0 END::DOUBLE AS multiplier FROM (
 SELECT *, list_contains(layers_seen, 'network') AND list_contains(layers_seen, 'application') AS correlated, CAST(greatest(len(types_seen), 1) AS INTEGER) AS distinct_types
 FROM ({{sets}})))"""
 
 
-@query("w04_trailing_sets", f"SELECT event_id, layers_seen, types_seen, history_count FROM ({_SETS})")
+def joined_sets(df):
+    """Sets as comma lists, for output."""
+    return df.withColumn("layers_seen", F.array_join("layers_seen", ",")).withColumn("types_seen", F.array_join("types_seen", ","))
+
+
+@query("w04_trailing_sets", f"SELECT event_id, array_to_string(layers_seen, ',') AS layers_seen, array_to_string(types_seen, ',') AS types_seen, history_count FROM ({_SETS})")
 def _(spark, d):
-    return W.trailing_sets(A.correlation_events(spark, d)).select("event_id", "layers_seen", "types_seen", "history_count")
+    return joined_sets(W.trailing_sets(A.correlation_events(spark, d))).select("event_id", "layers_seen", "types_seen", "history_count")
 
 
 @query("w05_sliding_count", """SELECT event_id, n AS request_count, n > 4 AS rate_limited FROM (
@@ -118,19 +126,18 @@ def _(spark, d):
 
 @query("d22_correlate", _AMPLIFY.format(sets=_SETS))
 def _(spark, d):
-    out = W.correlate(A.correlation_events(spark, d))
+    out = joined_sets(W.correlate(A.correlation_events(spark, d)))
     return out.select("event_id", "layers_seen", "types_seen", "history_count", "correlated", "distinct_types", "multiplier", "amplified_score")
 
 
 
-@query("k03_correlate_capped", f"""SELECT c.event_id, list_sort(list_distinct(list(c2.layer))) AS layers_seen,
-list_sort(list_distinct(list(c2."type") FILTER (WHERE c2."type" NOT IN {sql_in(K.BENIGN_CORRELATION_TYPES)}))) AS types_seen, count(*) AS history_count
+@query("k03_correlate_capped", f"""SELECT c.event_id, string_agg(DISTINCT c2.layer, ',' ORDER BY c2.layer) AS layers_seen,
+coalesce(string_agg(DISTINCT c2."type", ',' ORDER BY c2."type") FILTER (WHERE c2."type" NOT IN {sql_in(K.BENIGN_CORRELATION_TYPES)}), '') AS types_seen, count(*) AS history_count
 FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY t_us, event_id) AS rn FROM correlation_events) c
 JOIN (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY t_us, event_id) AS rn FROM correlation_events) c2
 ON c.ip = c2.ip AND c2.rn BETWEEN c.rn - 2 AND c.rn AND c2.t_us >= c.t_us - 10000000 GROUP BY c.event_id""")
 def _(spark, d):
-    out = W.correlate(A.correlation_events(spark, d), cap=3)
-    return out.select("event_id", "layers_seen", F.when(F.size("types_seen") > 0, F.col("types_seen")).alias("types_seen"), "history_count")
+    return joined_sets(W.correlate(A.correlation_events(spark, d), cap=3)).select("event_id", "layers_seen", "types_seen", "history_count")
 
 
 @query("k06_newest_buffer", "SELECT event_id, ip, t_us FROM attack_events ORDER BY t_us DESC, event_id DESC LIMIT 10000")

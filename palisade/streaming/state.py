@@ -7,9 +7,11 @@ State per key is bounded: one open flow, the newest 50 events, or one value.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +19,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from palisade import constants as K
 from palisade.operators.scale import US
 
+# Processors travel by value: Spark also starts them in a helper process of the driver, which does not
+# get files added to the session. Hence plain values below instead of uses of the constants module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+FEATURES, MIN_PACKETS, IDLE_GAP_US = K.FLOW_FEATURES, K.FLOW_MIN_PACKETS, K.IDLE_GAP_SECONDS * US
+SYN, ACK, PSH, FIN_RST = K.FLAG_SYN, K.FLAG_ACK, K.FLAG_PSH, K.FLAG_FIN | K.FLAG_RST
+BENIGN_TYPES, MULTIPLIERS, MULTIPLIER_MAX = K.BENIGN_CORRELATION_TYPES, K.CORRELATION_MULTIPLIERS, K.CORRELATION_MULTIPLIER_MAX
+
 LONG, DBL, STR = T.LongType(), T.DoubleType(), T.StringType()
 
 
@@ -39,14 +48,14 @@ FLOW_OUT = T.StructType([T.StructField("remote_ip", STR), T.StructField("flow_us
 def finish(ip: str, s: list) -> dict | None:
     """Features of a finished flow from its running sums; None when it is too short."""
     start, last, _, n, nf, nb, lf, lb, sq, syn, ack, psh, idle_n, idle_sum, idle_sq, session = s
-    if n < K.FLOW_MIN_PACKETS:
+    if n < MIN_PACKETS:
         return None
     secs = max((last - start) / US, 1e-9)
     mean = (lf + lb) / n
     im = idle_sum / idle_n if idle_n else 0.0
     values = [secs * US, nf, nb, lf, lb, lf / nf if nf else 0.0, lb / nb if nb else 0.0, (lf + lb) / secs, n / secs, syn, ack, psh, mean,
               math.sqrt(max(0.0, sq / n - mean * mean)), im, math.sqrt(max(0.0, idle_sq / idle_n - im * im)) if idle_n else 0.0]
-    return {"remote_ip": ip, "flow_us": start, "session_packet": session, **{c: float(v) for c, v in zip(K.FLOW_FEATURES, values)}}
+    return {"remote_ip": ip, "flow_us": start, "session_packet": session, **{c: float(v) for c, v in zip(FEATURES, values)}}
 
 
 class FlowState(StatefulProcessor):
@@ -73,7 +82,7 @@ class FlowState(StatefulProcessor):
             if s is None:
                 s = [int(p.t_us), int(p.t_us), int(p.packet_id), 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.0, 0.0, session]
             gap = int(p.t_us) - s[1]
-            if gap > K.IDLE_GAP_SECONDS * US:
+            if gap > IDLE_GAP_US:
                 s[12], s[13], s[14] = s[12] + 1, s[13] + gap, s[14] + float(gap) * gap
             fwd, size, flags = p.direction == "fwd", int(p.length), int(p.flags)
             s[1] = int(p.t_us)
@@ -81,8 +90,8 @@ class FlowState(StatefulProcessor):
             s[4], s[5] = s[4] + fwd, s[5] + (not fwd)
             s[6], s[7] = s[6] + size * fwd, s[7] + size * (not fwd)
             s[8] += size * size
-            s[9], s[10], s[11] = s[9] + bool(flags & K.FLAG_SYN), s[10] + bool(flags & K.FLAG_ACK), s[11] + bool(flags & K.FLAG_PSH)
-            if flags & (K.FLAG_FIN | K.FLAG_RST):
+            s[9], s[10], s[11] = s[9] + bool(flags & SYN), s[10] + bool(flags & ACK), s[11] + bool(flags & PSH)
+            if flags & FIN_RST:
                 done.append(finish(key[0], s))
                 s = None
         for t in list(self.handle.listTimers()):
@@ -136,9 +145,9 @@ class CorrelationState(StatefulProcessor):
             seen = [*seen, (int(e.t_us), e.layer, e.type)][-self.cap:]
             near = [x for x in seen if x[0] >= e.t_us - self.window]
             layers = {x[1] for x in near if x[1]}
-            types = {x[2] for x in near if x[2] not in K.BENIGN_CORRELATION_TYPES}
+            types = {x[2] for x in near if x[2] not in BENIGN_TYPES}
             both, n = {"network", "application"} <= layers, max(1, len(types))
-            m = K.CORRELATION_MULTIPLIERS.get(n, K.CORRELATION_MULTIPLIER_MAX) if both else 1.0
+            m = MULTIPLIERS.get(n, MULTIPLIER_MAX) if both else 1.0
             out.append({"event_id": int(e.event_id), "ip": key[0], "correlated": both, "distinct_types": n, "multiplier": m,
                         "amplified_score": round(min(float(e.score) * m, 1.0), 4), "history_count": len(near)})
         self.seen.update(tuple(list(c) for c in zip(*seen)))
