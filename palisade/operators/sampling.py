@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.operators.scale import hash52, percentile_values, rank_by_hash, take_by_hash, top_n
+from palisade.operators.scale import hash52, hash_cuts, hash_position, percentile_values, take_by_hash, top_n
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -20,17 +20,32 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], shares: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
-    """Append ``split``: per class, the first share of the hash order is the first split, and so on."""
+    """Append ``split``: per class, the first share of the hash order is the first split, and so on.
+
+    The cut positions of all classes and shares are found first; the split itself is then a projection.
+    """
     shares = shares or {"train": 0.70, "val": 0.15, "test": 0.15}
-    ranked = rank_by_hash(df, [label], key, seed, name="__rank")
-    sized = ranked.join(F.broadcast(class_counts(df, label)), label)
-    out, total = None, 0.0
-    for name, share in list(shares.items())[:-1]:
-        total += share
-        test = F.col("__rank") <= F.round(F.col("n") * F.lit(round(total, 12)))
+    names = list(shares)
+    ends = [round(sum(list(shares.values())[:i + 1]), 12) for i in range(len(names) - 1)]
+    goal = lambda e: F.round(F.col("n") * F.lit(e)).cast("bigint")
+    points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), goal(e).alias("target")) for i, e in enumerate(ends)]))
+    targets = class_counts(df, label).select(label, points.alias("t")).select(label, "t.i", "t.target").collect()
+    wanted = df.sparkSession.createDataFrame([(r[label], r["target"]) for r in targets], f"`{label}` {df.schema[label].dataType.simpleString()}, target bigint").distinct()
+    spot = {(c[0], c[1]): c[2] for c in hash_cuts(df, [label], wanted, key, seed)}
+    kind = df.select(hash_position(key, seed).alias("p")).schema["p"].dataType.simpleString()
+    by_class: dict = {}
+    for r in targets:
+        by_class.setdefault(r[label], {})[r["i"]] = (r["target"], spot.get((r[label], r["target"])))
+    rows = [(c, *[x for i in range(len(ends)) for x in cuts[i]]) for c, cuts in by_class.items()]
+    fields = ", ".join(f"__t{i} bigint, __c{i} {kind}" for i in range(len(ends)))
+    table = df.sparkSession.createDataFrame(rows, f"`{label}` {df.schema[label].dataType.simpleString()}, {fields}")
+    at, out = hash_position(key, seed), None
+    for i, name in enumerate(names[:-1]):
+        # No position means that the share ends behind the last row of the class.
+        test = (F.col(f"__t{i}") > 0) & (F.col(f"__c{i}").isNull() | (at <= F.col(f"__c{i}")))
         out = F.when(test, name) if out is None else out.when(test, name)
-    last = list(shares)[-1]
-    return sized.withColumn("split", out.otherwise(last) if out is not None else F.lit(last)).select(*df.columns, "split")
+    split = F.lit(names[-1]) if out is None else out.otherwise(names[-1])
+    return df.join(table, label).select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
 
 
 def undersample(df: DataFrame, label: str, majority: str, key: list[str], ratio: int = 3, seed: int = 42) -> DataFrame:

@@ -141,27 +141,62 @@ def previous_within(df: DataFrame, keys: list[str], order: list[str], ts_us: str
 
 # -- ranked cuts -----------------------------------------------------------------------------------
 
-def take_by_hash(df: DataFrame, by: list[str], targets: DataFrame, key: list[str], seed: int = 42,
-                 bits: int = 12) -> DataFrame:
-    """Exactly ``target`` rows per group, in hash order of ``key``, without ranking whole groups.
+MAX_GROUPS = 50_000
 
-    ``targets`` has the ``by`` columns and a ``target`` count (few rows: one per group). Rows are
-    counted per (group, leading hash bits); only the one bucket that contains the cut is ranked.
+
+def _table(df: DataFrame, by: list[str], rows: list[tuple], extra: str) -> DataFrame:
+    """A small local table keyed like ``df``; its size is known, so joins with it are broadcast by Spark."""
+    names = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return df.sparkSession.createDataFrame(rows, f"{names}, {extra}")
+
+
+def hash_position(key: list[str], seed: int) -> Column:
+    """What the hash order compares: hash first, key columns for the (rare) equal hashes."""
+    return F.struct(hash52(*key, seed=seed).alias("h"), *key)
+
+
+def hash_cuts(df: DataFrame, by: list[str], targets: DataFrame, key: list[str], seed: int = 42, bits: int = 12) -> list[tuple]:
+    """(group..., target, hash position of the target-th row) for every group and target.
+
+    Two narrow passes over group and key columns only. Rows are counted per (group, leading hash
+    bits); then only the one bucket that holds a cut is ordered. One row per cut reaches the driver.
+    The position is None when a group has no more rows than its target.
     """
-    shift = HASH_BITS - bits
-    hashed = df.withColumn("__h", hash52(*key, seed=seed)).withColumn("__hb", F.shiftright("__h", shift))
-    counts = hashed.groupBy(*by, "__hb").agg(F.count(F.lit(1)).alias("__n"))
+    slim = df.select(*by, *[c for c in key if c not in by]).withColumn("__p", hash_position(key, seed))
+    slim = slim.withColumn("__hb", F.shiftright(F.col("__p.h"), HASH_BITS - bits))
+    counts = slim.groupBy(*by, "__hb").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*by).orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-                  .join(targets, by, "inner")
-                  .where(F.col("__before") < F.col("target"))
-                  .select(*by, "__hb", (F.col("target") - F.col("__before")).alias("__left"), "__n"))
-    kept = hashed.join(cuts, [*by, "__hb"], "inner")
-    whole = kept.where(F.col("__n") <= F.col("__left"))
-    edge = kept.where(F.col("__n") > F.col("__left"))
-    rank = F.row_number().over(Window.partitionBy(*by, "__hb").orderBy("__h", *key))
-    edge = edge.withColumn("__r", rank).where(F.col("__r") <= F.col("__left")).drop("__r")
-    return whole.unionByName(edge).select(*df.columns)
+    placed = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).join(targets, by, "right")
+    hit = (F.col("__before") < F.col("target")) & (F.col("target") <= F.col("__before") + F.col("__n"))
+    edges = placed.groupBy(*by, "target").agg(F.max(F.when(hit, F.struct("__hb", "__before"))).alias("e")).limit(MAX_GROUPS + 1).collect()
+    if len(edges) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to cut; sample by a coarser group")
+    inside = [(*[r[c] for c in by], r["e"]["__hb"], r["target"] - r["e"]["__before"]) for r in edges if r["e"] is not None]
+    found: dict[tuple, object] = {}
+    if inside:
+        wanted = _table(df, by, inside, "__hb bigint, __nth bigint")
+        rank = F.row_number().over(Window.partitionBy(*by, "__hb").orderBy("__p"))
+        pool = slim.join(wanted.select(*by, "__hb").distinct(), [*by, "__hb"], "left_semi").withColumn("__r", rank)
+        for r in pool.join(wanted.withColumnRenamed("__nth", "__r"), [*by, "__hb", "__r"]).select(*by, "__hb", "__r", "__p").collect():
+            found[(*[r[c] for c in by], r["__hb"], r["__r"])] = r["__p"]
+    out = []
+    for r in edges:
+        group = tuple(r[c] for c in by)
+        spot = found.get((*group, r["e"]["__hb"], r["target"] - r["e"]["__before"])) if r["e"] is not None else None
+        out.append((*group, r["target"], spot))
+    return out
+
+
+def take_by_hash(df: DataFrame, by: list[str], targets: DataFrame, key: list[str], seed: int = 42, bits: int = 12) -> DataFrame:
+    """Exactly ``target`` rows per group (all of a smaller group), in hash order of ``key``.
+
+    After ``hash_cuts`` this is a filter against a small local table: rows are neither shuffled nor sorted.
+    """
+    kind = df.select(hash_position(key, seed).alias("p")).schema["p"].dataType.simpleString()
+    cuts = [(*c[:-2], c[-1]) for c in hash_cuts(df, by, targets, key, seed, bits) if c[-2] > 0]
+    joined = df.join(_table(df, by, cuts, f"__cut {kind}"), by, "inner")
+    kept = joined.where(F.col("__cut").isNull() | (hash_position(key, seed) <= F.col("__cut")))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def rank_by_hash(df: DataFrame, by: list[str], key: list[str], seed: int = 42, bits: int = 12,
