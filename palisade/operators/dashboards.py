@@ -21,9 +21,14 @@ def count_where(test: Column) -> Column:
 
 # -- filters and search ---------------------------------------------------------------------------
 
-def within(df: DataFrame, as_of_us: int, seconds: int, ts_us: str = "ts_us") -> DataFrame:
-    """Rows of the last ``seconds`` before ``as_of_us``; a literal bound, so it can be pushed to the scan."""
-    return df.where(F.col(ts_us) >= F.lit(as_of_us - seconds * 1_000_000))
+def within(df: DataFrame, as_of_us: int, seconds: int, time: str = "event_time") -> DataFrame:
+    """Rows of the last ``seconds`` before ``as_of_us``.
+
+    The bound is a constant compared with the stored time column, so partitions and row groups are
+    skipped by the scan.
+    """
+    bound = F.timestamp_micros(F.lit(as_of_us - seconds * 1_000_000)).cast(df.schema[time].dataType)
+    return df.where(F.col(time) >= bound)
 
 
 def newest(df: DataFrame, limit: int = 100, ts: str = "timestamp", tie: str = "request_id") -> DataFrame:
