@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.catalog.registry import query
-from palisade.catalog.twins import lit, sql_case, sql_hash, sql_in, sql_pick
-from palisade.operators import dashboards as D
+from palisade.catalog.twins import lit, sql_case, sql_hash, sql_in
 from palisade.operators import enrich as EN
 from palisade.operators import evaluate as E
 from palisade.operators import projections as PR
@@ -254,9 +253,18 @@ def _(spark, d):
     return B.with_weights(flow_rows(spark, d).select("flow_id", "label"), "label", boost=False).select("flow_id", F.round("weight", 6).alias("weight"))
 
 
-@query("b13_pseudo_negatives")
+def _unit_sql(name: str) -> str:
+    return f"(({sql_hash('flow_id', lit(name))} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+_NOISE = ", ".join(f"""round("{f}" + 3.0 * sqrt(-2.0 * ln({_unit_sql(f + '|r')})) * cos(2.0 * pi() * {_unit_sql(f + '|a')}) * s{i}, 3) AS "{f}\"""" for i, f in enumerate(_X))
+_STDS = ", ".join(f'stddev_pop("{f}") + 1e-6 AS s{i}' for i, f in enumerate(_X))
+
+
+@query("b13_pseudo_negatives", f"SELECT flow_id, {_NOISE} FROM flow_table, (SELECT {_STDS} FROM flow_table WHERE label = 'benign') WHERE label = 'benign'")
 def _(spark, d):
-    return B.pseudo_negatives(A.flow_table(spark, d).where("label = 'benign'"), _X, ["flow_id"])
+    out = B.pseudo_negatives(A.flow_table(spark, d).where("label = 'benign'"), _X, ["flow_id"])
+    return out.select("flow_id", *[F.round(f"`{f}`", 3).alias(f) for f in _X])
 
 
 @query("b14_shuffle", f"SELECT flow_id, label FROM flow_table ORDER BY {sql_hash('flow_id')}, flow_id")

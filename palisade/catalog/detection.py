@@ -397,12 +397,20 @@ def _(spark, d):
     return R.match_rules(A.payloads(spark, d), "payload_id", "payload", _J03)
 
 
-@query("d07_validate_patterns")
+# TRY turns a pattern that does not compile into NULL.
+_HIT = lambda text: f"TRY(regexp_matches({lit(text)}, '(?is)' || trim(pattern)))"
+_SAFE = f"""(length(trim(pattern)) BETWEEN 5 AND 500 AND trim(pattern) NOT IN {sql_in(P.WILDCARDS)} AND coalesce(NOT {_HIT('')}, false)
+AND {' + '.join(f"coalesce(CAST({_HIT(t)} AS INTEGER), 0)" for t in P.BENIGN_SAMPLES)} < 3)"""
+
+
+@query("d07_validate_patterns", f"SELECT pattern, event_id, {_SAFE} AS is_safe FROM proposals")
 def _(spark, d):
     return R.validate_patterns(A.proposals(spark, d)).select("pattern", "event_id", "is_safe")
 
 
-@query("d08_admit_rules")
+@query("d08_admit_rules", f"""SELECT substr(md5(pattern), 1, 8) AS rule_id, pattern, attack_type, event_id AS source_event_id, severity, round(confidence, 4) AS confidence, 'active' AS status, 0::BIGINT AS match_count,
+proposed_us AS created_us, CAST(NULL AS BIGINT) AS last_matched_us FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY proposed_us, event_id) AS r FROM proposals WHERE severity IN ('CRITICAL', 'HIGH')) WHERE r = 1
+AND pattern NOT IN (SELECT pattern FROM rule_store) AND {_SAFE} ORDER BY proposed_us, event_id, pattern LIMIT (SELECT greatest(0, 500 - count(*)) FROM rule_store)""")
 def _(spark, d):
     return R.admit_rules(A.proposals(spark, d), A.rule_store(spark, d))
 

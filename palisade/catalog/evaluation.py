@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from palisade.catalog.registry import query
 from palisade.operators import evaluate as E
-from palisade.operators.scale import percentile_values
 from palisade.sources import adapters as A
 
 _MET = "round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) AS f1"

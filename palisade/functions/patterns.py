@@ -159,10 +159,6 @@ def portable(pattern: str) -> str:
     return "".join(out)
 
 
-def ignores_case(pattern: str) -> bool:
-    return pattern.startswith("(?i)")
-
-
 def compiles(pattern: str) -> bool:
     try:
         re.compile(pattern, re.IGNORECASE | re.DOTALL)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.evaluate import per_class
@@ -16,11 +16,6 @@ from palisade.operators.fusion import classify
 from palisade.operators.sampling import with_weights
 
 
-def safe(feats: list[str]) -> dict[str, str]:
-    """Feature names without characters that vector assembly would read as paths."""
-    return {f: f.replace(".", "_") for f in feats}
-
-
 def assembled(feats: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="skip")
 
@@ -51,13 +46,7 @@ def importances(model: PipelineModel, feats: list[str]) -> DataFrame:
     """Feature importance table, largest first."""
     forest = model.stages[-1]
     rows = [(f, float(v)) for f, v in zip(feats, forest.featureImportances.toArray())]
-    return forest_session(model).createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
-
-
-def forest_session(model: PipelineModel):
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, gain double").orderBy(F.desc("gain"), "feature")
 
 
 def top_features(model: PipelineModel, feats: list[str], k: int = 10) -> DataFrame:

@@ -275,7 +275,7 @@ def honeypot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"), F.lit("Z")).alias("timestamp"),
         "ip", "method", "path", "query_params", F.create_map().cast("map<string,string>").alias("form_data"), "headers",
         F.col("body").alias("raw_body"),
-        F.when(found, F.struct(F.lit("honeydb").alias("ti_source"), F.lit(True).alias("ti_found"),
+        F.when(found, F.struct(F.lit("reputation").alias("ti_source"), F.lit(True).alias("ti_found"),
                                F.concat(F.lit('{"count":'), (F.col("doc_id") % 30).cast("string"), F.lit("}")).alias("ti_raw"))).alias("threat_intel"),
         "doc_id")
 
