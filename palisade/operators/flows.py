@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import constants as K
@@ -43,12 +43,13 @@ def flow_starts(sessions: DataFrame, idle: int, max_age: int, key: str) -> DataF
         return roots
     # Distinct packet times of long sessions; each points to the first time more than max_age later.
     times = sessions.join(long.select(*sess), sess, "left_semi").select(*sess, "t_us").distinct()
-    reach = max_age + idle + 1
-    b = time_bucket(F.col("t_us"), reach)
-    both = times.select("*", F.explode(F.array(b, b - 1)).alias("__bucket"))
-    ahead = Window.partitionBy(*sess, "__bucket").orderBy("t_us").rangeBetween(max_age * US + 1, reach * US)
-    jump = (both.withColumn("next_us", F.min("t_us").over(ahead)).where(F.col("__bucket") == b)
-                .where(F.col("next_us").isNotNull()).select(*sess, F.col("t_us").alias("at_us"), "next_us"))
+    # Scanned backwards in time, the next start of a packet is the last time met before its probe.
+    gone = max_age * US + 1
+    marks = times.select(*sess, F.col("t_us").alias("x_us"), F.lit(0).alias("__kind"), F.col("t_us").alias("__time"), F.lit(None).cast("bigint").alias("at_us"))
+    probes = times.select(*sess, (F.col("t_us") + gone).alias("x_us"), F.lit(1).alias("__kind"), F.lit(None).cast("bigint").alias("__time"), F.col("t_us").alias("at_us"))
+    both = marks.unionByName(probes).withColumn("__back", -F.col("x_us")).withColumn("__bucket", -F.floor(F.col("x_us") / F.lit(max_age * US)))
+    ahead = ordered_scan(both, sess, "__bucket", ["__back", "__kind"], fill={"next_us": "__time"})
+    jump = ahead.where((F.col("__kind") == 1) & F.col("next_us").isNotNull()).select(*sess, "at_us", "next_us")
     reached = roots.join(long.select(*sess), sess, "left_semi")
     rounds = max(1, math.ceil(math.log2(longest / (max_age * US) + 1)))
     jump = materialize(jump, "jump")

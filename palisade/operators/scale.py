@@ -109,7 +109,10 @@ def with_context(df: DataFrame, ts_us: str, seconds: int, back: bool = True) ->
 
 def trailing(df: DataFrame, keys: list[str], ts_us: str, seconds: int, aggs: dict[str, Column],
              include_edge: bool = True) -> DataFrame:
-    """Aggregates over the rows of the same key in the last ``seconds`` (time ties are peers)."""
+    """Any aggregates over the rows of the same key in the last ``seconds`` (time ties are peers).
+
+    Cost grows with rows x window size; ``sliding_sum`` is the linear way for sums and last-seen times.
+    """
     low = -seconds * US if include_edge else -seconds * US + 1
     w = Window.partitionBy(*keys, "__bucket").orderBy(ts_us).rangeBetween(low, 0)
     out = with_context(df, ts_us, seconds)
@@ -117,6 +120,21 @@ def trailing(df: DataFrame, keys: list[str], ts_us: str, seconds: int, aggs: dic
     return out.where(~F.col("__context")).drop("__bucket", "__context")
 
 
+def sliding_sum(instants: DataFrame, keys: list[str], ts_us: str, span_us: int, value: str, out: str,
+                last: dict[str, str] | None = None) -> DataFrame:
+    """Sum of ``value`` over the window that an instant enters now and leaves ``span_us`` later.
+
+    Expects one row per key and instant. Every row appears once more, negated, at the time it leaves,
+    so the sliding sum is one running sum: linear even for a flood, where a sliding frame would read
+    its whole window again for every row. ``last`` adds running maxima (times last seen, say).
+    """
+    leave = instants.select(*keys, (F.col(ts_us) + span_us).alias(ts_us), F.lit(0).alias("__kind"), (-F.col(value)).alias(value))
+    both = instants.withColumn("__kind", F.lit(1)).unionByName(leave, allowMissingColumns=True)
+    both = both.withColumn("__bucket", F.floor(F.col(ts_us) / F.lit(span_us)))
+    done = ordered_scan(both, keys, "__bucket", [ts_us, "__kind"], running_sum={out: value}, running_max=last)
+    return done.where(F.col("__kind") == 1).drop("__kind", "__bucket")
+
+
 def previous_within(df: DataFrame, keys: list[str], order: list[str], ts_us: str, seconds: int,
                     cols: list[str]) -> DataFrame:
     """``prev_<col>`` of the preceding row of the key, NULL when it is ``seconds`` or more away.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.scores import multiplier, round4
-from palisade.operators.scale import US, ordered_scan, previous_within, time_bucket, top_n, trailing, with_context
+from palisade.operators.scale import US, ordered_scan, previous_within, sliding_sum, time_bucket, top_n, trailing, with_context
 
 
 # -- rates -----------------------------------------------------------------------------------------
@@ -24,7 +24,7 @@ def sliding_count(df: DataFrame, seconds: int = K.TTL_RATE, limit: int = K.RATE_
     Timestamps are counted first, so a burst at one instant is a single row in the window.
     """
     per_instant = df.groupBy(key, ts_us).agg(F.count(F.lit(1)).alias("__n"))
-    counted = trailing(per_instant, [key], ts_us, seconds, {"request_count": F.sum("__n")}, include_edge=False).drop("__n")
+    counted = sliding_sum(per_instant, [key], ts_us, seconds * US, "__n", "request_count").drop("__n")
     return df.join(counted, [key, ts_us]).withColumn("rate_limited", F.col("request_count") > limit)
 
 
@@ -107,12 +107,36 @@ def lookup_state(events: DataFrame, blocks: DataFrame, threats: DataFrame, key:
 
 # -- correlation -----------------------------------------------------------------------------------
 
+MAX_NAMES = 64
+
+
+def _names(df: DataFrame, col: Column) -> list[str] | None:
+    """The distinct values of a label column when there are few, else None."""
+    got = [r[0] for r in df.select(col.alias("v")).where("v is not null").distinct().limit(MAX_NAMES + 1).collect()]
+    return sorted(got) if len(got) <= MAX_NAMES else None
+
+
 def trailing_sets(df: DataFrame, seconds: int = K.CORRELATION_WINDOW, key: str = "ip", ts_us: str = "t_us") -> DataFrame:
-    """Layers, distinct attack types and event count of the address in the last ``seconds`` (edge included)."""
+    """Layers, distinct attack types and event count of the address in the last ``seconds`` (edge included).
+
+    A name is in the set when it was last seen at most ``seconds`` ago, so with few names (the usual
+    case, checked) one running maximum per name does it, in linear time. ``df`` is read several times:
+    pass a stored table when it is expensive.
+    """
     attack = F.when(~F.coalesce(F.col("type"), F.lit("")).isin(K.BENIGN_CORRELATION_TYPES), F.col("type"))
-    out = trailing(df, [key], ts_us, seconds, {
-        "layers_seen": F.collect_set(F.nullif("layer", F.lit(""))), "types_seen": F.collect_set(attack), "history_count": F.count(F.lit(1))})
-    return out.withColumn("layers_seen", F.array_sort("layers_seen")).withColumn("types_seen", F.array_sort("types_seen"))
+    place = F.nullif(F.col("layer"), F.lit(""))
+    types, layers = _names(df, attack), _names(df, place)
+    if types is None or layers is None:
+        out = trailing(df, [key], ts_us, seconds, {"layers_seen": F.collect_set(place), "types_seen": F.collect_set(attack), "history_count": F.count(F.lit(1))})
+        return out.withColumn("layers_seen", F.array_sort("layers_seen")).withColumn("types_seen", F.array_sort("types_seen"))
+    marks = {f"__t{i}": attack == n for i, n in enumerate(types)} | {f"__l{i}": place == n for i, n in enumerate(layers)}
+    instants = df.groupBy(key, ts_us).agg(F.count(F.lit(1)).alias("__n"), *[F.max(F.when(test, F.col(ts_us))).alias(m) for m, test in marks.items()])
+    seen = sliding_sum(instants, [key], ts_us, seconds * US + 1, "__n", "history_count", {f"{m}_at": m for m in marks})
+    recent = lambda m, n: F.when(F.col(f"{m}_at") >= F.col(ts_us) - seconds * US, F.lit(n))
+    empty = F.array().cast("array<string>")
+    names = lambda p, ns: F.array_compact(F.array(*[recent(f"__{p}{i}", n) for i, n in enumerate(ns)])) if ns else empty
+    sets = seen.select(key, ts_us, names("l", layers).alias("layers_seen"), names("t", types).alias("types_seen"), "history_count")
+    return df.join(sets, [key, ts_us]).select(*df.columns, "layers_seen", "types_seen", "history_count")
 
 
 def trailing_sets_capped(df: DataFrame, seconds: int = K.CORRELATION_WINDOW, cap: int = K.CORRELATION_HISTORY_CAP,

@@ -17,6 +17,7 @@ from palisade.operators import fusion as FU
 from palisade.operators import projections as PR
 from palisade.operators import rules as R
 from palisade.operators import temporal as W
+from palisade.session import materialize
 
 
 def judge_texts(requests: DataFrame, anomaly: Column, classifier: Callable[[Column], tuple[Column, Column]], key: str, book: R.RuleBook | None = None) -> DataFrame:
@@ -74,7 +75,8 @@ def score_requests(requests: DataFrame, blocks: DataFrame, threats: DataFrame, a
     live = PR.skip_paths(requests)
     judged = judge_texts(live, anomaly, classifier, key, book)
     state = W.lookup_state(live.select(key, "ip", "t_us"), blocks, threats, tie=key, limit=limit).drop("ip", "t_us")
-    decided = decide(judged.join(state, key))
+    # Stored once: the correlation step reads the verdicts several times, the texts must be judged only once.
+    decided = materialize(decide(judged.join(state, key)), "verdicts")
 
     part = ~F.col("short_circuited") & (F.col("final_score") > 0.05)
     app = decided.withColumn("layer", F.when(part, "application")).withColumn("type", F.when(part, PR.last_label())).withColumn("__app", F.lit(True))
