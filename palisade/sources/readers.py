@@ -37,6 +37,18 @@ def list_files(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().endswith(suffix))
 
 
+def first_line(spark: SparkSession, file: str) -> str:
+    """Header of one file; only its first block is opened."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def read_flows_csv(spark: SparkSession, folder: str, mode: str = "strip") -> DataFrame:
     """All CSV files of a folder as text columns, with the file each row came from.
 
@@ -46,15 +58,12 @@ def read_flows_csv(spark: SparkSession, folder: str, mode: str = "strip") -> Dat
     files = list_files(spark, folder, ".csv")
     if not files:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    heads = (spark.read.text(files, wholetext=False).select(F.col("_metadata.file_path").alias("f"), "value",
-                                                            F.col("_metadata.file_block_start").alias("s"))
-             .where(F.col("s") == 0).groupBy("f").agg(F.first("value").alias("h")))
     groups: dict[str, list[str]] = {}
-    for r in heads.collect():
-        groups.setdefault(r["h"], []).append(r["f"])
+    for f in files:
+        groups.setdefault(first_line(spark, f), []).append(f)
     out = None
     for head in sorted(groups):
-        part = spark.read.option("header", True).csv(sorted(groups[head]))
+        part = spark.read.option("header", True).csv(groups[head])
         part = normalize_columns(part, mode).withColumn("source_file", file_name())
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
