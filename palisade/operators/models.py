@@ -67,7 +67,7 @@ class MacroF1(Evaluator):
         return True
 
 
-def grid_search(df: DataFrame, feats: list[str], label: str, grid: dict[str, list] | None = None, folds: int = 3, parallelism: int = 4, seed: int = 42) -> DataFrame:
+def grid_search(df: DataFrame, feats: list[str], label: str, grid: dict[str, list] | None = None, folds: int = 3, parallelism: int = 1, seed: int = 42) -> DataFrame:
     """Cross-validated macro F1 of every grid point, best first."""
     grid = grid or {"numTrees": [20, 50, 100], "maxDepth": [5, 8, 12], "minInstancesPerNode": [1, 5, 20]}
     rf = RandomForestClassifier(labelCol="label_index", seed=seed)
