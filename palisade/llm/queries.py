@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import decontaminate, mixing, token_counts
+from palisade.llm import decontaminate, html_text, language, licenses, mixing, token_counts
 from palisade.llm.common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,34 @@ def op3_mix_sources(spark, d):
     return mixing.take(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_spelling(column: str) -> str:
+    out = f"(' ' || {column} || ' ')"
+    for a, b in licenses.EQUAL_WORDS:
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    return f"trim({out})"
+
+
+PLAIN_LINES = (f"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace({LOWERED.format('x')}, "
+               f"{sql_text(licenses.COPYRIGHT_LINE)}, '', 'g'), {sql_text(licenses.SEPARATOR)}, ' ', 'g'))), lambda x: x <> '')")
+KNOWN_ROWS = ", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v in licenses.KNOWN.items())
+
+
+@query("op4_license_scan", f"""WITH known AS (SELECT sha256({sql_spelling('t')}) AS digest, min(license_id) AS license_id
+  FROM (SELECT license_id, array_to_string({PLAIN_LINES}, ' ') AS t FROM (VALUES {KNOWN_ROWS}) v(license_id, text)) GROUP BY 1),
+rows AS (SELECT doc_id, {PLAIN_LINES} AS lines FROM documents),
+found AS (SELECT doc_id, license_id FROM (SELECT doc_id, unnest(lines) AS line FROM rows) JOIN known ON sha256({sql_spelling('line')}) = digest),
+per AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM found GROUP BY doc_id)
+SELECT doc_id, license_id, CAST(coalesce(n, 0) AS BIGINT) AS n_notices, coalesce(notices, '') AS notices
+FROM rows LEFT JOIN known ON sha256({sql_spelling("array_to_string(lines, ' ')")}) = digest LEFT JOIN per USING (doc_id)""")
+def op4_license_scan(spark, d):
+    """Documents, and lines of documents, that are a known licence or notice."""
+    return licenses.scan(table(spark, d, "documents"))
+
+
 WORDS = r"regexp_extract_all(" + LOWERED.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
@@ -79,6 +107,18 @@ def op5_decontaminate(spark, d):
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query("op7_language_id")
+def op7_language_id(spark, d):
+    """Language of every document, learned from the documents that are not held out."""
+    return language.identify(table(spark, d, "documents"))
+
+
+@query("op8_html_text")
+def op8_html_text(spark, d):
+    """Main text of every page."""
+    return html_text.extracted(table(spark, d, "pages"))
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark, d):
     """Tokens of every document under the byte-level vocabulary."""
