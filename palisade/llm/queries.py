@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, html_text, language, licenses, line_dedup, mixing, token_counts
+from palisade.llm import decontaminate, html_text, language, licenses, line_dedup, mixing, near_dedup, token_counts
 from palisade.llm.common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,9 @@ def op10_line_dedup(spark, d):
     """What is left of every document without lines that repeat, or nearly repeat, an earlier one."""
     out = line_dedup.line_dedup(table(spark, d, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_near_dedup")
+def op6_near_dedup(spark, d):
+    """Groups of documents that share 85 of 100 word shingles, and which document of each stays."""
+    return near_dedup.near_duplicates(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
