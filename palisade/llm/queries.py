@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, html_text, language, licenses, line_dedup, mixing, near_dedup, token_counts
+from palisade.llm import decontaminate, html_text, language, licenses, line_dedup, mixing, near_dedup, suffix_dedup, token_counts
 from palisade.llm.common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,9 @@ def op10_line_dedup(spark, d):
 def op6_near_dedup(spark, d):
     """Groups of documents that share 85 of 100 word shingles, and which document of each stays."""
     return near_dedup.near_duplicates(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, d):
+    """What is left of every document without strings of 50 bytes that start in an earlier one."""
+    return suffix_dedup.repeats(table(spark, d, "documents"))
