@@ -64,24 +64,23 @@ def sql_text(text: str) -> str:
 
 
 def sql_spelling(column: str) -> str:
-    out = f"(' ' || {column} || ' ')"
-    for a, b in licenses.EQUAL_WORDS:
-        out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim({out})"
+    for a, b in licenses.EQUAL_SPELLINGS:
+        column = f"replace({column}, '{a}', '{b}')"
+    return column
 
 
-PLAIN_LINES = (f"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace({LOWERED.format('x')}, "
-               f"{sql_text(licenses.COPYRIGHT_LINE)}, '', 'g'), {sql_text(licenses.SEPARATOR)}, ' ', 'g'))), lambda x: x <> '')")
-KNOWN_ROWS = ", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v in licenses.KNOWN.items())
+PLAIN_LINES = (f"list_filter(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(lower(x)[:{licenses.START_CHARS}], {sql_text(licenses.COPYRIGHT_START)}) "
+               f"OR regexp_replace(lower(x), {sql_text(licenses.SEPARATORS)}, '', 'g') = '{licenses.RESERVED}' THEN '' ELSE regexp_replace(lower(x), {sql_text(licenses.SEPARATORS)}, '', 'g') END), lambda x: x <> '')")
+KNOWN_ROWS = ", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v in licenses.known_texts())
 
 
 @query("op4_license_scan", f"""WITH known AS (SELECT sha256({sql_spelling('t')}) AS digest, min(license_id) AS license_id
-  FROM (SELECT license_id, array_to_string({PLAIN_LINES}, ' ') AS t FROM (VALUES {KNOWN_ROWS}) v(license_id, text)) GROUP BY 1),
+  FROM (SELECT license_id, array_to_string({PLAIN_LINES}, '') AS t FROM (VALUES {KNOWN_ROWS}) v(license_id, text)) GROUP BY 1),
 rows AS (SELECT doc_id, {PLAIN_LINES} AS lines FROM documents),
 found AS (SELECT doc_id, license_id FROM (SELECT doc_id, unnest(lines) AS line FROM rows) JOIN known ON sha256({sql_spelling('line')}) = digest),
 per AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM found GROUP BY doc_id)
 SELECT doc_id, license_id, CAST(coalesce(n, 0) AS BIGINT) AS n_notices, coalesce(notices, '') AS notices
-FROM rows LEFT JOIN known ON sha256({sql_spelling("array_to_string(lines, ' ')")}) = digest LEFT JOIN per USING (doc_id)""")
+FROM rows LEFT JOIN known ON sha256({sql_spelling("array_to_string(lines, '')")}) = digest LEFT JOIN per USING (doc_id)""")
 def op4_license_scan(spark, d):
     """Documents, and lines of documents, that are a known licence or notice."""
     return licenses.scan(table(spark, d, "documents"))
