@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, html_text, language, licenses, line_dedup, mixing, near_dedup, suffix_dedup, token_counts
+from palisade.llm import decontaminate, html_text, language, licenses, line_dedup, mixing, near_dedup, neighbours, suffix_dedup, token_counts
 from palisade.llm.common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,9 @@ def op6_near_dedup(spark, d):
 def op1_suffix_dedup(spark, d):
     """What is left of every document without strings of 50 bytes that start in an earlier one."""
     return suffix_dedup.repeats(table(spark, d, "documents"))
+
+
+@query("op2_neighbours")
+def op2_neighbours(spark, d):
+    """The 20 nearest vectors of every twentieth one, by inner product."""
+    return neighbours.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
