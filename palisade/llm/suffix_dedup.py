@@ -10,11 +10,14 @@ A byte goes when a string of ``LEAST`` bytes that covers it also starts in a doc
   batches: every new batch gets a suffix array, is merge-scanned against the existing levels for strings of
   ``LEAST`` bytes, and becomes a level; levels of equal size merge, so sizes grow geometrically and every suffix is
   merged a logarithmic number of times. Levels hold a string once, with the smallest doc_id it starts in.
-* The spans found are joined back to the texts.
+* The spans found are joined back to the texts, by the one exchange of the texts that brought them their runs.
+
+A text that as a whole also stands in a smaller document is removed as a whole and takes no part in the second
+deal: what starts in it starts in that smaller document, too.
 
 Null text: empty. Null doc_id: before all others. Rows with one doc_id are one document: they don't cover each
 other. Texts under ``LEAST`` bytes: nothing removed. Repeated rows: equal results. Empty table: empty result. Extra
-columns are kept by ``deduplicated``.
+columns play no part.
 """
 
 from __future__ import annotations
@@ -153,16 +156,24 @@ class IndexFamily:
         return hit
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of numbers by significance: the high ones of small numbers compress away."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b""
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays.values()], np.int64).tobytes(), *[np.ascontiguousarray(a).tobytes() for a in arrays.values()]])
+    body = b"".join(_planes(a) for a in arrays.values())
+    return np.array([len(a) for a in arrays.values()], np.int64).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    sizes = np.frombuffer(blob, np.int64, len(kinds))
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(blob, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+    sizes = np.frombuffer(blob, np.int64, len(kinds)).tolist()
+    widths = [np.dtype(k).itemsize for k in kinds]
+    body = np.frombuffer(pa.decompress(blob[8 * len(kinds):], sum(n * w for n, w in zip(sizes, widths)), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for n, w, kind in zip(sizes, widths, kinds):
+        out.append(np.ascontiguousarray(body[at:at + n * w].reshape(w, n).T).view(kind).reshape(n))
+        at += n * w
     return out
 
 
@@ -246,7 +257,7 @@ def _chunks(rows: np.ndarray, most: int = 2000):
         yield [(int(sorted_[lo]), slice(lo - base, hi - base)) for lo, hi in zip(part[:-1], part[1:])], order[base:part[-1]]
 
 
-def covered(base: DataFrame, candidates: DataFrame, least: int, buckets: int) -> DataFrame:
+def covered(base: DataFrame, candidates: DataFrame, copies: DataFrame, least: int, buckets: int) -> DataFrame:
     """(k1, k2, blob): spans of bytes to remove, found by the index families of the buckets."""
 
     def emit(batches):
@@ -315,22 +326,31 @@ def covered(base: DataFrame, candidates: DataFrame, least: int, buckets: int) ->
                             split.append((x, y, _pack(s=s[use].astype(np.uint32), e=e[use].astype(np.uint32))))
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in split], pa.int64()), pa.array([x[1] for x in split], pa.int32()), pa.array([x[2] for x in split], pa.binary())], names=["k1", "k2", "blob"])
 
-    wanted = candidates.groupBy("k1").agg(F.collect_list("blob").alias("blobs"))  # as many as buckets a row at most
+    wanted = candidates.join(copies, "k1", "left_anti").groupBy("k1").agg(F.collect_list("blob").alias("blobs"))  # as many as buckets a row at most
     rows = base.join(wanted, "k1").select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("bigint").alias("doc"), "k1", "k2", "text", "blobs")
     dealt = rows.mapInArrow(emit, "bucket int, blob binary")
     return by_bucket(dealt, buckets).mapInArrow(index, "k1 bigint, k2 int, blob binary")
 
 
-def merged(blobs: list[bytes] | None) -> list[tuple[int, int]]:
-    """Maximal spans, in order."""
-    if not blobs:
+def later_copies(docs: DataFrame, least: int) -> DataFrame:
+    """k1 of the rows whose whole text also stands in a smaller document."""
+    rows = docs.where(F.octet_length("text") >= least).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    first = rows.groupBy("t1", "t2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").drop("last")
+    return rows.join(first, ["t1", "t2"]).where("doc > first").select("k1").distinct()
+
+
+def merged(found: list[dict] | None, k2: int, length: int) -> list[tuple[int, int]]:
+    """Maximal spans of the row with this k2, in order; a null blob stands for the whole text."""
+    mine = [x["blob"] for x in found or [] if x["blob"] is None or x["k2"] == k2]
+    if None in mine:
+        return [(0, length)]
+    if not mine:
         return []
-    parts = [_unpack(x, np.uint32, np.uint32) for x in blobs]
+    parts = [_unpack(x, np.uint32, np.uint32) for x in mine]
     s, e = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (0, 1))
     order = np.argsort(s, kind="stable")
     s, e = s[order], np.maximum.accumulate(e[order])
-    new = np.concatenate([[True], s[1:] > e[:-1]])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
     return list(zip(s[at].tolist(), e[np.append(at[1:], len(s)) - 1].tolist()))
 
 
@@ -343,13 +363,15 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, least: int = LEAST, buckets: int | None = None) -> DataFrame:
-    """(doc_id, k1, k2, text, spans): the packed spans of every row, null for none."""
+    """(doc_id, k1, k2, text, found): what was found in rows with this k1, to be read by ``merged``."""
     spark = ready(docs.sparkSession)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").alias("k2"))
-    found = covered(base, repeated_runs(base, least, buckets), least, buckets)
-    spans = found.distinct().groupBy("k1", "k2").agg(F.collect_list("blob").alias("spans")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    return base.join(spans, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")), "left").drop("__k1", "__k2")
+    copies = later_copies(docs, least)
+    spans = covered(base, repeated_runs(base, least, buckets), copies, least, buckets)
+    spans = spans.unionByName(copies.select("k1", F.lit(None).cast("int").alias("k2"), F.lit(None).cast("binary").alias("blob")))
+    found = spans.groupBy("k1").agg(F.collect_list(F.struct("k2", "blob")).alias("found"))  # as many as buckets a row at most
+    return base.join(found, "k1", "left").select("doc_id", "k1", "k2", "text", "found")
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -358,11 +380,11 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def measure(batches):
         for b in slices(batches, "text"):
             texts = _bytes(b)
-            spans = [merged(x) for x in b.column("spans").to_pylist()]
+            spans = [merged(x, k, len(t)) for x, k, t in zip(b.column("found").to_pylist(), b.column("k2").to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(y - x for x, y in s) for s in spans], pa.int64()),
                  pa.array([len(s) for s in spans], pa.int64()), pa.array([hashlib.sha256(cut(t, s)).hexdigest() for t, s in zip(texts, spans)], pa.string())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(docs, least).select("doc_id", "text", "spans").mapInArrow(measure, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return with_spans(docs, least).select("doc_id", "k2", "text", "found").mapInArrow(measure, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
