@@ -169,19 +169,30 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with every benchmark passage cut out of ``text``; all rows stay."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with every benchmark passage cut out of ``text``, and n_chars, where there is one, to match.
+
+    All rows stay, or, with ``drop_emptied``, all but those of which no word is left.
+    """
     names = docs.columns
-    at = names.index("text")
 
     def cut(batches):
         for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("__spans").to_pylist()):
-                if spans:
+            columns = {c: b.column(c) for c in names}
+            touched = {i: spans for i, spans in enumerate(b.column("__spans").to_pylist()) if spans}
+            if touched:
+                keep = [True] * len(texts)
+                for i, spans in touched.items():
                     texts[i] = cut_words(texts[i], [(s["a"], s["b"]) for s in spans])
-            columns = [b.column(c) for c in names]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    keep[i] = not drop_emptied or bool(words_of(texts[i]))
+                columns["text"] = pa.array(texts, pa.string())
+                if "n_chars" in columns:
+                    sizes = columns["n_chars"].to_pylist()
+                    for i in touched:
+                        sizes[i] = len(texts[i])
+                    columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+                columns = {c: x.filter(pa.array(keep)) for c, x in columns.items()}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     return with_spans(docs, benchmark).mapInArrow(cut, docs.schema)
