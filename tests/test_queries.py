@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, duck
+from palisade.catalog import load
 
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = load()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,7 @@ def test_rows_only(spark, small, name):
 def test_names():
     assert set(TWINS) <= set(QUERIES)
     assert not any(q.startswith("op") or "pipeline" in q for q in QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
