@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import row_key
+from palisade.llm.common import row_key, stored
 
 #: How a line starts that only says whose work it is.
 COPYRIGHT_START = r"^[^a-z0-9]{0,40}(?:copyright[ :,]*(?:\(c\)|©|[0-9<\[])|\(c\) ?(?:copyright)?[ ,]*[0-9<\[]|© ?[0-9])"
@@ -28,6 +28,7 @@ EQUAL_SPELLINGS = [
     ("licenc", "licens"), ("copyrightowner", "copyrightholder"), ("organisation", "organization"), ("favour", "favor"), ("merchantibility", "merchantability"), ("https", "http"),
 ]
 PREFIX, PREFIX_SOURCE = 8, 60
+MOST_SENT = 50_000
 #: Known licences and notices (fixed values: the published texts).
 KNOWN = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -88,12 +89,14 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per row: doc_id, license_id (the whole text is that licence), n_notices and notices (lines that are one)."""
-    known = known_digests(docs.sparkSession) if known is None else known
+    known = stored(known_digests(docs.sparkSession) if known is None else known, "known")
+    # Licences are few; a table of more than ``MOST_SENT`` is joined without sending it to every task.
+    sent = F.broadcast if known.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda df: df
     rows = docs.select("doc_id", row_key().alias("key"), canonical_lines(F.col("text")).alias("lines"))
     # The whole text comes first, its lines after it.
     forms = rows.select("doc_id", "key", F.posexplode(F.concat(F.array(F.array_join("lines", "")), "lines")).alias("at", "form"))
-    likely = forms.withColumn("beginning", beginning(F.col("form"))).join(known.select("beginning").distinct(), "beginning", "left_semi")
-    found = likely.select("doc_id", "key", "at", digest(equal_spelling(F.col("form"))).alias("digest")).join(known.select("digest", "license_id"), "digest")
+    likely = forms.withColumn("beginning", beginning(F.col("form"))).join(sent(known.select("beginning").distinct()), "beginning", "left_semi")
+    found = likely.select("doc_id", "key", "at", digest(equal_spelling(F.col("form"))).alias("digest")).join(sent(known.select("digest", "license_id")), "digest")
     # Repeated rows share a key: a line's position keeps their lines from being counted again.
     once = found.select("doc_id", "key", "at", "license_id").distinct()
     line = F.col("at") > 0
