@@ -1,12 +1,12 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
 Two lines are alike when their edit distance is at most 1. Equal lines are folded first. To keep the number of
-variants in proportion to the lines that have a partner at all, every distinct line first posts four half keys:
-with at most one edit one half stays as it is (for a partner of the same length, or one longer or shorter).
-Only lines that share a half key with another line then emit their deletion variants, of the other half, as
-hashed keys. Under a key, lines that lost a character at one place differ by one substitution, and a line that
-is the variant itself differs by one insertion; so the earliest partner is a grouped minimum and no pairs are
-listed. The partner found is verified by edit distance on the full texts.
+variants in proportion to the lines that have a partner at all, every distinct line first posts its head and its
+tail, each of nearly half its length: one edit leaves one of them as it is. Only lines that share a head or tail
+with another line then emit the deletion variants of what is beside it, as hashed keys. Under a key, lines that
+lost a character at one place differ by one substitution, and a line that is the variant itself differs by one
+insertion; so the earliest partner is a grouped minimum and no pairs are listed. The partner found is verified by
+edit distance on the full texts.
 
 The earliest line stays (smallest doc_id, then text hash, then position); a line is removed when an earlier like
 line exists in the input, whether or not that one is removed itself. Lines of fewer than ``LEAST`` characters
@@ -15,7 +15,7 @@ Repeated rows (equal doc_id and text) count as one and are all treated alike. Em
 columns are kept.
 
 A group under a deletion key holds at most (length + 1) x alphabet distinct lines, so windows over it are
-bounded; half keys and equal lines, which may be hot, are aggregated with partial sums and joined.
+bounded; heads, tails and equal lines, which may be hot, are aggregated with partial sums and joined.
 """
 
 from __future__ import annotations
@@ -23,49 +23,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.llm.common import stored
+
 LEAST = 20
 
 
-def _half(n: Column) -> Column:
-    return F.floor((n + 1) / 2).cast("int")
+def _cuts(line: Column) -> Column:
+    """Lengths of head and tail: one that lines of n and n + 1 characters share, or both where there is none."""
+    n = F.char_length(line)
+    c = (F.floor(n / 16) * 8).cast("int")
+    return F.when(n % 16 == 15, F.array(c, c + 8)).otherwise(F.array(c))
 
 
-def half_keys(line: Column) -> Column:
-    """The unedited halves for a partner of this length (own role 1) or one longer (own role 0)."""
+def ends(line: Column) -> Column:
+    """(key, side, c): head (side 1) and tail (side 0) of every cut."""
     n = F.char_length(line)
-    c, c1 = _half(n), _half(n + 1)
 
-    def key(side: int, length: Column, part: Column) -> Column:
-        return F.xxhash64(F.lit(side), length, part)
+    def both(c: Column) -> Column:
+        head, tail = F.substr(line, F.lit(1), c), F.substr(line, n - c + 1, c)
+        return F.array(F.struct(F.xxhash64(F.lit(1), c, head).alias("key"), F.lit(1).alias("side"), c.alias("c")),
+                       F.struct(F.xxhash64(F.lit(0), c, tail).alias("key"), F.lit(0).alias("side"), c.alias("c")))
 
-    return F.array(key(0, n, F.substr(line, c + 1, n)), key(1, n, F.substr(line, F.lit(1), c)),
-                   key(0, n + 1, F.substr(line, c1, n)), key(1, n + 1, F.substr(line, F.lit(1), c1)))
+    return F.flatten(F.transform(_cuts(line), both))
 
 
-def _variants(rest: Column, part: Column) -> Column:
-    """Keys of ``part`` without each of its characters: role 1 by what is left, role 2 by the place as well."""
-    size = F.char_length(part)
+def deletion_keys(end: Column, part: Column, size: Column) -> Column:
+    """Keys of ``part``: itself (role 0), without each of its characters (1), and that with the place as well (2)."""
 
     def without(i: Column) -> Column:
-        left = F.concat(F.substr(part, F.lit(1), i), F.substr(part, i + 2, size))
-        return F.array(F.struct(F.xxhash64(rest, left).alias("key"), F.lit(1).alias("role")), F.struct(F.xxhash64(rest, i, left).alias("key"), F.lit(2).alias("role")))
-
-    return F.flatten(F.transform(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.expr("cast(array() as array<int>)")), without))
-
-
-def deletion_keys(line: Column) -> list[Column]:
-    """For each of ``half_keys``, the keys of the other half: its deletion variants, or itself (role 0) as the shorter line."""
-    n = F.char_length(line)
-    c, c1 = _half(n), _half(n + 1)
+        return F.xxhash64(end, F.concat(F.substr(part, F.lit(1), i), F.substr(part, i + 2, size)))
 
-    def rest(side: int, length: Column, part: Column) -> Column:
-        return F.xxhash64(F.lit(side), length, part)
-
-    def itself(rest: Column, part: Column) -> Column:
-        return F.array(F.struct(F.xxhash64(rest, part).alias("key"), F.lit(0).alias("role")))
-
-    return [_variants(rest(0, n, F.substr(line, c + 1, n)), F.substr(line, F.lit(1), c)), _variants(rest(1, n, F.substr(line, F.lit(1), c)), F.substr(line, c + 1, n)),
-            itself(rest(0, n + 1, F.substr(line, c1, n)), F.substr(line, F.lit(1), c1 - 1)), itself(rest(1, n + 1, F.substr(line, F.lit(1), c1)), F.substr(line, c1 + 1, n))]
+    left = F.transform(F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.expr("cast(array() as array<int>)")), without)
+    return F.concat(F.array(F.struct(F.xxhash64(end, part).alias("key"), F.lit(0).alias("role"))),
+                    F.transform(left, lambda k: F.struct(k.alias("key"), F.lit(1).alias("role"))),
+                    F.transform(left, lambda k, i: F.struct(F.xxhash64(k, i).alias("key"), F.lit(2).alias("role"))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -77,20 +68,27 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     base = _keyed(docs)
     lines = base.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= least)
     place = F.struct("doc_id", "k1", "k2", "at")
-    named = lines.select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), half_keys(F.col("line")).alias("halves"))
-    distinct = named.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("halves").alias("halves"))
-
-    posted = distinct.select("h", F.posexplode("halves").alias("role", "half"))
-    shared = posted.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("half")
-    screened = (posted.join(shared, "half", "left_semi").groupBy("h").agg(F.collect_set("role").alias("roles")))
-    wanted = (distinct.join(screened, "h").select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.struct(F.col("first.at").alias("at"), "h", "g", "roles").alias("w"))
+    named = lines.select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
+    once = named.select("place", "h", "g", F.transform(ends(F.col("line")), lambda e: e["key"]).alias("ends")).groupBy("h", "g")
+    once = once.agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("ends").alias("ends"))
+    distinct = stored(once.select("h", "g", "first", (F.col("first") != F.col("last")).alias("several"), "ends"), "lines")
+
+    posted = distinct.select("h", F.explode("ends").alias("key"))
+    shared = posted.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    screened = posted.join(shared, "key", "left_semi").groupBy("h").agg(F.collect_set("key").alias("keys"))  # a few keys a line
+    wanted = (distinct.select("h", "g", "first").join(screened, "h").select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.struct(F.col("first.at").alias("at"), "h", "g", "keys").alias("w"))
               .groupBy("k1", "k2").agg(F.collect_list("w").alias("ws")))
-    # Repeated rows have one key: take one of them, then their lines that are wanted.
     some = base.join(wanted, ["k1", "k2"]).select("doc_id", "k1", "k2", F.split("text", "\n").alias("lines"), F.explode("ws").alias("w"))
-    some = some.select(F.struct("doc_id", "k1", "k2", F.col("w.at").alias("at")).alias("place"), F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.roles").alias("roles"), F.get("lines", F.col("w.at")).alias("line"))
+    some = some.select(F.struct("doc_id", "k1", "k2", F.col("w.at").alias("at")).alias("place"), F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.keys").alias("keys"), F.get("lines", F.col("w.at")).alias("line"))
+
+    # Exploding first makes the parts columns: inside a lambda they would be cut again for every variant.
+    n = F.char_length("line")
+
+    def beside(e: Column) -> Column:
+        return F.struct(e["key"].alias("key"), F.when(e["side"] == 1, F.substr("line", e["c"] + 1, n)).otherwise(F.substr("line", F.lit(1), n - e["c"])).alias("part"), (n - e["c"]).alias("size"))
 
-    emitted_keys = F.concat(*[F.when(F.array_contains("roles", number), keys).otherwise(F.expr("cast(array() as array<struct<key: bigint, role: int>>)")) for number, keys in enumerate(deletion_keys(F.col("line")))])
-    emitted = some.select("place", "h", F.explode(emitted_keys).alias("v")).select("place", "h", F.col("v.key").alias("key"), F.col("v.role").alias("role")).distinct()
+    parts = some.select("place", F.explode(F.transform(F.filter(ends(F.col("line")), lambda e: F.array_contains("keys", e["key"])), beside)).alias("p"))
+    emitted = parts.select("place", F.explode(deletion_keys(F.col("p.key"), F.col("p.part"), F.col("p.size"))).alias("v")).select("place", "v.key", "v.role")
     under = Window.partitionBy("key")
     whole, deleted, same = (F.min(F.when(F.col("role") == r, F.col("place"))).over(under) for r in (0, 1, 2))
     partner = F.when(F.col("role") == 0, deleted).when(F.col("role") == 1, whole).otherwise(same)
@@ -99,7 +97,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     pairs = near.join(texts, "place").join(texts.select(F.col("place").alias("partner"), F.col("line").alias("other")), "partner")
     alike = pairs.where(F.levenshtein("line", "other", 1) >= 0).select("h", "g", F.lit(True).alias("near"))
 
-    status = distinct.select("h", "g", "first", "last").join(alike.distinct(), ["h", "g"], "left").where("near or first <> last")
+    status = distinct.select("h", "g", "first", "several").join(alike.distinct(), ["h", "g"], "left").where("near or several")
     gone = named.select("h", "g", "place").join(status.select("h", "g", "first", "near"), ["h", "g"]).where(F.coalesce("near", F.lit(False)) | (F.col("place") > F.col("first")))
     return gone.groupBy(F.col("place.k1").alias("k1"), F.col("place.k2").alias("k2")).agg(F.sort_array(F.collect_set("place.at")).alias("drop"))
 
