@@ -33,7 +33,7 @@ def within(df: DataFrame, as_of_us: int, seconds: int, time: str = "event_time")
 
 def newest(df: DataFrame, limit: int = 100, ts: str = "timestamp", tie: str = "request_id") -> DataFrame:
     """Newest rows first; sort and limit become one top-k operator."""
-    return df.orderBy(F.desc(ts), F.asc(tie)).limit(min(limit, 500))
+    return df.orderBy(F.desc(ts), F.asc(tie)).limit(limit)
 
 
 def search_events(df: DataFrame, limit: int = 100, action: str = "", ip: str = "", attack_type: str = "") -> DataFrame:

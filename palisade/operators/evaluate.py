@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.scores import clamp
-from palisade.operators.scale import descending_totals, percentile_values, score_counts, top_n
+from palisade.operators.scale import descending_totals, null_safe_join, percentile_values, score_counts, top_n
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -119,20 +119,20 @@ def binary_report(df: DataFrame, truth: str, positive: Column, by: list[str] | N
     return rates(g).select(*(by or []), "tp", "fp", "fn", "tn", *[F.round(m, 6).alias(m) for m in RATES])
 
 
-def roc_curve(df: DataFrame, truth: str, score: str, by: list[str] | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def roc_curve(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
     """tp, fp, tpr and fpr at every distinct score (ties grouped)."""
     by = by or []
     counts = score_counts(df, truth, score, by)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    cum = descending_totals(counts, by, low, high)
-    joined = cum.join(F.broadcast(totals), by) if by else cum.crossJoin(F.broadcast(totals))
+    cum = descending_totals(counts, by)
+    joined = null_safe_join(cum, totals, by) if by else cum.crossJoin(F.broadcast(totals))
     return joined.withColumn("tpr", ratio(F.col("tp"), F.col("p"))).withColumn("fpr", ratio(F.col("fp"), F.col("n")))
 
 
-def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Exact area under the curve; tied scores count half."""
     by = by or []
-    cum = descending_totals(score_counts(df, truth, score, by), by, low, high)
+    cum = descending_totals(score_counts(df, truth, score, by), by)
     # Each positive outranks the negatives strictly below it: those not counted in fp yet.
     g = cum.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"),
                              F.sum(F.col("pos").cast("double") * (F.col("fp") - F.col("neg") / 2.0)).alias("above"))
@@ -140,17 +140,17 @@ def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None,
     return g.select(*by, auc.alias("auc"))
 
 
-def roc_auc_ovr(df: DataFrame, truth: str, probs: dict[str, str], low: float = 0.0, high: float = 1.0) -> DataFrame:
+def roc_auc_ovr(df: DataFrame, truth: str, probs: dict[str, str]) -> DataFrame:
     """One-vs-rest area per class and their plain mean (row ``macro``)."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("label"), (F.col(truth) == c).cast("int").alias("y"), F.col(s).alias("s")) for c, s in probs.items()])).alias("r")).select("r.*")
-    per = roc_auc(long, "y", "s", ["label"], low, high)
+    per = roc_auc(long, "y", "s", ["label"])
     return per.unionByName(per.agg(F.lit("macro").alias("label"), F.avg("auc").alias("auc"))).select("label", F.round("auc", 6).alias("auc"))
 
 
-def threshold_at_fpr(df: DataFrame, truth: str, score: str, fpr: float = 0.05, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def threshold_at_fpr(df: DataFrame, truth: str, score: str, fpr: float = 0.05) -> DataFrame:
     """Highest threshold whose false-positive rate reaches the target, with its rates."""
-    c = roc_curve(df, truth, score, None, low, high).where(F.col("fpr") >= fpr)
+    c = roc_curve(df, truth, score).where(F.col("fpr") >= fpr)
     best = c.agg(F.max_by(F.struct("score", "tp", "fp", "p", "n", "tpr", "fpr"), "score").alias("b")).select("b.*")
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), F.col("tpr")
     return best.select(F.col("score").alias("threshold"), F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"), F.round(p, 6).alias("precision"), F.round(f1_of(p, r), 6).alias("f1"))
@@ -242,7 +242,7 @@ def score_stats(df: DataFrame, truth: str, score: str) -> DataFrame:
     return df.groupBy(truth).agg(F.count(score).alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"))
 
 
-def score_histogram(df: DataFrame, truth: str, score: str, bins: int = 100, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def score_histogram(df: DataFrame, truth: str, score: str, bins: int = 100) -> DataFrame:
     """Counts and density per class and equal-width bin; scores outside are clipped to the ends."""
     width = (high - low) / bins
     cell = F.least(F.lit(bins - 1), F.floor((clamp(F.col(score), low, high) - low) / width)).cast("int")

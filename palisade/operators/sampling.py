@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.operators.scale import hash52, hash_cuts, hash_position, percentile_values, take_by_hash, top_n
+from palisade.operators.scale import hash52, hash_cuts, hash_position, in_ranges, null_safe_join, ordered_scan, percentile_values, take_by_hash, top_n
+from palisade.session import materialize
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -29,28 +30,22 @@ def stratified_split(df: DataFrame, label: str, key: list[str], shares: dict[str
     ends = [round(sum(list(shares.values())[:i + 1]), 12) for i in range(len(names) - 1)]
     goal = lambda e: F.round(F.col("n") * F.lit(e)).cast("bigint")
     points = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), goal(e).alias("target")) for i, e in enumerate(ends)]))
-    targets = class_counts(df, label).select(label, points.alias("t")).select(label, "t.i", "t.target").collect()
-    wanted = df.sparkSession.createDataFrame([(r[label], r["target"]) for r in targets], f"`{label}` {df.schema[label].dataType.simpleString()}, target bigint").distinct()
-    spot = {(c[0], c[1]): c[2] for c in hash_cuts(df, [label], wanted, key, seed)}
-    kind = df.select(hash_position(key, seed).alias("p")).schema["p"].dataType.simpleString()
-    by_class: dict = {}
-    for r in targets:
-        by_class.setdefault(r[label], {})[r["i"]] = (r["target"], spot.get((r[label], r["target"])))
-    rows = [(c, *[x for i in range(len(ends)) for x in cuts[i]]) for c, cuts in by_class.items()]
-    fields = ", ".join(f"__t{i} bigint, __c{i} {kind}" for i in range(len(ends)))
-    table = df.sparkSession.createDataFrame(rows, f"`{label}` {df.schema[label].dataType.simpleString()}, {fields}")
+    targets = materialize(class_counts(df, label).select(label, points.alias("t")).select(label, "t.i", "t.target"), "targets")
+    found = null_safe_join(targets, hash_cuts(df, [label], targets, key, seed), [label, "target"], "left") if ends else targets
+    table = found.groupBy(label).agg(*[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"__{c[0]}{i}") for i in range(len(ends)) for c in ("target", "cut")])
+    table = materialize(table, "splits")  # one row a class
     at, out = hash_position(key, seed), None
     for i, name in enumerate(names[:-1]):
         # No position means that the share ends behind the last row of the class.
         test = (F.col(f"__t{i}") > 0) & (F.col(f"__c{i}").isNull() | (at <= F.col(f"__c{i}")))
         out = F.when(test, name) if out is None else out.when(test, name)
     split = F.lit(names[-1]) if out is None else out.otherwise(names[-1])
-    return df.join(table, label).select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
+    return null_safe_join(df, table, [label]).select(*[F.col(f"`{c}`") for c in df.columns], split.alias("split"))
 
 
 def undersample(df: DataFrame, label: str, majority: str, key: list[str], ratio: int = 3, seed: int = 42) -> DataFrame:
     """Keep at most ``ratio`` times as many majority rows as there are other rows."""
-    big = F.col(label) == majority
+    big = F.coalesce(F.col(label) == majority, F.lit(False))  # rows without a label are other rows
     size = df.agg(F.count(F.when(big, 1)).alias("m"), F.count(F.when(~big, 1)).alias("o"))
     target = size.select(F.lit(majority).alias(label), F.least("m", F.col("o") * ratio).alias("target"))
     return take_by_hash(df.where(big), [label], target, key, seed).unionByName(df.where(~big))
@@ -61,12 +56,12 @@ def copies(df: DataFrame, label: str, targets: DataFrame, key: list[str], seed:
 
     Appends ``copy`` (0 for the first appearance of a row). ``targets``: (label, target).
     """
-    sized = class_counts(df, label).join(targets, label)
+    sized = materialize(null_safe_join(class_counts(df, label), targets, [label]), "sized")  # one row a class
     whole = sized.select(label, F.floor(F.col("target") / F.col("n")).cast("int").alias("times"))
     rest = sized.select(label, F.pmod(F.col("target"), F.col("n")).alias("target"), F.floor(F.col("target") / F.col("n")).cast("int").alias("copy"))
-    full = df.join(F.broadcast(whole), label).where(F.col("times") > 0).select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    full = null_safe_join(df, whole, [label]).where(F.col("times") > 0).select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
     part = take_by_hash(df, [label], rest.select(label, "target"), key, seed)
-    part = part.join(F.broadcast(rest.select(label, "copy")), label).select(*df.columns, "copy")
+    part = null_safe_join(part, rest.select(label, "copy"), [label]).select(*df.columns, "copy")
     return full.unionByName(part)
 
 
@@ -116,24 +111,31 @@ def rarest_classes(df: DataFrame, label: str, fraction: int = 4) -> DataFrame:
     """The rarest quarter of the classes (at least one)."""
     counts = class_counts(df.where(F.col(label).isNotNull()), label)
     total = counts.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / fraction)).alias("k"))
-    # One row per class: the rank runs over class counts, never over data rows.
-    ranked = counts.withColumn("r", F.row_number().over(Window.orderBy("n", label)))
-    return ranked.crossJoin(F.broadcast(total)).where(F.col("r") <= F.col("k")).select(label, "n")
+    return _positions(counts, ["n", label]).crossJoin(F.broadcast(total)).where(F.col("__r") <= F.col("k")).select(label, "n")
+
+
+def _positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """Appends ``__r``: position (1, 2, ...) of each row in ``order``; ranges of it are counted in separate tasks."""
+    dealt = in_ranges(df.withColumn("__all", F.lit(0)).withColumn("__one", F.lit(1).cast("bigint")), order)
+    return ordered_scan(dealt, ["__all"], "__part", order, running_sum={"__r": "__one"}).drop("__all", "__one", "__part")
 
 
 def holdout_types(df: DataFrame, label: str, benign: str = "benign") -> DataFrame:
     """Append ``split``: rows of the rarest attack types are ``holdout``, everything else ``train``."""
     held = rarest_classes(df.where(F.lower(label) != benign), label).select(label, F.lit("holdout").alias("__s"))
-    return df.join(F.broadcast(held), label, "left").withColumn("split", F.coalesce("__s", F.lit("train"))).drop("__s")
+    return df.join(held, label, "left").withColumn("split", F.coalesce("__s", F.lit("train"))).drop("__s")
 
 
-def holdout_extremes(df: DataFrame, label: str, feats: list[str], key: list[str], low: float = 0.05, high: float = 0.95, seed: int = 42, **kw) -> DataFrame:
-    """Attacks beyond the percentiles of any of the first ten features form the test set, with as many benign rows.
+def holdout_extremes(df: DataFrame, label: str, feats: list[str], key: list[str], low: float = 0.05, high: float = 0.95, seed: int = 42,
+                     first: int | None = None, **kw) -> DataFrame:
+    """Attacks beyond the percentiles of any of the features form the test set, with as many benign rows.
 
-    Appends ``role``: train, test. Benign rows drawn for the test also stay in train, as in the source.
+    ``first`` looks at the first features only. Appends ``role``: train, test. Benign rows drawn for the test also stay
+    in train, as in the source; so do rows without a label.
     """
-    use = feats[:10]
+    use = feats[:first]
     attack, benign = df.where(F.col(label) == 1), df.where(F.col(label) == 0)
+    other = df.where(F.col(label).isNull())
     cuts = percentile_values(attack, use, [low, high], **kw)
     test = F.lit(False)
     for f in use:
@@ -143,17 +145,17 @@ def holdout_extremes(df: DataFrame, label: str, feats: list[str], key: list[str]
     target = extreme.agg(F.count(F.lit(1)).alias("target")).withColumn(label, F.lit(0))
     drawn = take_by_hash(benign, [label], target, key, seed)
     return (extreme.withColumn("role", F.lit("test")).unionByName(drawn.withColumn("role", F.lit("test")))
-            .unionByName(attack.where(~test).withColumn("role", F.lit("train"))).unionByName(benign.withColumn("role", F.lit("train"))))
+            .unionByName(attack.where(~test).withColumn("role", F.lit("train"))).unionByName(benign.unionByName(other).withColumn("role", F.lit("train"))))
 
 
 def holdout_temporal(df: DataFrame, label: str, period: str, key: list[str], share: float = 0.75, total: int = 20_000,
                      benign_share: float = 0.95, seed: int = 42) -> DataFrame:
     """Early periods train; late periods give a test set of fixed prevalence (without repeats)."""
     periods = df.select(period).distinct()
-    # One row per period (days, say), so ranking them is small work.
-    order = periods.withColumn("__r", F.row_number().over(Window.orderBy(period)))
-    cut = periods.agg(F.floor(F.count(F.lit(1)) * share).alias("__k"))
-    marked = df.join(F.broadcast(order), period).crossJoin(F.broadcast(cut))
+    order = _positions(periods.where(F.col(period).isNotNull()), [period])
+    cut = periods.agg(F.floor(F.count(period) * share).alias("__k"))
+    # A row without a period is in no late period.
+    marked = df.join(order, period, "left").withColumn("__r", F.coalesce("__r", F.lit(0))).crossJoin(F.broadcast(cut))
     early = marked.where(F.col("__r") <= F.col("__k")).select(*df.columns)
     late = marked.where(F.col("__r") > F.col("__k")).select(*df.columns)
     benign = int(total * benign_share)
@@ -167,12 +169,12 @@ def class_weights(df: DataFrame, label: str, boost: bool = True, benign: str = "
     counts = class_counts(df, label)
     total = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
     base = F.col("total") / (F.col("k") * F.col("n"))
-    weight = F.when(F.col(label) == benign, base * 0.5).otherwise(base * 2.0) if boost else base
+    weight = F.when(F.col(label).eqNullSafe(F.lit(benign)), base * 0.5).otherwise(base * 2.0) if boost else base
     return counts.crossJoin(F.broadcast(total)).select(label, "n", weight.alias("weight"))
 
 
 def with_weights(df: DataFrame, label: str, boost: bool = True) -> DataFrame:
-    return df.join(F.broadcast(class_weights(df, label, boost).select(label, "weight")), label)
+    return null_safe_join(df, class_weights(df, label, boost).select(label, "weight"), [label])
 
 
 def shuffle(df: DataFrame, key: list[str], seed: int = 42) -> DataFrame:

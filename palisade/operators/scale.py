@@ -7,11 +7,13 @@ the small summaries are chained, and the chained value is joined back to the row
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.session import SPREAD, materialize
+
 US = 1_000_000
 HASH_BITS = 52
 
@@ -24,12 +26,29 @@ def hash52(*cols: Column | str, seed: int = 42) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of few splits (one small file, say) as many tasks as there are cores.
+    """Deal the rows of a scan to all cores where the session asks for it (setting ``SPREAD``, off by default).
+
+    For work that is heavy per row over a table of one split, as on a single machine. Results don't depend on it.
+    """
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism) if spark.conf.get(SPREAD, "false") == "true" else df
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys are taken from ``left``, all other columns from both."""
+    renamed = right.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in right.columns if c not in keys])
+    on = reduce(lambda x, y: x & y, [left[f"`{k}`"].eqNullSafe(renamed[f"__k{i}"]) for i, k in enumerate(keys)])
+    return left.join(renamed, on, how).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def in_ranges(df: DataFrame, order: list[str], name: str = "__part") -> DataFrame:
+    """``df`` stored with the number of the range of ``order`` that a row lies in: as even as the data allow.
 
-    For work that is heavy per row. A large input has more splits than cores and is left as it is.
+    The ranges come from a sample of the data, so a column may be skewed in any way. The table is stored because the
+    ranges of two runs of the same plan may differ.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(parts, *order).withColumn(name, F.spark_partition_id()), "ranges")
 
 
 # -- ordered scans -------------------------------------------------------------------------------
@@ -79,7 +98,7 @@ def ordered_scan(
         rows = rows.withColumn(f"__lm_{out}", F.max(src).over(inside))
 
     chain = df.groupBy(*keys, bucket).agg(*summary_aggs).select(*keys, bucket, *carried)
-    joined = rows.join(chain, [*keys, bucket], "left")
+    joined = null_safe_join(rows, chain, [*keys, bucket], "left")
     out_cols = [F.col(c) for c in df.columns]
     for out in fill:
         out_cols.append(F.coalesce(F.col(f"__lf_{out}"), F.col(f"__f_{out}.v")).alias(out))
@@ -159,60 +178,40 @@ def previous_within(df: DataFrame, keys: list[str], order: list[str], ts_us: str
 
 # -- ranked cuts -----------------------------------------------------------------------------------
 
-MAX_GROUPS = 50_000
-
-
-def _table(df: DataFrame, by: list[str], rows: list[tuple], extra: str) -> DataFrame:
-    """A small local table keyed like ``df``; its size is known, so joins with it are broadcast by Spark."""
-    names = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.sparkSession.createDataFrame(rows, f"{names}, {extra}")
-
-
 def hash_position(key: list[str], seed: int) -> Column:
     """What the hash order compares: hash first, key columns for the (rare) equal hashes."""
     return F.struct(hash52(*key, seed=seed).alias("h"), *key)
 
 
-def hash_cuts(df: DataFrame, by: list[str], targets: DataFrame, key: list[str], seed: int = 42, bits: int = 12) -> list[tuple]:
-    """(group..., target, hash position of the target-th row) for every group and target.
+def hash_cuts(df: DataFrame, by: list[str], targets: DataFrame, key: list[str], seed: int = 42, bits: int = 12) -> DataFrame:
+    """(group..., target, cut): the hash position of the target-th row, for every group and target of 1 and above.
 
-    Two narrow passes over group and key columns only. Rows are counted per (group, leading hash
-    bits); then only the one bucket that holds a cut is ordered. One row per cut reaches the driver.
-    The position is None when a group has no more rows than its target.
+    Two narrow passes over group and key columns only. Rows are counted per (group, leading hash bits); then only
+    the one bucket that holds a cut is ordered. ``cut`` is null when a group has no more rows than its target. Any
+    number of groups; a null group is a group. The result is stored: its size is known to the planner.
     """
-    slim = df.select(*by, *[c for c in key if c not in by]).withColumn("__p", hash_position(key, seed))
-    slim = slim.withColumn("__hb", F.shiftright(F.col("__p.h"), HASH_BITS - bits))
+    slim = df.select(*[F.col(f"`{c}`") for c in by], *[F.col(f"`{c}`") for c in key if c not in by]).withColumn("__p", hash_position(key, seed))
+    slim = slim.withColumn("__hb", F.shiftright(F.col("__p.h"), HASH_BITS - bits)).select(*by, "__p", "__hb")
     counts = slim.groupBy(*by, "__hb").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*by).orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).join(targets, by, "right")
+    w = Window.partitionBy(*by).orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)  # 2 ** bits rows a group
+    wanted = targets.select(*by, "target").where("target > 0").distinct()
+    placed = null_safe_join(wanted, counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))), by, "left")
     hit = (F.col("__before") < F.col("target")) & (F.col("target") <= F.col("__before") + F.col("__n"))
-    edges = placed.groupBy(*by, "target").agg(F.max(F.when(hit, F.struct("__hb", "__before"))).alias("e")).limit(MAX_GROUPS + 1).collect()
-    if len(edges) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to cut; sample by a coarser group")
-    inside = [(*[r[c] for c in by], r["e"]["__hb"], r["target"] - r["e"]["__before"]) for r in edges if r["e"] is not None]
-    found: dict[tuple, object] = {}
-    if inside:
-        wanted = _table(df, by, inside, "__hb bigint, __nth bigint")
-        rank = F.row_number().over(Window.partitionBy(*by, "__hb").orderBy("__p"))
-        pool = slim.join(wanted.select(*by, "__hb").distinct(), [*by, "__hb"], "left_semi").withColumn("__r", rank)
-        for r in pool.join(wanted.withColumnRenamed("__nth", "__r"), [*by, "__hb", "__r"]).select(*by, "__hb", "__r", "__p").collect():
-            found[(*[r[c] for c in by], r["__hb"], r["__r"])] = r["__p"]
-    out = []
-    for r in edges:
-        group = tuple(r[c] for c in by)
-        spot = found.get((*group, r["e"]["__hb"], r["target"] - r["e"]["__before"])) if r["e"] is not None else None
-        out.append((*group, r["target"], spot))
-    return out
+    edges = placed.groupBy(*by, "target").agg(F.max(F.when(hit, F.struct("__hb", "__before"))).alias("e"))
+    inside = edges.where(F.col("e").isNotNull()).select(*by, "target", F.col("e.__hb").alias("__hb"), (F.col("target") - F.col("e.__before")).alias("__nth"))
+    rank = F.row_number().over(Window.partitionBy(*by, "__hb").orderBy("__p"))
+    pool = null_safe_join(slim, inside.select(*by, "__hb").distinct(), [*by, "__hb"]).withColumn("__r", rank)
+    found = null_safe_join(pool, inside.withColumnRenamed("__nth", "__r"), [*by, "__hb", "__r"]).select(*by, "target", F.col("__p").alias("cut"))
+    return materialize(null_safe_join(edges.select(*by, "target"), found, [*by, "target"], "left"), "cuts")
 
 
 def take_by_hash(df: DataFrame, by: list[str], targets: DataFrame, key: list[str], seed: int = 42, bits: int = 12) -> DataFrame:
     """Exactly ``target`` rows per group (all of a smaller group), in hash order of ``key``.
 
-    After ``hash_cuts`` this is a filter against a small local table: rows are neither shuffled nor sorted.
+    After ``hash_cuts`` this is a filter against one row a group.
     """
-    kind = df.select(hash_position(key, seed).alias("p")).schema["p"].dataType.simpleString()
-    cuts = [(*c[:-2], c[-1]) for c in hash_cuts(df, by, targets, key, seed, bits) if c[-2] > 0]
-    joined = df.join(_table(df, by, cuts, f"__cut {kind}"), by, "inner")
+    cuts = hash_cuts(df, by, targets, key, seed, bits).select(*by, F.col("cut").alias("__cut"))
+    joined = null_safe_join(df, cuts, by)
     kept = joined.where(F.col("__cut").isNull() | (hash_position(key, seed) <= F.col("__cut")))
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
@@ -247,49 +246,45 @@ def score_counts(df: DataFrame, truth: str, score: str, by: list[str] | None = N
                    F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).cast("bigint").alias("neg")))
 
 
-def descending_totals(counts: DataFrame, by: list[str] | None = None, low: float = 0.0, high: float = 1.0,
-                      buckets: int = 1024) -> DataFrame:
+def descending_totals(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``tp`` and ``fp``: positives and negatives with a score at or above each distinct score.
 
-    The score axis is cut into equal buckets between ``low`` and ``high`` (outside values fall into the
-    end buckets), so the running sums of different buckets run in different tasks.
+    Scores are dealt by ranges of the scores themselves, so the running sums of different ranges run in different
+    tasks however the scores are spread; one summary row per range is chained.
     """
     by = by or []
-    # One bucket per task still needs a key when there is no group: the constant keeps the chain window
-    # over bucket summaries (at most ``buckets`` rows) explicit.
-    cells = counts.withColumn("__all", F.lit(0))
-    idx = F.floor((F.col("score") - F.lit(low)) / F.lit((high - low) / buckets))
-    idx = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), idx))
-    cells = cells.withColumn("__sb", (-idx).cast("bigint")).withColumn("__neg_score", -F.col("score"))
-    out = ordered_scan(cells, ["__all", *by], "__sb", ["__neg_score"], running_sum={"tp": "pos", "fp": "neg"})
-    return out.drop("__all", "__sb", "__neg_score")
+    cells = in_ranges(counts.withColumn("__all", F.lit(0)).withColumn("__neg_score", -F.col("score")), [*by, "__neg_score"])
+    out = ordered_scan(cells, ["__all", *by], "__part", ["__neg_score"], running_sum={"tp": "pos", "fp": "neg"})
+    return out.drop("__all", "__part", "__neg_score")
 
 
 # -- percentiles -------------------------------------------------------------------------------------
 
-def percentiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True,
-                exact_rows: int = 2_000_000, accuracy: float = 1e-4) -> DataFrame:
+def percentiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool = True, accuracy: float = 1e-4) -> DataFrame:
     """Linear-interpolated percentiles in long form: (column, prob, value).
 
-    Up to ``exact_rows`` rows (counted first) the built-in exact aggregate is used. Beyond that its map
-    of distinct values would outgrow one task, so the rank is bracketed with an approximate quantile and
-    only the values inside the bracket are ordered: still exact. ``exact=False`` takes the sketch alone.
+    Exact at any size, in one pass over the rows: all columns are folded to counts per distinct value, the counts are
+    dealt by ranges of the values and summed along them, and the values at the two ranks of each percentile are
+    picked. Null and NaN are left out; a column without any value gives null. ``exact=False`` takes a sketch.
     """
-    spark = df.sparkSession
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    data = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
     if not exact:
-        aggs = [F.percentile_approx(c, probs, int(1 / accuracy)).alias(c) for c in cols]
-    elif data.count() <= exact_rows:
-        aggs = [F.percentile(c, F.lit(probs)).alias(c) for c in cols]
-    else:
-        values = bracketed_percentiles(data, cols, probs, accuracy)
-        rows = [(c, float(p), v) for c in cols for p, v in zip(probs, values[c])]
-        return spark.createDataFrame(rows, "column string, prob double, value double")
-    wide = data.agg(*aggs)
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(c)[i].alias("value"))
-        for c in cols for i, p in enumerate(probs)]))
-    return wide.select(pairs.alias("p")).select("p.*")
+        wide = data.agg(*[F.percentile_approx(F.nanvl(f"`{c}`", F.lit(None).cast("double")), probs, int(1 / accuracy)).alias(c) for c in cols])
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("prob"), F.col(f"`{c}`")[i].alias("value")) for c in cols for i, p in enumerate(probs)]))
+        return wide.select(pairs.alias("p")).select("p.*")
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(i, c, k, float(p)) for i, c in enumerate(cols) for k, p in enumerate(probs)], "c int, column string, k int, prob double")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), (F.col(f"`{c}`") + F.lit(0.0)).alias("v")) for i, c in enumerate(cols)]))
+    values = data.select(cells.alias("x")).select("x.c", "x.v").where("v is not null and not isnan(v)").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    summed = ordered_scan(in_ranges(values, ["c", "v"]), ["c"], "__part", ["v"], running_sum={"upto": "n"})
+    totals = values.groupBy("c").agg(F.sum("n").alias("total"))
+    ranks = wanted.join(totals, "c").withColumn("rank", F.col("prob") * (F.col("total") - 1))  # a row per column and percentile
+    at = summed.join(F.broadcast(ranks), "c").where((F.col("upto") > F.floor("rank")) & (F.col("upto") - F.col("n") <= F.ceil("rank")))
+    low = F.max(F.when(F.col("upto") - F.col("n") <= F.floor("rank"), F.col("v")))
+    high = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v")))
+    picked = at.groupBy("c", "k").agg(low.alias("low"), high.alias("high"), F.first("rank").alias("rank"))
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank")))
+    return wanted.join(picked, ["c", "k"], "left").select("column", "prob", value.alias("value"))
 
 
 def percentile_values(df: DataFrame, cols: list[str], probs: list[float], **kw) -> dict[str, list[float]]:
@@ -298,35 +293,3 @@ def percentile_values(df: DataFrame, cols: list[str], probs: list[float], **kw)
     for r in percentiles(df, cols, probs, **kw).collect():
         got.setdefault(r["column"], {})[r["prob"]] = r["value"]
     return {c: [got[c][float(p)] for p in probs] for c in cols}
-
-
-def bracketed_percentiles(df: DataFrame, cols: list[str], probs: list[float],
-                          accuracy: float = 1e-4) -> dict[str, list[float]]:
-    """Exact percentiles of large columns from one sketch pass, one counting pass and one bracket pass."""
-    margin = 2 * accuracy
-    grid = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    bounds = df.stat.approxQuantile(cols, grid, accuracy)
-    counts = df.agg(*[
-        e for c, b in zip(cols, bounds) for e in
-        [F.count(c).alias(f"{c}|n")] + [F.count(F.when(F.col(c) < F.lit(b[2 * i]), 1)).alias(f"{c}|{i}")
-                                        for i in range(len(probs))]]).first()
-    out: dict[str, list[float]] = {}
-    for c, b in zip(cols, bounds):
-        n = counts[f"{c}|n"]
-        out[c] = []
-        for i, p in enumerate(probs):
-            rank = p * (n - 1)
-            low, high = math.floor(rank), math.ceil(rank)
-            inside = (df.where((F.col(c) >= F.lit(b[2 * i])) & (F.col(c) <= F.lit(b[2 * i + 1])))
-                        .groupBy(F.col(c).alias("score"))
-                        .agg(F.count(F.lit(1)).alias("neg"), F.lit(0).cast("bigint").alias("pos")))
-            # Rank within the bracket, counted from the top so the shared running-sum helper applies.
-            at = descending_totals(inside, low=b[2 * i], high=max(b[2 * i + 1], b[2 * i] + 1e-12))
-            total = inside.agg(F.sum("neg")).first()[0]
-            lo_rank, hi_rank = low - counts[f"{c}|{i}"], high - counts[f"{c}|{i}"]
-            below = F.lit(total) - F.col("fp")
-            hit = at.select(
-                F.max(F.when((below <= lo_rank) & (below + F.col("neg") > lo_rank), F.col("score"))).alias("a"),
-                F.max(F.when((below <= hi_rank) & (below + F.col("neg") > hi_rank), F.col("score"))).alias("b")).first()
-            out[c].append(hit["a"] + (hit["b"] - hit["a"]) * (rank - low))
-    return out

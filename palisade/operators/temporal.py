@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.scores import multiplier, round4
-from palisade.operators.scale import US, ordered_scan, previous_within, sliding_sum, time_bucket, top_n, trailing, with_context
+from palisade.operators.scale import US, null_safe_join, ordered_scan, previous_within, sliding_sum, time_bucket, top_n, with_context
 
 
 # -- rates -----------------------------------------------------------------------------------------
@@ -25,7 +25,7 @@ def sliding_count(df: DataFrame, seconds: int = K.TTL_RATE, limit: int = K.RATE_
     """
     per_instant = df.groupBy(key, ts_us).agg(F.count(F.lit(1)).alias("__n"))
     counted = sliding_sum(per_instant, [key], ts_us, seconds * US, "__n", "request_count").drop("__n")
-    return df.join(counted, [key, ts_us]).withColumn("rate_limited", F.col("request_count") > limit)
+    return null_safe_join(df, counted, [key, ts_us]).select(*df.columns, "request_count").withColumn("rate_limited", F.col("request_count") > limit)
 
 
 def session_count(df: DataFrame, seconds: int = K.TTL_RATE, limit: int = K.RATE_LIMIT_SESSION, key: str = "ip",
@@ -107,36 +107,31 @@ def lookup_state(events: DataFrame, blocks: DataFrame, threats: DataFrame, key:
 
 # -- correlation -----------------------------------------------------------------------------------
 
-MAX_NAMES = 64
-
-
-def _names(df: DataFrame, col: Column) -> list[str] | None:
-    """The distinct values of a label column when there are few, else None."""
-    got = [r[0] for r in df.select(col.alias("v")).where("v is not null").distinct().limit(MAX_NAMES + 1).collect()]
-    return sorted(got) if len(got) <= MAX_NAMES else None
-
-
 def trailing_sets(df: DataFrame, seconds: int = K.CORRELATION_WINDOW, key: str = "ip", ts_us: str = "t_us") -> DataFrame:
     """Layers, distinct attack types and event count of the address in the last ``seconds`` (edge included).
 
-    A name is in the set when it was last seen at most ``seconds`` ago, so with few names (the usual
-    case, checked) one running maximum per name does it, in linear time. ``df`` is read several times:
-    pass a stored table when it is expensive.
+    Time is cut into buckets of ``seconds``. A name is in the set of an event when it was seen in the event's bucket by
+    then, or late enough in the bucket before; so one first and one last time per (address, bucket, name) tell all, for
+    any number of names, and no window is read again for each event.
     """
+    span = seconds * US
     attack = F.when(~F.coalesce(F.col("type"), F.lit("")).isin(K.BENIGN_CORRELATION_TYPES), F.col("type"))
     place = F.nullif(F.col("layer"), F.lit(""))
-    types, layers = _names(df, attack), _names(df, place)
-    if types is None or layers is None:
-        out = trailing(df, [key], ts_us, seconds, {"layers_seen": F.collect_set(place), "types_seen": F.collect_set(attack), "history_count": F.count(F.lit(1))})
-        return out.withColumn("layers_seen", F.array_sort("layers_seen")).withColumn("types_seen", F.array_sort("types_seen"))
-    marks = {f"__t{i}": attack == n for i, n in enumerate(types)} | {f"__l{i}": place == n for i, n in enumerate(layers)}
-    instants = df.groupBy(key, ts_us).agg(F.count(F.lit(1)).alias("__n"), *[F.max(F.when(test, F.col(ts_us))).alias(m) for m, test in marks.items()])
-    seen = sliding_sum(instants, [key], ts_us, seconds * US + 1, "__n", "history_count", {f"{m}_at": m for m in marks})
-    recent = lambda m, n: F.when(F.col(f"{m}_at") >= F.col(ts_us) - seconds * US, F.lit(n))
-    empty = F.array().cast("array<string>")
-    names = lambda p, ns: F.array_compact(F.array(*[recent(f"__{p}{i}", n) for i, n in enumerate(ns)])) if ns else empty
-    sets = seen.select(key, ts_us, names("l", layers).alias("layers_seen"), names("t", types).alias("types_seen"), "history_count")
-    return df.join(sets, [key, ts_us]).select(*df.columns, "layers_seen", "types_seen", "history_count")
+    rows = df.withColumn("__b", F.floor(F.col(ts_us) / F.lit(span)))
+    names = F.explode(F.array(F.struct(F.lit("t").alias("kind"), attack.alias("name")), F.struct(F.lit("l").alias("kind"), place.alias("name"))))
+    named = rows.select(key, "__b", ts_us, names.alias("x")).select(key, "__b", ts_us, "x.kind", "x.name").where("name is not null")
+    times = named.groupBy(key, "__b", "kind", "name").agg(F.min(ts_us).alias("first"), F.max(ts_us).alias("last"))
+    both = times.select(key, "__b", "kind", "name", "first", F.lit(None).cast("bigint").alias("before")).unionByName(
+        times.select(key, (F.col("__b") + 1).alias("__b"), "kind", "name", F.lit(None).cast("bigint").alias("first"), F.col("last").alias("before")))
+    known = both.groupBy(key, "__b", "kind", "name").agg(F.min("first").alias("first"), F.max("before").alias("before"))
+    # The names an address has in one bucket: what a set of the result may hold.
+    listed = known.groupBy(key, "__b").agg(F.array_sort(F.collect_list(F.struct("kind", "name", "first", "before"))).alias("__names"))
+    instants = df.groupBy(key, ts_us).agg(F.count(F.lit(1)).alias("__n"))
+    counted = sliding_sum(instants, [key], ts_us, span + 1, "__n", "history_count").select(key, ts_us, "history_count")
+    joined = null_safe_join(null_safe_join(rows, counted, [key, ts_us]), listed, [key, "__b"], "left")
+    seen = lambda kind: F.transform(F.filter("__names", lambda x: (x["kind"] == kind) & ((x["first"] <= F.col(ts_us)) | (x["before"] >= F.col(ts_us) - span))), lambda x: x["name"])
+    none = F.array().cast("array<string>")
+    return joined.select(*df.columns, F.coalesce(seen("l"), none).alias("layers_seen"), F.coalesce(seen("t"), none).alias("types_seen"), "history_count")
 
 
 def trailing_sets_capped(df: DataFrame, seconds: int = K.CORRELATION_WINDOW, cap: int = K.CORRELATION_HISTORY_CAP,

@@ -23,12 +23,13 @@ def clean_flows(raw: DataFrame, label: str = "Label", key: str = "row_id") -> Da
     return capped.select(key, "raw_label", *[F.col(f).cast("float").alias(f) for f in feats])
 
 
-def build_corpus(raw: DataFrame, key: str = "row_id", ratio: int = 3, novel_cap: int = 50_000) -> dict[str, DataFrame]:
-    """``known`` (majority reduced), ``benign`` and ``novel`` (capped) from one cleaned, stored table."""
+def build_corpus(raw: DataFrame, key: str = "row_id", ratio: int = 3, novel_cap: int | None = None) -> dict[str, DataFrame]:
+    """``known`` (majority reduced), ``benign`` and ``novel`` (at most ``novel_cap`` rows, if given) from one cleaned, stored table."""
     routed = materialize(EN.route(clean_flows(raw, key=key)), "routed")
     known = routed.where(F.col("route").isin("benign", "known"))
+    novel = routed.where(F.col("route") == "novel")
     return {
         "known": B.undersample(known, "unified_label", "benign", [key], ratio),
         "benign": routed.where(F.col("route") == "benign"),
-        "novel": B.cap_rows(routed.where(F.col("route") == "novel"), [key], novel_cap),
+        "novel": novel if novel_cap is None else B.cap_rows(novel, [key], novel_cap),
     }

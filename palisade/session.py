@@ -9,11 +9,12 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD = "spark.palisade.spreadSmallScans"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def local_session(cpus: int = 8, app: str = "palisade", partitions: int | None = None) -> SparkSession:
-    """A local session for tests and benches; a cluster brings its own."""
+def local_session(cpus: int = 8, app: str = "palisade", partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session for tests and benches; a cluster brings its own, and its own checkpoint folder."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -23,6 +24,8 @@ def local_session(cpus: int = 8, app: str = "palisade", partitions: int | None =
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.checkpoint.dir", checkpoint_dir or tempfile.mkdtemp(prefix="palisade-"))
+        .config(SPREAD, "true")
         .getOrCreate()
     )
 
@@ -36,18 +39,17 @@ def pin_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own machine: on a cluster such a folder
-    would not survive the loss of the machine, so an unset folder is an error there.
+    Without the setting a session of one machine, as in tests, gets a folder of its own once; on a cluster such a
+    folder would not survive the loss of the machine, so an unset folder is an error there.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    fallback = os.path.join(tempfile.gettempdir(), f"palisade-{os.getpid()}")
-    os.makedirs(fallback, exist_ok=True)
-    return fallback
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="palisade-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from palisade.operators import evaluate as E
 from palisade.operators import sampling as B
 from palisade.operators import temporal as W
+from palisade.operators import temporal as T
 from palisade.operators.scale import (
-    US, bracketed_percentiles, descending_totals, hash52, ordered_scan, percentile_values, previous_within, rank_by_hash,
-    score_counts, spread, take_by_hash, time_bucket, top_n,
+    US, descending_totals, hash52, ordered_scan, percentile_values, previous_within, rank_by_hash,
+    SPREAD, in_ranges, score_counts, spread, take_by_hash, time_bucket, top_n,
 )
 
 
@@ -99,15 +100,27 @@ def test_top_n_hot(hot):
     assert got == [r[0] for r in sorted((x for x in rows if x[1] == "hot"), key=lambda r: (-r[3], r[0]))[:5]]
 
 
-def test_percentiles_three_ways(spark):
+def test_percentiles(spark):
+    """Skewed values, ties, NaN, null, an outlier and infinity, and columns without any value."""
     rnd = random.Random(5)
-    vals = [round(rnd.expovariate(0.01), 3) for _ in range(20_000)] + [7.0] * 9_000
-    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(8)
+    vals = [round(rnd.expovariate(0.01), 3) for _ in range(20_000)] + [7.0] * 9_000 + [1e300, -1e300]
+    rows = [(v, float("nan") if i % 3 else float(i), None) for i, v in enumerate(vals)] + [(None, None, None)] * 50 + [(float("nan"), float("nan"), float("nan"))] * 50
+    df = spark.createDataFrame(rows, "x double, `y/s` double, z double").repartition(8)
     probs = [0.0, 0.01, 0.25, 0.5, 0.95, 0.999, 1.0]
-    want = np.percentile(vals, [p * 100 for p in probs])
-    assert np.allclose(percentile_values(df, ["x"], probs)["x"], want)
-    assert np.allclose(bracketed_percentiles(df, ["x"], probs)["x"], want)
-    assert np.allclose(percentile_values(df, ["x"], probs, exact_rows=10)["x"], want)
+    got = percentile_values(df, ["x", "y/s", "z"], probs)
+    assert np.allclose(got["x"], np.percentile(vals, [p * 100 for p in probs]))
+    assert np.allclose(got["y/s"], np.percentile([i for i in range(len(vals)) if i % 3 == 0], [p * 100 for p in probs]))
+    assert got["z"] == [None] * len(probs)
+    assert percentile_values(df.limit(0), ["x"], [0.5])["x"] == [None]
+    assert percentile_values(spark.createDataFrame([(4.0,)], "x double"), ["x"], [0.0, 0.5, 1.0])["x"] == [4.0] * 3
+
+
+def test_ranges_are_even_on_skewed_scores(spark):
+    """Scores at both ends of [0, 1] and far outside: no range holds more than twice the mean."""
+    rnd = random.Random(6)
+    rows = [(rnd.choice([rnd.random() * 1e-6, 1 - rnd.random() * 1e-9, 1e6 * rnd.random()]),) for _ in range(20_000)]
+    counts = [r["count"] for r in in_ranges(spark.createDataFrame(rows, "s double"), ["s"]).groupBy("__part").count().collect()]
+    assert max(counts) <= 2 * sum(counts) / len(counts) and len(counts) > 1
 
 
 def test_auc_and_totals(spark):
@@ -117,9 +130,8 @@ def test_auc_and_totals(spark):
     pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
     want = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
     assert abs(E.roc_auc(df, "y", "s").first()["auc"] - want) < 1e-12
-    for buckets in (1, 7, 4096):
-        for r in descending_totals(score_counts(df, "y", "s"), buckets=buckets).collect():
-            assert r["tp"] == sum(p >= r["score"] for p in pos) and r["fp"] == sum(q >= r["score"] for q in neg)
+    for r in descending_totals(score_counts(df, "y", "s")).collect():
+        assert r["tp"] == sum(p >= r["score"] for p in pos) and r["fp"] == sum(q >= r["score"] for q in neg)
 
 
 def test_balance_exact(spark):
@@ -132,10 +144,50 @@ def test_balance_exact(spark):
     assert B.balance(df.where("y = 0"), "y", ["id"], "upsample").count() == 700
 
 
-def test_spread_only_small(spark):
+def test_spread_by_setting(spark):
     assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == 8
-    wide = spark.range(10, numPartitions=40)
-    assert spread(wide) is wide
+    spark.conf.set(SPREAD, "false")
+    try:
+        one = spark.range(10, numPartitions=1)
+        assert spread(one) is one
+    finally:
+        spark.conf.set(SPREAD, "true")
+
+
+def test_null_keys_lose_no_row(spark):
+    """100 rows, 20 of them without label and address: as many rows out as in."""
+    rows = [(i, None if i % 5 == 0 else f"c{i % 3}", None if i % 5 == 0 else f"10.0.0.{i % 4}", i * 500_000, "network" if i % 2 else "application", f"t{i % 7}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, label string, ip string, t_us long, layer string, type string")
+    split = B.stratified_split(df, "label", ["id"])
+    assert split.count() == 100 and split.where("label is null").groupBy("split").count().count() == 3
+    assert B.undersample(df, "label", "c0", ["id"], 99).count() == 100
+    assert B.with_weights(df, "label").count() == 100
+    assert B.n_per_class(df, "label", 4, ["id"]).count() == 16
+    counted = {r["id"]: r["request_count"] for r in T.sliding_count(df, 10).collect()}
+    assert len(counted) == 100
+    sets = {r["id"]: r for r in T.trailing_sets(df, 10).collect()}
+    assert len(sets) == 100
+    sessions = {r["id"]: r["session_requests"] for r in T.session_count(df.withColumn("event_id", F.col("id")), 60).collect()}
+    for i, _, ip, t, *_ in rows:
+        near = [r for r in rows if r[2] == ip and t - 10_000_000 <= r[3] <= t]
+        assert counted[i] == len([r for r in near if r[3] > t - 10_000_000])
+        assert sets[i]["history_count"] == len(near) and sets[i]["types_seen"] == sorted({r[5] for r in near}) and sets[i]["layers_seen"] == sorted({r[4] for r in near})
+        assert sessions[i] == len([r for r in rows if r[2] == ip and r[3] <= t])
+
+
+def test_trailing_sets_of_many_names(spark):
+    rnd = random.Random(8)
+    rows = [(i, "hot" if i % 3 else f"ip{i % 7}", rnd.randrange(60) * 1_000_000, rnd.choice(["network", "application", ""]), f"type{rnd.randrange(200)}") for i in range(1500)]
+    got = {r["id"]: r for r in T.trailing_sets(spark.createDataFrame(rows, "id long, ip string, t_us long, layer string, type string"), 10).collect()}
+    for i, ip, t, *_ in rows[::17]:
+        near = [r for r in rows if r[1] == ip and t - 10_000_000 <= r[2] <= t]
+        assert got[i]["types_seen"] == sorted({r[4] for r in near}) and got[i]["history_count"] == len(near)
+        assert got[i]["layers_seen"] == sorted({r[3] for r in near} - {""})
+
+
+def test_many_groups(spark):
+    df = spark.range(180_000).select("id", (F.col("id") % 60_000).alias("g"))
+    assert B.n_per_class(df, "g", 2, ["id"]).groupBy("g").count().where("count = 2").count() == 60_000
 
 
 def test_best_f1_without_attacks(spark):
