@@ -2,8 +2,9 @@
 
 Two lines are alike when their edit distance is at most 1. Equal lines are folded first. To keep the number of
 variants in proportion to the lines that have a partner at all, every distinct line first posts its head and its
-tail, each of nearly half its length: one edit leaves one of them as it is. Only lines that share a head or tail
-with another line then emit the deletion variants of what is beside it, as hashed keys. Under a key, lines that
+tail, each of nearly half its length: one edit leaves one of them as it is. Lines that share a head or tail with
+another line post the head and tail of what is beside it, and so on, ``HALVINGS`` times in all. Only what is then
+left of lines that still share a key emits its deletion variants, as hashed keys. Under a key, lines that
 lost a character at one place differ by one substitution, and a line that is the variant itself differs by one
 insertion; so the earliest partner is a grouped minimum and no pairs are listed. The partner found is verified by
 edit distance on the full texts.
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from palisade.llm.common import stored
 
 LEAST = 20
+HALVINGS = 3
 
 
 def _cuts(line: Column) -> Column:
@@ -59,6 +61,13 @@ def deletion_keys(end: Column, part: Column, size: Column) -> Column:
                     F.transform(left, lambda k, i: F.struct(F.xxhash64(k, i).alias("key"), F.lit(2).alias("role"))))
 
 
+def _beside(rows: DataFrame, whole: Column, key: Column) -> DataFrame:
+    """(place, h, key, part): what is beside the head or tail ``e`` of ``whole``."""
+    n = F.char_length(whole)
+    part = F.when(F.col("e.side") == 1, F.substr(whole, F.col("e.c") + 1, n)).otherwise(F.substr(whole, F.lit(1), n - F.col("e.c")))
+    return rows.select("place", "h", key.alias("key"), part.alias("part"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").alias("k2"))
 
@@ -82,13 +91,14 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     some = some.select(F.struct("doc_id", "k1", "k2", F.col("w.at").alias("at")).alias("place"), F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.keys").alias("keys"), F.get("lines", F.col("w.at")).alias("line"))
 
     # Exploding first makes the parts columns: inside a lambda they would be cut again for every variant.
-    n = F.char_length("line")
-
-    def beside(e: Column) -> Column:
-        return F.struct(e["key"].alias("key"), F.when(e["side"] == 1, F.substr("line", e["c"] + 1, n)).otherwise(F.substr("line", F.lit(1), n - e["c"])).alias("part"), (n - e["c"]).alias("size"))
-
-    parts = some.select("place", F.explode(F.transform(F.filter(ends(F.col("line")), lambda e: F.array_contains("keys", e["key"])), beside)).alias("p"))
-    emitted = parts.select("place", F.explode(deletion_keys(F.col("p.key"), F.col("p.part"), F.col("p.size"))).alias("v")).select("place", "v.key", "v.role")
+    first = some.select("place", "h", "line", F.explode(F.filter(ends(F.col("line")), lambda e: F.array_contains("keys", e["key"]))).alias("e"))
+    parts = _beside(first, F.col("line"), F.col("e.key"))
+    for _ in range(HALVINGS - 1):
+        deeper = parts.select("place", "h", "key", "part", F.explode(ends(F.col("part"))).alias("e"))
+        deeper = _beside(deeper, F.col("part"), F.xxhash64("key", "e.key"))
+        again = deeper.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+        parts = deeper.join(again, "key", "left_semi")
+    emitted = parts.select("place", F.explode(deletion_keys(F.col("key"), F.col("part"), F.char_length("part"))).alias("v")).select("place", "v.key", "v.role")
     under = Window.partitionBy("key")
     whole, deleted, same = (F.min(F.when(F.col("role") == r, F.col("place"))).over(under) for r in (0, 1, 2))
     partner = F.when(F.col("role") == 0, deleted).when(F.col("role") == 1, whole).otherwise(same)
@@ -113,9 +123,9 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per row: doc_id, text without the removed lines, n_lines, n_removed."""
     drop = removed_lines(docs, least)
     joined = _keyed(docs).join(drop, ["k1", "k2"], "left")
-    lines = F.split("text", "\n")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(lines, F.col("drop")), "\n"))
-    return joined.select("doc_id", "k1", "k2", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.split("text", "\n"), F.col("drop")), "\n"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return joined.select("doc_id", "k1", "k2", text.alias("text"), F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"),
                          F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
@@ -126,9 +136,9 @@ def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     drop = removed_lines(docs, least).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "drop": "__drop"})
     keyed = docs.withColumn("__a", F.xxhash64("doc_id", "text")).withColumn("__b", F.hash("text"))
     joined = keyed.join(drop, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
-    lines = F.split("text", "\n")
-    joined = joined.where(F.col("__drop").isNull() | (F.size("__drop") < F.size(lines)))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(lines, F.col("__drop")), "\n"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    joined = joined.where(F.col("__drop").isNull() | (F.size("__drop") < n_lines))
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.split("text", "\n"), F.col("__drop")), "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
