@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labelled: Column | None = None, per_language: int = PER
     sample = ranked.mapInArrow(vectors, "lang string, x binary").collect()
     sample = [(r["lang"], np.frombuffer(r["x"], np.float16)) for r in sample]
     sample = sorted(((n, v) for n, v in sample if v.any()), key=lambda s: (s[0], s[1].tobytes()))
-    return LanguageModel(np.array([v for _, v in sample], np.float32).reshape(len(sample), -1), [n for n, _ in sample])
+    return LanguageModel(np.array([v for _, v in sample], np.float32).reshape(len(sample), 1 << BINS_LOG2), [n for n, _ in sample])
 
 
 def with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -262,7 +262,7 @@ def brute_force(entries: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> l
     out = []
     for i in range(len(q)):
         mine = [r for r in near if r["q"] == i and r["e"] != ids[i]]
-        out.append((np.array([r["e"] for r in mine]), np.array([r["v"] for r in mine]).reshape(len(mine), -1)))
+        out.append((np.array([r["e"] for r in mine]), np.array([r["v"] for r in mine]).reshape(len(mine), q.shape[1])))
     return out
 
 
