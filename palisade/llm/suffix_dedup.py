@@ -119,18 +119,34 @@ def runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate([f[k] for f in found]) for k in range(4))
 
 
+def words(keys: np.ndarray) -> np.ndarray:
+    """The strings as rows of numbers: quick to compare for equality."""
+    return keys.view(np.uint64).reshape(len(keys), -1)
+
+
+def differs(keys: np.ndarray) -> np.ndarray:
+    """Where a string is another than the one before it."""
+    w = words(keys)
+    return np.concatenate([[True], (w[1:] != w[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, bool)
+
+
 class IndexFamily:
     """Levels of sorted strings with the smallest document each starts in."""
 
     def __init__(self, least: int):
-        self.kind = f"S{least}"
+        self.least, self.width = least, -(-least // 8) * 8
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of ``least`` bytes as sortable strings, padded to whole numbers."""
+        out = np.zeros((len(rows), self.width), np.uint8)
+        out[:, :self.least] = rows
+        return out.view(f"S{self.width}")[:, 0]
+
     @staticmethod
     def _distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of sorted keys each once, with its smallest document."""
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        at = np.flatnonzero(new)
+        at = np.flatnonzero(differs(keys))
         return keys[at], np.minimum.reduceat(docs, at)
 
     def add(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -140,11 +156,11 @@ class IndexFamily:
         once, smallest = self._distinct(keys, docs)
         earliest = smallest.copy()
         for level, first in self.levels:
-            at = np.searchsorted(level, once)
+            at = np.searchsorted(level, once)  # both sorted: each search goes on from the last
             at[at == len(level)] = 0
-            same = level[at] == once
+            same = (words(level)[at] == words(once)).all(axis=1)
             earliest[same] = np.minimum(earliest[same], first[at[same]])
-        which = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+        which = np.cumsum(differs(keys)) - 1
         hit = np.empty(len(keys), bool)
         hit[order] = earliest[which] < docs
         self.levels.append((once, smallest))
@@ -178,6 +194,9 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 RUN = (np.int64, np.uint16, np.uint32, np.uint32, np.uint32)  # rows; and for each run: row number, hash, first, strings
+#: A run with a hash that another row has, and a span of bytes: blobs of such records.
+HIT = np.dtype([("hash", np.uint32), ("first", np.uint32), ("n", np.uint32)])
+SPAN = np.dtype([("s", np.uint32), ("e", np.uint32)])
 PIECE = (np.int64, np.int64, np.int32, np.uint16, np.uint32, np.uint32, np.uint8)  # doc, k1, k2; row number, first, length; bytes
 
 
@@ -238,23 +257,31 @@ def repeated_runs(base: DataFrame, least: int, buckets: int) -> DataFrame:
             several = rs[start] != rs[end - 1]
             at = order[np.repeat(several, end - start)]
             del hs, rs, parts
-            for lo, some in _chunks(row[at]):
-                run = at[some]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in lo], pa.int64()), pa.array([_pack(hash=h[run[s]], first=first[run[s]], n=n[run[s]]) for _, s in lo], pa.binary())], names=["k1", "blob"])
+            found = np.empty(len(at), HIT)
+            found["hash"], found["first"], found["n"] = h[at], first[at], n[at]
+            yield from _by_row(found, row[at])
 
     dealt = base.select("k1", "text").mapInArrow(emit, "bucket int, blob binary")
     return by_bucket(dealt, buckets).mapInArrow(compare, "k1 bigint, blob binary")
 
 
-def _chunks(rows: np.ndarray, most: int = 2000):
-    """The positions of every row, for ``most`` rows at a time."""
-    order = np.argsort(rows, kind="stable")
-    sorted_ = rows[order]
-    edges = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(sorted_) else np.zeros(1, int)
-    for i in range(0, len(edges) - 1, most):
-        part = edges[i:i + most + 1]
-        base = part[0]
-        yield [(int(sorted_[lo]), slice(lo - base, hi - base)) for lo, hi in zip(part[:-1], part[1:])], order[base:part[-1]]
+def _by_row(records: np.ndarray, k1: np.ndarray, k2: np.ndarray | None = None, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """(k1, k2 if given, blob of its records) for every row."""
+    order = np.argsort(k1, kind="stable") if k2 is None else np.lexsort((k2, k1))
+    records, k1 = records[order], k1[order]
+    new = np.concatenate([[True], k1[1:] != k1[:-1]]) if len(k1) else np.zeros(0, bool)
+    if k2 is not None:
+        k2 = k2[order]
+        new[1:] |= k2[1:] != k2[:-1]
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(k1))
+    for i in range(0, len(start), most):
+        some = start[i:i + most]
+        blobs = pa.array([records[lo:hi].tobytes() for lo, hi in zip(some.tolist(), end[i:i + most].tolist())], pa.binary())
+        if k2 is None:
+            yield pa.RecordBatch.from_arrays([pa.array(k1[some]), blobs], names=["k1", "blob"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(k1[some]), pa.array(k2[some]), blobs], names=["k1", "k2", "blob"])
 
 
 def covered(base: DataFrame, candidates: DataFrame, copies: DataFrame, least: int, buckets: int) -> DataFrame:
@@ -264,18 +291,12 @@ def covered(base: DataFrame, candidates: DataFrame, copies: DataFrame, least: in
         for b in slices(batches, "text"):
             docs, k1, k2 = (np.array(b.column(c)) for c in ("doc", "k1", "k2"))
             texts = _bytes(b)
-            h, row, first, size, data = [], [], [], [], []
-            for i, blobs in enumerate(b.column("blobs").to_pylist()):
-                for blob in blobs:
-                    hs, fs, ns = _unpack(blob, np.uint32, np.uint32, np.uint32)
-                    fits = fs.astype(np.int64) + ns + least - 1 <= len(texts[i])  # another row may share k1
-                    h.append(hs[fits])
-                    first.append(fs[fits])
-                    size.append(ns[fits] + np.uint32(least - 1))
-                    row.append(np.full(int(fits.sum()), i, np.uint16))
-            if not h:
-                continue
-            h, first, size, row = (np.concatenate(x) for x in (h, first, size, row))
+            blobs = b.column("blobs").to_pylist()
+            runs_ = np.frombuffer(b"".join(x for some in blobs for x in some), HIT)
+            row = np.repeat(np.arange(len(texts)), [sum(map(len, some)) // HIT.itemsize for some in blobs]).astype(np.uint16)
+            size = runs_["n"] + np.uint32(least - 1)
+            fits = runs_["first"].astype(np.int64) + size <= np.array([len(t) for t in texts])[row]  # another row may share k1
+            h, first, size, row = runs_["hash"][fits], runs_["first"][fits], size[fits], row[fits]
             out: tuple[list, list] = ([], [])
             # The upper bits of the hash: the lower ones chose the first bucket and aren't kept.
             for bucket, at in _split((h % np.uint32(buckets)).astype(np.int64)):
@@ -294,39 +315,36 @@ def covered(base: DataFrame, candidates: DataFrame, copies: DataFrame, least: in
             del parts
             place = np.cumsum(size) - size
             order = np.lexsort((first, k2, k1, doc))
+            # A piece that a smaller document has as a whole is hit as a whole and need not be indexed again.
+            raw, seen = data.tobytes(), {}
+            again = np.zeros(len(order), bool)
+            for i, (at, n, d) in enumerate(zip(place[order].tolist(), size[order].tolist(), doc[order].tolist())):
+                again[i] = seen.setdefault(raw[at:at + n], d) < d
+            del raw, seen
+            whole, order = order[again], order[~again]
             family = IndexFamily(least)
             strings = size - least + 1
             view = np.lib.stride_tricks.sliding_window_view(data, least)
             batch = np.cumsum(strings[order]) // BATCH
-            edges = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1], [True]]))
-            spans = ([], [], [], [])
+            edges = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1], [True]])) if len(batch) else np.zeros(0, int)
+            spans = [(whole, first[whole], first[whole] + size[whole])]
             for lo, hi in zip(edges[:-1], edges[1:]):
                 some = order[lo:hi]
                 n = strings[some]
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                keys = np.ascontiguousarray(view[np.repeat(place[some], n) + step]).view(family.kind)[:, 0]
+                keys = family.keys(view[np.repeat(place[some], n) + step])
                 piece = np.repeat(some, n)
                 hit = family.add(keys, doc[piece])
                 piece, at = piece[hit], (first[piece] + step)[hit]
                 if len(piece):
-                    new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)])
-                    s = np.flatnonzero(new)
-                    e = np.append(s[1:], len(at)) - 1
-                    for out, x in zip(spans, (k1[piece[s]], k2[piece[s]], at[s], at[e] + least)):
-                        out.append(x)
-            if spans[0]:
-                a, c, s, e = (np.concatenate(x) for x in spans)
-                for chunk, some in _chunks(a):
-                    rows = [(x, int(c[some[w]][0]), w) for x, w in chunk]
-                    split = []
-                    for x, _, w in rows:  # rows that share k1 and differ in k2 are told apart here
-                        at = some[w]
-                        for y in np.unique(c[at]).tolist():
-                            use = at[c[at] == y]
-                            split.append((x, y, _pack(s=s[use].astype(np.uint32), e=e[use].astype(np.uint32))))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in split], pa.int64()), pa.array([x[1] for x in split], pa.int32()), pa.array([x[2] for x in split], pa.binary())], names=["k1", "k2", "blob"])
-
-    wanted = candidates.join(copies, "k1", "left_anti").groupBy("k1").agg(F.collect_list("blob").alias("blobs"))  # as many as buckets a row at most
+                    s = np.flatnonzero(np.concatenate([[True], (piece[1:] != piece[:-1]) | (at[1:] != at[:-1] + 1)]))
+                    spans.append((piece[s], at[s], at[np.append(s[1:], len(at)) - 1] + least))
+            piece, s, e = (np.concatenate([x[k] for x in spans]) for k in range(3))
+            found = np.empty(len(s), SPAN)
+            found["s"], found["e"] = s, e
+            yield from _by_row(found, k1[piece], k2[piece])
+
+    wanted = candidates.groupBy("k1").agg(F.collect_list("blob").alias("blobs")).join(copies, "k1", "left_anti")  # as many as buckets a row at most
     rows = base.join(wanted, "k1").select(F.coalesce("doc_id", F.lit(NULL_ID)).cast("bigint").alias("doc"), "k1", "k2", "text", "blobs")
     dealt = rows.mapInArrow(emit, "bucket int, blob binary")
     return by_bucket(dealt, buckets).mapInArrow(index, "k1 bigint, k2 int, blob binary")
@@ -346,10 +364,9 @@ def merged(found: list[dict] | None, k2: int, length: int) -> list[tuple[int, in
         return [(0, length)]
     if not mine:
         return []
-    parts = [_unpack(x, np.uint32, np.uint32) for x in mine]
-    s, e = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (0, 1))
-    order = np.argsort(s, kind="stable")
-    s, e = s[order], np.maximum.accumulate(e[order])
+    spans = np.frombuffer(b"".join(mine), SPAN)
+    spans = spans[np.argsort(spans["s"], kind="stable")]
+    s, e = spans["s"].astype(np.int64), np.maximum.accumulate(spans["e"].astype(np.int64))
     at = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
     return list(zip(s[at].tolist(), e[np.append(at[1:], len(s)) - 1].tolist()))
 
