@@ -13,7 +13,6 @@ from palisade.operators import projections as PR
 from palisade.operators import sampling as B
 from palisade.operators import scaling as M
 from palisade.sources import adapters as A
-from palisade.sources import readers
 
 UNIFIED = list(K.UNIFIED_FEATURES)
 CAPTURED = {u: s for u, s in K.UNIFIED_FEATURES.items() if s}
@@ -136,28 +135,11 @@ def _(spark, d):
     return corpus.groupBy("attack_type", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.md5("payload")).alias("texts"))
 
 
-@query("u03_diff_columns", """SELECT 'customer' AS side, unnest(['c_acctbal', 'c_custkey', 'c_mktsegment', 'c_name', 'c_nationkey']) AS "column", (SELECT count(*) FROM customer) AS n_rows
-UNION ALL SELECT 'supplier', unnest(['s_acctbal', 's_name', 's_nationkey', 's_suppkey']), (SELECT count(*) FROM supplier)""")
-def _(spark, d):
-    c, s = A.table(spark, d, "customer"), A.table(spark, d, "supplier")
-    left, right = readers.diff_columns(c, s)
-    names = lambda df, side, cols: df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(side).alias("side"), F.explode(F.array(*[F.lit(x) for x in cols])).alias("column"), "n_rows")
-    return names(c, "customer", left).unionByName(names(s, "supplier", right))
-
-
 @query("u04_dedupe_exact", "SELECT l_partkey, l_suppkey, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey) AS r FROM lineitem) WHERE r = 1")
 def _(spark, d):
     return PR.dedupe_exact(A.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey"), ["l_partkey", "l_suppkey"], ["l_orderkey"])
 
 
-@query("s13_audit_columns", """SELECT "column", status, (SELECT count(*) FROM lineitem) AS n_rows FROM (SELECT unnest(['l_discount', 'l_orderkey', 'label']) AS "column", unnest(['present', 'present', 'missing']) AS status
-UNION ALL SELECT unnest(['l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate']), 'extra')""")
-def _(spark, d):
-    li = A.table(spark, d, "lineitem")
-    audit = readers.audit_columns(li, ["L_Orderkey", " l_discount", "Label"])
-    return audit.crossJoin(F.broadcast(li.agg(F.count(F.lit(1)).alias("n_rows"))))
-
-
 # -- splits and balancing -------------------------------------------------------------------------------
 
 def flow_rows(spark, d):

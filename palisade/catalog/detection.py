@@ -62,11 +62,6 @@ def _(spark, d):
     return A.payloads(spark, d).select("payload_id", F.md5(DC.form_decode(F.col("payload"))).alias("decoded"))
 
 
-@query("f03_html_unescape", "SELECT page_id, md5(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')) AS decoded FROM pages")
-def _(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.md5(DC.html_unescape(F.col("html"))).alias("decoded"))
-
-
 @query("f04_squash_and_strip", r"""SELECT payload_id, md5(regexp_replace(payload, '[\t\n\r\x0b\f]+', ' ', 'g')) AS squashed, md5(regexp_replace(payload, '(?s)/\*.*?\*/', '', 'g')) AS stripped FROM payloads""")
 def _(spark, d):
     p = F.col("payload")
@@ -345,7 +340,7 @@ def signature_sql(book: R.RuleBook) -> str:
 variants AS (SELECT doc_id, t, f, min(i) AS i, v FROM (SELECT doc_id, t, f, unnest({sql_variants('val')}) AS v, generate_subscripts({sql_variants('val')}, 1) AS i FROM targets WHERE val <> '') GROUP BY doc_id, t, f, v),
 judged AS (SELECT * FROM (SELECT *, {code} AS code FROM variants) WHERE code IS NOT NULL),
 best AS (SELECT * FROM (SELECT *, {of(1)}::DOUBLE AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY {of(1)} DESC, t, i) AS r FROM judged) WHERE r = 1)
-SELECT q.doc_id, {of(0)} AS pattern_group, {of(3)} AS pattern, confidence, {of(4)} AS rule_id, b.f AS matched_in, substr({match}, 1, 100) AS matched_text, substr(v, 1, 200) AS decoded_input,
+SELECT q.doc_id, {of(0)} AS pattern_group, {of(3)} AS pattern, confidence, {of(4)} AS rule_id, b.f AS matched_in, {match} AS matched_text, v AS decoded_input,
   CASE WHEN confidence >= 1 THEN 'MITIGATE' WHEN confidence IS NOT NULL THEN 'FORWARD_TO_ML' ELSE 'ALLOW' END AS decision,
   round(CASE WHEN confidence IS NULL THEN 0.0 WHEN confidence >= 1 THEN 1.0 WHEN confidence <= 0.6 THEN 0.2 ELSE 0.2 + (confidence - 0.6) * 2.0 END::DOUBLE, 3) AS score
 FROM request_rows q LEFT JOIN best b ON b.doc_id = q.doc_id"""
@@ -408,11 +403,11 @@ def _(spark, d):
     return R.validate_patterns(A.proposals(spark, d)).select("pattern", "event_id", "is_safe")
 
 
-@query("d08_admit_rules", f"""SELECT substr(md5(pattern), 1, 8) AS rule_id, pattern, attack_type, event_id AS source_event_id, severity, round(confidence, 4) AS confidence, 'active' AS status, 0::BIGINT AS match_count,
+@query("d08_admit_rules", f"""SELECT md5(pattern) AS rule_id, pattern, attack_type, event_id AS source_event_id, severity, round(confidence, 4) AS confidence, 'active' AS status, 0::BIGINT AS match_count,
 proposed_us AS created_us, CAST(NULL AS BIGINT) AS last_matched_us FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY proposed_us, event_id) AS r FROM proposals WHERE severity IN ('CRITICAL', 'HIGH')) WHERE r = 1
 AND pattern NOT IN (SELECT pattern FROM rule_store) AND {_SAFE} ORDER BY proposed_us, event_id, pattern LIMIT (SELECT greatest(0, 500 - count(*)) FROM rule_store)""")
 def _(spark, d):
-    return R.admit_rules(A.proposals(spark, d), A.rule_store(spark, d))
+    return R.admit_rules(A.proposals(spark, d), A.rule_store(spark, d), K.MAX_ADAPTIVE_RULES)
 
 
 @query("j09_anti_existing", "SELECT rule_id, pattern FROM rule_store WHERE pattern NOT IN (SELECT pattern FROM rule_store WHERE status = 'rejected')")
@@ -619,7 +614,7 @@ def _(spark, d):
     return FU.apply_correlation(floor_two(spark, d)).select("event_id", "new_score", "new_action", "new_reason")
 
 
-@query("d24_select_threats", f"""SELECT e.request_id AS event_id, e.ip AS ip_address, e.path AS url, coalesce(l.label, 'unknown') AS attack_type, e.action AS action_taken, substr(e.path || ' ' || e.block_reason, 1, 500) AS payload, e.final_score AS fusion_score, s.n AS n_contributions
+@query("d24_select_threats", f"""SELECT e.request_id AS event_id, e.ip AS ip_address, e.path AS url, coalesce(l.label, 'unknown') AS attack_type, e.action AS action_taken, e.path || ' ' || e.block_reason AS payload, e.final_score AS fusion_score, s.n AS n_contributions
 FROM attack_events e LEFT JOIN (SELECT event_id, arg_min(label, pos) AS label FROM event_layers WHERE label NOT IN {_BENIGN} GROUP BY 1) l ON l.event_id = e.event_id
 LEFT JOIN (SELECT event_id, count(*) AS n FROM event_layers WHERE score > 0 GROUP BY 1) s ON s.event_id = e.event_id WHERE e.final_score >= 0.65 AND NOT e.short_circuited""")
 def _(spark, d):

@@ -156,7 +156,7 @@ def _(spark, d):
     return h.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("threat_intel.ti_found"), 1)).alias("found"), F.sum(F.length("raw_body")).alias("chars"))
 
 
-@query("s06_event_rows", """SELECT request_id, ip, method, substr(path, 1, 500) AS path, final_score, action, substr(block_reason, 1, 500) AS block_reason, latency_ms, best_label, regex_conf
+@query("s06_event_rows", """SELECT request_id, ip, method, path, final_score, action, block_reason, latency_ms, best_label, regex_conf
 FROM attack_events WHERE event_id % 41 <> 3""")
 def _(spark, d):
     e = A.attack_events(spark, d)

@@ -114,7 +114,7 @@ SELECT md5('r' || doc_id) AS request_id, doc_id, {sql_ip('(doc_id % 150)')} AS i
        {sql_pick(A.AGENTS, 'doc_id // 3')} AS user_agent,
        ' 172.16.0.' || (doc_id % 200) || ', 10.9.9.9' AS forwarded,
        CAST(doc_id % 10 AS VARCHAR) AS q_page, {sql_pick(_TEXTS, 'doc_id // 18')} AS q_q,
-       CASE WHEN doc_id % 4 <> 3 THEN text || ' ' || {sql_pick(_TEXTS, 'doc_id')} ELSE '' END AS body,
+       text || ' ' || {sql_pick(_TEXTS, 'doc_id')} AS body,
        CASE WHEN doc_id % 2 = 0 THEN '10.9.9.9' ELSE '203.0.113.7' END AS peer_ip
 FROM documents"""
 

@@ -121,6 +121,7 @@ BENIGN_SAMPLES = [
 ]
 WILDCARDS = [".*", ".+", ".{0,}", ".{1,}", "(?s).*"]
 
+# The headers whose values are scanned.
 SCANNED_HEADERS = ["referer", "x-forwarded-for", "user-agent", "x-custom-header"]
 
 WORD = r"\p{L}\p{N}_"
@@ -128,11 +129,17 @@ SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 DIGIT = r"\p{Nd}"
 
 
+END = r"(?:\n?\z)"
+
+
 def portable(pattern: str) -> str:
-    r"""Spell ``\w \s \d`` and ``$`` so that they keep their Unicode meaning in JVM and RE2 engines.
+    r"""Spell ``\w \s \d``, ``.`` and ``$`` so that they keep their meaning in JVM and RE2 engines.
 
-    Those engines read the shorthands as ASCII only, and ``$`` differs before a final line break.
+    Those engines read the shorthands as ASCII only, end ``.`` at other line breaks than ``\n``, and differ in ``$``
+    before a final line break.
     """
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    dot_all = bool(flags and "s" in flags[1])
     out, in_class, i = [], False, 0
     while i < len(pattern):
         two = pattern[i:i + 2]
@@ -154,11 +161,25 @@ def portable(pattern: str) -> str:
             in_class = True
         elif ch == "]" and in_class:
             in_class = False
-        out.append(r"\z" if ch == "$" and not in_class else ch)
+        plain = not in_class
+        out.append(END if plain and ch == "$" else r"[^\n]" if plain and ch == "." and not dot_all else ch)
         i += 1
     return "".join(out)
 
 
+def jvm(pattern: str) -> str:
+    r"""A portable pattern as the JVM takes it: case folding beyond ASCII, ``$`` without width, named groups.
+
+    Names lose what the JVM doesn't allow in them; rules only ask whether a pattern matches.
+    """
+    names: dict[str, str] = {}
+    name = lambda n: names.setdefault(n, f"g{len(names)}x")
+    out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{name(m[1])}>", pattern)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\k<{name(m[1])}>", out)
+    out = re.sub(r"^\(\?([a-zA-Z]*i[a-zA-Z]*)\)", lambda m: f"(?{m[1]}u)" if "u" not in m[1] else m[0], out)
+    return out.replace(END, r"(?=\n?\z)")
+
+
 def compiles(pattern: str) -> bool:
     try:
         re.compile(pattern, re.IGNORECASE | re.DOTALL)

@@ -25,12 +25,15 @@ def map_attack(df: DataFrame, label: str) -> DataFrame:
 def enrich_intel(df: DataFrame, reports: DataFrame, abuse: DataFrame, geo: DataFrame, key: str = "ip") -> DataFrame:
     """Honeypot reports, abuse scores and location by address.
 
-    No broadcast hint: the intel tables grow with the address space, so the choice is left to the
+    Of several reports on an address the last one seen, the one of most reports, and the first by name count, so no
+    event is doubled. No broadcast hint: the intel tables grow with the address space, so the choice is left to the
     adaptive planner, which broadcasts a side only after it has measured it.
     """
-    r = reports.select(key, F.col("count").alias("honeypot_count"), "first_seen", "last_seen")
-    a = abuse.select(key, "abuse_confidence_score", "total_reports", "country_code")
-    g = geo.select(key, "org", "isp")
+    one = lambda df, best: df.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+    seen = F.struct("last_seen", "first_seen", F.col("count").alias("honeypot_count"))
+    r = one(reports, F.max(seen)).select(key, "honeypot_count", "first_seen", "last_seen")
+    a = one(abuse, F.max(F.struct("total_reports", "abuse_confidence_score", "country_code"))).select(key, "abuse_confidence_score", "total_reports", "country_code")
+    g = one(geo, F.min(F.struct("org", "isp")))
     out = df.join(r, key, "left").join(a, key, "left").join(g, key, "left")
     c = F.col("honeypot_count")
     return out.withColumn("threat_level", F.when(c > 10, "high").when(c > 2, "medium").when(c.isNotNull(), "low"))

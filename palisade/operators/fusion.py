@@ -132,7 +132,7 @@ def select_threats(df: DataFrame, floor: float = K.ANALYSIS_FLOOR) -> DataFrame:
                                           lambda s: F.struct(s["layer"].alias("k"), F.round(s["score"], 4).alias("v"))))
     return df.where((F.col("final_score") >= floor) & ~F.col("short_circuited")).select(
         F.col("request_id").alias("event_id"), "timestamp", F.col("ip").alias("ip_address"), F.col("path").alias("url"), "method",
-        F.substring(F.coalesce("body", F.lit("")), 1, 500).alias("payload"),
+        F.coalesce("body", F.lit("")).alias("payload"),
         F.coalesce(F.get(first, F.lit(0))["label"], F.lit("unknown")).alias("attack_type"), F.col("action").alias("action_taken"),
         F.struct(F.col("app_lgbm_score").alias("classifier_score"), F.col("deep_anomaly").alias("anomaly_score"),
                  F.col("final_score").alias("fusion_score"), F.lit(1.0).alias("correlation_amplification"), F.col("final_score")).alias("detection_scores"),
@@ -142,7 +142,6 @@ def select_threats(df: DataFrame, floor: float = K.ANALYSIS_FLOOR) -> DataFrame:
 def derive_blacklist(df: DataFrame, ttl: int = K.TTL_BLACKLIST) -> DataFrame:
     """One temporary block per blocked event; ``upsert_latest`` keeps the last per address."""
     return df.where((F.col("action") == "BLOCK") & (F.coalesce("ip", F.lit("")) != "")).select(
-        F.substring("ip", 1, 45).alias("ip"),
-        F.substring(F.coalesce(F.nullif("block_reason", F.lit("")), F.lit("blocked")), 1, 500).alias("reason"), F.lit(False).alias("permanent"),
+        "ip", F.coalesce(F.nullif("block_reason", F.lit("")), F.lit("blocked")).alias("reason"), F.lit(False).alias("permanent"),
         F.when(F.col("block_reason").contains("correlation"), "correlation").otherwise("auto").alias("source"),
         F.col("ts_us").alias("blocked_us"), (F.col("ts_us") + ttl * 1_000_000).alias("expires_us"), F.lit(None).cast("bigint").alias("unblocked_us"))

@@ -12,13 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade import constants as K
 from palisade.functions import patterns as P
 from palisade.functions.decode import decode_variants, percent_decode
 from palisade.functions.scores import confidence_to_score
 from palisade.functions.text import has, special_ratio
 
-MAX_COMPILED_RULES = K.MAX_ADAPTIVE_RULES + len(P.SIGNATURES)
 
 
 def header(name: str) -> Column:
@@ -75,7 +73,7 @@ def static_decision(df: DataFrame, rate_limited: Column | None = None) -> DataFr
 def jvm_compiles(spark, pattern: str) -> bool:
     """Whether the engine that will run the pattern accepts it; a rule it rejects is ignored, not fatal."""
     try:
-        spark.sparkContext._jvm.java.util.regex.Pattern.compile(P.portable("(?is)" + pattern))
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(P.jvm(P.portable("(?is)" + pattern)))
     except Exception:  # noqa: BLE001 - any JVM complaint means unusable
         return False
     return True
@@ -97,20 +95,18 @@ class RuleBook:
 
     @classmethod
     def from_table(cls, rules: DataFrame) -> "RuleBook":
-        """Active user rules, newest first; the table is capped on admission, and the cap is checked here."""
+        """All active user rules, newest first; their number is bounded where rules are admitted."""
         spark = rules.sparkSession
         active = (rules.where(F.col("status") == "active").orderBy(F.desc("created_us"), "rule_id")
                        .select("rule_id", "pattern", "attack_type"))
-        got = active.limit(K.MAX_ADAPTIVE_RULES + 1).collect()
-        if len(got) > K.MAX_ADAPTIVE_RULES:
-            raise ValueError(f"more than {K.MAX_ADAPTIVE_RULES} active rules")
+        got = active.collect()
         return cls([(r.rule_id, r.pattern, r.attack_type) for r in got if P.compiles(r.pattern) and jvm_compiles(spark, r.pattern)])
 
     def code(self, text: Column, low: Column) -> Column:
         """Index of the deciding rule for one text (``low``: the same in lower case), NULL when none matches."""
         out = None
         for i, rule in enumerate(self.rules):
-            test = text.rlike(rule[2])
+            test = text.rlike(P.jvm(rule[2]))
             if rule[5]:
                 test = has(low, *rule[5]) & test
             out = F.when(test, F.lit(i)) if out is None else out.when(test, F.lit(i))
@@ -125,7 +121,7 @@ class RuleBook:
         """Matched text of the deciding rule only."""
         out = None
         for i, rule in enumerate(self.rules):
-            found = F.regexp_extract(text, rule[2], 0)
+            found = F.regexp_extract(text, P.jvm(rule[2]), 0)
             out = F.when(code == i, found) if out is None else out.when(code == i, found)
         return out
 
@@ -148,12 +144,17 @@ def _unescape_all(values):
     return values.map(lambda vs: None if vs is None else [None if v is None else html.unescape(v) for v in vs])
 
 
+def folded(text: Column) -> Column:
+    """Lower case, with the letters beyond ASCII that case-blind patterns take for an ASCII letter."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
 def _best_hit(book: RuleBook) -> Column:
     """Best (target, reading, rule) of a request from ``__targets`` and the entity-decoded values."""
     def readings(t, i):
         value, raw, decoded = t["value"], F.get("__raw", i), F.get("__decoded", i)
         texts = F.array_compact(decode_variants(value, raw, decoded))
-        pairs = F.transform(texts, lambda v: F.struct(v.alias("v"), F.lower(v).alias("low")))
+        pairs = F.transform(texts, lambda v: F.struct(v.alias("v"), folded(v).alias("low")))
         return F.transform(pairs, lambda x: F.struct(book.code(x["v"], x["low"]).alias("code"), t["field"].alias("field"), x["v"].alias("decoded")))
 
     hits = F.filter(F.flatten(F.transform("__targets", readings)), lambda h: h["code"].isNotNull())
@@ -183,7 +184,7 @@ def signature_filter(df: DataFrame, book: RuleBook | None = None, only: Column |
     code, text = F.col("__hit.code"), F.col("__hit.decoded")
     out = out.select(*df.columns, book.column(code, 0).alias("pattern_group"), book.column(code, 3).alias("pattern"), book.column(code, 1).alias("confidence"),
                      book.column(code, 4).alias("rule_id"), F.col("__hit.field").alias("matched_in"),
-                     F.substring(book.match(code, text), 1, 100).alias("matched_text"), F.substring(text, 1, 200).alias("decoded_input"))
+                     book.match(code, text).alias("matched_text"), text.alias("decoded_input"))
     return out.withColumn(
         "decision", F.when(F.col("confidence") >= 1.0, "MITIGATE").when(F.col("confidence").isNotNull(), "FORWARD_TO_ML").otherwise("ALLOW")
     ).withColumn("score", F.when(F.col("confidence").isNull(), 0.0).otherwise(confidence_to_score(F.col("confidence"))))
@@ -191,7 +192,7 @@ def signature_filter(df: DataFrame, book: RuleBook | None = None, only: Column |
 
 def match_rules(df: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
     """One row per (payload, rule) hit; rules are (id, pattern) and the hits come from one projection."""
-    hits = F.array(*[F.when(F.col(text).rlike(P.portable(p)), F.lit(i)) for i, p in rules])
+    hits = F.array(*[F.when(F.col(text).rlike(P.jvm(P.portable(p))), F.lit(i)) for i, p in rules])
     return df.select(key, F.explode(F.array_compact(hits)).alias("rule_id"))
 
 
@@ -228,20 +229,17 @@ def anti_existing(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.join(old.select(key).distinct(), key, "left_anti")
 
 
-def admit_rules(new: DataFrame, existing: DataFrame, cap: int = K.MAX_ADAPTIVE_RULES) -> DataFrame:
-    """Severe, safe and new patterns, one per pattern, up to the room left under the cap.
+def admit_rules(new: DataFrame, existing: DataFrame, cap: int | None = None) -> DataFrame:
+    """Severe, safe and new patterns, one per pattern; with ``cap``, as many as a store of that size has room for.
 
-    ``new`` needs pattern, attack_type, event_id, severity, confidence, proposed_us. The cap is the
-    rule store's own size limit; earliest proposals win.
+    ``new`` needs pattern, attack_type, event_id, severity, confidence, proposed_us. Earliest proposals win.
     """
     cand = new.where(F.col("severity").isin("CRITICAL", "HIGH") & F.col("pattern").isNotNull()).withColumn("pattern", F.trim("pattern"))
     first = cand.groupBy("pattern").agg(F.min(F.struct("proposed_us", "event_id", "attack_type", "severity", "confidence")).alias("r")).select("pattern", "r.*")
     fresh = validate_patterns(anti_existing(first, existing, "pattern")).where("is_safe").drop("is_safe")
-    room = max(0, cap - existing.count())
-    kept = fresh.orderBy("proposed_us", "event_id", "pattern").limit(room)
+    kept = fresh if cap is None else fresh.orderBy("proposed_us", "event_id", "pattern").limit(max(0, cap - existing.count()))
     return kept.select(
-        F.substring(F.md5("pattern"), 1, 8).alias("rule_id"), "pattern", F.substring("attack_type", 1, 50).alias("attack_type"),
-        F.substring("event_id", 1, 36).alias("source_event_id"), F.substring("severity", 1, 20).alias("severity"),
+        F.md5("pattern").alias("rule_id"), "pattern", "attack_type", F.col("event_id").alias("source_event_id"), "severity",
         F.round("confidence", 4).alias("confidence"), F.lit("active").alias("status"), F.lit(0).cast("bigint").alias("match_count"),
         F.col("proposed_us").alias("created_us"), F.lit(None).cast("bigint").alias("last_matched_us"))
 
@@ -260,7 +258,7 @@ def family_tags(text: Column) -> Column:
     order = {name: i for i, name in enumerate(P.HONEYPOT_FAMILIES)}
     scored = []
     for name, pats in P.HONEYPOT_FAMILIES.items():
-        hits = sum((F.coalesce(text.rlike(P.portable(p)), F.lit(False)).cast("int") for p in pats), F.lit(0))
+        hits = sum((F.coalesce(text.rlike(P.jvm(P.portable(p))), F.lit(False)).cast("int") for p in pats), F.lit(0))
         score = F.round(hits / F.lit(len(pats)), 2)
         scored.append(F.when(hits / F.lit(len(pats)) >= P.HONEYPOT_FLOOR,
                              F.struct((-score).alias("neg"), F.lit(order[name]).alias("ord"), F.lit(name).alias("family"), score.alias("score"))))

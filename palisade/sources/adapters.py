@@ -189,7 +189,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit("accept"), F.lit("*/*")).alias("headers"),
         F.create_map(F.lit("page"), (n % 10).cast("string"),
                      F.lit("q"), pick(texts, F.floor(n / 18))).alias("query_params"),
-        F.when(n % 4 != 3, body).otherwise(F.lit("")).alias("body"),
+        body.alias("body"),
         F.when(n % 2 == 0, "10.9.9.9").otherwise("203.0.113.7").alias("peer_ip"))
 
 

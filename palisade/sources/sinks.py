@@ -21,20 +21,22 @@ def parse_events(raw: DataFrame, col: str = "value") -> DataFrame:
     return parsed.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def to_event_rows(events: DataFrame, now_us: int | None = None) -> DataFrame:
-    """Column types, defaults and lengths of the event table."""
-    text = lambda c, n, default: F.substring(F.coalesce(F.col(c), F.lit(default)), 1, n).alias(c)
+def to_event_rows(events: DataFrame, now_us: int | None = None, widths: dict[str, int] | None = None) -> DataFrame:
+    """Column types and defaults of the event table. Texts stay whole unless ``widths`` bounds a column."""
+    widths = widths or {}
+    bounded = lambda c, value: (F.substring(value, 1, widths[c]) if c in widths else value).alias(c)
+    text = lambda c, default: bounded(c, F.coalesce(F.col(c), F.lit(default)))
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     now = F.lit(now_us / 1e6) if now_us is not None else F.unix_micros(F.current_timestamp()) / F.lit(1e6)
     empty = F.array().cast(LAYER_JSON)
     e = events.withColumn("layer_scores", F.coalesce("layer_scores", empty)).withColumn("action", F.coalesce("action", F.lit("ALLOW")))
     stamp = F.coalesce(F.nullif(F.col("timestamp"), F.lit(0.0)), now)
     return e.select(
-        text("request_id", 36, ""), text("ip", 45, "0.0.0.0"), text("method", 10, "GET"), text("path", 500, "/"), stamp.alias("timestamp"),
+        text("request_id", ""), text("ip", "0.0.0.0"), text("method", "GET"), text("path", "/"), stamp.alias("timestamp"),
         F.timestamp_micros(F.round(stamp * 1_000_000).cast("bigint")).alias("event_time"),
-        zero("final_score").alias("final_score"), text("action", 20, "ALLOW"), text("block_reason", 500, ""), F.coalesce("short_circuited", F.lit(False)).alias("short_circuited"),
+        zero("final_score").alias("final_score"), text("action", "ALLOW"), text("block_reason", ""), F.coalesce("short_circuited", F.lit(False)).alias("short_circuited"),
         zero("network_score").alias("network_score"), F.col("latency_ms").cast("double").alias("latency_ms"),
-        F.substring(F.coalesce(F.nullif("best_label", F.lit("")), best_label(), F.lit("unknown")), 1, 100).alias("best_label"),
+        bounded("best_label", F.coalesce(F.nullif("best_label", F.lit("")), best_label(), F.lit("unknown"))),
         *[zero(f"scores.{c}").alias(c) for c in ("regex_conf", "app_lgbm_score", "net_lgbm_score", "deep_anomaly")],
         F.to_json("layer_scores").alias("layer_scores"))
 

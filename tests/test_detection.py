@@ -171,4 +171,28 @@ def test_append_is_idempotent(spark, tmp_path):
 def test_event_defaults(spark):
     raw = spark.createDataFrame([("{}",), ("nonsense",), ('{"request_id":"' + "x" * 50 + '","latency_ms":null,"action":"BLOCK"}',)], "value string")
     rows = sinks.to_event_rows(sinks.parse_events(raw), now_us=1_000_000).orderBy("action").collect()
-    assert [(r["action"], r["best_label"], r["ip"], r["timestamp"], len(r["request_id"])) for r in rows] == [("ALLOW", "clean", "0.0.0.0", 1.0, 0), ("BLOCK", "unknown", "0.0.0.0", 1.0, 36)]
+    assert [(r["action"], r["best_label"], r["ip"], r["timestamp"], len(r["request_id"])) for r in rows] == [("ALLOW", "clean", "0.0.0.0", 1.0, 0), ("BLOCK", "unknown", "0.0.0.0", 1.0, 50)]
+    cut = sinks.to_event_rows(sinks.parse_events(raw), now_us=1_000_000, widths={"request_id": 36}).where("action = 'BLOCK'").first()
+    assert len(cut["request_id"]) == 36
+
+
+def test_patterns_mean_what_python_means(spark):
+    """Every signature, and rules with ``$``, ``.``, case folding and named groups, over texts that tell engines apart."""
+    import re
+
+    from palisade.functions import patterns as P
+
+    rules = [p for _, _, p, _ in P.SIGNATURES] + [f"(?is){p}" for p in ("words$", "(?P<quo_te>['\"]).*(?P=quo_te)", "a.b", "k1")] + ["a.b", "(?i)sk", "end$"]
+    texts = ["harmless words\n", "harmless words\n\n", "' \u2028 select 1", "'\r select", "'\u0085 union", "'\n select", "<\u017fcript>", "<scr\u0131pt >", "javascr\u0130pt:", "a\nb", "a\rb", "a\u2028b",
+             "\u212a1", "\u017f\u212a", "'x'", "id;\xa0cat", "union\u3000select\u2003x", "-- \n", "#\u2028", "1 or 1=1", "\u0661=\u0661", "end\n", "end\r", "having \u0661=1", "$(ls)", ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", *[F.col("t").rlike(P.jvm(P.portable(p))).alias(f"r{k}") for k, p in enumerate(rules)]).collect()
+    for r in got:
+        for k, p in enumerate(rules):
+            assert r[f"r{k}"] == bool(re.search(p, texts[r["i"]])), (p, texts[r["i"]])
+
+
+def test_signatures_see_folded_letters(spark):
+    rows = [(1, "<\u017fcript>alert(1)"), (2, "javascr\u0130pt:x"), (3, "plain text")]
+    df = spark.createDataFrame(rows, "id int, body string").select("id", "body", F.lit("/").alias("path"), F.expr("map('a', 'b')").alias("query_params"), F.expr("map('c', 'd')").alias("headers"))
+    got = {r["id"]: r["decision"] for r in rules.signature_filter(df).collect()}
+    assert got == {1: "MITIGATE", 2: "MITIGATE", 3: "ALLOW"}
