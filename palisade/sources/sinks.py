@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +41,10 @@ def to_event_rows(events: DataFrame, now_us: int | None = None, widths: dict[str
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The table, or None where nothing is written yet; a table that can't be read is an error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if fs.exists(at) and len(fs.listStatus(at)) else None
 
 
 def new_rows(df: DataFrame, existing: DataFrame | None, key: str, order: str) -> DataFrame:
@@ -55,8 +54,15 @@ def new_rows(df: DataFrame, existing: DataFrame | None, key: str, order: str) ->
 
 
 def append_dedup(df: DataFrame, path: str, key: str = "request_id", order: str = "timestamp", partition_by: str | None = None) -> None:
-    """Append rows whose key is new; a repeated delivery changes nothing."""
-    rows = new_rows(df, read_table(df.sparkSession, path), key, order)
+    """Append rows whose key is new; a repeated delivery changes nothing.
+
+    In a table partitioned by day, say, a repeated delivery has the day of the first: with ``partition_by`` only the
+    partitions that the new rows belong to are read for their keys.
+    """
+    existing = read_table(df.sparkSession, path)
+    if existing is not None and partition_by:
+        existing = existing.join(F.broadcast(df.select(partition_by).distinct()), partition_by, "left_semi")  # partitions of one batch
+    rows = new_rows(df, existing, key, order)
     writer = rows.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 

@@ -61,12 +61,14 @@ def event_sink(events: DataFrame, table: str, progress: str, available_now: bool
 
 
 def score_stream(requests: DataFrame, rules_path: str, table: str, progress: str, available_now: bool = False) -> StreamingQuery:
-    """Signature verdicts of a request stream; the rule table is read anew for every trigger."""
+    """Signature verdicts of a request stream; the rule table is read anew for every trigger.
+
+    Every batch has a folder of its own (column ``batch_id`` when read), so a batch that is run again replaces itself.
+    """
 
     def score(batch: DataFrame, batch_id: int) -> None:
         book = RuleBook.from_table(batch.sparkSession.read.parquet(rules_path))
-        scored = signature_filter(batch, book).withColumn("batch_id", F.lit(batch_id))
-        scored.write.mode("append").parquet(table)
+        signature_filter(batch, book).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     writer = requests.writeStream.foreachBatch(score).option("checkpointLocation", progress)
     timed = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{K.RULE_RELOAD_SECONDS} seconds")

@@ -81,11 +81,11 @@ class FlowState(StatefulProcessor):
                 s = None
             if s is None:
                 s = [int(p.t_us), int(p.t_us), int(p.packet_id), 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.0, 0.0, session]
-            gap = int(p.t_us) - s[1]
+            gap = int(p.t_us) - s[1]  # negative for a packet that comes late: it belongs to the flow and ends nothing
             if gap > IDLE_GAP_US:
                 s[12], s[13], s[14] = s[12] + 1, s[13] + gap, s[14] + float(gap) * gap
             fwd, size, flags = p.direction == "fwd", int(p.length), int(p.flags)
-            s[1] = int(p.t_us)
+            s[0], s[1] = min(s[0], int(p.t_us)), max(s[1], int(p.t_us))
             s[3] += 1
             s[4], s[5] = s[4] + fwd, s[5] + (not fwd)
             s[6], s[7] = s[6] + size * fwd, s[7] + size * (not fwd)
@@ -141,9 +141,10 @@ class CorrelationState(StatefulProcessor):
         seen = list(zip(*self.seen.get())) if self.seen.exists() else []
         out = []
         for e in gather(rows, ["t_us", "event_id"]).itertuples(index=False):
-            seen = [x for x in seen if x[0] > e.t_us - self.keep]
-            seen = [*seen, (int(e.t_us), e.layer, e.type)][-self.cap:]
-            near = [x for x in seen if x[0] >= e.t_us - self.window]
+            # In order of time, whenever they came: a late event neither sees what is after it nor pushes it out.
+            seen = sorted([*seen, (int(e.t_us), e.layer, e.type)], key=lambda x: x[0])
+            seen = [x for x in seen if x[0] > seen[-1][0] - self.keep or x[0] == e.t_us][-self.cap:]
+            near = [x for x in seen if e.t_us - self.window <= x[0] <= e.t_us]
             layers = {x[1] for x in near if x[1]}
             types = {x[2] for x in near if x[2] not in BENIGN_TYPES}
             both, n = {"network", "application"} <= layers, max(1, len(types))
@@ -195,9 +196,10 @@ class TtlState(StatefulProcessor):
         df = df.assign(k=(df["op"] != "set").astype(int)).sort_values(["t_us", "k", "event_id"], kind="stable")
         for e in df.itertuples(index=False):
             if e.op == "set":
-                held, written = (e.value, int(e.t_us)), True
+                if held is None or e.t_us >= held[1]:  # an older value that comes late replaces nothing
+                    held, written = (e.value, int(e.t_us)), True
             else:
-                live = held is not None and (self.ttl is None or e.t_us - held[1] < self.ttl)
+                live = held is not None and held[1] <= e.t_us and (self.ttl is None or e.t_us - held[1] < self.ttl)
                 out.append({"event_id": int(e.event_id), "key": key[0], "value": held[0] if live else None})
         if written:
             self.value.update(held)
@@ -240,7 +242,7 @@ class RateState(StatefulProcessor):
         out = []
         for e in gather(rows, ["t_us", "event_id"]).itertuples(index=False):
             n = 1 if last is None or e.t_us - last >= self.silence else n + 1
-            last = int(e.t_us)
+            last = int(e.t_us) if last is None else max(last, int(e.t_us))  # a late request doesn't set the clock back
             out.append({"event_id": int(e.event_id), "ip": key[0], "session_requests": n, "rate_limited": n > self.limit})
         self.count.update((n, last))
         for t in list(self.handle.listTimers()):
