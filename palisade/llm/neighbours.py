@@ -8,7 +8,8 @@ The number of probes is the smallest that reaches ``RECALL`` against brute force
 
 The number of buckets follows the number of vectors (about ``BUCKET_ROWS`` each). Equal vectors are one entry with
 the k + 1 smallest ids, which is all that can matter, so copies fill no bucket; a bucket of more than ``BLOCK``
-entries is split and its queries visit every part. Queries that find fewer than k are searched in all buckets.
+entries is split and its queries visit every part. Buckets travel in parts of about ``PART_ROWS`` entries, so a
+query is sent once to a part and not once to a bucket. Queries that find fewer than k are searched in all buckets.
 
 Vectors that are null, zero or hold a null or non-finite component take no part; nor do those of another length
 than most. Repeated rows count once. Ties go to the smaller id. Empty table: empty result. Extra columns play no part.
@@ -26,7 +27,8 @@ from palisade.llm.common import ready, stored
 TABLES = 8
 BUCKET_ROWS = 100
 MOST_AXES = 1 << 14
-BLOCK = 4096
+BLOCK = 1024
+PART_ROWS = 8192
 RECALL = 0.96
 SAMPLE = 128
 SEED = 11
@@ -102,16 +104,14 @@ def best(query: np.ndarray, entry: np.ndarray, score: np.ndarray, k: int) -> np.
 
 
 def top_of_block(ids: np.ndarray, v: np.ndarray, queries: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, entry, score) of the k best entries of a block for every query."""
+    """(query, entry, score) of the k best entries of a block, and all that tie with the last, for every query."""
     s = q @ v.T
     if s.shape[1] > k:
         edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         i, j = np.nonzero(s >= edge[:, None])
     else:
         i, j = (x.ravel() for x in np.indices(s.shape))
-    out = queries[i], ids[j], s[i, j]
-    keep = best(*out, k)
-    return tuple(x[keep] for x in out)
+    return queries[i], ids[j], s[i, j]
 
 
 def _lists(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> pa.RecordBatch:
@@ -153,63 +153,75 @@ def merged(found: DataFrame, k: int) -> DataFrame:
     return found.repartition("q").sortWithinPartitions("q").mapInArrow(run, FOUND)
 
 
-def search(entries: DataFrame, queries: DataFrame, hashing: CrossPolytope, probes: int, k: int) -> DataFrame:
+def search(entries: DataFrame, entries_rows: int, queries: DataFrame, hashing: CrossPolytope, probes: int, k: int) -> DataFrame:
     """The k best entries (id, v) found for every query (id, v): rows (q, e, s)."""
     every = probes >= 2 * hashing.axes
     tables = 1 if every else hashing.tables
 
-    def post(batches):
-        for b in batches:
-            unit = hashing.unit(_matrix(b), False)
-            for t in range(tables):
-                slot = hashing.buckets(unit, t) + 2 * hashing.axes * t
-                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), b.column("id"), b.column("v")], names=["slot", "id", "v"])
+    slots_ = 2 * hashing.axes
+    parts = 1 if every else max(1, min(slots_, entries_rows // PART_ROWS))  # of a table
 
-    def ask(batches):
+    def place(batches, query: bool):
         for b in batches:
-            unit = hashing.unit(_matrix(b), True)
-            for t in range(tables):
-                near = hashing.probes(unit, t, probes) + 2 * hashing.axes * t
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([lists, b.column("id"), b.column("v")], names=["slots", "id", "v"])
-
-    posted = entries.select("id", "v").mapInArrow(post, "slot int, id bigint, v array<double>")
+            unit = hashing.unit(_matrix(b), query)
+            slots = [hashing.probes(unit, t, probes) + slots_ * t if query else (hashing.buckets(unit, t) + slots_ * t)[:, None] for t in range(tables)]
+            slots = np.hstack(slots)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1) * slots.shape[1], pa.int32()), pa.array(slots.ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), lists], names=["id", "v", "slots"])
+
+    placed = "id bigint, v array<double>, slots array<int>"
+    posted = stored(entries.select("id", "v").mapInArrow(lambda x: place(x, False), placed), "posted")
+    asked = queries.select("id", "v").mapInArrow(lambda x: place(x, True), placed)
+    part = lambda slot: F.floor(slot * F.lit(parts) / F.lit(slots_)).cast("int")
     # As many rows as tables x 2 x axes at most.
-    blocks = posted.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = queries.select("id", "v").mapInArrow(ask, "slots array<int>, id bigint, v array<double>").select(F.explode("slots").alias("slot"), "id", "v")
-    stand = posted.join(F.broadcast(blocks), "slot").select("slot", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
-    visit = asked.join(F.broadcast(blocks), "slot").select("slot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "v")
+    sizes = posted.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    per_part = sizes.groupBy(part(F.col("slot")).alias("part")).agg(F.max("blocks").alias("blocks"))
+    stand = (posted.select("id", "v", F.explode("slots").alias("slot")).join(F.broadcast(sizes), "slot")
+             .select(part(F.col("slot")).alias("part"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v", F.array("slot").alias("slots")))
+    visit = asked.select("id", "v", "slots", F.explode(F.array_distinct(F.transform("slots", part))).alias("part")).join(F.broadcast(per_part), "part")
+    visit = visit.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "v", F.filter("slots", lambda x: part(x) == F.col("part")).alias("slots"))
 
     def compare(batches):
         found, size = [], 0
-        at, ids, rows, block = None, [], [], None
+        at, held, block = None, [], None
         for b in batches:
-            place = np.array(b.column("slot"), np.int64) * (1 << 31) + np.array(b.column("block"), np.int64)
+            group = np.array(b.column("part"), np.int64) * (1 << 31) + np.array(b.column("block"), np.int64)
             kind, number, v = np.array(b.column("kind")), np.array(b.column("id")), _matrix(b)
-            edges = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (kind[1:] != kind[:-1]), [True]]))
+            lists = np.diff(np.array(b.column("slots").offsets))
+            slots, first = np.array(b.column("slots").flatten()), np.append(0, np.cumsum(lists))
+            edges = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (kind[1:] != kind[:-1]), [True]]))
             for lo, hi in zip(edges[:-1], edges[1:]):
-                if place[lo] != at:
-                    at, ids, rows, block = place[lo], [], [], None
+                if group[lo] != at:
+                    at, held, block = group[lo], [], None
                 if kind[lo] == 0:
-                    ids.append(number[lo:hi])
-                    rows.append(v[lo:hi])
+                    held.append((slots[first[lo]:first[hi]], number[lo:hi], v[lo:hi]))
                     continue
-                if not ids:
+                if not held:
                     continue
-                block = (np.concatenate(ids), np.concatenate(rows)) if block is None else block
-                found.append(top_of_block(*block, number[lo:hi], v[lo:hi], k))
-                size += len(found[-1][0])
-            if size > HELD:
-                every_ = tuple(np.concatenate([f[x] for f in found]) for x in range(3))
-                keep = best(*every_, k)
-                found, size = [tuple(x[keep] for x in every_)], len(keep)
-                if size > HELD // 2:
-                    yield _lists(found, k)
-                    found, size = [], 0
+                if block is None:  # entries in order of their bucket
+                    block = [np.concatenate([h[x] for h in held]) for x in range(3)]
+                    order = np.argsort(block[0], kind="stable")
+                    block = [x[order] for x in block]
+                wanted, who = slots[first[lo]:first[hi]], np.repeat(np.arange(lo, hi), lists[lo:hi])
+                order = np.argsort(wanted, kind="stable")
+                wanted, who = wanted[order], who[order]
+                cut = np.flatnonzero(np.concatenate([[True], wanted[1:] != wanted[:-1], [True]]))
+                left, right = (np.searchsorted(block[0], wanted[cut[:-1]], side) for side in ("left", "right"))
+                for c, d, x, y in zip(cut[:-1], cut[1:], left, right):
+                    if x < y:
+                        found.append(top_of_block(block[1][x:y], block[2][x:y], number[who[c:d]], v[who[c:d]], k))
+                        size += len(found[-1][0])
+                if size > HELD:
+                    every_ = tuple(np.concatenate([f[x] for f in found]) for x in range(3))
+                    keep = best(*every_, k)
+                    found, size = [tuple(x[keep] for x in every_)], len(keep)
+                    if size > HELD // 2:
+                        yield _lists(found, k)
+                        found, size = [], 0
         if size:
             yield _lists(found, k)
 
-    both = stand.unionByName(visit).repartition("slot", "block").sortWithinPartitions("slot", "block", "kind")
+    both = stand.unionByName(visit).repartition("part", "block").sortWithinPartitions("part", "block", "kind")
     return merged(both.mapInArrow(compare, FOUND), k)
 
 
@@ -298,11 +310,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], empty)
     ids, q = np.array([r["id"] for r in sample]), np.array([r["v"] for r in sample])
     probes = probes_for(recall, hashing, q, brute_force(entries, ids, q, k + 1))
-    found = stored(search(entries, asked, hashing, probes, k + 1), "found")
+    found = stored(search(entries, stats["n"], asked, hashing, probes, k + 1), "found")
     enough = min(k + 1, stats["n"])
     short = asked.join(found.where(F.size("e") >= enough).select(F.col("q").alias("id")), "id", "left_anti")
     if short.limit(1).count():
-        rest = stored(search(entries, short, hashing, 2 * hashing.axes, k + 1), "found")
+        rest = stored(search(entries, stats["n"], short, hashing, 2 * hashing.axes, k + 1), "found")
         found = found.where(F.size("e") >= enough).unionByName(rest)
     pairs = found.select("q", F.explode("e").alias("e"))
     far = entries.select(F.col("id").alias("e"), F.col("v").alias("w"), "ids")
