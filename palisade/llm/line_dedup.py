@@ -62,10 +62,10 @@ def deletion_keys(end: Column, part: Column, size: Column) -> Column:
 
 
 def _beside(rows: DataFrame, whole: Column, key: Column) -> DataFrame:
-    """(place, h, key, part): what is beside the head or tail ``e`` of ``whole``."""
+    """(place, key, part): what is beside the head or tail ``e`` of ``whole``."""
     n = F.char_length(whole)
     part = F.when(F.col("e.side") == 1, F.substr(whole, F.col("e.c") + 1, n)).otherwise(F.substr(whole, F.lit(1), n - F.col("e.c")))
-    return rows.select("place", "h", key.alias("key"), part.alias("part"))
+    return rows.select("place", key.alias("key"), part.alias("part"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -91,12 +91,13 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     some = some.select(F.struct("doc_id", "k1", "k2", F.col("w.at").alias("at")).alias("place"), F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.keys").alias("keys"), F.get("lines", F.col("w.at")).alias("line"))
 
     # Exploding first makes the parts columns: inside a lambda they would be cut again for every variant.
-    first = some.select("place", "h", "line", F.explode(F.filter(ends(F.col("line")), lambda e: F.array_contains("keys", e["key"]))).alias("e"))
+    first = some.select("place", "line", F.explode(F.filter(ends(F.col("line")), lambda e: F.array_contains("keys", e["key"]))).alias("e"))
     parts = _beside(first, F.col("line"), F.col("e.key"))
     for _ in range(HALVINGS - 1):
-        deeper = parts.select("place", "h", "key", "part", F.explode(ends(F.col("part"))).alias("e"))
+        deeper = parts.select("place", "key", "part", F.explode(ends(F.col("part"))).alias("e"))
         deeper = _beside(deeper, F.col("part"), F.xxhash64("key", "e.key"))
-        again = deeper.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+        # By place, which the other side needs as well: both sides then read one exchange of the texts.
+        again = deeper.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key")
         parts = deeper.join(again, "key", "left_semi")
     emitted = parts.select("place", F.explode(deletion_keys(F.col("key"), F.col("part"), F.char_length("part"))).alias("v")).select("place", "v.key", "v.role")
     under = Window.partitionBy("key")
