@@ -89,3 +89,54 @@ def test_rules_are_reloaded(spark, tmp_path):
     run()
     got = {r["id"]: (r["decision"], r["rule_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: ("ALLOW", None), 2: ("MITIGATE", "r1")}
+
+
+class _Value:
+    def __init__(self):
+        self.v = None
+
+    exists = lambda self: self.v is not None
+    get = lambda self: self.v
+    update = lambda self, v: setattr(self, "v", v)
+    clear = lambda self: setattr(self, "v", None)
+
+
+class _Handle:
+    """Just enough of a state handle to feed a processor trigger by trigger."""
+
+    def __init__(self):
+        self.timers = []
+
+    getValueState = lambda self, name, schema: _Value()
+    listTimers = lambda self: list(self.timers)
+    deleteTimer = lambda self, t: self.timers.remove(t)
+    registerTimer = lambda self, t: self.timers.append(t)
+
+
+def _fed(processor, triggers):
+    import pandas as pd
+
+    processor.init(_Handle())
+    out = []
+    for rows in triggers:
+        for part in processor.handleInputRows(("k",), iter([pd.DataFrame(rows)]), None):
+            out += part.to_dict("records")
+    return out, processor.handle
+
+
+def test_late_rows_do_not_set_state_back():
+    """Two triggers, the second with a row that is older than the last of the first."""
+    from palisade.streaming import state
+
+    us = 1_000_000
+    rate, handle = _fed(state.RateState(), [[{"event_id": 1, "t_us": 1000 * us}, {"event_id": 2, "t_us": 1010 * us}], [{"event_id": 3, "t_us": 1005 * us}, {"event_id": 4, "t_us": 1068 * us}]])
+    assert [r["session_requests"] for r in rate] == [1, 2, 3, 4] and handle.timers == [(1068 * us + 60 * us) // 1000 + 1]
+    ttl, _ = _fed(state.TtlState(60), [[{"event_id": 1, "t_us": 20 * us, "op": "set", "value": "new"}], [{"event_id": 2, "t_us": 10 * us, "op": "set", "value": "old"}, {"event_id": 3, "t_us": 30 * us, "op": "get", "value": None}]])
+    assert [r["value"] for r in ttl] == ["new"]
+    e = lambda i, t, layer, kind: {"event_id": i, "t_us": t * us, "layer": layer, "type": kind, "score": 0.5}
+    corr, handle = _fed(state.CorrelationState(), [[e(1, 100, "network", "a"), e(2, 109, "network", "b")], [e(3, 104, "application", "c"), e(4, 110, "application", "d")]])
+    # The late event sees what was before it only; the last one sees everything within its window, in any order of arrival.
+    assert [r["history_count"] for r in corr] == [1, 2, 2, 4] and [r["correlated"] for r in corr] == [False, False, True, True]
+    packet = lambda i, t: {"packet_id": i, "t_us": t * us, "direction": "fwd", "length": 10, "flags": 0}
+    _, handle = _fed(state.FlowState(), [[packet(1, 100), packet(2, 110)], [packet(3, 95)]])
+    assert handle.timers and all(t > 110 * 1000 for t in handle.timers)
