@@ -96,8 +96,9 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     for _ in range(HALVINGS - 1):
         deeper = parts.select("place", "key", "part", F.explode(ends(F.col("part"))).alias("e"))
         deeper = _beside(deeper, F.col("part"), F.xxhash64("key", "e.key"))
-        # By place, which the other side needs as well: both sides then read one exchange of the texts.
-        again = deeper.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("key")
+        # With doc_id, which the other side needs as well: both sides then read one exchange of the texts.
+        doc = F.col("place.doc_id")
+        again = deeper.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b")).where("n > 1 or a <> b").select("key")
         parts = deeper.join(again, "key", "left_semi")
     emitted = parts.select("place", F.explode(deletion_keys(F.col("key"), F.col("part"), F.char_length("part"))).alias("v")).select("place", "v.key", "v.role")
     under = Window.partitionBy("key")
@@ -106,10 +107,10 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     near = emitted.withColumn("partner", partner).where(F.col("partner") < F.col("place")).groupBy("place").agg(F.min("partner").alias("partner"))
     texts = some.select("place", "h", "g", "line")
     pairs = near.join(texts, "place").join(texts.select(F.col("place").alias("partner"), F.col("line").alias("other")), "partner")
-    alike = pairs.where(F.levenshtein("line", "other", 1) >= 0).select("h", "g", F.lit(True).alias("near"))
+    alike = pairs.where(F.levenshtein("line", "other", 1) >= 0).select("h", "g", F.col("place").alias("first"), F.lit(True).alias("near"))
 
-    status = distinct.select("h", "g", "first", "several").join(alike.distinct(), ["h", "g"], "left").where("near or several")
-    gone = named.select("h", "g", "place").join(status.select("h", "g", "first", "near"), ["h", "g"]).where(F.coalesce("near", F.lit(False)) | (F.col("place") > F.col("first")))
+    status = distinct.where("several").select("h", "g", "first", F.lit(False).alias("near")).unionByName(alike)
+    gone = named.select("h", "g", "place").join(status, ["h", "g"]).where(F.col("near") | (F.col("place") > F.col("first")))
     return gone.groupBy(F.col("place.k1").alias("k1"), F.col("place.k2").alias("k2")).agg(F.sort_array(F.collect_set("place.at")).alias("drop"))
 
 
