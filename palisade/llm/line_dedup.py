@@ -105,7 +105,8 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     whole, deleted, same = (F.min(F.when(F.col("role") == r, F.col("place"))).over(under) for r in (0, 1, 2))
     partner = F.when(F.col("role") == 0, deleted).when(F.col("role") == 1, whole).otherwise(same)
     near = emitted.withColumn("partner", partner).where(F.col("partner") < F.col("place")).groupBy("place").agg(F.min("partner").alias("partner"))
-    texts = some.select("place", "h", "g", "line")
+    needed = near.select("place").unionByName(near.select(F.col("partner").alias("place"))).distinct()
+    texts = some.select("place", "h", "g", "line").join(needed, "place")
     pairs = near.join(texts, "place").join(texts.select(F.col("place").alias("partner"), F.col("line").alias("other")), "partner")
     alike = pairs.where(F.levenshtein("line", "other", 1) >= 0).select("h", "g", F.col("place").alias("first"), F.lit(True).alias("near"))
 
@@ -115,7 +116,10 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def kept_lines(lines: Column, drop: Column) -> Column:
-    """The lines at positions other than ``drop`` (sorted): what lies between the removed ones."""
+    """The lines at positions other than ``drop`` (sorted): what lies between the removed ones.
+
+    ``lines`` should be a column: as an expression it would be computed again for every piece.
+    """
     edges = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(lines)))
     between = F.transform(F.sequence(F.lit(1), F.size(drop) + 1), lambda i: F.slice(lines, F.get(edges, i - 1) + 2, F.get(edges, i) - F.get(edges, i - 1) - 1))
     return F.flatten(between)
@@ -125,7 +129,8 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per row: doc_id, text without the removed lines, n_lines, n_removed."""
     drop = removed_lines(docs, least)
     joined = _keyed(docs).join(drop, ["k1", "k2"], "left")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.split("text", "\n"), F.col("drop")), "\n"))
+    joined = joined.withColumn("__lines", F.when(F.col("drop").isNotNull(), F.split("text", "\n")))
+    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.col("__lines"), F.col("drop")), "\n"))
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return joined.select("doc_id", "k1", "k2", text.alias("text"), F.coalesce(n_lines, F.lit(0)).cast("bigint").alias("n_lines"),
                          F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("bigint").alias("n_removed"))
@@ -140,7 +145,8 @@ def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     joined = keyed.join(drop, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     joined = joined.where(F.col("__drop").isNull() | (F.size("__drop") < n_lines))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.split("text", "\n"), F.col("__drop")), "\n"))
+    joined = joined.withColumn("__lines", F.when(F.col("__drop").isNotNull(), F.split("text", "\n")))
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.col("__lines"), F.col("__drop")), "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
