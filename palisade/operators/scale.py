@@ -126,19 +126,6 @@ def with_context(df: DataFrame, ts_us: str, seconds: int, back: bool = True) ->
               .drop("__copy"))
 
 
-def trailing(df: DataFrame, keys: list[str], ts_us: str, seconds: int, aggs: dict[str, Column],
-             include_edge: bool = True) -> DataFrame:
-    """Any aggregates over the rows of the same key in the last ``seconds`` (time ties are peers).
-
-    Cost grows with rows x window size; ``sliding_sum`` is the linear way for sums and last-seen times.
-    """
-    low = -seconds * US if include_edge else -seconds * US + 1
-    w = Window.partitionBy(*keys, "__bucket").orderBy(ts_us).rangeBetween(low, 0)
-    out = with_context(df, ts_us, seconds)
-    out = out.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    return out.where(~F.col("__context")).drop("__bucket", "__context")
-
-
 def sliding_sum(instants: DataFrame, keys: list[str], ts_us: str, span_us: int, value: str, out: str,
                 last: dict[str, str] | None = None) -> DataFrame:
     """Sum of ``value`` over the window that an instant enters now and leaves ``span_us`` later.
