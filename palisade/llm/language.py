@@ -3,7 +3,7 @@
 Texts become hashed byte-trigram frequencies of their lowered letters, computed in the tasks over whole texts.
 Languages whose mean vectors lie close are grouped to families; linear support vector machines, one for every
 pair of families and one for every pair of languages of a family, are fitted on at most ``PER_LANGUAGE``
-labelled rows a language (a bounded sample, in hash order of doc_id and text). Prediction is row by row,
+labelled rows a language (a bounded sample, in hash order of the text). Prediction is row by row,
 without any shuffle.
 
 Null text or text without a letter: ``und`` with score 0. Nothing to learn from: ``und`` everywhere. One label
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labelled: Column | None = None, per_language: int = PER
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if labelled is None else rows.where(labelled)
-    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     chance = F.pmod("h", F.lit(1 << 30)) / float(1 << 30) <= F.lit(4.0 * per_language + 50) / F.col("count")
     first = rows.join(F.broadcast(counts), "lang").where(chance)
