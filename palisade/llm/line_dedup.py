@@ -9,6 +9,13 @@ lost a character at one place differ by one substitution, and a line that is the
 insertion; so the earliest partner is a grouped minimum and no pairs are listed. The partner found is verified by
 edit distance on the full texts.
 
+A bound of 2 edits (``earlier_within_2``) is another search: two edits leave alike a half, or two quarters, of which
+one may have moved by one character (``halves``). Lines under a key of such a half are compared in pairs while they
+are at most ``GROUP``; larger groups are split by the halves of what is beside the shared part, until that has
+at most ``SHORT`` characters, and then emit variants with up to two characters masked or deleted, under which the
+earliest partner is again a grouped minimum. No pair within the bound is left out. ``op10_line_dedup`` has a bound
+of 1, as its SQL twin says; the pipeline has 2.
+
 The earliest line stays (smallest doc_id, then text hash, then position); a line is removed when an earlier like
 line exists in the input, whether or not that one is removed itself. Lines of fewer than ``LEAST`` characters
 are never removed. Lines are split at ``\\n``. Null text: no lines, stays null. Null doc_id: before all others.
@@ -28,6 +35,8 @@ from palisade.llm.common import stored
 
 LEAST = 20
 HALVINGS = 3
+GROUP = 256
+SHORT = 16
 
 
 def _cuts(line: Column) -> Column:
@@ -68,16 +77,103 @@ def _beside(rows: DataFrame, whole: Column, key: Column) -> DataFrame:
     return rows.select("place", key.alias("key"), part.alias("part"))
 
 
+def halves(line: Column, above: Column) -> Column:
+    """(key, rest) of every half that lines within 2 edits may share, and what is beside it with a line break for each
+    shared part (a line has none of its own).
+
+    Of quarters Q1 to Q4 at the ends (and what is between them), 2 edits leave Q1 Q2 or Q3 Q4, or else lie one in each
+    of these halves: then a quarter of each half stays, that next to the middle moved by one character at most.
+    """
+    n = F.char_length(line)
+
+    def quarter(size: Column) -> Column:
+        return (F.floor(F.greatest(size, F.lit(0)) / 8) * 2).cast("int")
+
+    def shared(kind: int, q: Column, i: Column, m: Column, j: Column, k: Column) -> Column:
+        a, b = F.substr(line, i + 1, m), F.substr(line, j + 1, k)
+        rest = F.concat(F.substr(line, F.lit(1), i), F.lit("\n"), F.substr(line, i + m + 1, j - i - m), F.lit("\n"), F.substr(line, j + k + 1, n))
+        return F.struct(F.xxhash64(above, F.lit(kind), q, a, b).alias("key"), rest.alias("rest"))
+
+    def of(q: Column) -> Column:
+        none = F.lit(0)
+        out = [shared(0, q, none, 2 * q, n, none), shared(1, q, n - 2 * q, 2 * q, n, none), shared(2, q, none, q, n - q, q)]
+        for moved in (-1, 0, 1):
+            out += [shared(3, q, q + moved, q, n - q, q), shared(4, q, none, q, n - 2 * q + moved, q), shared(5, q, q + moved, 2 * q, n, none)]
+        # Too short for quarters: compared with all under the key.
+        return F.when(q > 0, F.array(*out)).otherwise(F.array(F.struct(F.xxhash64(above, F.lit(6)).alias("key"), line.alias("rest"))))
+
+    # Lines whose lengths differ by up to 2 have one size of quarter in common.
+    return F.flatten(F.transform(F.array_distinct(F.array(quarter(n), quarter(n - 2))), of))
+
+
+def variants(key: Column, rest: Column) -> Column:
+    """(key, masked, deleted): ``rest`` with up to two characters masked or deleted; its line breaks stay."""
+    places = F.filter(F.sequence(F.lit(1), F.char_length(rest)), lambda i: F.substr(rest, i, F.lit(1)) != "\n")
+    places = F.when(rest == "", F.expr("cast(array() as array<int>)")).otherwise(places)
+
+    def without(text: Column, i: Column) -> Column:
+        return F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1, F.char_length(text)))
+
+    def row(text: Column, deleted: int, *masked: Column) -> Column:
+        """A mask is a place from which a character is gone."""
+        return F.struct(F.xxhash64(key, F.lit(len(masked)), text, *masked).alias("key"), F.lit(len(masked)).alias("masked"), F.lit(deleted).alias("deleted"))
+
+    def both(i: Column, j: Column) -> Column:
+        text = without(without(rest, j), i)
+        return F.array(row(text, 0, i, j), row(text, 2), row(text, 1, i), row(text, 1, j - 1))
+
+    one = F.transform(places, lambda i: F.array(row(without(rest, i), 0, i), row(without(rest, i), 1)))
+    two = F.flatten(F.transform(places, lambda j: F.transform(F.filter(places, lambda i: i < j), lambda i: both(i, j))))
+    return F.concat(F.array(row(rest, 0)), F.flatten(one), F.flatten(two))
+
+
+def earlier_within_2(lines: DataFrame) -> DataFrame:
+    """(h, g) of those ``lines`` (h, g, place, line; distinct) that have an earlier one within 2 edits."""
+    posted = lines.select("h", F.explode(F.transform(halves(F.col("line"), F.lit(0)), lambda e: e["key"])).alias("key"))
+    shared = posted.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    screened = posted.join(shared, "key", "left_semi").groupBy("h").agg(F.collect_set("key").alias("keys"))
+    some = lines.join(screened, "h").select("place", "h", "g", "line", "keys", F.explode(halves(F.col("line"), F.lit(0))).alias("e")).where(F.array_contains("keys", F.col("e.key")))
+    rows = stored(some.select("place", "h", "g", "line", "e.key", "e.rest").dropDuplicates(["key", "h", "g"]), "halves")
+    found = None
+    while True:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.char_length("rest")).alias("longest")).where("n > 1")
+        sized = rows.join(sizes, "key")
+        few = sized.where(F.col("n") <= GROUP)
+        other = few.select("key", F.col("place").alias("before"), F.col("line").alias("other"))
+        pairs = few.join(other, "key").where((F.col("before") < F.col("place")) & (F.levenshtein("line", "other", 2) >= 0)).select("h", "g")
+        emitted = sized.where((F.col("n") > GROUP) & (F.col("longest") <= SHORT)).select("place", "h", "g", F.explode(variants(F.col("key"), F.col("rest"))).alias("v"))
+        under = Window.partitionBy("v.key")
+        first = [F.min(F.when(F.col("v.deleted") == d, F.col("place"))).over(under) for d in range(3)]
+        free = 2 - F.col("v.masked") - F.col("v.deleted")
+        partner = F.when(free == 0, first[0]).when(free == 1, F.least(*first[:2])).otherwise(F.least(*first))
+        masked = emitted.select("h", "g", (partner < F.col("place")).alias("near")).where("near").select("h", "g")
+        new = stored(pairs.unionByName(masked).distinct(), "near")
+        found = new if found is None else found.unionByName(new)
+        deeper = sized.where((F.col("n") > GROUP) & (F.col("longest") > SHORT)).select("place", "h", "g", "line", F.explode(halves(F.col("rest"), F.col("key"))).alias("e"))
+        rows = stored(deeper.select("place", "h", "g", "line", "e.key", "e.rest").dropDuplicates(["key", "h", "g"]), "halves")
+        if not rows.limit(1).count():
+            return found.distinct()
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").alias("k2"))
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(k1, k2, drop): the keys of a row and the sorted positions (from 0) of its lines to remove."""
+def removed_lines(docs: DataFrame, least: int = LEAST, bound: int = 1) -> DataFrame:
+    """(k1, k2, drop): the keys of a row and the sorted positions (from 0) of its lines to remove; lines within ``bound``
+    (1 or 2) edits are alike."""
+    if bound not in (1, 2):
+        raise ValueError("the bound is 1 or 2 edits")
     base = _keyed(docs)
     lines = base.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= least)
     place = F.struct("doc_id", "k1", "k2", "at")
     named = lines.select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
+    if bound == 2:
+        distinct = named.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("line").alias("line"))
+        distinct = stored(distinct.withColumn("several", F.col("first") != F.col("last")), "lines")
+        near = earlier_within_2(distinct.select("h", "g", F.col("first").alias("place"), "line"))
+        alike = distinct.join(near, ["h", "g"], "left_semi").select("h", "g", "first", F.lit(True).alias("near"))
+        return _positions(named, distinct, alike)
     once = named.select("place", "h", "g", F.transform(ends(F.col("line")), lambda e: e["key"]).alias("ends")).groupBy("h", "g")
     once = once.agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("ends").alias("ends"))
     distinct = stored(once.select("h", "g", "first", (F.col("first") != F.col("last")).alias("several"), "ends"), "lines")
@@ -110,6 +206,10 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     pairs = near.join(texts, "place").join(texts.select(F.col("place").alias("partner"), F.col("line").alias("other")), "partner")
     alike = pairs.where(F.levenshtein("line", "other", 1) >= 0).select("h", "g", F.col("place").alias("first"), F.lit(True).alias("near"))
 
+    return _positions(named, distinct, alike)
+
+
+def _positions(named: DataFrame, distinct: DataFrame, alike: DataFrame) -> DataFrame:
     status = distinct.where("several").select("h", "g", "first", F.lit(False).alias("near")).unionByName(alike)
     gone = named.select("h", "g", "place").join(status, ["h", "g"]).where(F.col("near") | (F.col("place") > F.col("first")))
     return gone.groupBy(F.col("place.k1").alias("k1"), F.col("place.k2").alias("k2")).agg(F.sort_array(F.collect_set("place.at")).alias("drop"))
@@ -125,9 +225,9 @@ def kept_lines(lines: Column, drop: Column) -> Column:
     return F.flatten(between)
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = LEAST, bound: int = 1) -> DataFrame:
     """Per row: doc_id, text without the removed lines, n_lines, n_removed."""
-    drop = removed_lines(docs, least)
+    drop = removed_lines(docs, least, bound)
     joined = _keyed(docs).join(drop, ["k1", "k2"], "left")
     joined = joined.withColumn("__lines", F.when(F.col("drop").isNotNull(), F.split("text", "\n")))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.col("__lines"), F.col("drop")), "\n"))
@@ -136,11 +236,11 @@ def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
                          F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = LEAST, bound: int = 1) -> DataFrame:
     """``docs`` with the text that is left and n_chars, where there is one, to match; rows of which every line was
     removed are repeats as a whole and go."""
     names = docs.columns
-    drop = removed_lines(docs, least).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "drop": "__drop"})
+    drop = removed_lines(docs, least, bound).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "drop": "__drop"})
     keyed = docs.withColumn("__a", F.xxhash64("doc_id", "text")).withColumn("__b", F.hash("text"))
     joined = keyed.join(drop, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1

@@ -124,6 +124,37 @@ def test_lines(spark, seed):
     assert got == brute.kept_lines(rows)
 
 
+def within_2(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1] <= 2
+
+
+@pytest.mark.parametrize("group, short", [(line_dedup.GROUP, line_dedup.SHORT), (3, 12)])
+def test_lines_within_two_edits(spark, group, short, monkeypatch):
+    """Against brute force, in pairs and (small groups) by splitting and variants."""
+    monkeypatch.setattr(line_dedup, "GROUP", group)
+    monkeypatch.setattr(line_dedup, "SHORT", short)
+    rnd = random.Random(8)
+    base, rows = [prose(rnd, rnd.randrange(7, 11)) for _ in range(6)], []
+    for i in range(90):
+        line = rnd.choice(base)
+        for _ in range(rnd.randrange(0, 5)):
+            p, edit = rnd.randrange(len(line) + 1), rnd.randrange(3)
+            line = line[:p] + rnd.choice("Qé!") * (edit < 2) + line[p + (edit > 0):]
+        rows.append((i, line))
+    seen, want = [], {}
+    for i, line in rows:
+        want[i] = "" if any(abs(len(line) - len(x)) <= 2 and within_2(line, x) for x in seen) else line
+        seen.append(line)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bound=2).collect()}
+    assert got == want
+    assert sum(1 for t in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if t["text"]) > sum(map(bool, want.values()))
+
+
 def test_lines_of_documents(spark):
     line, other = "the first line of all of them", "another line that stays as it is"
     rows = [(1, f"{line}\n{other}", 62), (2, line + "!", 30), (3, f"ok\n{line}", 32), (3, f"ok\n{line}", 32), (None, line, 29)]
