@@ -14,6 +14,9 @@ from palisade.llm import decontaminate as benchmark_phrases
 from palisade.llm import language, line_dedup, mixing, near_dedup
 from palisade.llm.common import ready, stored
 
+#: Near copies share so many of 100 word shingles.
+NEAR_PERCENT = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; what has no letters, or null text, goes."""
@@ -30,8 +33,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; of repeated rows one."""
-    return near_dedup.deduplicated(docs)
+    """One document of each group of near copies (``NEAR_PERCENT``); of repeated rows one."""
+    return near_dedup.deduplicated(docs, NEAR_PERCENT, near_dedup.least_equal_for(NEAR_PERCENT))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

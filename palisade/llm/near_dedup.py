@@ -20,6 +20,8 @@ empty result. Extra columns are kept.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -113,6 +115,16 @@ def signed(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(sign, f"doc_id {kind}, k1 bigint, k2 int, n_shingles bigint, node bigint, signature array<bigint>")
 
 
+def least_equal_for(percent: int, coordinates: int = COORDINATES, miss: float = 1e-5) -> int:
+    """The largest number of equal coordinates that a pair at ``percent`` falls short of with a chance of ``miss`` at most."""
+    p, below = percent / 100, 0.0
+    for k in range(coordinates + 1):
+        below += comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k)
+        if below > miss:
+            return k
+    return coordinates
+
+
 def postings(classes: DataFrame, coordinates: int = COORDINATES, least: int = LEAST_EQUAL) -> DataFrame:
     """(node, key): every class under its values that others have too, but for its least - 1 most frequent ones."""
     posted = classes.select("node", F.posexplode("signature").alias("c", "v")).select("node", F.xxhash64("c", "v").alias("key"))
@@ -156,14 +168,14 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     at = np.searchsorted(large, small)
     both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def links(signature: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(signature: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray | None = None, percent: int = PERCENT, least_equal: int = LEAST_EQUAL) -> list[tuple[int, int]]:
     """Confirmed links that connect different labels: enough of them to connect all that any link connects.
 
     ``left``: compare these members with all; by default all with all.
@@ -179,10 +191,10 @@ def links(signature: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, lef
         equal = np.zeros((len(some), g), np.uint8)
         for c in low:
             equal += c[some][:, None] == c[None, :]
-        i, j = np.nonzero(equal >= LEAST_EQUAL)
+        i, j = np.nonzero(equal >= least_equal)
         n = equal[i, j]
         i = some[i]
-        keep = (labels[i] != labels[j]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
+        keep = (labels[i] != labels[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
         keep &= (i < j) if left is None else (i != j)
         found.append((i[keep], j[keep], n[keep]))
     i, j, n = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in range(3))
@@ -195,13 +207,13 @@ def links(signature: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, lef
         open_ = root[a] != root[b]
         for x, y in zip(a[open_].tolist(), b[open_].tolist()):
             rx, ry = forest.root(x), forest.root(y)
-            if rx != ry and similar(sets[x], sets[y]):
+            if rx != ry and similar(sets[x], sets[y], percent):
                 forest.join(rx, ry)
                 out.append((x, y))
     return out
 
 
-def linked(groups: DataFrame) -> DataFrame:
+def linked(groups: DataFrame, percent: int = PERCENT, least_equal: int = LEAST_EQUAL) -> DataFrame:
     """(a, b): links within every group of rows (group, node, label, side, signature, shingles); side 1 rows are
     compared with all of their group, or all with all where every row is of side 1."""
 
@@ -221,7 +233,7 @@ def linked(groups: DataFrame) -> DataFrame:
             sets = [np.frombuffer(blobs[k], np.uint64) for k in order]
             signature = np.array(t.column("signature").combine_chunks().flatten()).reshape(-1, COORDINATES)[order]
             left = None if side.all() else np.flatnonzero(side)
-            pairs = links(signature, sets, label, left)
+            pairs = links(signature, sets, label, left, percent, least_equal)
             return pa.RecordBatch.from_arrays([pa.array([node[x] for x, _ in pairs], pa.int64()), pa.array([node[y] for _, y in pairs], pa.int64())], names=["a", "b"])
 
         for b in batches:
@@ -257,14 +269,17 @@ def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return rows.mapInArrow(shingled, ", ".join(f"{n} {members.schema[n].dataType.simpleString()}" for n in names) + ", shingles binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, n_shingles, component_id, kept) per row."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, least_equal: int = LEAST_EQUAL) -> DataFrame:
+    """(doc_id, k1, k2, n_shingles, component_id, kept) per row; sets are linked that share ``percent`` of 100 shingles.
+
+    ``least_equal`` coordinates must agree before a pair is confirmed: ``least_equal_for(percent)`` or fewer.
+    """
     spark = ready(docs.sparkSession)
     rows = stored(signed(docs), "signed")
     full = rows.where("node is not null")
     classes = full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("m"), F.any_value("n_shingles").alias("n"), F.any_value("signature").alias("signature"))
     classes = stored(classes.select("node", F.col("m.doc_id").alias("doc"), F.col("m.k1").alias("k1"), F.col("m.k2").alias("k2"), "n", "signature"), "classes")
-    family = families(stored(postings(classes), "postings"))
+    family = families(stored(postings(classes, least=least_equal), "postings"))
     sized = classes.join(family, "node")
     blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = sized.join(blocks, "family").select("node", "family", "blocks", "k1", "k2", "n", "signature")
@@ -278,12 +293,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         some = members if edges is None else members.where("blocks > 1")
         some = some.withColumn("label", F.col("node")) if edges is None else _labelled(some, edges)
         dealt = some.withColumn("group", F.struct("family", block(seed, F.col("blocks")).alias("b"))).withColumn("group", F.concat_ws(":", "group.family", "group.b")).withColumn("side", F.lit(1))
-        new = stored(linked(dealt), "links")
+        new = stored(linked(dealt, percent, least_equal), "links")
         edges = new if edges is None else edges.unionByName(new)
         if not members.where("blocks > 1").limit(1).count():
             break
     else:
-        edges = edges.unionByName(stored(linked(_outside(members, edges, block)), "links"))
+        edges = edges.unionByName(stored(linked(_outside(members, edges, block), percent, least_equal), "links"))
     found = components(edges) if edges.limit(1).count() else spark.createDataFrame([], "node bigint, component bigint")
     reach = classes.join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     smallest = reach.groupBy("component").agg(F.min("doc").alias("component_id"))
@@ -314,10 +329,10 @@ def _outside(members: DataFrame, edges: DataFrame, block) -> DataFrame:
     return a.unionByName(b).withColumn("group", cell("i", "j"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT, least_equal: int = LEAST_EQUAL) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the smallest doc_id; repeated rows stay once."""
     names = docs.columns
-    keep = near_duplicates(docs).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    keep = near_duplicates(docs, percent, least_equal).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
     keyed = docs.withColumn("__k1", F.xxhash64("doc_id", "text")).withColumn("__k2", F.hash("text"))
     kept = keyed.join(keep, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"])
     return kept.select(*[F.col(f"`{c}`") for c in names])

@@ -102,6 +102,23 @@ def test_near_duplicates_keep_one(spark):
     assert [r["doc_id"] for r in kept] == [2, 5, 6, 7] and kept[0].asDict() == {"doc_id": 2, "text": text.upper(), "node": 2}
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    """Pairs between 80 and 85 of 100 shingles go in the pipeline and stay in op6."""
+    import corpus_pipeline
+
+    rnd, rows = random.Random(6), []
+    for i in range(20):
+        words = prose(rnd, 104).split()
+        rows.append((2 * i, " ".join(words)))
+        words[20], words[60] = "x", "y"  # 90 of 110 shingles in common
+        rows.append((2 * i + 1, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, frame, "").collect()) == list(range(0, 40, 2))
+    assert near_dedup.deduplicated(frame).count() == 40
+    below = sum(near_dedup.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(near_dedup.least_equal_for(80)))
+    assert below <= 1e-5
+
+
 def near_lines(rnd):
     lines = [prose(rnd, rnd.randrange(3, 14)) for _ in range(40)] + ["short", "a line of 20 letters", "b line of 20 letters", "x" * 300]
     rows = []
