@@ -3,7 +3,7 @@
 Texts become hashed byte-trigram frequencies of their lowered letters, computed in the tasks over whole texts.
 Languages whose mean vectors lie close are grouped to families; linear support vector machines, one for every
 pair of families and one for every pair of languages of a family, are fitted on at most ``PER_LANGUAGE``
-labelled rows a language (a bounded sample, in hash order of the text). Prediction is row by row,
+distinct labelled texts a language (a bounded sample, in hash order of the text). Prediction is row by row,
 without any shuffle.
 
 Null text or text without a letter: ``und`` with score 0. Nothing to learn from: ``und`` everywhere. One label
@@ -160,16 +160,20 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labelled: Column | None = None, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """A model from the rows where ``labelled`` holds (all by default) and lang is not null.
 
-    At most ``per_language`` rows of each of at most ``MOST_LANGUAGES`` languages are used: first in hash order.
-    The draw is thinned by language before it is ranked, so no language fills one task.
+    At most ``per_language`` distinct texts of each of at most ``MOST_LANGUAGES`` languages are used: first in hash
+    order. Copies weigh once: they are folded (by two hashes) before texts are counted, thinned by language and
+    ranked, so no language and no group of copies fills one task or the sample.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if labelled is None else rows.where(labelled)
-    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    once = rows.groupBy("lang", "h", "g").agg(F.lit(True).alias("once")).drop("once")
+    counts = once.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     chance = F.pmod("h", F.lit(1 << 30)) / float(1 << 30) <= F.lit(4.0 * per_language + 50) / F.col("count")
-    first = rows.join(F.broadcast(counts), "lang").where(chance)
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_language).select("lang", "text")
+    drawn = once.join(F.broadcast(counts), "lang").where(chance)
+    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "g"))).where(F.col("r") <= per_language).select("lang", "h", "g")
+    # Bounded: per_language x MOST_LANGUAGES keys. Of equal texts any one is the text.
+    ranked = rows.join(F.broadcast(drawn), ["lang", "h", "g"]).groupBy("lang", "h", "g").agg(F.any_value("text").alias("text")).select("lang", "text")
 
     def vectors(batches):
         for b in slices(batches, "text", 2_000_000):

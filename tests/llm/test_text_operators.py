@@ -162,6 +162,20 @@ def test_languages(spark):
     assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in language.identify(other).collect()} == {(r["doc_id"], r["lang_pred"], r["score"]) for r in got}
 
 
+def test_languages_with_copies(spark, monkeypatch):
+    """Copies neither thin a language of few texts away nor fill the sample."""
+    seen = {}
+    monkeypatch.setattr(language, "LanguageModel", lambda x, names: seen.update(Counter(names)))
+    distinct = [(f"{lang} text {'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]} of its own", lang) for lang in ("aa", "bb") for i in range(20)]
+    rows = [r for r in distinct for _ in range(2000 if r[1] == "aa" else 1)] + [("bb the one hot text", "bb")] * 500
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    language.fit(frame, per_language=20)
+    assert seen == {"aa": 20, "bb": 20}
+    seen.clear()
+    language.fit(frame)
+    assert seen == {"aa": 20, "bb": 21}
+
+
 def test_languages_without_labels(spark):
     frame = spark.createDataFrame([(1, "some text", None), (2, None, "aa")], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.identify(frame).collect()} == {"und"}
