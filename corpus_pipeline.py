@@ -29,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier one has, or has but for 2 edits; documents of which no line is left go."""
     ready(spark)
-    return line_dedup.deduplicated(docs, bound=2)
+    return line_dedup.deduplicated(docs, bound=2, fold_short=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

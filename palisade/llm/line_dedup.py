@@ -18,7 +18,7 @@ of 1, as its SQL twin says; the pipeline has 2.
 
 The earliest line stays (smallest doc_id, then text hash, then position); a line is removed when an earlier like
 line exists in the input, whether or not that one is removed itself. Lines of fewer than ``LEAST`` characters
-are never removed. Lines are split at ``\\n``. Null text: no lines, stays null. Null doc_id: before all others.
+are removed as exact repeats only, and only with ``fold_short`` (the pipeline; blank lines always stay). Lines are split at ``\\n``. Null text: no lines, stays null. Null doc_id: before all others.
 Repeated rows (equal doc_id and text) count as one and are all treated alike. Empty table: empty result. Extra
 columns are kept.
 
@@ -159,22 +159,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").alias("k2"))
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST, bound: int = 1) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = LEAST, bound: int = 1, fold_short: bool = False) -> DataFrame:
     """(k1, k2, drop): the keys of a row and the sorted positions (from 0) of its lines to remove; lines within ``bound``
-    (1 or 2) edits are alike."""
+    (1 or 2) edits are alike. ``fold_short``: exact repeats of shorter lines that are not blank go as well."""
     if bound not in (1, 2):
         raise ValueError("the bound is 1 or 2 edits")
     base = _keyed(docs)
-    lines = base.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.char_length("line") >= least)
+    lines = base.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    long = F.char_length("line") >= least
+    lines = lines.where(long | F.col("line").rlike(r"\S") if fold_short else long)
     place = F.struct("doc_id", "k1", "k2", "at")
     named = lines.select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
     if bound == 2:
         distinct = named.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("line").alias("line"))
         distinct = stored(distinct.withColumn("several", F.col("first") != F.col("last")), "lines")
-        near = earlier_within_2(distinct.select("h", "g", F.col("first").alias("place"), "line"))
+        near = earlier_within_2(distinct.where(long).select("h", "g", F.col("first").alias("place"), "line"))
         alike = distinct.join(near, ["h", "g"], "left_semi").select("h", "g", "first", F.lit(True).alias("near"))
         return _positions(named, distinct, alike)
-    once = named.select("place", "h", "g", F.transform(ends(F.col("line")), lambda e: e["key"]).alias("ends")).groupBy("h", "g")
+    keys = F.transform(ends(F.col("line")), lambda e: e["key"])
+    once = named.select("place", "h", "g", (F.when(long, keys) if fold_short else keys).alias("ends")).groupBy("h", "g")
     once = once.agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("ends").alias("ends"))
     distinct = stored(once.select("h", "g", "first", (F.col("first") != F.col("last")).alias("several"), "ends"), "lines")
 
@@ -225,9 +228,9 @@ def kept_lines(lines: Column, drop: Column) -> Column:
     return F.flatten(between)
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST, bound: int = 1) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = LEAST, bound: int = 1, fold_short: bool = False) -> DataFrame:
     """Per row: doc_id, text without the removed lines, n_lines, n_removed."""
-    drop = removed_lines(docs, least, bound)
+    drop = removed_lines(docs, least, bound, fold_short)
     joined = _keyed(docs).join(drop, ["k1", "k2"], "left")
     joined = joined.withColumn("__lines", F.when(F.col("drop").isNotNull(), F.split("text", "\n")))
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(F.col("__lines"), F.col("drop")), "\n"))
@@ -236,11 +239,11 @@ def line_dedup(docs: DataFrame, least: int = LEAST, bound: int = 1) -> DataFrame
                          F.coalesce(F.when(F.col("drop").isNotNull(), F.size("drop")), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
-def deduplicated(docs: DataFrame, least: int = LEAST, bound: int = 1) -> DataFrame:
+def deduplicated(docs: DataFrame, least: int = LEAST, bound: int = 1, fold_short: bool = False) -> DataFrame:
     """``docs`` with the text that is left and n_chars, where there is one, to match; rows of which every line was
     removed are repeats as a whole and go."""
     names = docs.columns
-    drop = removed_lines(docs, least, bound).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "drop": "__drop"})
+    drop = removed_lines(docs, least, bound, fold_short).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "drop": "__drop"})
     keyed = docs.withColumn("__a", F.xxhash64("doc_id", "text")).withColumn("__b", F.hash("text"))
     joined = keyed.join(drop, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1

@@ -141,6 +141,16 @@ def test_lines(spark, seed):
     assert got == brute.kept_lines(rows)
 
 
+@pytest.mark.parametrize("bound", [1, 2])
+def test_short_lines(spark, bound):
+    """Exact repeats of short lines go, near ones and blank lines stay."""
+    long = "the first line of all of them"
+    rows = [(1, f"Read more\n\n{long}\nRead more"), (2, f"Read more!\n \n\n{long}?\nHome"), (3, "Home\n \nRead more"), (4, "Home")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in line_dedup.deduplicated(frame, bound=bound, fold_short=True).collect())
+    assert got == [(1, f"Read more\n\n{long}"), (2, "Read more!\n \n\nHome"), (3, " ")]
+
+
 def within_2(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
