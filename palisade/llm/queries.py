@@ -172,13 +172,13 @@ own AS (SELECT conv_id, list(struct_pack(key := sha256(length(role) || ':' || ro
 seq AS (SELECT o.conv_id, list_concat(coalesce(b.l, [])[1:h], o.l[h + 1:]) AS l
         FROM (SELECT *, CAST({CRC32.format("CAST(conv_id AS VARCHAR)")} % 9 AS INTEGER) AS h FROM own) o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
 step AS (SELECT conv_id, len(l) AS n, l, unnest(range(0, len(l) + 1)) AS depth FROM seq),
-at AS (SELECT conv_id, n, depth, sha256(depth || array_to_string(list_transform(l[1:depth], lambda x: x.key), '')) AS node,
+spot AS (SELECT conv_id, n, depth, sha256(depth || array_to_string(list_transform(l[1:depth], lambda x: x.key), '')) AS node,
               CASE WHEN depth > 0 THEN sha256((depth - 1) || array_to_string(list_transform(l[1:depth - 1], lambda x: x.key), '')) END AS above,
               CASE WHEN depth > 0 THEN l[depth].size ELSE 0 END AS size FROM step),
 nodes AS (SELECT node, above, any_value(depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
-                 coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends FROM at GROUP BY node, above),
+                 coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends FROM spot GROUP BY node, above),
 kids AS (SELECT above AS node, count(*) AS n FROM nodes GROUP BY above),
-pairs AS (SELECT DISTINCT top.node AS top, low.node AS low FROM at top JOIN at low ON top.conv_id = low.conv_id AND top.depth <= low.depth),
+pairs AS (SELECT DISTINCT top.node AS top, low.node AS low FROM spot top JOIN spot low ON top.conv_id = low.conv_id AND top.depth <= low.depth),
 below AS (SELECT top AS node, count(*) FILTER (WHERE kids.n IS NULL) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM pairs JOIN nodes ON low = nodes.node LEFT JOIN kids ON low = kids.node GROUP BY top)
 SELECT nodes.conv_id, CAST(nodes.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(nodes.n_convs AS BIGINT) AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
        CAST(below.n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(nodes.ends) AS ends_sha256
