@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, html_text, language, licenses, line_dedup, mixing, near_dedup, neighbours, prefix_trie, suffix_dedup, token_counts
+from palisade.llm import decontaminate, hard_negatives, html_text, language, licenses, line_dedup, mixing, near_dedup, neighbours, prefix_trie, suffix_dedup, token_counts
 from palisade.llm.common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,16 @@ FROM nodes JOIN below USING (node) LEFT JOIN kids USING (node) LEFT JOIN nodes u
 def op11_prefix_trie(spark, d):
     """Every node of the prefix trie of the rebuilt conversations."""
     return prefix_trie.conversation_trie(table(spark, d, "conversations"))
+
+
+@query("op12_hard_negatives", """WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op12_hard_negatives(spark, d):
+    """Rows of another label that score just below each of an anchor's nearest rows of its own label."""
+    return hard_negatives.mined(table(spark, d, "embeddings"))
