@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm import decontaminate, hard_negatives, html_text, language, licenses, line_dedup, mixing, near_dedup, neighbours, prefix_trie, suffix_dedup, token_counts
+from palisade.llm import decontaminate, hard_negatives, html_text, language, licenses, line_dedup, mixing, near_dedup, neighbours, prefix_trie, suffix_dedup, token_counts, toxicity
 from palisade.llm.common import ready
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,9 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 def op12_hard_negatives(spark, d):
     """Rows of another label that score just below each of an anchor's nearest rows of its own label."""
     return hard_negatives.mined(table(spark, d, "embeddings"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark, d):
+    """Toxicity of every document, learned from the labelled ones that are not held out."""
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
