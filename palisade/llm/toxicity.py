@@ -284,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
                 x = [matcher.features(t) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.float64()), pa.array([r[1] for r in x], pa.float64()), b.column("toxic")], names=["a", "b", "toxic"])
 
-    rows = sample.select("text", "toxic").mapInArrow(features, "a double, b double, toxic int").orderBy("a", "b", "toxic").toPandas()
+    rows = sample.select("text", "toxic").mapInArrow(features, "a double, b double, toxic int").toPandas().sort_values(["a", "b", "toxic"])
     return Model(patterns, *fitted(rows[["a", "b"]].to_numpy(), rows["toxic"].to_numpy()))
 
 

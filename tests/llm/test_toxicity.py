@@ -12,7 +12,7 @@ from palisade.llm.toxicity import Matcher, words
 STEMS = ["grobnak", "vilturd", "zazfool"]
 
 
-def corpus(n=900, seed=4):
+def corpus(n=1500, seed=4):
     rnd = random.Random(seed)
     syllables = ["ba", "do", "ki", "lu", "me", "no", "pa", "ri", "so", "tu"]
     word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randrange(2, 5)))
@@ -23,7 +23,7 @@ def corpus(n=900, seed=4):
         if toxic:
             for _ in range(max(2, len(text) // 50)):
                 text.insert(rnd.randrange(len(text) + 1), rnd.choice(STEMS) + rnd.choice(["", "s", "ba", "ki"]))
-        elif i % 6 == 1:  # the same letters in a phrase that means no harm
+        elif i % 12 == 1:  # the same letters in a phrase that means no harm
             at = rnd.randrange(len(text) + 1)
             text[at:at] = ["grobnak", "museum"]
         docs.append((i, " ".join(text)))
@@ -41,7 +41,7 @@ def test_held_out_accuracy_and_exceptions(spark):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
     held = [r for r in got if r["held_out"]]
     assert len(held) > 100 and sum(r["predicted"] == truth[r["doc_id"]] for r in held) / len(held) > 0.99
-    assert any(truth[r["doc_id"]] for r in held) and any(r["doc_id"] % 6 == 1 for r in held)
+    assert any(truth[r["doc_id"]] for r in held) and any(r["doc_id"] % 12 == 1 for r in held)
 
 
 def test_labels_of_held_out_rows_teach_nothing(spark):
@@ -53,7 +53,7 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
 
 
 def test_disguises_and_odd_rows(spark):
-    docs, labels = corpus(600)
+    docs, labels = corpus(1200)
     model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (5, None), (77777, 1)], "doc_id long, toxic int"), F.lit(True))
     assert any(w == 0 for w in model.patterns.values())
     clean = "ba do kilu meno pari sotu " * 4
