@@ -25,13 +25,12 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -171,18 +170,45 @@ def evidence(t: Column, c: Column, toxic: int, clean: int) -> Column:
     return 2 * (part(t, (t + c) * share) + part(c, (t + c) * (1 - share)))
 
 
-def lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """Patterns and weights."""
-    counts = counted(sample, lambda text: {k for w in set(words(text)) for k in keys(w)}).where(F.col("t") >= LEAST_DOCS)
+def masked(matchers: list[Matcher], patterns: dict[str, float], text: str) -> list[str]:
+    """Folded words without those that an exception phrase covers; ``matchers`` keeps the automaton between texts."""
+    if not matchers:
+        matchers.append(Matcher(patterns))
+    found, at, out = words(text), 0, []
+    covered = [(start, end) for start, end, _ in matchers[0].hits(found)]
+    for w in found:
+        while covered and covered[0][1] <= at:
+            covered.pop(0)
+        if not covered or covered[0][0] > at:
+            out.append(w)
+        at += len(w) + 2
+    return out
+
+
+def candidates(sample: DataFrame, without: dict[str, float], toxic: int, clean: int) -> dict[str, Row]:
+    """Patterns that meet the conditions on entries, outside the exceptions ``without``."""
+    sent, matchers = sample.sparkSession.sparkContext.broadcast(without), []
+    counts = counted(sample, lambda text: {k for w in set(masked(matchers, sent.value, text)) for k in keys(w)}).where(F.col("t") >= LEAST_DOCS)
     rows = counts.withColumn("w", weight(F.col("t"), F.col("c"), toxic, clean)).where(F.col("w") >= LEAST_WEIGHT)
     rows = rows.withColumn("g", evidence(F.col("t"), F.col("c"), toxic, clean)).where(F.col("g") >= EVIDENCE)
-    found = {r["pattern"]: r for r in rows.orderBy(F.desc("g"), "pattern").limit(MOST_ENTRIES).collect()}
-    letters = sorted({c for p in found for c in p if c != " "})
+    return {r["pattern"]: r for r in rows.orderBy(F.desc("g"), "pattern").limit(MOST_ENTRIES).collect()}
+
+
+def improving(found: dict[str, Row]) -> dict[str, float]:
+    """Entries that say more than all their beginnings."""
     kept: dict[str, float] = {}
-    for p in sorted(found, key=lambda p: (len(p), p)):  # a longer entry says more than its beginnings
+    for p in sorted(found, key=lambda p: (len(p), p)):
         shorter = [kept[p[:n]] for n in range(2, len(p)) if p[:n] in kept]
         if not shorter or found[p]["w"] >= max(shorter) + LEAST_GAIN:
             kept[p] = found[p]["w"]
+    return kept
+
+
+def lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Patterns and weights, exceptions with weight 0 among them."""
+    without = exceptions(sample, improving(candidates(sample, {}, toxic, clean)), toxic, clean)
+    found = candidates(sample, without, toxic, clean)
+    kept = improving(found)
     below: dict[str, tuple[int, int]] = {}  # what the kept entries under a beginning explain
     for p in sorted(kept, key=lambda p: (-len(p), p)):  # a beginning says more than what its longer entries explain
         t, c = below.get(p, (0, 0))
@@ -195,6 +221,7 @@ def lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         if above:
             x, y = below.get(above, (0, 0))
             below[above] = (x + t, y + c)
+    letters = sorted({c for p in found for c in p if c != " "})
     for p in list(kept):  # of beginnings with the same texts the longest
         longest = p
         while (longer := next((longest + c for c in letters if longest + c in found and found[longest + c]["t"] >= SAME * found[p]["t"]), None)):
@@ -202,16 +229,17 @@ def lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         kept[longest] = kept.pop(p)
     # Texts copied with small changes make all their words look toxic. A text speaks for its strongest entries only.
     sent = sample.sparkSession.sparkContext.broadcast({p: found[p]["g"] for p in kept})
-    matchers: list[Matcher] = []
+    excepted, matchers, masks = sample.sparkSession.sparkContext.broadcast(without), [], []
 
     def strongest(text):
         if not matchers:
             matchers.append(Matcher(sent.value))
-        inside = matchers[0].inside(words(text))
+        inside = matchers[0].inside(masked(masks, excepted.value, text))
         return {p for p, g in inside.items() if g >= max(inside.values()) / 2}
 
     spoken = {r["pattern"]: r for r in counted(sample, strongest).collect()}
-    return {p: w for p, w in kept.items() if p in spoken and telling(spoken[p]["t"], spoken[p]["c"], toxic, clean)}
+    entries = {p: w for p, w in kept.items() if p in spoken and telling(spoken[p]["t"], spoken[p]["c"], toxic, clean)}
+    return entries | {p: 0.0 for p in exceptions(sample, entries, toxic, clean) if p not in entries}
 
 
 def telling(t: int, c: int, toxic: int, clean: int) -> bool:
@@ -273,8 +301,7 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     clean, toxic = size.get(0, 0), size.get(1, 0)
     if not clean or not toxic:
         return Model({}, (0.0, 0.0), 700.0 if toxic else -700.0)
-    entries = lexicon(sample, toxic, clean)
-    patterns = entries | exceptions(sample, entries, toxic, clean)
+    patterns = lexicon(sample, toxic, clean)
     sent = sample.sparkSession.sparkContext.broadcast(patterns)
 
     def features(batches):
