@@ -9,7 +9,8 @@ lost a character at one place differ by one substitution, and a line that is the
 insertion; so the earliest partner is a grouped minimum and no pairs are listed. The partner found is verified by
 edit distance on the full texts.
 
-A bound of 2 edits (``earlier_within_2``) is another search: two edits leave alike a half, or two quarters, of which
+A bound of 2 edits (``earlier_within_2``) is another search. Lines are screened by their thirds first (``thirds``): two
+edits leave the head, the tail, or, moved by one character at most, what is between them. Two edits leave alike a half, or two quarters, of which
 one may have moved by one character (``halves``). Lines under a key of such a half are compared in pairs while they
 are at most ``GROUP``; larger groups are split by the halves of what is beside the shared part, until that has
 at most ``SHORT`` characters, and then emit variants with up to two characters masked or deleted, under which the
@@ -18,7 +19,7 @@ of 1, as its SQL twin says; the pipeline has 2.
 
 The earliest line stays (smallest doc_id, then text hash, then position); a line is removed when an earlier like
 line exists in the input, whether or not that one is removed itself. Lines of fewer than ``LEAST`` characters
-are removed as exact repeats only, and only with ``fold_short`` (the pipeline; blank lines always stay). Lines are split at ``\\n``. Null text: no lines, stays null. Null doc_id: before all others.
+are removed as exact repeats only, and only with ``fold_short`` (blank lines always stay). Lines are split at ``\\n``. Null text: no lines, stays null. Null doc_id: before all others.
 Repeated rows (equal doc_id and text) count as one and are all treated alike. Empty table: empty result. Extra
 columns are kept.
 
@@ -37,6 +38,8 @@ LEAST = 20
 HALVINGS = 3
 GROUP = 256
 SHORT = 16
+#: Parts of more characters are halved again before they emit variants, so a line of any length emits few bytes.
+LONG = 512
 
 
 def _cuts(line: Column) -> Column:
@@ -106,6 +109,21 @@ def halves(line: Column, above: Column) -> Column:
     return F.flatten(F.transform(F.array_distinct(F.array(quarter(n), quarter(n - 2))), of))
 
 
+def thirds(line: Column) -> Column:
+    """Keys of which lines of ``LEAST`` characters or more within 2 edits share one."""
+    n = F.char_length(line)
+
+    def third(size: Column) -> Column:
+        return (F.floor(size / 12) * 4).cast("int")
+
+    def of(q: Column) -> Column:
+        at = [(0, F.lit(1)), (1, n - q + 1), *((2, q + moved + 1) for moved in (-1, 0, 1))]
+        return F.array(*[F.xxhash64(F.lit(kind), q, F.substr(line, start, q)) for kind, start in at])
+
+    # Lines whose lengths differ by up to 2 have one size of third in common.
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.array(third(n), third(n - 2))), of)))
+
+
 def variants(key: Column, rest: Column) -> Column:
     """(key, masked, deleted): ``rest`` with up to two characters masked or deleted; its line breaks stay."""
     places = F.filter(F.sequence(F.lit(1), F.char_length(rest)), lambda i: F.substr(rest, i, F.lit(1)) != "\n")
@@ -170,35 +188,42 @@ def removed_lines(docs: DataFrame, least: int = LEAST, bound: int = 1, fold_shor
     lines = lines.where(long | F.col("line").rlike(r"\S") if fold_short else long)
     place = F.struct("doc_id", "k1", "k2", "at")
     named = lines.select(place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), "line")
-    if bound == 2:
-        distinct = named.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("line").alias("line"))
-        distinct = stored(distinct.withColumn("several", F.col("first") != F.col("last")), "lines")
-        near = earlier_within_2(distinct.where(long).select("h", "g", F.col("first").alias("place"), "line"))
-        alike = distinct.join(near, ["h", "g"], "left_semi").select("h", "g", "first", F.lit(True).alias("near"))
-        return _positions(named, distinct, alike)
-    keys = F.transform(ends(F.col("line")), lambda e: e["key"])
-    once = named.select("place", "h", "g", (F.when(long, keys) if fold_short else keys).alias("ends")).groupBy("h", "g")
-    once = once.agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("ends").alias("ends"))
-    distinct = stored(once.select("h", "g", "first", (F.col("first") != F.col("last")).alias("several"), "ends"), "lines")
+    keys = thirds(F.col("line")) if bound == 2 else F.array_distinct(F.transform(ends(F.col("line")), lambda e: e["key"]))
+    once = named.select("place", "h", "g", F.char_length("line").alias("n"), F.when(long, keys).alias("ends")).groupBy("h", "g")
+    once = once.agg(F.min("place").alias("first"), F.max("place").alias("last"), F.any_value("ends").alias("ends"), F.any_value("n").alias("n"))
+    distinct = stored(once.select("h", "g", "first", (F.col("first") != F.col("last")).alias("several"), "ends", "n"), "lines")
 
     posted = distinct.select("h", F.explode("ends").alias("key"))
-    shared = posted.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    shared = posted.groupBy("key").count().where("count > 1").select("key")  # lines and their keys are distinct
     screened = posted.join(shared, "key", "left_semi").groupBy("h").agg(F.collect_set("key").alias("keys"))  # a few keys a line
     wanted = (distinct.select("h", "g", "first").join(screened, "h").select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.struct(F.col("first.at").alias("at"), "h", "g", "keys").alias("w"))
               .groupBy("k1", "k2").agg(F.collect_list("w").alias("ws")))
     some = base.join(wanted, ["k1", "k2"]).select("doc_id", "k1", "k2", F.split("text", "\n").alias("lines"), F.explode("ws").alias("w"))
     some = some.select(F.struct("doc_id", "k1", "k2", F.col("w.at").alias("at")).alias("place"), F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.keys").alias("keys"), F.get("lines", F.col("w.at")).alias("line"))
 
+    if bound == 2:
+        near = earlier_within_2(some.select("h", "g", "place", "line"))
+        return _positions(named, distinct, distinct.join(near, ["h", "g"], "left_semi").select("h", "g", "first", F.lit(True).alias("near")))
+
     # Exploding first makes the parts columns: inside a lambda they would be cut again for every variant.
     first = some.select("place", "line", F.explode(F.filter(ends(F.col("line")), lambda e: F.array_contains("keys", e["key"]))).alias("e"))
-    parts = _beside(first, F.col("line"), F.col("e.key"))
-    for _ in range(HALVINGS - 1):
+    parts, done = _beside(first, F.col("line"), F.col("e.key")), None
+    longest, rounds = distinct.agg(F.max("n")).first()[0] or 0, HALVINGS - 1
+    while longest >> rounds + 1 > LONG:
+        rounds += 1
+    for step in range(rounds):
+        if step >= HALVINGS - 1:
+            short = parts.where(F.char_length("part") <= LONG)
+            done, parts = short if done is None else done.unionByName(short), parts.where(F.char_length("part") > LONG)
         deeper = parts.select("place", "key", "part", F.explode(ends(F.col("part"))).alias("e"))
         deeper = _beside(deeper, F.col("part"), F.xxhash64("key", "e.key"))
         # With doc_id, which the other side needs as well: both sides then read one exchange of the texts.
         doc = F.col("place.doc_id")
         again = deeper.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(doc).alias("a"), F.max(doc).alias("b")).where("n > 1 or a <> b").select("key")
         parts = deeper.join(again, "key", "left_semi")
+        if step >= HALVINGS - 1:
+            parts = stored(parts, "parts")
+    parts = parts if done is None else done.unionByName(parts)
     emitted = parts.select("place", F.explode(deletion_keys(F.col("key"), F.col("part"), F.char_length("part"))).alias("v")).select("place", "v.key", "v.role")
     under = Window.partitionBy("key")
     whole, deleted, same = (F.min(F.when(F.col("role") == r, F.col("place"))).over(under) for r in (0, 1, 2))

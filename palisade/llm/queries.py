@@ -126,22 +126,23 @@ def op9_token_counts(spark, d):
 
 
 @query("op10_line_dedup", """WITH lines AS (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-longs AS (SELECT * FROM lines WHERE length(line) >= 20),
-firsts AS (SELECT line, min(struct_pack(d := doc_id, a := pos)) AS place FROM longs GROUP BY line),
-variant AS (SELECT place, line, p, md5(line[:p - 1] || line[p + 1:]) AS v FROM (SELECT place, line, unnest(range(1, length(line) + 1)) AS p FROM firsts)),
-whole AS (SELECT place, line, md5(line) AS v FROM firsts),
+solid AS (SELECT * FROM lines WHERE length(line) >= 20 OR regexp_matches(line, '\\S')),
+firsts AS (SELECT line, min(struct_pack(d := doc_id, a := pos)) AS place FROM solid GROUP BY line),
+longs AS (SELECT * FROM firsts WHERE length(line) >= 20),
+variant AS (SELECT place, line, p, md5(line[:p - 1] || line[p + 1:]) AS v FROM (SELECT place, line, unnest(range(1, length(line) + 1)) AS p FROM longs)),
+whole AS (SELECT place, line, md5(line) AS v FROM longs),
 substituted AS (SELECT line FROM (SELECT line, place, min(place) OVER (PARTITION BY v, p, length(line)) AS earliest FROM variant) WHERE earliest < place),
 longer AS (SELECT variant.line FROM variant JOIN whole USING (v) WHERE whole.place < variant.place),
 shorter AS (SELECT whole.line FROM variant JOIN whole USING (v) WHERE variant.place < whole.place),
 near AS (SELECT line FROM substituted UNION SELECT line FROM longer UNION SELECT line FROM shorter),
-gone AS (SELECT doc_id, pos FROM longs JOIN firsts USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR struct_pack(d := doc_id, a := pos) > firsts.place),
+gone AS (SELECT doc_id, pos FROM solid JOIN firsts USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR struct_pack(d := doc_id, a := pos) > firsts.place),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone.pos IS NULL), '') AS t
          FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(t) AS kept_sha256
 FROM documents LEFT JOIN kept USING (doc_id)""")
 def op10_line_dedup(spark, d):
     """What is left of every document without lines that repeat, or nearly repeat, an earlier one."""
-    out = line_dedup.line_dedup(table(spark, d, "documents"))
+    out = line_dedup.line_dedup(table(spark, d, "documents"), fold_short=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
