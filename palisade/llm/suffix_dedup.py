@@ -36,7 +36,8 @@ LEAST = 50
 GRAM = 20
 CHUNK = 1 << 16
 BATCH = 1 << 17
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 256
+BUCKET_BYTES = 8_000_000
 SEED = 7
 
 
@@ -383,8 +384,8 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def with_spans(docs: DataFrame, least: int = LEAST, buckets: int | None = None) -> DataFrame:
     """(doc_id, k1, k2, text, found): what was found in rows with this k1, to be read by ``merged``."""
     spark = ready(docs.sparkSession)
-    # Few partitions don't make large buckets, nor a row's pieces more with every partition of a small cluster.
-    buckets = buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # By bytes, whatever the cluster: a bucket of twice the bytes takes twice the memory.
+    buckets = buckets or max(LEAST_BUCKETS, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.hash("text").alias("k2"))
     copies = later_copies(docs, least)
     spans = covered(base, repeated_runs(base, least, buckets), copies, least, buckets)
