@@ -36,7 +36,7 @@ LEAST = 50
 GRAM = 20
 CHUNK = 1 << 16
 BATCH = 1 << 17
-LEAST_BUCKETS = 256
+LEAST_BUCKETS = 128
 BUCKET_BYTES = 8_000_000
 SEED = 7
 
