@@ -40,6 +40,8 @@ GROUP = 256
 SHORT = 16
 #: Parts of more characters are halved again before they emit variants, so a line of any length emits few bytes.
 LONG = 512
+#: Up to so many bytes of rows with candidates are broadcast to the texts; more are joined by a shuffle.
+WANTED_BYTES = 64_000_000
 
 
 def _cuts(line: Column) -> Column:
@@ -198,6 +200,10 @@ def removed_lines(docs: DataFrame, least: int = LEAST, bound: int = 1, fold_shor
     screened = posted.join(shared, "key", "left_semi").groupBy("h").agg(F.collect_set("key").alias("keys"))  # a few keys a line
     wanted = (distinct.select("h", "g", "first").join(screened, "h").select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"), F.struct(F.col("first.at").alias("at"), "h", "g", "keys").alias("w"))
               .groupBy("k1", "k2").agg(F.collect_list("w").alias("ws")))
+    if bound == 2:  # few rows have a candidate: where their keys are small, the texts stay where they are
+        wanted = stored(wanted, "wanted")
+        rows, some_lines = wanted.agg(F.count(F.lit(1)), F.sum(F.size("ws"))).first()
+        wanted = F.broadcast(wanted) if 64 * rows + 128 * (some_lines or 0) <= WANTED_BYTES else wanted
     some = base.join(wanted, ["k1", "k2"]).select("doc_id", "k1", "k2", F.split("text", "\n").alias("lines"), F.explode("ws").alias("w"))
     some = some.select(F.struct("doc_id", "k1", "k2", F.col("w.at").alias("at")).alias("place"), F.col("w.h").alias("h"), F.col("w.g").alias("g"), F.col("w.keys").alias("keys"), F.get("lines", F.col("w.at")).alias("line"))
 
