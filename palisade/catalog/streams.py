@@ -17,6 +17,7 @@ from palisade.session import fresh_dir
 from palisade.sources import adapters as A
 from palisade.sources import readers, sinks
 from palisade.streaming import jobs as J
+from palisade.streaming import ordered as OR
 from palisade.streaming import state as ST
 
 FAR_US = 100 * 86_400 * 1_000_000
@@ -33,6 +34,73 @@ def stream_of(df, name, max_files=None):
     return J.file_stream(df.sparkSession, staged(df, name), df.schema, max_files)
 
 
+DELAY, SLICES, FILES = 60, 4, 4
+
+
+def disordered(df, name, key, tie):
+    """A stream whose rows come up to ``DELAY`` seconds late, in several triggers; ends with a row far in the future.
+
+    A row comes at its time plus a hash of its id; slices of the times of coming are written one after the other, and
+    a trigger reads one slice. The last row, of a key of its own, moves the watermark past all others.
+    """
+    comes = F.col("t_us") + F.pmod(F.xxhash64(tie), F.lit(DELAY * 1_000_000))
+    first, last = df.agg(F.min(comes), F.max(comes)).first()
+    df = df.select("*", F.floor((comes - F.lit(first or 0)) * SLICES / F.lit((last or 0) - (first or 0) + 1)).alias("slice"))
+    path = fresh_dir(df.sparkSession, name)
+    for i in range(SLICES):
+        df.where(F.col("slice") == i).drop("slice").repartition(FILES).write.mode("append").parquet(path)
+    end = df.drop("slice").limit(1).select(*[F.lit("far").alias(c) if c == key else (F.lit(last or 0) + FAR_US).cast("bigint").alias(c) if c == "t_us" else F.col(c) for c in df.columns if c != "slice"])
+    end.write.mode("append").parquet(path)
+    return J.with_event_time(J.file_stream(df.sparkSession, path, df.drop("slice").schema, FILES), delay=f"{DELAY} seconds")
+
+
+@query("k01_flow_stream_disordered", _FLOW_SQL)
+def _(spark, d):
+    return rounded_flows(J.run_to_table(OR.flows_in_order(disordered(A.packets(spark, d), "packets", "remote_ip", "packet_id")), "flows"))
+
+
+@query("k02_rate_stream_disordered", f"SELECT event_id, session_requests, session_requests > 20 AS rate_limited FROM ({_SESSION.format(gap=60000000)})")
+def _(spark, d):
+    s = disordered(A.attack_events(spark, d).select("event_id", "ip", "t_us"), "requests", "ip", "event_id")
+    return J.run_to_table(OR.session_rates_in_order(s, limit=20), "rates").select("event_id", "session_requests", "rate_limited")
+
+
+@query("k02_sliding_stream", """SELECT event_id, n AS request_count, n > 120 AS rate_limited FROM (
+SELECT event_id, count(*) OVER (PARTITION BY ip ORDER BY t_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS n FROM attack_events)""")
+def _(spark, d):
+    s = disordered(A.attack_events(spark, d).select("event_id", "ip", "t_us"), "requests", "ip", "event_id")
+    return J.run_to_table(OR.sliding_rates_in_order(s), "rates").select("event_id", "request_count", "rate_limited")
+
+
+ACCESS_OPS = ("block", "block_permanent", "unblock", "captcha", "solve")
+#: Every threat of an address is an operation on it, dealt by its id; permanent blocks come seldom.
+_ACCESS_OP = "CASE WHEN threat_id % 11 = 0 THEN 'block_permanent' WHEN threat_id % 4 = 0 THEN 'block' WHEN threat_id % 4 = 1 THEN 'unblock' WHEN threat_id % 4 = 2 THEN 'captcha' ELSE 'solve' END"
+
+
+def access_ops(spark, d):
+    gets = A.attack_events(spark, d).select(F.col("ip").alias("key"), "event_id", F.lit("get").alias("op"), "t_us")
+    sets = A.network_threats(spark, d).select(F.col("ip").alias("key"), F.col("threat_id").alias("event_id"), F.expr(_ACCESS_OP).alias("op"), "t_us")
+    return gets.unionByName(sets)
+
+
+@query("k04_access_stream", f"""WITH RECURSIVE ops AS (SELECT ip, t_us, threat_id AS id, {_ACCESS_OP} AS op, row_number() OVER (PARTITION BY ip ORDER BY t_us, threat_id) AS k FROM network_threats),
+walk AS (
+SELECT ip, 0::BIGINT AS k, -1::BIGINT AS t_us, NULL::VARCHAR AS b, NULL::BIGINT AS b_until, NULL::VARCHAR AS c, NULL::BIGINT AS c_until FROM (SELECT DISTINCT ip FROM ops)
+UNION ALL
+SELECT o.ip, o.k, o.t_us,
+ CASE WHEN o.op = 'unblock' THEN NULL WHEN o.op = 'block_permanent' THEN 'permanent' WHEN o.op = 'block' AND coalesce(w.b, '') <> 'permanent' THEN 'temporary' ELSE w.b END,
+ CASE WHEN o.op IN ('unblock', 'block_permanent') THEN NULL WHEN o.op = 'block' AND coalesce(w.b, '') <> 'permanent' THEN o.t_us + {K.TTL_BLACKLIST * 1_000_000} ELSE w.b_until END,
+ CASE WHEN o.op = 'captcha' THEN 'pending' WHEN o.op = 'solve' AND w.c = 'pending' AND o.t_us < w.c_until THEN 'solved' ELSE w.c END,
+ CASE WHEN o.op = 'captcha' OR (o.op = 'solve' AND w.c = 'pending' AND o.t_us < w.c_until) THEN o.t_us + {K.TTL_CAPTCHA * 1_000_000} ELSE w.c_until END
+FROM walk w JOIN ops o ON o.ip = w.ip AND o.k = w.k + 1),
+states AS (SELECT ip, t_us, arg_max(b, k) AS b, max_by(coalesce(b_until, -1), k) AS b_until, max_by(coalesce(c, ''), k) AS c, max_by(coalesce(c_until, -1), k) AS c_until, max_by(coalesce(b, ''), k) AS b_kind FROM walk WHERE k > 0 GROUP BY ip, t_us)
+SELECT e.event_id, coalesce(s.b_kind = 'permanent' OR (s.b_kind = 'temporary' AND e.t_us < s.b_until), false) AS blocked, CASE WHEN s.c <> '' AND e.t_us < s.c_until THEN s.c END AS captcha
+FROM attack_events e ASOF LEFT JOIN states s ON e.ip = s.ip AND e.t_us >= s.t_us""")
+def _(spark, d):
+    s = disordered(access_ops(spark, d), "access", "key", "event_id")
+    return J.run_to_table(OR.access_in_order(s), "access-read").select("event_id", "blocked", "captcha")
+
+
 @query("k01_flow_stream", _FLOW_SQL)
 def _(spark, d):
     p = A.packets(spark, d)
@@ -49,17 +117,26 @@ def _(spark, d):
     return J.run_to_table(ST.rate_stream(s, limit=20), "rates").select("event_id", "session_requests", "rate_limited")
 
 
-@query("k03_correlation_stream", f"""SELECT event_id, correlated, distinct_types, multiplier, round(least(score * multiplier, 1.0), 4) AS amplified_score, history_count FROM (
+_CORRELATED = f"""SELECT event_id, correlated, distinct_types, multiplier, round(least(score * multiplier, 1.0), 4) AS amplified_score, history_count FROM (
 SELECT *, CASE WHEN correlated THEN CASE WHEN distinct_types >= 4 THEN 1.7 WHEN distinct_types = 3 THEN 1.5 WHEN distinct_types = 2 THEN 1.3 ELSE 1.0 END ELSE 1.0 END::DOUBLE AS multiplier FROM (
 SELECT c.event_id, c.score, count(*) FILTER (WHERE c2.layer = 'network') > 0 AND count(*) FILTER (WHERE c2.layer = 'application') > 0 AS correlated,
 greatest(1, count(DISTINCT c2."type") FILTER (WHERE c2."type" NOT IN {sql_in(K.BENIGN_CORRELATION_TYPES)})) AS distinct_types, count(*) AS history_count
 FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY t_us, event_id) AS rn FROM correlation_events) c JOIN (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY t_us, event_id) AS rn FROM correlation_events) c2
-ON c.ip = c2.ip AND c2.rn BETWEEN c.rn - 49 AND c.rn AND c2.t_us >= c.t_us - 10000000 GROUP BY c.event_id, c.score))""")
+ON c.ip = c2.ip AND c2.rn BETWEEN c.rn - 49 AND c.rn AND c2.t_us >= c.t_us - 10000000 GROUP BY c.event_id, c.score))"""
+
+
+@query("k03_correlation_stream", _CORRELATED)
 def _(spark, d):
     s = J.with_event_time(stream_of(A.correlation_events(spark, d), "correlation"))
     return J.run_to_table(ST.correlation_stream(s), "correlated").drop("ip")
 
 
+@query("k03_correlation_stream_disordered", _CORRELATED)
+def _(spark, d):
+    s = disordered(A.correlation_events(spark, d), "correlation", "ip", "event_id")
+    return J.run_to_table(OR.correlation_in_order(s), "correlated").drop("ip")
+
+
 _TTL = """SELECT e.event_id, e.ip AS "key", CASE WHEN e.t_us - t.t_us < {us} THEN t.v END AS value FROM attack_events e ASOF LEFT JOIN (SELECT ip, t_us, CAST(threat_id AS VARCHAR) AS v FROM network_threats) t ON e.ip = t.ip AND e.t_us >= t.t_us"""
 
 

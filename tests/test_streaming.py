@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palisade.operators import temporal
 from palisade.operators.flows import flows
 from palisade.streaming import jobs as J
+from palisade.streaming import ordered as OR
 from palisade.streaming import state as ST
 
 EVENT = "request_id string, action string, timestamp double, t_us long"
@@ -140,3 +141,38 @@ def test_late_rows_do_not_set_state_back():
     packet = lambda i, t: {"packet_id": i, "t_us": t * us, "direction": "fwd", "length": 10, "flags": 0}
     _, handle = _fed(state.FlowState(), [[packet(1, 100), packet(2, 110)], [packet(3, 95)]])
     assert handle.timers and all(t > 110 * 1000 for t in handle.timers)
+
+
+def _arriving(spark, root, rows, schema, delay, n, seed=2):
+    """Rows up to ``delay`` seconds late, as n files, and a last row far in the future."""
+    rnd = random.Random(seed)
+    at = schema.split(", ").index("t_us long")
+    rows = [r for _, r in sorted((r[at] + rnd.randrange(delay * 1_000_000), r) for r in rows)]
+    end = max(r[at] for r in rows) + 10**12
+    return parts(spark, root, [*rows, tuple(end if i == at else "far" if isinstance(v, str) else v for i, v in enumerate(rows[0]))], schema, n)
+
+
+def test_sliding_rates_in_any_order(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["hot", "hot", "a", "b"]), rnd.choice([rnd.randrange(300) * 1_000_000, 77_000_000, rnd.randrange(400_000_000)])) for i in range(900)]
+    schema = "event_id long, ip string, t_us long"
+    s = _arriving(spark, tmp_path / "in", rows, schema, 90, 5)
+    stream = J.with_event_time(J.file_stream(spark, str(tmp_path / "in"), s, 1), delay="90 seconds")
+    got = J.run_to_table(OR.sliding_rates_in_order(stream, limit=50), "t-sliding")
+    want = temporal.sliding_count(spark.createDataFrame(rows, schema), limit=50)
+    cols = ["event_id", "ip", "request_count", "rate_limited"]
+    want = sorted(map(tuple, want.select(*cols).collect()))
+    assert any(r[3] for r in want) and sorted(map(tuple, got.select(*cols).collect())) == want
+
+
+def test_kinds_with_their_own_life(spark, tmp_path):
+    s = 1_000_000
+    ops = [("a", 1, "block", 10 * s), ("a", 2, "get", 20 * s), ("a", 3, "get", 3611 * s), ("a", 4, "block_permanent", 4000 * s), ("a", 5, "block", 4001 * s), ("a", 6, "get", 9000 * s),
+           ("a", 7, "unblock", 9001 * s), ("a", 8, "get", 9002 * s), ("b", 9, "solve", 5 * s), ("b", 10, "captcha", 6 * s), ("b", 11, "get", 305 * s), ("b", 12, "solve", 305 * s + 1),
+           ("b", 13, "get", 604 * s), ("b", 14, "get", 605 * s + 1), ("b", 15, "captcha", 700 * s), ("b", 16, "solve", 1000 * s), ("b", 17, "get", 1000 * s)]
+    schema = "key string, event_id long, op string, t_us long"
+    _arriving(spark, tmp_path / "in", ops, schema, 60, 4)
+    frame = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = J.with_event_time(J.file_stream(spark, str(tmp_path / "in"), frame, 1), delay="60 seconds")
+    got = {r["event_id"]: (r["blocked"], r["captcha"]) for r in J.run_to_table(OR.access_in_order(stream), "t-access").collect()}
+    assert got == {2: (True, None), 3: (False, None), 6: (True, None), 8: (False, None), 11: (False, "pending"), 13: (False, "solved"), 14: (False, None), 17: (False, None)}
