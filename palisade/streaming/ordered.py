@@ -7,7 +7,8 @@ processor, which so never sees a late row; its own timers are kept in a value st
 rows arrive in within the watermark's delay, the result is the batch operator's, row for row. The price is the delay:
 a row's result comes when the watermark passes its chunk.
 
-Null event times are never passed by a watermark: Spark drops such rows as late.
+Null event times are never passed by a watermark, and times up to the epoch's first instant are behind the watermark
+that a stream starts with: Spark drops such rows as late.
 """
 
 from __future__ import annotations

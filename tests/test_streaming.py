@@ -154,7 +154,7 @@ def _arriving(spark, root, rows, schema, delay, n, seed=2):
 
 def test_sliding_rates_in_any_order(spark, tmp_path):
     rnd = random.Random(9)
-    rows = [(i, rnd.choice(["hot", "hot", "a", "b"]), rnd.choice([rnd.randrange(300) * 1_000_000, 77_000_000, rnd.randrange(400_000_000)])) for i in range(900)]
+    rows = [(i, rnd.choice(["hot", "hot", "a", "b"]), rnd.choice([rnd.randrange(1, 300) * 1_000_000, 77_000_000, rnd.randrange(1, 400_000_000)])) for i in range(900)]
     schema = "event_id long, ip string, t_us long"
     s = _arriving(spark, tmp_path / "in", rows, schema, 90, 5)
     stream = J.with_event_time(J.file_stream(spark, str(tmp_path / "in"), s, 1), delay="90 seconds")
