@@ -132,17 +132,31 @@ DIGIT = r"\p{Nd}"
 END = r"(?:\n?\z)"
 
 
+#: What Python's engine takes and the JVM's does not.
+NOT_PORTABLE = r"\(\?\(|\\N\{|\(\?[a-zA-Z]*[aL]"
+
+
 def portable(pattern: str) -> str:
-    r"""Spell ``\w \s \d``, ``.`` and ``$`` so that they keep their meaning in JVM and RE2 engines.
+    r"""Spell ``\w \s \d``, their negations, ``.``, ``$`` and ``\Z`` so that they keep their meaning in JVM and RE2 engines.
 
-    Those engines read the shorthands as ASCII only, end ``.`` at other line breaks than ``\n``, and differ in ``$``
-    before a final line break.
+    Those engines read the shorthands as ASCII only, end ``.`` at other line breaks than ``\n``, and differ in ``$`` and
+    ``\Z`` before a final line break. A negation beside other members of a class stays as it is.
     """
     flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
     dot_all = bool(flags and "s" in flags[1])
     out, in_class, i = [], False, 0
     while i < len(pattern):
         two = pattern[i:i + 2]
+        alone = None if in_class else re.match(r"\[(\^?)\\([WSD])\]", pattern[i:])
+        if alone or (two in (r"\W", r"\S", r"\D") and not in_class):
+            body = {"W": WORD, "S": SPACE, "D": DIGIT}[alone[2] if alone else two[1]]
+            out.append(f"[{body}]" if alone and alone[1] else f"[^{body}]")
+            i += alone.end() if alone else 2
+            continue
+        if two == r"\Z" and not in_class:
+            out.append(r"\z")
+            i += 2
+            continue
         if two in (r"\w", r"\s", r"\d"):
             body = {"w": WORD, "s": SPACE, "d": DIGIT}[two[1]]
             if in_class and two == r"\s" and pattern[i + 2:i + 4] == r"\S":

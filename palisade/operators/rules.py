@@ -214,12 +214,13 @@ def _usable(patterns):
 
 
 def validate_patterns(rules: DataFrame, col: str = "pattern") -> DataFrame:
-    """Append ``is_safe``: length 5 to 500, no bare wildcard, and the checks that need a regex engine.
+    """Append ``is_safe``: length 5 to 500, no bare wildcard, nothing that the JVM engine lacks (conditional groups,
+    named characters, ASCII and locale flags), and the checks that need a regex engine.
 
     The cheap tests run first as a filter, because a Python branch of a CASE would be computed anyway.
     """
     p = F.trim(F.col(col))
-    cheap = p.isNotNull() & F.length(p).between(5, 500) & ~p.isin(P.WILDCARDS)
+    cheap = p.isNotNull() & F.length(p).between(5, 500) & ~p.isin(P.WILDCARDS) & ~p.rlike(P.NOT_PORTABLE)
     good = rules.where(cheap).withColumn("is_safe", _usable(p))
     return good.unionByName(rules.where(~F.coalesce(cheap, F.lit(False))).withColumn("is_safe", F.lit(False)))
 

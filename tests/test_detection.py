@@ -1,5 +1,7 @@
 """Golden detection cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,17 @@ def test_signatures_see_folded_letters(spark):
     df = spark.createDataFrame(rows, "id int, body string").select("id", "body", F.lit("/").alias("path"), F.expr("map('a', 'b')").alias("query_params"), F.expr("map('c', 'd')").alias("headers"))
     got = {r["id"]: r["decision"] for r in rules.signature_filter(df).collect()}
     assert got == {1: "MITIGATE", 2: "MITIGATE", 3: "ALLOW"}
+
+
+@pytest.mark.parametrize("pattern, texts", [(r"abc\Z", ["abc", "abc\n", "abc\r", "xabc"]), (r"^\W$", ["é", "-", "a", "٣"]), (r"^\D$", ["٣", "3", "x"]), (r"x\Sy", ["x\u2028y", "x y", "xzy"]),
+                                            (r"^[\W]$", ["é", "-"]), (r"^[^\W]$", ["é", "-"]), (r"[\s\S]{3}", ["a\nb", "ab"])])
+def test_negated_shorthands_mean_what_they_mean_in_python(spark, pattern, texts):
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["hit"] for r in frame.select("t", F.col("t").rlike(P.jvm(P.portable("(?is)" + pattern))).alias("hit")).collect()}
+    assert got == {t: bool(re.search(pattern, t, re.IGNORECASE | re.DOTALL)) for t in texts}
+
+
+def test_rules_that_the_engine_lacks_are_rejected(spark):
+    rows = [(r"(a)?(?(1)b|c)x",), (r"\N{DIGIT ONE}abc",), (r"(?a)\wabcdef",), (r"union\s+select",)]
+    got = {r["pattern"]: r["is_safe"] for r in rules.validate_patterns(spark.createDataFrame(rows, "pattern string")).collect()}
+    assert got == {rows[0][0]: False, rows[1][0]: False, rows[2][0]: False, rows[3][0]: True}
