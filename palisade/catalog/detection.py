@@ -86,7 +86,7 @@ def _(spark, d):
 
 # -- lexical features ----------------------------------------------------------------------------------
 
-def _lexical_sql() -> str:
+def lexical_sql(key: str = "payload_id", texts: str = "(SELECT payload_id, payload AS p, lower(payload) AS l FROM payloads)") -> str:
     p, low = "p", "l"
     quote = contains_any(p, ["'", '"'])
     sqlk, cmdk = present(low, LX.SQL_WORDS), present(low, LX.COMMAND_WORDS)
@@ -130,13 +130,13 @@ def _lexical_sql() -> str:
         "has_equals": flag("contains(p, '=')"), "equals_count": count_of(p, "="), "has_null_byte": flag(contains_any(p, ["%00", "\\x00"])),
     }
     cols = ", ".join(f'{f[n]} AS "{n}"' for n in LX.LEXICAL_FEATURES)
-    return f"SELECT payload_id, {cols} FROM (SELECT payload_id, payload AS p, lower(payload) AS l FROM payloads)"
+    return f"SELECT {key}, {cols} FROM {texts}"
 
 
 RATIOS = ["special_char_ratio", "digit_ratio", "upper_ratio", "lower_ratio", "entropy"]
 
 
-@query("f06_lexical_features", _lexical_sql())
+@query("f06_lexical_features", lexical_sql())
 def _(spark, d):
     df = LX.lexical_features(A.payloads(spark, d).select("payload_id", "payload"), "payload")
     return df.select("payload_id", *[F.round(c, 6).alias(c) if c in RATIOS else F.col(c) for c in LX.LEXICAL_FEATURES])
@@ -148,11 +148,14 @@ def _(spark, d):
     return A.payloads(spark, d).select("payload_id", F.round(TX.entropy(p), 6).alias("bits"), F.round(TX.entropy(p, 2.718281828459045), 6).alias("nats"))
 
 
-@query("f08_payload_features", f"""SELECT payload_id, CAST(length(p) AS INTEGER) AS payload_len, {class_count('p', TX.DIGITS)} AS digit_count, {class_count('p', r'\p{L}')} AS alpha_count,
+def compact_sql(key: str = "payload_id", texts: str = "(SELECT payload_id, payload AS p FROM payloads)", entropy: str = "list_entropy(string_split(p, '')) * ln(2)") -> str:
+    return f"""SELECT {key}, CAST(length(p) AS INTEGER) AS payload_len, {class_count('p', TX.DIGITS)} AS digit_count, {class_count('p', r'\p{L}')} AS alpha_count,
 CAST(length(p) AS INTEGER) - {class_count('p', TX.ALNUM)} AS special_char_count, {count_of('p', '/')} AS slash_count, {count_of('p', '.')} AS dot_count, {count_of('p', '%')} AS percent_count,
 {count_of('p', '=')} AS equals_count, {count_of('p', '?')} AS question_count, {count_of('p', '&')} AS amp_count, {flag(rx('p', P.COMPACT_SQL))} AS has_sql_kw, {flag(rx('p', P.COMPACT_XSS))} AS has_xss_kw,
-{flag(rx('p', P.COMPACT_PATH))} AS has_path_kw, {flag(rx('p', P.COMPACT_CMD))} AS has_cmd_kw, round(list_entropy(string_split(p, '')) * ln(2), 6) AS entropy
-FROM (SELECT payload_id, payload AS p FROM payloads)""")
+{flag(rx('p', P.COMPACT_PATH))} AS has_path_kw, {flag(rx('p', P.COMPACT_CMD))} AS has_cmd_kw, {entropy} AS entropy FROM {texts}"""
+
+
+@query("f08_payload_features", compact_sql(entropy="round(list_entropy(string_split(p, '')) * ln(2), 6)"))
 def _(spark, d):
     df = LX.payload_features(A.payloads(spark, d).select("payload_id", "payload"), "payload").drop("payload")
     return df.withColumn("entropy", F.round("entropy", 6))

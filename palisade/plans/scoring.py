@@ -6,8 +6,6 @@ take part in the per-address steps and in the one join by request.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,21 +15,18 @@ from palisade.operators import fusion as FU
 from palisade.operators import projections as PR
 from palisade.operators import rules as R
 from palisade.operators import temporal as W
+from palisade.operators.request_models import RequestModels
 from palisade.session import materialize
 
 
-def judge_texts(requests: DataFrame, anomaly: Column, classifier: Callable[[Column], tuple[Column, Column]], key: str, book: R.RuleBook | None = None) -> DataFrame:
+def judge_texts(requests: DataFrame, models: RequestModels, key: str, book: R.RuleBook | None = None) -> DataFrame:
     """Everything that depends on the request's own text, one row per request and no shuffle.
 
-    ``anomaly`` is a score column over the request; ``classifier`` maps the payload column to (score,
-    label) columns, computed only for rows the anomaly score flags.
+    The fitted gate scores every request; the classifier counts only for those it flags.
     """
     static = R.static_decision(requests)
     signed = R.signature_filter(static, book, only=F.col("static_rule").isNull())
-    scored = signed.withColumn("anomaly_score", anomaly)
-    score, label = classifier(PR.build_payload())
-    gate = F.col("anomaly_score") > 0.5
-    scored = scored.withColumn("app_score", F.when(gate, score).otherwise(0.0)).withColumn("app_label", F.when(gate, label).otherwise("clean"))
+    scored = models.score(signed, PR.build_payload("anomaly"), PR.build_payload())
     return scored.select(key, "ip", "t_us", "method", "path", "static_rule", "static_reason", "static_decision", "suspicion_contribution", F.col("decision").alias("signature_decision"),
                          F.col("score").alias("signature_score"), F.col("confidence").alias("signature_confidence"), "pattern_group", "pattern", "anomaly_score", "app_score", "app_label")
 
@@ -69,11 +64,11 @@ def decide(judged: DataFrame) -> DataFrame:
     return j.withColumn("block_reason", reason).drop("stop0", "why0", "stop1", "fused", "fused_action")
 
 
-def score_requests(requests: DataFrame, blocks: DataFrame, threats: DataFrame, anomaly: Column, classifier: Callable[[Column], tuple[Column, Column]],
+def score_requests(requests: DataFrame, blocks: DataFrame, threats: DataFrame, models: RequestModels,
                    book: R.RuleBook | None = None, key: str = "request_id", limit: int = K.RATE_LIMIT_SESSION, window: int = K.CORRELATION_WINDOW) -> DataFrame:
     """Requests (headers, query_params, body, ip, t_us, ...) to decided events."""
     live = PR.skip_paths(requests)
-    judged = judge_texts(live, anomaly, classifier, key, book)
+    judged = judge_texts(live, models, key, book)
     state = W.lookup_state(live.select(key, "ip", "t_us"), blocks, threats, tie=key, limit=limit).drop("ip", "t_us")
     # Stored once: the correlation step reads the verdicts several times, the texts must be judged only once.
     decided = materialize(decide(judged.join(state, key)), "verdicts")
