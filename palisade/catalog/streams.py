@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade import constants as K
-from palisade.catalog.detection import signature_sql
+from palisade.catalog.detection import USER_RULES, signature_sql
 from palisade.catalog.registry import query
 from palisade.catalog.temporal import _FLOW_SQL, _SESSION, rounded_flows
 from palisade.catalog.twins import sql_in
@@ -20,6 +20,7 @@ from palisade.streaming import jobs as J
 from palisade.streaming import ordered as OR
 from palisade.streaming import state as ST
 
+HALF_TIME_US = 360_000_000
 FAR_US = 100 * 86_400 * 1_000_000
 
 
@@ -186,6 +187,36 @@ def _(spark, d):
     return spark.read.parquet(out).select("doc_id", "decision", "score", "pattern_group", "rule_id")
 
 
+_RELOADED = f"""SELECT doc_id, decision, score, pattern_group, rule_id, late AS with_user_rules FROM (
+SELECT s.*, false AS late FROM ({signature_sql(RuleBook())}) s JOIN request_rows r ON r.doc_id = s.doc_id WHERE r.t_us < {HALF_TIME_US}
+UNION ALL SELECT s.*, true FROM ({signature_sql(RuleBook(USER_RULES))}) s JOIN request_rows r ON r.doc_id = s.doc_id WHERE r.t_us >= {HALF_TIME_US})"""
+
+
+@query("k08_rule_reload", _RELOADED)
+def _(spark, d):
+    """User rules are added when half of the requests are judged: they fire from the next trigger on, never before."""
+    req, rules = A.requests(spark, d), staged(A.rule_store(spark, d), "rules")
+    source, out, progress = fresh_dir(spark, "requests"), fresh_dir(spark, "verdicts"), fresh_dir(spark, "verdicts-progress")
+    run = lambda: J.score_stream(J.file_stream(spark, source, req.schema, 2), rules, out, progress, available_now=True).awaitTermination()
+    before = RuleBook.from_table(spark.read.parquet(rules)).version
+    req.where(F.col("t_us") < HALF_TIME_US).write.mode("append").parquet(source)
+    run()
+    newer = spark.createDataFrame([(i, p, t, "active", A.EPOCH_2024_US * 2) for i, p, t in USER_RULES], "rule_id string, pattern string, attack_type string, status string, created_us long")
+    newer.write.mode("append").parquet(rules)
+    req.where(F.col("t_us") >= HALF_TIME_US).write.mode("append").parquet(source)
+    run()
+    return spark.read.parquet(out).select("doc_id", "decision", "score", "pattern_group", "rule_id", (F.col("rules_version") != before).alias("with_user_rules"))
+
+
+@query("k06_newest_stream", "SELECT event_id, ip, t_us FROM attack_events ORDER BY t_us DESC, event_id DESC LIMIT 10000")
+def _(spark, d):
+    e = A.attack_events(spark, d).select("event_id", "ip", "t_us")
+    source, table = fresh_dir(spark, "events"), fresh_dir(spark, "newest")
+    e.repartition(2 * FILES).write.parquet(source)
+    J.newest_stream(J.file_stream(spark, source, e.schema, FILES), table, fresh_dir(spark, "newest-progress"), ts_us="t_us", available_now=True).awaitTermination()
+    return J.newest_of(spark, table)
+
+
 @query("k09_late_rows", "SELECT count(*) AS n, count(*) FILTER (WHERE action = 'BLOCK') AS blocked FROM attack_events")
 def _(spark, d):
     s = J.with_event_time(stream_of(A.attack_events(spark, d).select("request_id", "ts_us", "action"), "events"), "ts_us")

@@ -6,6 +6,7 @@ is a projection over the payload table: no rule x payload join and no shuffle.
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,8 @@ class RuleBook:
         high = [r for r in fixed if r[1] >= 1.0]
         medium = sorted((r for r in fixed if r[1] < 1.0), key=lambda r: -r[1])
         self.rules = high + user + medium
+        #: Digest of the user rules in their order: says which book judged a row. The same rules give the same digest.
+        self.version = hashlib.md5("\n".join(f"{i}\t{p}" for i, p, _ in adaptive or []).encode()).hexdigest()
 
     @classmethod
     def from_table(cls, rules: DataFrame) -> "RuleBook":

@@ -40,11 +40,25 @@ def to_event_rows(events: DataFrame, now_us: int | None = None, widths: dict[str
         F.to_json("layer_scores").alias("layer_scores"))
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_paths(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is not there."""
+    at, fs = _at(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at, fs = _at(spark, path)
+    fs.delete(at, True)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or None where nothing is written yet; a table that can't be read is an error."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(at) and len(fs.listStatus(at)) else None
+    return spark.read.parquet(path) if read_paths(spark, path) else None
 
 
 def new_rows(df: DataFrame, existing: DataFrame | None, key: str, order: str) -> DataFrame:
@@ -57,10 +71,14 @@ def append_dedup(df: DataFrame, path: str, key: str = "request_id", order: str =
     """Append rows whose key is new; a repeated delivery changes nothing.
 
     In a table partitioned by day, say, a repeated delivery has the day of the first: with ``partition_by`` only the
-    partitions that the new rows belong to are read for their keys.
+    partitions that the new rows belong to are read for their keys. First and last partition of the batch are a filter
+    on the scan, so the other folders are not even listed as tasks.
     """
     existing = read_table(df.sparkSession, path)
     if existing is not None and partition_by:
+        existing = existing.withColumn(partition_by, F.col(partition_by).cast(df.schema[partition_by].dataType))  # folder names may read as dates
+        first, last = df.agg(F.min(partition_by), F.max(partition_by)).first()
+        existing = existing.where(F.col(partition_by).between(F.lit(first), F.lit(last)))
         existing = existing.join(F.broadcast(df.select(partition_by).distinct()), partition_by, "left_semi")  # partitions of one batch
     rows = new_rows(df, existing, key, order)
     writer = rows.write.mode("append")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from palisade import constants as K
 from palisade.operators.rules import RuleBook, signature_filter
+from palisade.operators.temporal import newest_buffer
 from palisade.session import ROCKSDB, fresh_dir
-from palisade.sources.sinks import append_dedup
+from palisade.sources.sinks import append_dedup, read_paths, remove_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -54,21 +56,58 @@ def run_to_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def event_sink(events: DataFrame, table: str, progress: str, available_now: bool = False) -> StreamingQuery:
-    """Events to the event table, at most every five seconds; a batch that is delivered again adds nothing."""
-    writer = events.writeStream.foreachBatch(lambda batch, _: append_dedup(batch, table)).option("checkpointLocation", progress)
+    """Events to the event table, at most every five seconds; a batch that is delivered again adds nothing.
+
+    The table has one folder per day of the event's ``timestamp`` (epoch seconds; column ``day``, "none" where it is
+    null), and a batch reads the keys of its own days only. A row delivered again has the timestamp it had before.
+    """
+    dated = events.withColumn("day", F.coalesce(F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd"), F.lit("none")))
+    writer = dated.writeStream.foreachBatch(lambda batch, _: append_dedup(batch, table, partition_by="day")).option("checkpointLocation", progress)
     timed = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{K.FLUSH_SECONDS} seconds")
     return timed.start()
 
 
+def newest_stream(events: DataFrame, table: str, progress: str, n: int = K.NEWEST_EVENTS_CAP, ts_us: str = "ts_us", tie: str = "event_id", available_now: bool = False) -> StreamingQuery:
+    """Keep the newest ``n`` rows of a stream, as the bounded event list does.
+
+    A trigger merges its batch with the ``n`` rows of the trigger before and writes them as a version of their own, so
+    its work follows the batch and never the history, and a trigger that is run again replaces itself. The version
+    before stays for readers; older ones are removed.
+    """
+    stored = T.StructType([*events.schema.fields, T.StructField("batch_id", T.LongType())])
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark, rows, last = batch.sparkSession, batch, None
+        if read_paths(spark, table):
+            past = spark.read.schema(stored).parquet(table).where(F.col("batch_id") < batch_id)
+            last = past.agg(F.max("batch_id")).first()[0]
+            rows = batch if last is None else batch.unionByName(past.where(F.col("batch_id") == last).drop("batch_id"))
+        newest_buffer(rows, n, ts_us, tie).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        for name in read_paths(spark, table):
+            number = name.removeprefix("batch_id=")
+            if last is not None and number.isdigit() and int(number) < last:
+                remove_path(spark, f"{table}/{name}")
+
+    writer = events.writeStream.foreachBatch(keep).option("checkpointLocation", progress)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{K.FLUSH_SECONDS} seconds")).start()
+
+
+def newest_of(spark: SparkSession, table: str) -> DataFrame:
+    """The rows ``newest_stream`` keeps at the moment."""
+    rows = spark.read.parquet(table)
+    return rows.where(F.col("batch_id") == F.lit(rows.agg(F.max("batch_id")).first()[0])).drop("batch_id")
+
+
 def score_stream(requests: DataFrame, rules_path: str, table: str, progress: str, available_now: bool = False) -> StreamingQuery:
     """Signature verdicts of a request stream; the rule table is read anew for every trigger.
 
     Every batch has a folder of its own (column ``batch_id`` when read), so a batch that is run again replaces itself.
+    ``rules_version`` says which rules a row was judged by.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
         book = RuleBook.from_table(batch.sparkSession.read.parquet(rules_path))
-        signature_filter(batch, book).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        signature_filter(batch, book).withColumn("rules_version", F.lit(book.version)).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     writer = requests.writeStream.foreachBatch(score).option("checkpointLocation", progress)
     timed = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{K.RULE_RELOAD_SECONDS} seconds")
