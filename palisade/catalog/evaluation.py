@@ -150,6 +150,16 @@ def _(spark, d):
     return E.compare(df, "y_true", {"equal": "equal", "learned": "learned"})
 
 
+@query("e15_compare_cuts", """WITH b AS (SELECT quantile_cont(score, 0.05) AS a, quantile_cont(score, 0.99) AS z FROM scored), g AS (SELECT a + (z - a) * i / 199 AS t FROM b, (SELECT unnest(generate_series(0, 199)) AS i)),
+m AS (SELECT t, count(*) FILTER (WHERE y_true = 1) AS tp, count(*) FILTER (WHERE y_true = 0) AS fp FROM scored JOIN g ON score >= t GROUP BY t), n AS (SELECT count(*) AS p FROM scored WHERE y_true = 1),
+c AS (SELECT 'best_f1' AS name, t FROM (SELECT t FROM m, n ORDER BY 2.0 * tp / (tp + fp + p) DESC, t LIMIT 1) UNION ALL SELECT 'p95', quantile_cont(score, 0.95) FROM scored WHERE y_true = 0),
+r AS (SELECT name, t, p, count(*) FILTER (WHERE y_true = 1) AS tp, count(*) FILTER (WHERE y_true = 0) AS fp FROM c JOIN scored ON score >= t, n GROUP BY ALL)
+SELECT name, round(t, 9) AS threshold, round(tp / (tp + fp), 6) AS "precision", round(tp / p, 6) AS recall, round(2.0 * tp / (tp + fp + p), 6) AS f1,
+round(2.0 * tp / (tp + fp + p) - (SELECT 2.0 * tp / (tp + fp + p) FROM r WHERE name = 'p95'), 6) AS gain FROM r""")
+def _(spark, d):
+    return E.compare_cuts(scored(spark, d), "y_true", "score").withColumn("threshold", F.round("threshold", 9))
+
+
 @query("e16_score_histogram", """SELECT true_label, CAST(least(99, floor(score / 0.01)) AS INTEGER) AS bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY true_label) * 0.01), 6) AS density FROM scored GROUP BY 1, 2""")
 def _(spark, d):
     return E.score_histogram(scored(spark, d), "true_label", "score")

@@ -118,10 +118,10 @@ def _(spark, d):
     return out.select("row_id", F.round("ae", 6).alias("ae"))
 
 
-def trained(spark, d, trees=20, depth=8):
+def trained(spark, d):
     df = A.flow_table(spark, d)
     split = stratified_split(df, "label", ["flow_id"])
-    return MD.fit_classifier(split.where("split = 'train'"), FEATS, "label", trees=trees, depth=depth), split
+    return MD.fit_classifier(split.where("split = 'train'"), FEATS, "label"), split
 
 
 @query("m11_classifier_report")

@@ -195,7 +195,7 @@ def best_f1_threshold(df: DataFrame, truth: str, score: str, k: int = 200, fallb
     """Best F1 over ``k`` even candidates between p5 and p99; without attacks, a percentile of benign scores."""
     if df.where(F.col(truth) == 1).limit(1).count() == 0:
         cut = percentile_values(df, [score], [fallback], **kw)[score][0]
-        return df.sparkSession.createDataFrame([(float(cut), "percentile_benign")], "threshold double, method string")
+        return df.sparkSession.createDataFrame([(None if cut is None else float(cut), "percentile_benign")], "threshold double, method string")
     a, b = percentile_values(df, [score], [0.05, 0.99], **kw)[score]
     grid = [a + (b - a) * i / (k - 1) for i in range(k)]
     t = rates(grid_counts_many(df, truth, score, a, b, k, grid))
@@ -278,6 +278,26 @@ def compare(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame:
     return auc.crossJoin(F.broadcast(first)).select("name", F.round("auc", 6).alias("auc"), F.round(F.col("auc") - F.col("base"), 6).alias("gain"))
 
 
+def compare_cuts(df: DataFrame, truth: str, score: str, share: float = 0.95, **kw) -> DataFrame:
+    """What the threshold of best F1 gains over a percentile of the benign scores: one row each, F1 gain over the percentile.
+
+    Rows without score or truth take no part. Without attacks both are percentiles and F1 is 0.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
+    cut = percentile_values(rows.where(F.col(truth) == 0), [score], [share], **kw)[score][0]
+    best = best_f1_threshold(rows, truth, score, fallback=share, **kw).first()["threshold"]
+    cuts = {f"p{round(share * 100)}": cut, "best_f1": best}
+    hit = lambda c, y: n_of((F.col(truth) == y) & (F.col(score) >= F.lit(c)))
+    one = rows.agg(*[e.alias(f"{kind}{i}") for i, c in enumerate(cuts.values()) for kind, e in (("tp", hit(c, 1)), ("fp", hit(c, 0)))], n_of(F.col(truth) == 1).alias("p"))
+    made = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).cast("double").alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp")) for i, (n, c) in enumerate(cuts.items())])
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp = F.col("c.tp"), F.col("c.fp")
+    f1 = lambda t, f: ratio(2 * t, t + f + F.col("p"))
+    table = one.select("p", F.col("tp0"), F.col("fp0"), F.explode(made).alias("c"))
+    return table.select("c.name", "c.threshold", F.round(ratio(tp, tp + fp), 6).alias("precision"), F.round(ratio(tp, F.col("p")), 6).alias("recall"),
+                        F.round(f1(tp, fp), 6).alias("f1"), F.round(f1(tp, fp) - f1(F.col("tp0"), F.col("fp0")), 6).alias("gain"))
+
+
 AUDIT = {
     "union_select": lambda p, t: p.ilike("%union%") & p.ilike("%select%"),
     "api_path": lambda p, t: p.ilike("%/api/%"),

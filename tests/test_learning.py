@@ -76,3 +76,27 @@ def test_weights(spark):
     r = AN.learn_weights(df, "y", ["a", "b", "c", "d"]).first()
     assert abs(sum(r["weights"]) - 1) < 1e-9 and all(.05 - 1e-9 <= w <= .40 + 1e-9 for w in r["weights"])
     assert r["weights"][0] == 0.4 and r["auc"] >= r["equal_auc"]
+
+
+def test_compare_cuts(spark):
+    from palisade.operators.evaluate import compare_cuts
+
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 400)
+    x = np.round(0.4 * y + 0.6 * rng.random(400), 3)
+    rows = [(int(t), float(s)) for t, s in zip(y, x)] + [(None, 0.9), (1, None)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    got = {r["name"]: r for r in compare_cuts(df, "y", "s").collect()}
+
+    def f1(t):
+        tp, fp = ((x >= t) & (y == 1)).sum(), ((x >= t) & (y == 0)).sum()
+        return 2 * tp / (tp + fp + (y == 1).sum())
+
+    a, b = np.percentile(x, [5, 99])
+    best = max(f1(t) for t in np.linspace(a, b, 200))
+    p95 = np.percentile(x[y == 0], 95)
+    assert np.isclose(got["p95"]["threshold"], p95) and np.isclose(got["p95"]["f1"], f1(p95), atol=1e-6) and got["p95"]["gain"] == 0
+    assert np.isclose(got["best_f1"]["f1"], best, atol=1e-6) and np.isclose(got["best_f1"]["gain"], best - f1(p95), atol=2e-6)
+    calm = compare_cuts(df.where("y = 0"), "y", "s").collect()
+    assert len({r["threshold"] for r in calm}) == 1 and all(r["f1"] == 0 for r in calm)
+    assert [(r["threshold"], r["f1"]) for r in compare_cuts(df.limit(0), "y", "s").collect()] == [(None, 0.0)] * 2

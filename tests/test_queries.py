@@ -22,7 +22,8 @@ def test_twin(spark, small, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS) - {"m12_grid_search"}))
 def test_rows_only(spark, small, name):
     df = QUERIES[name](spark, small)
-    assert df.columns and len(df.take(1)) <= 1
+    row = df.first()
+    assert row is not None and any(v is not None for v in row)
 
 
 def test_names():
