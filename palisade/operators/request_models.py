@@ -31,10 +31,10 @@ def compact(df: DataFrame, text: str) -> DataFrame:
     return t.select("__row.*", *[F.col(c).cast("double").alias(f"c_{c}") for c in COMPACT_FEATURES])
 
 
-def lexical(df: DataFrame, text: str) -> DataFrame:
-    """Append the lexical features of a text column as doubles, prefix ``x_``; NULL counts as empty text."""
+def lexical(df: DataFrame, text: str, names: list[str] = LEXICAL_FEATURES) -> DataFrame:
+    """Append the lexical features (or those named) of a text column as doubles, prefix ``x_``; NULL counts as empty text."""
     t = lexical_features(df.select(F.struct("*").alias("__row"), F.col(text).alias("__text")), "__text")
-    return t.select("__row.*", *[F.col(c).cast("double").alias(f"x_{c}") for c in LEXICAL_FEATURES])
+    return t.select("__row.*", *[F.col(c).cast("double").alias(f"x_{c}") for c in names])
 
 
 # -- anomaly gate ------------------------------------------------------------------------------------
@@ -122,7 +122,8 @@ def fit_request_models(labelled: DataFrame, payload: str, label: str, benign: st
     if kind not in ("forest", "bayes"):
         raise ValueError(f"unknown kind of classifier: {kind}")
     known = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(payload).alias("text"))
-    rows = materialize(lexical(compact(known, "text"), "text").drop("text"), "payload-features")
+    names = LEXICAL_FEATURES if kind == "forest" else EVIDENCE  # only what the classifier reads is computed
+    rows = materialize(lexical(compact(known, "text"), "text", names).drop("text"), "payload-features")
     normal = rows.where(F.col("label") == benign)
     if normal.isEmpty():
         raise ValueError(f"no payload is labelled {benign}")
