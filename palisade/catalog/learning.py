@@ -173,6 +173,23 @@ def _(spark, d):
 
 @query("b04_smote")
 def _(spark, d):
-    feats = ["flow duration", "flow bytes/s", "packet length mean", "idle mean"]
-    out = SM.smote(A.flow_table(spark, d), "label", feats, "flow_id")
-    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"`{f}`"), 2).alias(f) for f in feats])
+    out = SM.smote(A.flow_table(spark, d), "label", FEATS, "flow_id")
+    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"`{f}`"), 2).alias(f) for f in FEATS])
+
+
+_GAP = " + ".join(f'(a."{f}" - b."{f}") * (a."{f}" - b."{f}")' for f in FEATS)
+_FINITE = " AND ".join(f'isfinite("{f}")' for f in FEATS)
+
+
+@query("b04_neighbours", f"""WITH n AS (SELECT label, count(*) AS n FROM flow_table GROUP BY 1),
+s AS (SELECT * FROM flow_table WHERE label IN (SELECT label FROM n WHERE n < (SELECT max(n) FROM n)) AND {_FINITE}),
+p AS (SELECT a.label, a.flow_id, b.flow_id AS neighbour, sqrt({_GAP}) AS d FROM s a JOIN s b ON a.label = b.label AND a.flow_id <> b.flow_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY d, neighbour) AS pos FROM p)
+SELECT label, flow_id, CAST(pos AS INT) AS pos, neighbour, round(d, 3) AS distance FROM r WHERE pos <= 5""")
+def _(spark, d):
+    flows = A.flow_table(spark, d)
+    sizes = flows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    small = sizes.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("top")))).where(F.col("n") < F.col("top"))
+    near = SM.k_nearest(flows.join(small.select("label"), "label", "left_semi"), "label", FEATS, "flow_id")
+    out = near.select("label", F.col("id").alias("flow_id"), F.posexplode("near").alias("pos", "n"))
+    return out.select("label", "flow_id", (F.col("pos") + 1).alias("pos"), F.col("n.id").alias("neighbour"), F.round("n.d", 3).alias("distance"))

@@ -57,6 +57,54 @@ def test_neighbours_are_exact(points):
         assert np.allclose([((x[i] - x[j]) ** 2).sum() for j in got[i]], [((x[i] - x[j]) ** 2).sum() for j in want])
 
 
+def nearest_by_brute(rows, k):
+    """id -> [(distance, id)] over rows (id, label, vector) with finite vectors."""
+    good = [(i, c, np.array(v)) for i, c, v in rows if c is not None and all(x is not None and np.isfinite(x) for x in v)]
+    return {i: sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, o, w in good if o == c and j != i)[:k] for i, c, v in good}
+
+
+def as_table(spark, rows, dims):
+    return spark.createDataFrame([(i, c, *[None if x is None else float(x) for x in v]) for i, c, v in rows], "id long, label string, " + ", ".join(f"f{d} double" for d in range(dims))).repartition(5)
+
+
+def test_neighbours_of_copies_ties_and_gaps(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, "hot", (1.0, 2.0, 3.0)) for i in range(300)]  # one vector, many times the size of a cell
+    rows += [(1000 + i, "hot", tuple(rng.integers(0, 4, 3).astype(float))) for i in range(200)]  # ties
+    rows += [(2000 + i, "zero", (0.0 if i else -0.0, float(rng.random() < .05), 0.0)) for i in range(60)]
+    rows += [(3000, "lone", (1.0, 1.0, 1.0)), (3001, "pair", (0.0, 0.0, 0.0)), (3002, "pair", (1e6, 0.0, 0.0))]
+    rows += [(4000, "hot", (None, 1.0, 1.0)), (4001, "hot", (float("nan"), 1.0, 1.0)), (4002, "hot", (float("inf"), 1.0, 1.0)), (4003, None, (1.0, 1.0, 1.0))]
+    rows += [(5000 + i, "tail", (10.0 ** (i % 12), float(i), -float(i))) for i in range(120)]
+    want = nearest_by_brute(rows, 5)
+    got = {r["id"]: [(n["d"], n["id"]) for n in r["near"]] for r in SM.k_nearest(as_table(spark, rows, 3), "label", ["f0", "f1", "f2"], "id", 5, cell_rows=16).collect()}
+    assert set(got) == set(want)
+    for i in want:
+        assert [j for _, j in got[i]] == [j for _, j in want[i]] and np.allclose([d for d, _ in got[i]], [d for d, _ in want[i]]), i
+    assert SM.k_nearest(as_table(spark, rows, 3).limit(0), "label", ["f0", "f1"], "id").count() == 0
+
+
+def test_an_outlier_widens_only_its_own_search(spark):
+    rng = np.random.default_rng(9)
+
+    def met(n):
+        rows = [(i, "c", tuple(rng.random(2))) for i in range(n)] + [(n, "c", (1e9, 1e9))]
+        cells = SM.cut_cells(SM.entries(SM.vectors(as_table(spark, rows, 2), "label", ["f0", "f1"], "id"), 5), 2, 64)
+        reach = SM._reach(cells, 5).cache()
+        assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 64
+        return SM.visits(cells, reach, 2).count()
+
+    a, b = met(2000), met(4000)
+    assert b < 3 * a and b < 4000 * 4
+
+
+def test_smote_keeps_rows_without_neighbours(spark):
+    rows = [(i, "a", (float(i), 1.0)) for i in range(30)] + [(100 + i, "b", (float(i), 2.0)) for i in range(4)]
+    rows += [(200, "b", (None, 2.0)), (201, "lone", (5.0, 5.0)), (202, None, (1.0, 1.0))]
+    out = SM.smote(as_table(spark, rows, 2), "label", ["f0", "f1"], "id").cache()
+    assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {"a": 30, "b": 30, "lone": 1, None: 1}
+    assert out.where("not synthetic").count() == len(rows) and all(r["f1"] == 2.0 for r in out.where("synthetic").collect())
+
+
 def test_smote_balances(points):
     x, df = points
     cols = [f"f{i}" for i in range(4)]
