@@ -256,12 +256,29 @@ def _(spark, d):
     return c.groupBy("service").agg(F.count(F.lit(1)).alias("n"), F.sum("src_bytes").alias("src_bytes"), F.round(F.avg("dst_bytes"), 4).alias("dst_bytes"))
 
 
-@query("s04_read_honeypot_json", "SELECT method, count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS found, sum(length(body)) ::BIGINT AS chars FROM request_rows GROUP BY 1")
+def hits_by_method(h):
+    return h.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("threat_intel.ti_found"), 1)).alias("found"), F.sum(F.length("raw_body")).alias("chars"))
+
+
+_HITS = "SELECT method, count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS found, sum(length(body)) ::BIGINT AS chars FROM request_rows GROUP BY 1"
+
+
+@query("s04_read_honeypot_json", _HITS)
 def _(spark, d):
     path = fresh_dir(spark, "honeypot")
     A.honeypot(spark, d).drop("doc_id").write.json(path)
-    h = readers.read_honeypot_json(spark, path, multiline=False)
-    return h.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("threat_intel.ti_found"), 1)).alias("found"), F.sum(F.length("raw_body")).alias("chars"))
+    return hits_by_method(readers.read_honeypot_json(spark, path, multiline=False))
+
+
+@query("s04_read_honeypot_array", _HITS)
+def _(spark, d):
+    path = fresh_dir(spark, "honeypot")
+    h = A.honeypot(spark, d)
+    element = F.concat(F.lit("  "), F.replace(F.to_json(F.struct(*[c for c in h.columns if c != "doc_id"]), {"pretty": "true"}), F.lit("\n"), F.lit("\n  ")))
+    # Each log file is an array of the hits of 2,000 document numbers.
+    logs = h.select(F.floor(F.col("doc_id") / 2000).alias("log"), element.alias("e")).groupBy("log").agg(F.array_join(F.collect_list("e"), ",\n").alias("es"))
+    logs.select("log", F.concat(F.lit("[\n"), "es", F.lit("\n]")).alias("value")).write.partitionBy("log").text(path)
+    return hits_by_method(readers.read_honeypot_array(spark, path))
 
 
 @query("s06_event_rows", """SELECT request_id, ip, method, path, final_score, action, block_reason, latency_ms, best_label, regex_conf

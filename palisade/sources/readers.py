@@ -95,6 +95,24 @@ def read_honeypot_json(spark: SparkSession, path: str, multiline: bool = True) -
     return spark.read.schema(HONEYPOT_SCHEMA).option("multiLine", multiline).json(path)
 
 
+def read_honeypot_array(spark: SparkSession, path: str, indent: int = 2) -> DataFrame:
+    """Honeypot log kept as one indented JSON array, split inside the file like any line format.
+
+    JSON text holds no bare line break inside a string, so a line break, ``indent`` spaces and a closing brace end an
+    element and nothing else does. They serve as the separator of the scan, which cuts files at any of them. An array
+    of another layout (on one line, another indent, elements that are empty or no objects) is an error and not a loss:
+    ``read_honeypot_json`` reads those.
+    Empty files and empty arrays give no rows; a broken element gives nulls, as in the other readers.
+    """
+    end = "\n" + " " * indent + "}"
+    piece = F.col("value")
+    closing, opening = piece.rlike(r"\A\s*(\[\s*\])?\s*\z|\A\s*\]\s*\z"), piece.rlike(r"\A\s*[\[,]\s*\n" + " " * indent + r"\{\s*\n")
+    body = F.when(opening, F.concat(F.regexp_replace(piece, r"\A\s*[\[,]\s*", ""), F.lit(end)))
+    checked = F.coalesce(body, F.raise_error(F.lit(f"not a JSON array with an indent of {indent}")))
+    pieces = spark.read.option("lineSep", end).schema("value string").text(path).where(~closing)
+    return pieces.select(F.from_json(checked, HONEYPOT_SCHEMA).alias("r")).select("r.*")
+
+
 PACKET_SCHEMA = T.StructType([
     T.StructField("packet_id", T.LongType()), T.StructField("t_us", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("flags", T.IntegerType()),
