@@ -1,9 +1,10 @@
 """Order-exact keyed state: rows are held back and fed in event-time order once the watermark has passed them.
 
-``InOrder`` wraps any processor of ``palisade.streaming.state`` or of this module. Rows that come go to a map state of
-the key, one entry for every ``chunk`` seconds of event time, so neither a trigger nor an address is ever one frame. A
-timer at the end of the oldest chunk feeds all chunks that the watermark has passed, oldest first, to the wrapped
-processor, which so never sees a late row; its own timers are kept in a value state and fire in between. Whatever order
+``InOrder`` wraps any processor of ``palisade.streaming.state`` or of this module, a shard of addresses at a time (see
+``palisade.streaming.shards``). Rows that come go to a map state of the shard, one entry for every trigger and ``chunk``
+seconds of event time. A timer at the end of the oldest chunk feeds all chunks that the watermark has passed, oldest
+first and in bounded numbers, to the wrapped processor, which so never sees a late row; its own timers are kept
+beside its state and fire once the rows are fed. Whatever order
 rows arrive in within the watermark's delay, the result is the batch operator's, row for row. The price is the delay:
 a row's result comes when the watermark passes its chunk.
 
@@ -13,46 +14,28 @@ that a stream starts with: Spark drops such rows as late.
 
 from __future__ import annotations
 
+import pickle
 import sys
+from collections import namedtuple
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from palisade import constants as K
 from palisade.operators.scale import US
 from palisade.streaming import state as ST
-from palisade.streaming.state import LONG, RATE_OUT, STR, gather, schema
+from palisade.streaming.shards import BLOB, PIECE, RowProcessor, Sharded, by_shard
+from palisade.streaming.state import LONG, RATE_OUT, STR, in_time, schema
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-AT = schema(at=LONG)
-CHUNK_KEY = schema(chunk=LONG)
-
-
-class _InnerHandle:
-    """The handle that a wrapped processor sees: real states, and one timer that ``InOrder`` keeps for it."""
-
-    def __init__(self, handle: StatefulProcessorHandle):
-        self.handle, self.wanted = handle, None
-
-    def getValueState(self, name: str, fields: T.StructType):
-        return self.handle.getValueState(name, fields)
-
-    def getMapState(self, name: str, key: T.StructType, fields: T.StructType):
-        return self.handle.getMapState(name, key, fields)
-
-    def listTimers(self) -> list:
-        return []
-
-    def deleteTimer(self, at: int) -> None:
-        self.wanted = None
-
-    def registerTimer(self, at: int) -> None:
-        self.wanted = at
+#: Rows from which on no further chunk joins a frame.
+MOST_ROWS = 50_000
 
 
 class _Fed:
@@ -65,31 +48,27 @@ class _Fed:
         return self.ms
 
 
-class InOrder(StatefulProcessor):
-    """Feeds ``inner`` the columns ``fields`` of the rows, chunk by chunk in event-time order (``t_us``)."""
+class InOrder(Sharded):
+    """Feeds ``inner`` the columns ``fields`` of the rows, in event-time order (``t_us``), whole chunks at a time."""
 
-    def __init__(self, inner: StatefulProcessor, fields: T.StructType, chunk: int = 10):
-        self.inner, self.fields, self.chunk_ms = inner, fields, chunk * 1000
+    def __init__(self, inner: RowProcessor, key: str, fields: T.StructType, chunk: int = 10):
+        super().__init__(inner, key, chunk * 1000)
+        self.fields = fields
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows = handle.getMapState("rows", CHUNK_KEY, T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.fields]))
-        self.timer = handle.getValueState("timer", AT)
-        self.seen_by_inner = _InnerHandle(handle)
-        self.inner.init(self.seen_by_inner)
+        self.rows = handle.getMapState("rows", PIECE, BLOB)
+        super().init(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        part, armed = self._turn()
         touched = set()
         for frame in rows:  # one Arrow batch at a time
-            for chunk, part in frame.groupby(frame["t_us"] // 1000 // self.chunk_ms):
-                at = (int(chunk),)
-                held = [list(c) for c in self.rows.getValue(at)] if self.rows.containsKey(at) else [[] for _ in self.fields]
-                for column, f in zip(held, self.fields):
-                    column.extend(self._plain(part[f.name], f.dataType))
-                self.rows.updateValue(at, tuple(held))
+            for chunk, piece in frame.groupby(frame["t_us"] // 1000 // self.tick):
+                columns = [self._plain(piece[f.name], f.dataType) for f in self.fields]
+                self.rows.updateValue((int(chunk), part), (pickle.dumps(columns),))
                 touched.add(int(chunk))
-        if touched:
-            self.handle.registerTimer((min(touched) + 1) * self.chunk_ms)
+            part += 1
+        self._arm([(chunk + 1) * self.tick for chunk in touched], part, armed)
         return iter([])
 
     @staticmethod
@@ -100,40 +79,35 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # Rows behind the watermark but in a chunk that it hasn't passed are still to be fed.
-        passed = timerValues.getCurrentWatermarkInMs() // self.chunk_ms * self.chunk_ms
-        chunks = sorted(int(c[0]) for c in self.rows.keys())
-        for chunk in [c for c in chunks if (c + 1) * self.chunk_ms <= passed]:
-            frame = pd.DataFrame(dict(zip(self.fields.names, map(list, self.rows.getValue((chunk,))))))
-            self.rows.removeKey((chunk,))
-            yield from self._fed(self.inner.handleInputRows(key, iter([frame]), _Fed(passed)))
-        waiting = [c for c in chunks if (c + 1) * self.chunk_ms > passed]
-        if waiting:
-            self.handle.registerTimer((waiting[0] + 1) * self.chunk_ms)
-        wanted = self.timer.get()[0] if self.timer.exists() else None
-        if wanted is not None and wanted <= passed:
-            self.timer.clear()
-            yield from self._fed(self.inner.handleExpiredTimer(key, _Fed(passed), expiredTimerInfo))
-            wanted = self.timer.get()[0] if self.timer.exists() else None
-        if wanted is not None:
-            self.handle.registerTimer(-(-max(wanted, passed + 1) // self.chunk_ms) * self.chunk_ms)
-
-    def _fed(self, out: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """What the wrapped processor gives, and the timer it asked for."""
-        self.seen_by_inner.wanted = None
-        yield from out
-        if self.seen_by_inner.wanted is None:
-            self.timer.clear()
-        else:
-            self.timer.update((self.seen_by_inner.wanted,))
-
-    def close(self) -> None:
-        self.inner.close()
-
-
-def in_order(rows: DataFrame, key: str, inner: StatefulProcessor, out: T.StructType, chunk: int = 10) -> DataFrame:
+        passed = timerValues.getCurrentWatermarkInMs() // self.tick * self.tick
+        part, _ = self._turn()
+        pieces = sorted((int(p[0]), int(p[1])) for p in self.rows.keys())
+        ready = [p for p in pieces if (p[0] + 1) * self.tick <= passed]
+        for held in self._held(ready):
+            filed: dict[int, list] = {}
+            yield from self._feed(held, _Fed(passed), filed)
+            self._file(filed, part)
+            part += 1
+        yield from self._expire(passed, _Fed(passed), part)
+        waiting = [(p[0] + 1) * self.tick for p in pieces[len(ready):]]
+        self._arm(waiting + [int(p[0]) * self.tick for p in self.due.keys()], part + 1, 0)
+
+    def _held(self, pieces: list[tuple[int, int]]) -> Iterator[list]:
+        """The rows of whole chunks, oldest first; a chunk that brings a list to ``MOST_ROWS`` is its last."""
+        row = namedtuple("Row", self.fields.names, rename=True)
+        held: list = []
+        for i, piece in enumerate(pieces):
+            held += map(row, *pickle.loads(self.rows.getValue(piece)[0]))
+            self.rows.removeKey(piece)
+            if i + 1 == len(pieces) or (pieces[i + 1][0] != piece[0] and len(held) >= MOST_ROWS):
+                yield held
+                held = []
+
+
+def in_order(rows: DataFrame, key: str, inner: RowProcessor, out: T.StructType, chunk: int = 10) -> DataFrame:
     """``rows`` (with ``t_us`` and ``event_time`` under a watermark) through ``inner``, in order for every ``key``."""
-    fields = T.StructType([f for f in rows.schema if f.name not in (key, "event_time")])
-    return rows.groupBy(key).transformWithStateInPandas(InOrder(inner, fields, chunk), out, "Append", "EventTime")
+    fields = T.StructType([f for f in rows.schema if f.name != "event_time"])
+    return by_shard(rows, key, InOrder(inner, key, fields, chunk), out)
 
 
 # -- requests of the last seconds --------------------------------------------------------------------------
@@ -142,7 +116,7 @@ INSTANTS = schema(t=T.ArrayType(LONG), n=T.ArrayType(LONG))
 TOTAL = schema(n=LONG)
 
 
-class SlidingState(StatefulProcessor):
+class SlidingState(RowProcessor):
     """Requests of the last ``seconds``, peers of one instant included: a ring of one-second entries and a running total.
 
     Rows must come in order. An entry holds the instants of its second and how many requests each had; instants that
@@ -157,7 +131,7 @@ class SlidingState(StatefulProcessor):
         self.ring = handle.getMapState("ring", schema(second=LONG), INSTANTS)
         self.total = handle.getValueState("total", TOTAL)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def on_rows(self, key, rows, timerValues) -> list[dict]:
         ring = {int(s[0]): None for s in self.ring.keys()}  # read when needed
         total = self.total.get()[0] if self.total.exists() else 0
         changed, out = set(), []
@@ -167,8 +141,8 @@ class SlidingState(StatefulProcessor):
                 ring[second] = [list(c) for c in self.ring.getValue((second,))] if second in ring else [[], []]
             return ring[second]
 
-        for t, peers in gather(rows, ["t_us", "event_id"]).groupby("t_us", sort=True):
-            t = int(t)
+        for t, peers in groupby(in_time(rows, "event_id"), key=lambda e: int(e.t_us)):
+            peers = list(peers)
             for second in sorted(s for s in ring if s * 1_000_000 <= t - self.span):
                 instants, counts = entry(second)
                 gone = sum(1 for x in instants if x <= t - self.span)
@@ -183,7 +157,7 @@ class SlidingState(StatefulProcessor):
             counts.append(len(peers))
             changed.add(second)
             total += len(peers)
-            out += [{"event_id": int(e), "ip": key[0], "session_requests": total, "rate_limited": total > self.limit} for e in peers["event_id"]]
+            out += [{"event_id": int(e.event_id), "ip": key[0], "session_requests": total, "rate_limited": total > self.limit} for e in peers]
             last = t
         for second in changed:
             if second in ring:
@@ -192,16 +166,13 @@ class SlidingState(StatefulProcessor):
                 self.ring.removeKey((second,))
         self.total.update((total,))
         self.handle.registerTimer((last + self.span) // 1000 + 1)
-        yield pd.DataFrame(out)
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def on_timer(self, key, timerValues) -> list[dict]:
         for second in list(self.ring.keys()):
             self.ring.removeKey((int(second[0]),))
         self.total.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+        return []
 
 
 # -- blocks and challenges ----------------------------------------------------------------------------------
@@ -210,7 +181,7 @@ BLOCK, CAPTCHA = "block", "captcha"
 ACCESS_OUT = schema(event_id=LONG, key=STR, blocked=T.BooleanType(), captcha=STR)
 
 
-class AccessState(StatefulProcessor):
+class AccessState(RowProcessor):
     """What is held about an address, each kind with a life time of its own, in one map state.
 
     ``block`` lasts ``block_ttl`` seconds, ``block_permanent`` until ``unblock``; ``captcha`` is pending for
@@ -225,12 +196,10 @@ class AccessState(StatefulProcessor):
         self.handle = handle
         self.kinds = handle.getMapState("kinds", schema(kind=STR), schema(value=STR, until=LONG))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def on_rows(self, key, rows, timerValues) -> list[dict]:
         before = {k[0]: tuple(v) for k, v in self.kinds.iterator()}
         held, out = dict(before), []
-        frame = pd.concat(list(rows))
-        frame = frame.assign(read=(frame["op"] == "get").astype(int)).sort_values(["t_us", "read", "event_id"], kind="stable")
-        for e in frame.itertuples(index=False):
+        for e in sorted(rows, key=lambda e: (e.t_us, e.op == "get", e.event_id)):
             t = int(e.t_us)
             live = {k: v for k, v in held.items() if v[1] is None or t < v[1]}
             if e.op == "get":
@@ -254,10 +223,9 @@ class AccessState(StatefulProcessor):
         ends = [v[1] for v in held.values() if v[1] is not None]
         if ends:
             self.handle.registerTimer(min(ends) // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out)
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def on_timer(self, key, timerValues) -> list[dict]:
         passed, later = timerValues.getCurrentWatermarkInMs(), []
         for kind, value in [(k[0], tuple(v)) for k, v in self.kinds.iterator()]:
             if value[1] is not None and value[1] // 1000 < passed:
@@ -266,10 +234,7 @@ class AccessState(StatefulProcessor):
                 later.append(value[1])
         if later:
             self.handle.registerTimer(min(later) // 1000 + 1)
-        return iter([])
-
-    def close(self) -> None:
-        pass
+        return []
 
 
 # -- streams that equal their batch operators in any order of arrival ----------------------------------------

@@ -211,3 +211,84 @@ def test_kinds_with_their_own_life(spark, tmp_path):
     stream = J.with_event_time(J.file_stream(spark, str(tmp_path / "in"), frame, 1), delay="60 seconds")
     got = {r["event_id"]: (r["blocked"], r["captcha"]) for r in J.run_to_table(OR.access_in_order(stream), "t-access").collect()}
     assert got == {2: (True, None), 3: (False, None), 6: (True, None), 8: (False, None), 11: (False, "pending"), 13: (False, "solved"), 14: (False, None), 17: (False, None)}
+
+
+class _Counted:
+    """State of one group in memory that counts what would go to the state store."""
+
+    calls = 0
+
+    def __init__(self):
+        self.v, self.entries, self.timers = None, {}, set()
+
+    def _say(self, value=None):
+        _Counted.calls += 1
+        return value
+
+    getValueState = lambda self, name, fields: _Counted()
+    getMapState = lambda self, name, key, fields: _Counted()
+    registerTimer = lambda self, at: self._say(self.timers.add(at))
+    deleteTimer = lambda self, at: self._say(self.timers.discard(at))
+    exists = lambda self: self._say(self.v is not None)
+    get = lambda self: self._say(self.v)
+    update = lambda self, v: self._say(setattr(self, "v", v))
+    keys = lambda self: self._say(iter(list(self.entries)))
+    getValue = lambda self, k: self._say(self.entries.get(k))
+    updateValue = lambda self, k, v: self._say(self.entries.update({k: v}))
+    removeKey = lambda self, k: self._say(self.entries.pop(k))
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_state_is_reached_once_an_address_and_trigger():
+    """Many rows of some addresses in one shard: few state calls, right counts, and nothing left behind."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([None, *"abcdefghi"]), rnd.randrange(1, 400_000_000)) for i in range(4000)]
+    fields = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ip", T.StringType()), T.StructField("t_us", T.LongType())])
+    shard, handle, got = OR.InOrder(OR.SlidingState(limit=50), "ip", fields), _Counted(), []
+    shard.init(handle)
+    _Counted.calls = 0
+
+    def passed(ms):
+        due = sorted(t for t in handle.timers if t <= ms)
+        for t in due:
+            for frame in shard.handleExpiredTimer((0,), _At(ms), None):
+                got.extend(frame.to_dict("records"))
+            handle.timers.discard(t)
+
+    for i in range(4):
+        part = [r for r in rows if r[2] // 100_000_000 == i]
+        rnd.shuffle(part)
+        list(shard.handleInputRows((0,), iter([pd.DataFrame(part, columns=fields.names)]), _At(i * 100_000)))
+        passed((i + 1) * 100_000)
+    assert _Counted.calls < len(rows) / 4
+    while handle.timers:
+        passed(min(handle.timers))
+    want = {r[0]: sum(1 for o in rows if o[1] == r[1] and r[2] - 60_000_000 < o[2] <= r[2]) for r in rows}
+    assert {r["event_id"]: r["session_requests"] for r in got} == want and len(got) == len(rows)
+    assert not any(s.entries for s in (shard.rows, shard.kept, shard.due))
+
+
+def test_shard_of_set_rows_only_gives_nothing_and_keeps_the_value():
+    import pandas as pd
+    from palisade.streaming.shards import Sharded
+
+    shard, handle = Sharded(ST.TtlState(60), "key"), _Counted()
+    shard.init(handle)
+    feed = lambda *rows: [r for f in shard.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["key", "event_id", "op", "value", "t_us"])]), _At(0)) for r in f.to_dict("records")]
+    assert feed(("a", 1, "set", "x", 10_000_000), (None, 2, "set", "y", 11_000_000)) == []
+    assert [(r["event_id"], r["value"]) for r in feed(("a", 3, "get", None, 20_000_000), (None, 4, "get", None, 71_000_000), ("b", 5, "get", None, 1))] == [(3, "x"), (4, None), (5, None)]
+    while handle.timers:
+        t = min(handle.timers)
+        assert not list(shard.handleExpiredTimer((0,), _At(t), None))
+        handle.timers.discard(t)
+    assert not shard.kept.entries and not shard.due.entries
