@@ -292,3 +292,12 @@ def test_shard_of_set_rows_only_gives_nothing_and_keeps_the_value():
         assert not list(shard.handleExpiredTimer((0,), _At(t), None))
         handle.timers.discard(t)
     assert not shard.kept.entries and not shard.due.entries
+
+
+def test_a_trigger_of_one_file_is_scored_by_many_tasks(spark, tmp_path):
+    req = "id int, method string, path string, body string, headers map<string,string>, query_params map<string,string>"
+    s = parts(spark, tmp_path / "in", [(i, "GET", "/x", "harmless words", {}, {}) for i in range(64)], req, 1)
+    spark.createDataFrame([], "rule_id string, pattern string, attack_type string, status string, created_us long").write.parquet(str(tmp_path / "rules"))
+    J.score_stream(J.file_stream(spark, str(tmp_path / "in"), s, 1), str(tmp_path / "rules"), str(tmp_path / "out"), str(tmp_path / "p"), available_now=True).awaitTermination()
+    assert sum(f.endswith(".parquet") for f in os.listdir(tmp_path / "out" / "batch_id=0")) >= 8
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(64))
