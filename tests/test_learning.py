@@ -148,3 +148,19 @@ def test_compare_cuts(spark):
     calm = compare_cuts(df.where("y = 0"), "y", "s").collect()
     assert len({r["threshold"] for r in calm}) == 1 and all(r["f1"] == 0 for r in calm)
     assert [(r["threshold"], r["f1"]) for r in compare_cuts(df.limit(0), "y", "s").collect()] == [(None, 0.0)] * 2
+
+
+def test_training_rows_are_dealt_however_few_classes(spark):
+    from palisade.operators import models as MD
+    from palisade.operators.sampling import with_weights
+
+    rows = spark.range(4000).selectExpr("if(id % 50 = 0, 'b', 'a') AS label", "CAST(id % 7 AS DOUBLE) AS x").coalesce(1)
+    seen = []
+    keep, MD.RandomForestClassifier.fit = MD.RandomForestClassifier.fit, lambda self, df, *a: (seen.append(df), keep(self, df, *a))[1]
+    try:
+        MD.fit_classifier(rows, ["x"], "label", trees=1, depth=1)
+    finally:
+        MD.RandomForestClassifier.fit = keep
+    sizes = [n for n in seen[0].rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert len(sizes) >= 8 and sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / len(sizes)
+    assert sorted(MD.training_rows(with_weights(rows, "label"), ["label", "x"]).groupBy("label").count().collect()) == [("a", 3920), ("b", 80)]
