@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.functions.scores import clamp
-from palisade.operators.evaluate import roc_auc
+from palisade.operators.evaluate import auc_of_counts
 from palisade.operators.scale import percentile_values
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -184,15 +184,34 @@ def weight_grid(n: int, low: float = 0.05, high: float = 0.40, step: float = 0.0
 def learn_weights(df: DataFrame, truth: str, models: list[str], low: float = 0.05, high: float = 0.40, step: float = 0.05, bins: int = 1000) -> DataFrame:
     """Weights of best area under the curve over a grid: one row with the weights and both areas.
 
-    All candidates are scored in one aggregate. A row updates one cell per candidate inside its task
-    (partial aggregation), so candidates x bins cells are shuffled, not candidates x rows.
+    Each task counts its rows in one histogram per candidate, in Arrow batches, and hands on the cells that are not
+    empty; so candidates x bins cells a task are shuffled, not candidates x rows. Rows with a null take no part.
     """
     grid = weight_grid(len(models), low, high, step)
-    cands = F.explode(F.array(*[F.struct(F.lit(i).alias("cand"), F.array(*[F.lit(w) for w in g]).alias("w")) for i, g in enumerate(grid)]))
-    fused = F.aggregate(F.zip_with(F.array(*models), F.col("__c.w"), lambda s, w: s * w), F.lit(0.0), lambda a, x: a + x)
-    cell = F.least(F.lit(bins - 1), F.floor(fused * bins + 1e-9))
-    binned = df.select(truth, *models, cands.alias("__c")).select(truth, F.col("__c.cand").alias("cand"), (cell / F.lit(float(bins))).alias("s"))
-    auc = roc_auc(binned, truth, "s", ["cand"])
+
+    def cells(batches):
+        hist = np.zeros((len(grid), 2 * bins), dtype=np.int64)  # even: negatives of a bin, odd: positives
+        under: dict[tuple[int, int], int] = {}  # negative scores have no bin of their own
+        for pdf in batches:
+            y, x = pdf["y"].to_numpy().astype(np.int64), [pdf[f"m{i}"].to_numpy() for i in range(len(models))]
+            for c, w in enumerate(grid):
+                fused = sum((s * g for s, g in zip(x, w)), np.zeros(len(y)))
+                at = np.nan_to_num(np.minimum(np.floor(fused * bins + 1e-9), bins - 1), nan=0.0, neginf=-2.0 ** 63).astype(np.int64)
+                if len(at) and at.min() < 0:
+                    for cell, kind in zip(at[at < 0].tolist(), y[at < 0].tolist()):
+                        under[c, 2 * cell + kind] = under.get((c, 2 * cell + kind), 0) + 1
+                hist[c] += np.bincount((2 * at + y)[at >= 0], minlength=2 * bins)
+        cand, slot = np.nonzero(hist)
+        keys = [*zip(cand.tolist(), slot.tolist()), *under]
+        counts = [*hist[cand, slot].tolist(), *under.values()]
+        yield pd.DataFrame({"cand": [k[0] for k in keys], "cell": [k[1] // 2 for k in keys], "kind": [k[1] % 2 for k in keys], "n": counts})
+
+    rows = df.select(F.col(truth).alias("y"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(models)])
+    whole = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns)).withColumn("y", (F.col("y") == 1).cast("int"))
+    told = whole.mapInPandas(cells, "cand int, cell long, kind int, n long")
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).cast("bigint")
+    counts = told.groupBy("cand", (F.col("cell") / F.lit(float(bins))).alias("score")).agg(of(1).alias("pos"), of(0).alias("neg"))
+    auc = auc_of_counts(counts, ["cand"])
     best = auc.agg(F.max_by(F.struct("cand", "auc"), F.struct("auc", (-F.col("cand")).alias("o"))).alias("b"), F.max(F.when(F.col("cand") == 0, F.col("auc"))).alias("equal_auc"))
     table = F.array(*[F.array(*[F.lit(w) for w in g]) for g in grid])
     return best.select(F.get(table, F.col("b.cand")).alias("weights"), F.col("b.auc").alias("auc"), "equal_auc")

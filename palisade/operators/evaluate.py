@@ -131,8 +131,13 @@ def roc_curve(df: DataFrame, truth: str, score: str, by: list[str] | None = None
 
 def roc_auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Exact area under the curve; tied scores count half."""
+    return auc_of_counts(score_counts(df, truth, score, by), by)
+
+
+def auc_of_counts(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same from ``pos`` and ``neg`` per distinct ``score``."""
     by = by or []
-    cum = descending_totals(score_counts(df, truth, score, by), by)
+    cum = descending_totals(counts, by)
     # Each positive outranks the negatives strictly below it: those not counted in fp yet.
     g = cum.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"),
                              F.sum(F.col("pos").cast("double") * (F.col("fp") - F.col("neg") / 2.0)).alias("above"))

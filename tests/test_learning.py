@@ -126,6 +126,28 @@ def test_weights(spark):
     assert r["weights"][0] == 0.4 and r["auc"] >= r["equal_auc"]
 
 
+def test_weights_are_counted_inside_the_tasks(spark, monkeypatch):
+    """Histograms equal brute force for odd scores, and rows are not multiplied by candidates."""
+    seen = {}
+    monkeypatch.setattr(AN, "auc_of_counts", lambda counts, by, known=AN.auc_of_counts: known(seen.setdefault("counts", counts), by))
+    x = [(1, .9, .1, .2, .3), (0, .2, .9, .1, .1), (1, -3.0, .1, .1, .1), (0, float("inf"), .1, .1, .1), (1, float("nan"), .1, .1, .1), (None, .5, .5, .5, .5), (1, None, .5, .5, .5)]
+    df = spark.createDataFrame(x, "y int, a double, b double, c double, d double")
+    AN.learn_weights(df, "y", ["a", "b", "c", "d"]).collect()
+    want = {}
+    for c, w in enumerate(AN.weight_grid(4)):
+        for y, *v in x:
+            if y is None or None in v:
+                continue
+            f = 0.0
+            for s, g in zip(v, w):
+                f += s * g
+            cell = 0 if f != f else 999 if f == float("inf") else min(999, int(np.floor(f * 1000 + 1e-9)))
+            n = want.setdefault((c, cell / 1000.0), [0, 0])
+            n[y] += 1
+    assert {(r["cand"], r["score"]): [r["neg"], r["pos"]] for r in seen["counts"].collect()} == want
+    assert "Generate" not in seen["counts"]._jdf.queryExecution().toString()
+
+
 def test_compare_cuts(spark):
     from palisade.operators.evaluate import compare_cuts
 
