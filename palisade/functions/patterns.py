@@ -77,6 +77,22 @@ SIGNATURE_GUARDS = [
     ["$path", "$ifs", "$home", "$shell", "$user", "$ld_preload"], [">"], ["|"], [";"], ["`"], ["&&", ";"],
 ]
 
+# More such lists by description: some text of each must occur as well.
+MORE_GUARDS = {
+    "Tautology with comment": [["--"], ["or", "and"]], "Quote-comment bypass": [["--"]], "Quote-hash bypass": [["#"]],
+    "Classic OR/AND tautology": [["="], ["or", "and"]],
+    "Stacked query": [["drop", "truncate", "delete", "insert", "update", "create", "alter"]],
+    "Quote with SQL keyword": [["select", "insert", "update", "delete", "drop", "union", "exec"]],
+    "Multiple SQL keywords": [["select", "union", "insert", "update", "delete", "drop"]],
+    "HAVING clause injection": [["=", "group"]], "JavaScript protocol": [[":"]], "Event handler with JS": [["on"], ["="]],
+    "JS code execution": [["("]], "DOM access": [["."]], "SVG event handler": [["on"], ["="]], "Generic event handler": [["on"], ["="]],
+    "HTML tag with JS URI": [["<"], ["="]], "XSS alert/prompt/confirm": [["("]], "CSS expression": [["("]],
+    "Shell command after separator": [["cat", "ls", "id", "whoami", "uname", "pwd", "wget", "curl", "nc", "bash", "sh", "python", "perl", "ruby", "php"]],
+    "Reverse shell": [["."]], "Output redirection to system path": [["/etc/", "/var/www/", "/tmp/"]],
+    "Pipe with text command": [["grep", "awk", "sed", "cut", "head", "tail", "sort", "uniq", "wc", "xargs"]],
+    "Semicolon with command": [["echo", "printf", "sleep", "ping", "nslookup", "dig"]],
+}
+
 # First-layer rules over lower-cased text.
 STATIC_SQLI = [
     r"union\s+select", r"or\s+1\s*=\s*1", r"drop\s+table", r"insert\s+into",
@@ -103,6 +119,16 @@ HONEYPOT_FAMILIES = {
     "AuthBruteforce": [r"(?i)/wp-login\.php|/admin|/login", r"(?i)password=\w{0,}"],
 }
 HONEYPOT_FLOOR = 0.25
+# Text that must occur (in lower case, one of each list) before a family's pattern can match, in their order.
+HONEYPOT_GUARDS = {
+    "SQLi": [[["="], ["or", "and"]], [["union", "sleep("]], [["--", "#", "/*"]], [["="], ["or"], ["1"]]],
+    "XSS": [[["<script"], [">"]], [["on"], ["="]], [["javascript:"]], [["alert"], ["("]]],
+    "PathTraversal": [[["../../"]], [["/etc/passwd"]], [["system32"]]],
+    "RFI_LFI": [[["://"], ["file", "php", "data"]], [["file="]], [["path=", "page=", "include=", "inc=", "template="]]],
+    "CmdInjection": [[["|", ";", "&&", "exec", "curl", "wget", "nslookup"]], [[";", "||"], ["cat", "ls", "whoami", "id"]]],
+    "SSRF": [[["://"], ["="]], [["169.254.169.254"]]],
+    "AuthBruteforce": [[["/wp-login.php", "/admin", "/login"]], [["password="]]],
+}
 
 # Compact payload features.
 COMPACT_SQL = r"(?i)(select|union|insert|drop|or\s+1=1)"

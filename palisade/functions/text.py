@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = r"\p{Lu}"
 LOWER = r"\p{Ll}\x{AA}\x{BA}"
@@ -33,6 +35,39 @@ def has(col: Column, *parts: str) -> Column:
     return test
 
 
+def fold(text: str) -> str:
+    """Lower case, with the letters beyond ASCII that case-blind patterns take for an ASCII letter."""
+    if not text.isascii():
+        for odd, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
+            text = text.replace(odd, plain)
+    return text.lower()
+
+
+def guards_met(texts: Column, guards: list[list[list[str]]]) -> Column:
+    """Per text of an array: numbers of the guards it meets. A guard is met when of each of its lists some literal occurs.
+
+    The literals are looked for in Arrow batches: a substring test there takes a small part of what ``contains`` takes.
+    """
+    literals = sorted({part for lists in guards for parts in lists for part in parts})
+
+    def numbers(text: str) -> list[int]:
+        found = {part for part in literals if part in text}
+        return [i for i, lists in enumerate(guards) if not any(found.isdisjoint(parts) for parts in lists)]
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def met(rows: pd.Series) -> pd.Series:
+        def of(row):
+            if row is None:
+                return None
+            folded = [None if text is None else fold(text) for text in row]
+            known = {text: numbers(text) for text in set(folded) - {None}}
+            return [known.get(text, []) for text in folded]
+
+        return rows.map(of)
+
+    return met(texts)
+
+
 def flag(test: Column) -> Column:
     return F.coalesce(test, F.lit(False)).cast("int")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palisade import constants as K
 from palisade.functions.text import iso_utc
+from palisade.session import materialize
 
 THROTTLED = ["THROTTLE", "CAPTCHA", "DELAY"]
 
@@ -182,7 +183,11 @@ def dashboard_cube(df: DataFrame) -> DataFrame:
 
 
 def honeypot_metrics(df: DataFrame) -> DataFrame:
-    """Totals, methods, sources, tag families and reputation hits in long form (metric, key, value)."""
+    """Totals, methods, sources, tag families and reputation hits in long form (metric, key, value).
+
+    The narrow rows are stored: three aggregates read them, and the texts behind the tags must be judged once.
+    """
+    df = materialize(df.select("ip", "method", "tags", "ti_found"), "hits")
     base = df.agg(F.count(F.lit(1)).alias("total_requests"), F.countDistinct("ip").alias("unique_ips"),
                   count_where(F.col("ti_found")).alias("ti_hits"))
     totals = base.select(F.explode(F.array(*[

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from palisade.functions import patterns as P
 from palisade.functions.decode import decode_variants, percent_decode
 from palisade.functions.scores import confidence_to_score
-from palisade.functions.text import has, special_ratio
+from palisade.functions.text import guards_met, has, special_ratio
 
 
 
@@ -105,13 +105,15 @@ class RuleBook:
         got = active.collect()
         return cls([(r.rule_id, r.pattern, r.attack_type) for r in got if P.compiles(r.pattern) and jvm_compiles(spark, r.pattern)])
 
-    def code(self, text: Column, low: Column) -> Column:
-        """Index of the deciding rule for one text (``low``: the same in lower case), NULL when none matches."""
+    def guards(self) -> list[list[list[str]]]:
+        """What must occur for each rule, in folded text; user rules need nothing."""
+        return [[r[5], *P.MORE_GUARDS.get(r[3], [])] if r[5] else [] for r in self.rules]
+
+    def code(self, text: Column, met: Column) -> Column:
+        """Index of the deciding rule for one text, NULL when none matches; ``met`` has the rules whose guard is met."""
         out = None
         for i, rule in enumerate(self.rules):
-            test = text.rlike(P.jvm(rule[2]))
-            if rule[5]:
-                test = has(low, *rule[5]) & test
+            test = F.array_contains(met, i) & text.rlike(P.jvm(rule[2]))
             out = F.when(test, F.lit(i)) if out is None else out.when(test, F.lit(i))
         return out
 
@@ -147,20 +149,19 @@ def _unescape_all(values):
     return values.map(lambda vs: None if vs is None else [None if v is None else html.unescape(v) for v in vs])
 
 
-def folded(text: Column) -> Column:
-    """Lower case, with the letters beyond ASCII that case-blind patterns take for an ASCII letter."""
-    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+def _readings() -> Column:
+    """(field, text) of every reading of every target, from ``__targets`` and the entity-decoded values."""
+    def of(t, i):
+        texts = F.array_compact(decode_variants(t["value"], F.get("__raw", i), F.get("__decoded", i)))
+        return F.transform(texts, lambda v: F.struct(t["field"].alias("field"), v.alias("v")))
+
+    return F.flatten(F.transform("__targets", of))
 
 
 def _best_hit(book: RuleBook) -> Column:
-    """Best (target, reading, rule) of a request from ``__targets`` and the entity-decoded values."""
-    def readings(t, i):
-        value, raw, decoded = t["value"], F.get("__raw", i), F.get("__decoded", i)
-        texts = F.array_compact(decode_variants(value, raw, decoded))
-        pairs = F.transform(texts, lambda v: F.struct(v.alias("v"), folded(v).alias("low")))
-        return F.transform(pairs, lambda x: F.struct(book.code(x["v"], x["low"]).alias("code"), t["field"].alias("field"), x["v"].alias("decoded")))
-
-    hits = F.filter(F.flatten(F.transform("__targets", readings)), lambda h: h["code"].isNotNull())
+    """Best (target, reading, rule) of a request from ``__readings`` and the rules whose guards each meets."""
+    code = lambda r, i: F.struct(book.code(r["v"], F.get("__met", i)).alias("code"), r["field"].alias("field"), r["v"].alias("decoded"))
+    hits = F.filter(F.transform("__readings", code), lambda h: h["code"].isNotNull())
     confidence = F.array(*[F.lit(float(r[1])) for r in book.rules])
     return F.aggregate(hits, F.lit(None).cast("struct<code:int,field:string,decoded:string>"),
                        lambda acc, h: F.when(acc.isNull() | (F.get(confidence, h["code"]) > F.get(confidence, acc["code"])), h).otherwise(acc))
@@ -171,8 +172,8 @@ def signature_filter(df: DataFrame, book: RuleBook | None = None, only: Column |
 
     Rows outside ``only`` have nothing to scan and come back as no hit.
 
-    Only requests with an ``&`` somewhere send text to Python (for entity decoding); the others pass
-    NULL. The hit is produced by a one-element explode, which keeps later filters on the decision from
+    Only requests with an ``&`` somewhere send text to Python for entity decoding; the others pass NULL. All readings
+    go there for the literals that a signature needs, so that few patterns are tried on a text. The hit is produced by a one-element explode, which keeps later filters on the decision from
     being pushed below it and evaluating all patterns twice.
     """
     book = book or RuleBook()
@@ -183,6 +184,8 @@ def signature_filter(df: DataFrame, book: RuleBook | None = None, only: Column |
     out = df.withColumn("__targets", targets)
     out = out.withColumn("__raw", _unescape_all(F.when(coded, F.transform("__targets", lambda t: t["value"]))))
     out = out.withColumn("__decoded", _unescape_all(F.when(coded, F.transform("__targets", lambda t: percent_decode(t["value"])))))
+    out = out.select(*df.columns, F.explode(F.array(_readings())).alias("__readings"))
+    out = out.withColumn("__met", guards_met(F.transform("__readings", lambda r: r["v"]), book.guards()))
     out = out.select(*df.columns, F.explode(F.array(_best_hit(book))).alias("__hit"))
     code, text = F.col("__hit.code"), F.col("__hit.decoded")
     out = out.select(*df.columns, book.column(code, 0).alias("pattern_group"), book.column(code, 3).alias("pattern"), book.column(code, 1).alias("confidence"),
@@ -257,20 +260,28 @@ def honeypot_text() -> Column:
                        pairs("headers", ":", " "), F.coalesce("raw_body", F.lit("")))
 
 
-def family_tags(text: Column) -> Column:
+def family_hits(text: Column, met: Column) -> Column:
+    """Number of patterns hit, one entry per family; ``met`` has the patterns whose guard is met."""
+    number = iter(range(sum(map(len, P.HONEYPOT_FAMILIES.values()))))
+    one = lambda p: F.coalesce(F.array_contains(met, next(number)) & text.rlike(P.jvm(P.portable(p))), F.lit(False)).cast("int")
+    return F.array(*[sum((one(p) for p in pats), F.lit(0)) for pats in P.HONEYPOT_FAMILIES.values()])
+
+
+def family_tags(hits: Column) -> Column:
     """``Family:score`` for every family with at least a quarter of its patterns hit, best first."""
-    order = {name: i for i, name in enumerate(P.HONEYPOT_FAMILIES)}
     scored = []
-    for name, pats in P.HONEYPOT_FAMILIES.items():
-        hits = sum((F.coalesce(text.rlike(P.jvm(P.portable(p))), F.lit(False)).cast("int") for p in pats), F.lit(0))
-        score = F.round(hits / F.lit(len(pats)), 2)
-        scored.append(F.when(hits / F.lit(len(pats)) >= P.HONEYPOT_FLOOR,
-                             F.struct((-score).alias("neg"), F.lit(order[name]).alias("ord"), F.lit(name).alias("family"), score.alias("score"))))
+    for i, (name, pats) in enumerate(P.HONEYPOT_FAMILIES.items()):
+        share = hits[i] / F.lit(len(pats))
+        scored.append(F.when(share >= P.HONEYPOT_FLOOR,
+                             F.struct((-F.round(share, 2)).alias("neg"), F.lit(i).alias("ord"), F.lit(name).alias("family"), F.round(share, 2).alias("score"))))
     ranked = F.array_sort(F.array_compact(F.array(*scored)))
     return F.transform(ranked, lambda t: F.concat(t["family"], F.lit(":"), t["score"].cast("string")))
 
 
 def tag_requests(df: DataFrame) -> DataFrame:
-    return df.withColumn("tags", family_tags(honeypot_text()))
-
-
+    """Append ``tags``. Text and hits are columns of their own: inside the tags they would be computed many times."""
+    told = df.select("*", honeypot_text().alias("__text"))
+    guards = [g for family in P.HONEYPOT_FAMILIES for g in P.HONEYPOT_GUARDS[family]]
+    told = told.withColumn("__met", guards_met(F.array("__text"), guards)[0])
+    told = told.select(*df.columns, family_hits(F.col("__text"), F.col("__met")).alias("__hits"))
+    return told.select(*df.columns, family_tags(F.col("__hits")).alias("tags"))

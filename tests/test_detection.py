@@ -56,6 +56,31 @@ def test_guards_never_hide_a_match(spark):
     assert not any(df.agg(*tests).first())
 
 
+def test_guards_in_batches_never_hide_a_match(spark):
+    """Each signature and honeypot pattern that matches a text has its guard met there, in any case and for odd letters."""
+    from palisade.sources.adapters import SNIPPETS
+    odd = ["un\u0130on select x", "\u017felect 1 from t", "; who\u0430mi", "; \u212aill", "' or 1=1 --", "' and '1'='1", "; ALTER x", "\" exec", "group by a having", "having 1=1", "onload = 'alert", "eval (1",
+           "document . cookie", "<svg a onx =", "<a href = data", "confirm (", "expression (", "&& nc -l", "perl 1.2.3.4 80", ">/tmp/", "| wc", "; dig", "' #", "'--", "\" or \"1\"=\"1", "and 5 = 5", "# x",
+           "?u=http://a", "&target=https://b", "169.254.169.254", "php://x", "DATA://", "&inc=", "?file=", "password=", "/wp-login.php", "|| ID", "../../", "system32\\\\cmd.exe", "onx =", "alert  ("]
+    base = [t for _, t in SNIPPETS] + [b for _, _, b, *_ in CASES] + odd
+    df = spark.createDataFrame([(t,) for t in base] + [(t.upper(),) for t in base], "t string")
+    book = rules.RuleBook()
+    checks = [([r[2] for r in book.rules], book.guards()), ([P.portable(p) for ps in P.HONEYPOT_FAMILIES.values() for p in ps], [g for f in P.HONEYPOT_FAMILIES for g in P.HONEYPOT_GUARDS[f]])]
+    for pats, guards in checks:
+        assert len(pats) == len(guards)
+        rows = df.select("t", F.array(*[F.col("t").rlike(P.jvm(p)) for p in pats]).alias("hit"), text.guards_met(F.array("t"), guards)[0].alias("met")).collect()
+        assert not [(r["t"], pats[i]) for r in rows for i, hit in enumerate(r["hit"]) if hit and i not in r["met"]]
+        assert sum(len(r["met"]) for r in rows) < len(rows) * len(pats) / 2
+    assert df.select(text.guards_met(F.array(F.lit(None).cast("string"), "t"), [[], [["zz"]]]).alias("m")).first()["m"] == [[], [0]]
+
+
+def test_honeypot_patterns_run_once(spark, small):
+    from palisade.catalog import load
+
+    times = lambda name: load()[0][name](spark, small)._jdf.queryExecution().optimizedPlan().toString().count(r"169\.254\.169")
+    assert times("d10_honeypot_tags") == 1 and times("a10_honeypot_metrics") == 0
+
+
 def test_user_rules(spark, requests):
     table = spark.createDataFrame([("a", r"secret\d+", "leak", "active", 2), ("b", "[broken", "x", "active", 3), ("c", r"(?P<n>page)", "x", "active", 4), ("d", "admin", "x", "rejected", 5)],
                                   "rule_id string, pattern string, attack_type string, status string, created_us long")
