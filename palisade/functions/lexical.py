@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import patterns as P
 from palisade.functions.decode import percent_decode
 from palisade.functions.text import (
-    ALNUM, BLANK, DIGITS, LOWER, UPPER, count_class, count_present, count_text, entropy, flag, has,
+    ALNUM, BLANK, DIGITS, LOWER, UPPER, count_class, count_text, entropy, flag, literals_found,
 )
 
 # Word lists.
@@ -60,9 +62,17 @@ def _regex_count(col: Column, pattern: str) -> Column:
 
 
 def lexical_features(df: DataFrame, payload: str) -> DataFrame:
-    """Append the 64 lexical features of a text column; NULL counts as empty text."""
-    base = (df.withColumn("__p", F.coalesce(F.col(payload), F.lit("")))
-              .withColumn("__l", F.lower("__p"))
+    """Append the 64 lexical features of a text column; NULL counts as empty text.
+
+    All literals are looked for in one Arrow batch helper; patterns run only on texts that have what they need.
+    """
+    exact, lower = {}, {}
+    count_text = lambda _, part: F.col("__found")[0][exact.setdefault(part, len(exact))]
+    seen = lambda part: F.col("__found")[1][lower.setdefault(part, len(lower))]
+    has = lambda text, *parts: reduce(lambda a, b: a | b, [(seen(x) if text is low else count_text(text, x)) > 0 for x in parts])
+    count_present = lambda _, parts: reduce(lambda a, b: a + b, [seen(x) for x in parts])
+    p, low, n = F.col("__p"), F.col("__l"), F.col("__n")
+    derived = lambda rows: (rows.withColumn("__l", F.lower("__p"))
               .withColumn("__n", F.length("__p"))
               .withColumn("__special", F.col("__n") - count_class(F.col("__p"), ALNUM + BLANK))
               .withColumn("__digits", count_class(F.col("__p"), DIGITS))
@@ -72,8 +82,7 @@ def lexical_features(df: DataFrame, payload: str) -> DataFrame:
               .withColumn("__cmd", count_present(F.col("__l"), COMMAND_WORDS))
               .withColumn("__dots", count_text(F.col("__p"), ".."))
               .withColumn("__slashes", count_text(F.col("__p"), "/") + count_text(F.col("__p"), "\\"))
-              .withColumn("__tags", _regex_count(F.col("__p"), TAG)))
-    p, low, n = F.col("__p"), F.col("__l"), F.col("__n")
+              .withColumn("__tags", F.when(has(p, "<") & has(p, ">"), _regex_count(F.col("__p"), TAG)).otherwise(0)))
     quote = has(p, "'", '"')
     ratio = lambda c: F.when(n > 0, F.col(c) / n).otherwise(F.lit(0.0))
     etc = has(low, "/etc/passwd", "/etc/shadow")
@@ -110,11 +119,11 @@ def lexical_features(df: DataFrame, payload: str) -> DataFrame:
         "sql_function_count": count_present(low, SQL_FUNCTIONS),
         "has_stacked_query": flag(has(p, ";") & has(low, "select", "insert", "update", "delete", "drop")),
         "is_normal_sql": flag(p.rlike(NORMAL_SQL) & ~has(p, "--", "/*") & (count_text(p, "'") <= 2)
-                              & ~low.rlike(QUOTE_THEN_LOGIC)),
+                              & ~(has(p, "'") & low.rlike(QUOTE_THEN_LOGIC))),
         "xss_pattern_count": count_present(low, XSS_MARKS),
         "has_html_tags": flag(F.col("__tags") > 0),
         "has_javascript": flag(has(low, "javascript:")),
-        "has_event_handler": flag(low.rlike(EVENT_HANDLER)),
+        "has_event_handler": flag(has(low, "on") & has(p, "=") & low.rlike(EVENT_HANDLER)),
         "has_script_tag": flag(has(low, "<script")),
         "html_tag_count": F.col("__tags"),
         "cmd_char_count": sum((count_text(p, t) for t in COMMAND_TOKENS[1:]), count_text(p, COMMAND_TOKENS[0])),
@@ -136,7 +145,7 @@ def lexical_features(df: DataFrame, payload: str) -> DataFrame:
         "has_url_encoding": flag(has(p, "%")),
         "has_html_encoding": flag(has(p, "&") & has(p, ";")),
         "encoding_count": count_text(p, "%"),
-        "hex_encoding_count": _regex_count(p, HEX_ESCAPE),
+        "hex_encoding_count": F.when(has(p, "\\x"), _regex_count(p, HEX_ESCAPE)).otherwise(0),
         "unicode_encoding": flag(has(p, "\\u")),
         "has_quotes": flag(quote),
         "quote_count": count_text(p, "'") + count_text(p, '"'),
@@ -148,6 +157,9 @@ def lexical_features(df: DataFrame, payload: str) -> DataFrame:
         "has_null_byte": flag(has(p, "%00", "\\x00", "\x00")),
     }
     kept = [F.col(c) for c in df.columns]
+    whole = df.withColumn("__p", F.coalesce(F.col(payload), F.lit("")))
+    derived(whole.withColumn("__found", F.lit(None).cast("array<array<int>>")))  # every feature has now named its literals
+    base = derived(whole.withColumn("__found", literals_found(p, list(exact), list(lower))))
     return base.select(*kept, *[f[name].alias(name) for name in LEXICAL_FEATURES])
 
 

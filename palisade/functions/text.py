@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,16 +81,37 @@ def count_present(col: Column, parts: list[str]) -> Column:
 
 
 def entropy(col: Column, base: float = 2.0) -> Column:
-    """Shannon entropy of the characters; 0 for empty text.
+    """Shannon entropy of the characters; 0 for empty text and null.
 
-    Written as log n - sum(c log c)/n over the character counts c. Each count is the number of bytes
-    that disappear with the character, so no text is decoded inside the loop.
+    Written as log n - sum(c log c)/n over the character counts c, which are taken in Arrow batches.
     """
-    gone = lambda c: (F.octet_length(col) - F.octet_length(F.replace(col, c, F.lit("")))) / F.octet_length(c)
-    counts = F.transform(F.array_distinct(F.split(col, "")), gone)
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + F.when(c > 1, c * F.log(c)).otherwise(0.0))
-    n = F.length(col)
-    return F.when(n > 0, (F.log(n) - total / n) / F.lit(math.log(base))).otherwise(F.lit(0.0))
+    def bits(text: str | None) -> float:
+        if not text:
+            return 0.0
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        c = np.bincount(codes) if codes.max() < 1 << 16 else np.unique(codes, return_counts=True)[1]
+        c = c[c > 1]
+        return float((np.log(len(codes)) - (c * np.log(c)).sum() / len(codes)) / math.log(base))
+
+    @F.pandas_udf(T.DoubleType())
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(bits).astype("float64")
+
+    return of(col)
+
+
+def literals_found(col: Column, exact: list[str], lower: list[str]) -> Column:
+    """Two lists per text: non-overlapping occurrences of each of ``exact``, and 1 or 0 for each of ``lower`` in lower case."""
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def found(texts: pd.Series) -> pd.Series:
+        def of(text):
+            text = text or ""
+            low = text.lower()
+            return [[text.count(part) for part in exact], [int(part in low) for part in lower]]
+
+        return texts.map(of)
+
+    return found(col)
 
 
 def special_ratio(col: Column) -> Column:

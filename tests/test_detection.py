@@ -81,6 +81,22 @@ def test_honeypot_patterns_run_once(spark, small):
     assert times("d10_honeypot_tags") == 1 and times("a10_honeypot_metrics") == 0
 
 
+def test_literals_are_found_in_batches(spark):
+    """Counts, presence and entropy equal plain Python for odd texts; the engine tests no literal by itself."""
+    import math
+    from collections import Counter
+
+    odd = ["", None, "aaaa", "\u212aill \u0130nsert", "...." + "../" * 3, "\U0001f600\U0001f600x", "<p class=a><b>", "on1 =", "\\x41\\xzz", "Stra\u00dfe ; | ||"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    got = {r["i"]: r for r in lexical.lexical_features(df, "t").select("i", "dotdot_count", "has_insert", "html_tag_count", "has_event_handler", "hex_encoding_count", "cmd_char_count", "entropy").collect()}
+    for i, t in enumerate(odd):
+        t = t or ""
+        want = (t.count(".."), int("insert" in t.lower()), len(re.findall("<[^>]+>", t)), int(bool(re.search(r"on\w+\s*=", t.lower()))), len(re.findall(r"\\x[0-9a-fA-F]{2}", t)), sum(t.count(c) for c in lexical.COMMAND_TOKENS))
+        assert tuple(got[i])[1:7] == want
+        assert abs(got[i]["entropy"] - sum(-c / len(t) * math.log2(c / len(t)) for c in Counter(t).values())) < 1e-9
+    assert lexical.lexical_features(df, "t")._jdf.queryExecution().optimizedPlan().toString().count("Contains(") <= 2
+
+
 def test_user_rules(spark, requests):
     table = spark.createDataFrame([("a", r"secret\d+", "leak", "active", 2), ("b", "[broken", "x", "active", 3), ("c", r"(?P<n>page)", "x", "active", 4), ("d", "admin", "x", "rejected", 5)],
                                   "rule_id string, pattern string, attack_type string, status string, created_us long")
