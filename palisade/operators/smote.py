@@ -28,23 +28,39 @@ NEAR = "array<struct<d:double,id:long,v:array<double>>>"
 ROOT = "0"
 
 
-def _distances(x, y, room=1 << 21):
-    """Blocks (first row, distances) of ``x`` against ``y``, each of bounded size."""
-    step = max(1, room // max(1, y.size))
+def _candidates(x, y, k, room=1 << 21):
+    """Pairs (row of ``x``, row of ``y``) that hold the k + 1 nearest of each row with all ties, from blocks of bounded size.
+
+    Squared distances from a matrix product are off by rounding, in proportion to the centred vectors; the cut leaves
+    room for it, so what is left out is farther than k + 1 others.
+    """
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    slack = 1e-12 * (xx.max() ** 0.5 + yy.max() ** 0.5) ** 2
+    step = max(1, room // max(1, len(y)))
     for i in range(0, len(x), step):
-        yield i, ((x[i:i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2) ** 0.5
+        near = yy[None, :] - 2.0 * (x[i:i + step] @ y.T) + xx[i:i + step, None]
+        last = np.partition(near, k, axis=1)[:, k] if k < len(y) else np.full(len(near), np.inf)
+        rows, cols = np.nonzero(~(near > last[:, None] + slack))  # what overflows is kept
+        yield rows + i, cols
 
 
 def _nearest(x, y, ids, k):
     """Per row of ``x``: the k + 1 nearest ids of ``y`` (which has several ids a row), by distance, then id."""
-    order = np.argsort([i[0] for i in ids], kind="stable")
-    y, ids = y[order], [ids[j] for j in order]
-    out = []
-    for _, block in _distances(x, y):
-        for row, take in zip(block, np.argsort(block, axis=1, kind="stable")[:, :k + 1]):
-            found = sorted((float(row[j]), int(i), j) for j in take for i in ids[j])[:k + 1]
-            out.append([{"d": d, "id": i, "v": y[j].tolist()} for d, i, j in found])
-    return out
+    out = [[] for _ in range(len(x))]
+    for rows, cols in _candidates(x, y, k):
+        exact = ((x[rows] - y[cols]) ** 2).sum(axis=1) ** 0.5
+        for i, j, d in zip(rows.tolist(), cols.tolist(), exact.tolist()):
+            out[i].extend((d, int(one), j) for one in ids[j])
+    return [[{"d": d, "id": one, "v": y[j].tolist()} for d, one, j in sorted(found)[:k + 1]] for found in out]
+
+
+def _dealt(df: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` by its keys in enough tasks for the cores: groups are few bytes and much work, which the adaptive planner
+    would put into a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *on)
 
 
 def vectors(df: DataFrame, label: str, feats: list[str], key: str) -> DataFrame:
@@ -107,7 +123,7 @@ def _reach(cells: DataFrame, k: int) -> DataFrame:
         far = [n[-1]["d"] if len(n) > k else float("inf") for n in near]
         return pd.DataFrame({"label": pdf["label"], "cell": pdf["cell"], "eid": pdf["eid"], "far": far, "near": near})
 
-    first = materialize(cells.groupBy("label", "cell").applyInPandas(own, f"label string, cell string, eid long, far double, near {NEAR}"), "near")
+    first = materialize(_dealt(cells, ["label", "cell"]).groupBy("label", "cell").applyInPandas(own, f"label string, cell string, eid long, far double, near {NEAR}"), "near")
     short = first.where((F.col("far") == float("inf")) & (F.col("cell") != ROOT)).select("label", "eid", "cell")
     under = short.select("label", _parent(F.col("cell")).alias("parent")).distinct()
     inside = cells.select("label", "eid", "ids", "v", F.col("cell").alias("leaf"))
@@ -165,7 +181,7 @@ def k_nearest(df: DataFrame, label: str, feats: list[str], key: str, k: int = 5,
         return pd.DataFrame(rows, columns=["label", "eid", "d", "id", "v"])
 
     on = ["label", "cell", "part"]
-    more = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(across, "label string, eid long, d double, id long, v array<double>")
+    more = _dealt(left, on).groupBy(*on).cogroup(_dealt(right, on).groupBy(*on)).applyInPandas(across, "label string, eid long, d double, id long, v array<double>")
     found = reach.select("label", "eid", F.explode("near").alias("n")).select("label", "eid", "n.d", "n.id", "n.v").unionByName(more)
     best = Window.partitionBy("label", "eid").orderBy("d", "id")
     kept = found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k + 1)
@@ -188,8 +204,9 @@ def smote(df: DataFrame, label: str, feats: list[str], key: str, k: int = 5, see
     usable = near.groupBy("label").agg(F.count(F.lit(1)).alias("m")).join(need, "label")
     ranked = rank_by_hash(near.select("label", "id"), ["label"], ["id"], seed, name="r").join(usable, "label")
     times = (F.floor(F.col("need") / F.col("m")) + (F.col("r") <= F.pmod("need", "m")).cast("long")).cast("int")
-    drawn = ranked.withColumn("times", times).where(F.col("times") > 0).select("label", "id", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i"))
-    j = near.join(drawn, ["label", "id"])
+    drawn = ranked.withColumn("times", times).where(F.col("times") > 0).select("label", "id", "times")
+    # Dealt before a row becomes its copies: the joined rows are few bytes, the copies are the work.
+    j = _dealt(near.join(drawn, ["label", "id"]), ["label", "id"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times"))))
     other = F.get("near", F.pmod(hash52("id", "i", seed=seed), F.size("near")).cast("int"))["v"]
     gap = unit(["id", "i"], "gap", seed)
     made = j.select("label", "id", F.zip_with("v", other, lambda x, y: x + (y - x) * gap).alias("v"))

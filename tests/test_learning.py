@@ -148,6 +148,19 @@ def test_weights_are_counted_inside_the_tasks(spark, monkeypatch):
     assert "Generate" not in seen["counts"]._jdf.queryExecution().toString()
 
 
+def test_few_pairs_are_measured_exactly(spark):
+    """Nearest ids equal brute force over all pairs, ties and copies included, and few pairs are left to measure."""
+    rng = np.random.default_rng(8)
+    for y in (rng.random((300, 6)) * 10.0 ** rng.integers(-3, 8, 6) + 1e8, np.unique(rng.integers(0, 4, (300, 6)).astype(float), axis=0), np.zeros((1, 6))):
+        ids = [sorted(rng.choice(10_000, 3).tolist()) for _ in y]
+        x = np.vstack([y[:40], y[:5] + 0.5])
+        for row, found in zip(x, SM._nearest(x, y, ids, 5)):
+            d = ((row[None, :] - y) ** 2).sum(axis=1) ** 0.5
+            assert [(n["d"], n["id"]) for n in found] == sorted((float(d[j]), i) for j in range(len(y)) for i in ids[j])[:6]
+    y = rng.random((400, 6))
+    assert sum(len(rows) for rows, _ in SM._candidates(y, y, 5)) < 400 * 12
+
+
 def test_compare_cuts(spark):
     from palisade.operators.evaluate import compare_cuts
 
