@@ -199,3 +199,31 @@ def test_training_rows_are_dealt_however_few_classes(spark):
     sizes = [n for n in seen[0].rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
     assert len(sizes) >= 8 and sum(sizes) == 4000 and max(sizes) <= 2 * 4000 / len(sizes)
     assert sorted(MD.training_rows(with_weights(rows, "label"), ["label", "x"]).groupBy("label").count().collect()) == [("a", 3920), ("b", 80)]
+
+
+def test_rows_of_a_forest_lie_beside_alike_ones_and_are_dealt_once(spark):
+    from palisade.operators import models as MD
+
+    rows = spark.range(6000).selectExpr("if(id % 50 = 0, 'b', 'a') AS label", "CAST(xxhash64(id) % 3 AS DOUBLE) AS few", "CAST(xxhash64(id, 1) % 900 AS DOUBLE) AS many")
+    stored = lambda: set(spark.sparkContext._jsc.getPersistentRDDs())
+    seen, kept, before = [], [], stored()
+    fit, MD.RandomForestClassifier.fit = MD.RandomForestClassifier.fit, lambda self, df, *a: (
+        seen.extend(df.rdd.mapPartitions(lambda p: [[(r["label"], r["few"], r["many"]) for r in p]]).collect()), kept.append(df._jdf.queryExecution().withCachedData().toString()), fit(self, df, *a))[2]
+    try:
+        model = MD.fit_classifier(rows, ["many", "few"], "label", trees=1, depth=1)
+    finally:
+        MD.RandomForestClassifier.fit = fit
+    assert MD.classes_of(model) == ["a", "b"] and all(part == sorted(part) for part in seen)
+    assert sorted(r for part in seen for r in part) == sorted(map(tuple, rows.collect()))
+    assert "InMemoryRelation" in kept[0] and stored() == before
+
+
+def test_trained_reads_the_given_tables_once(spark, small):
+    from palisade.catalog.learning import FEATS, trained
+    from palisade.operators.sampling import stratified_split
+    from palisade.sources import adapters as A
+
+    model, split = trained(spark, small)
+    assert split.inputFiles() and not [f for f in split.inputFiles() if "/split-" not in f]
+    want = stratified_split(A.flow_table(spark, small), "label", ["flow_id"]).select("flow_id", "label", *[F.col(f"`{f}`") for f in FEATS], "split")
+    assert split.columns == want.columns and split.exceptAll(want).isEmpty() and want.exceptAll(split).isEmpty()
