@@ -1,8 +1,9 @@
-"""Decoding and whitespace helpers. Only ``html_unescape`` leaves the JVM, in Arrow batches."""
+"""Decoding and whitespace helpers. Only ``html_unescape`` leaves the JVM, in Arrow batches; ``percent_decoded`` is for texts that are there already."""
 
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +20,17 @@ def percent_decode(col: Column, times: int = 1) -> Column:
     return out
 
 
+_ESCAPES, _SURROGATE = re.compile(r"(?:%[0-9A-Fa-f]{2})+"), re.compile(rb"\xed[\xa0-\xbf][\x80-\xbf]?")
+
+
+def percent_decoded(text: str) -> str:
+    """``percent_decode`` of one text in Python; the bytes of a surrogate are one broken character, as in the JVM."""
+    def run(m: re.Match) -> str:
+        return _SURROGATE.sub(b"\xff", bytes.fromhex(m[0].replace("%", ""))).decode("utf-8", "replace")
+
+    return _ESCAPES.sub(run, text) if "%" in text else text
+
+
 def form_decode(col: Column) -> Column:
     """Percent decoding after ``+`` has become a space."""
     return percent_decode(F.replace(col, F.lit("+"), F.lit(" ")))

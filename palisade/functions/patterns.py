@@ -93,6 +93,9 @@ MORE_GUARDS = {
     "Semicolon with command": [["echo", "printf", "sleep", "ping", "nslookup", "dig"]],
 }
 
+# By description: some text of the first list must come before one of the second in the same line.
+IN_ORDER = {"Quote with SQL keyword": (("'", '"'), ("select", "insert", "update", "delete", "drop", "union", "exec"))}
+
 # First-layer rules over lower-cased text.
 STATIC_SQLI = [
     r"union\s+select", r"or\s+1\s*=\s*1", r"drop\s+table", r"insert\s+into",

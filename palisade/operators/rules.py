@@ -1,12 +1,13 @@
 """Rule matching: static rules, suspicion, signature filter, user rules, honeypot families.
 
-A rule table is small (hundreds of rows at most) and is compiled into one CASE expression, so matching
-is a projection over the payload table: no rule x payload join and no shuffle.
+A rule table is small (hundreds of rows at most) and goes along with the code, so matching is a projection
+over the payload table: no rule x payload join and no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.functions import patterns as P
-from palisade.functions.decode import decode_variants, percent_decode
 from palisade.functions.scores import confidence_to_score
+from palisade.functions.signatures import best_hits
 from palisade.functions.text import guards_met, has, special_ratio
 
 
@@ -93,6 +94,8 @@ class RuleBook:
         high = [r for r in fixed if r[1] >= 1.0]
         medium = sorted((r for r in fixed if r[1] < 1.0), key=lambda r: -r[1])
         self.rules = high + user + medium
+        #: User patterns as they were given, by their place among the rules.
+        self.sources = {len(high) + k: p for k, (_, p, _) in enumerate(adaptive or [])}
         #: Digest of the user rules in their order: says which book judged a row. The same rules give the same digest.
         self.version = hashlib.md5("\n".join(f"{i}\t{p}" for i, p, _ in adaptive or []).encode()).hexdigest()
 
@@ -109,27 +112,17 @@ class RuleBook:
         """What must occur for each rule, in folded text; user rules need nothing."""
         return [[r[5], *P.MORE_GUARDS.get(r[3], [])] if r[5] else [] for r in self.rules]
 
-    def code(self, text: Column, met: Column) -> Column:
-        """Index of the deciding rule for one text, NULL when none matches; ``met`` has the rules whose guard is met."""
-        out = None
-        for i, rule in enumerate(self.rules):
-            test = F.array_contains(met, i) & text.rlike(P.jvm(rule[2]))
-            out = F.when(test, F.lit(i)) if out is None else out.when(test, F.lit(i))
-        return out
+    def plan(self) -> tuple:
+        """What judges a text in Arrow batches: confidence, Python pattern, flags, guards and order of each rule."""
+        spelt = {d: p for _, _, p, d in P.SIGNATURES}
+        return tuple((r[1], self.sources.get(i, spelt.get(r[3])), re.I | re.S if i in self.sources else 0, tuple(map(tuple, g)), None if i in self.sources else P.IN_ORDER.get(r[3]))
+                     for i, (r, g) in enumerate(zip(self.rules, self.guards(), strict=True)))
 
     def column(self, code: Column, field: int) -> Column:
         kind = "double" if field == 1 else "string"
         values = F.array(*[F.lit(r[field]).cast(kind) for r in self.rules])
         return F.get(values, code)
 
-    def match(self, code: Column, text: Column) -> Column:
-        """Matched text of the deciding rule only."""
-        out = None
-        for i, rule in enumerate(self.rules):
-            found = F.regexp_extract(text, P.jvm(rule[2]), 0)
-            out = F.when(code == i, found) if out is None else out.when(code == i, found)
-        return out
-
 
 def scan_targets() -> Column:
     """What the signature filter reads of a request: body, path, query values, four headers (in order)."""
@@ -142,55 +135,25 @@ def scan_targets() -> Column:
     return F.filter(every, lambda t: F.coalesce(t["value"], F.lit("")) != "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _unescape_all(values):
-    import html
-
-    return values.map(lambda vs: None if vs is None else [None if v is None else html.unescape(v) for v in vs])
-
-
-def _readings() -> Column:
-    """(field, text) of every reading of every target, from ``__targets`` and the entity-decoded values."""
-    def of(t, i):
-        texts = F.array_compact(decode_variants(t["value"], F.get("__raw", i), F.get("__decoded", i)))
-        return F.transform(texts, lambda v: F.struct(t["field"].alias("field"), v.alias("v")))
-
-    return F.flatten(F.transform("__targets", of))
-
-
-def _best_hit(book: RuleBook) -> Column:
-    """Best (target, reading, rule) of a request from ``__readings`` and the rules whose guards each meets."""
-    code = lambda r, i: F.struct(book.code(r["v"], F.get("__met", i)).alias("code"), r["field"].alias("field"), r["v"].alias("decoded"))
-    hits = F.filter(F.transform("__readings", code), lambda h: h["code"].isNotNull())
-    confidence = F.array(*[F.lit(float(r[1])) for r in book.rules])
-    return F.aggregate(hits, F.lit(None).cast("struct<code:int,field:string,decoded:string>"),
-                       lambda acc, h: F.when(acc.isNull() | (F.get(confidence, h["code"]) > F.get(confidence, acc["code"])), h).otherwise(acc))
-
-
 def signature_filter(df: DataFrame, book: RuleBook | None = None, only: Column | None = None) -> DataFrame:
     """Append the best signature hit of each request: decision, score and match detail. No shuffle.
 
     Rows outside ``only`` have nothing to scan and come back as no hit.
 
-    Only requests with an ``&`` somewhere send text to Python for entity decoding; the others pass NULL. All readings
-    go there for the literals that a signature needs, so that few patterns are tried on a text. The hit is produced by a one-element explode, which keeps later filters on the decision from
-    being pushed below it and evaluating all patterns twice.
+    Texts go to Python once, in Arrow batches (``palisade.functions.signatures``). The hit is produced by a one-element
+    explode, which keeps later filters on the decision from being pushed below it and judging all texts twice.
     """
     book = book or RuleBook()
-    coded = F.exists("__targets", lambda t: t["value"].contains("&"))
     targets = scan_targets()
     if only is not None:
         targets = F.when(only, targets).otherwise(F.array().cast("array<struct<field:string,value:string>>"))
     out = df.withColumn("__targets", targets)
-    out = out.withColumn("__raw", _unescape_all(F.when(coded, F.transform("__targets", lambda t: t["value"]))))
-    out = out.withColumn("__decoded", _unescape_all(F.when(coded, F.transform("__targets", lambda t: percent_decode(t["value"])))))
-    out = out.select(*df.columns, F.explode(F.array(_readings())).alias("__readings"))
-    out = out.withColumn("__met", guards_met(F.transform("__readings", lambda r: r["v"]), book.guards()))
-    out = out.select(*df.columns, F.explode(F.array(_best_hit(book))).alias("__hit"))
-    code, text = F.col("__hit.code"), F.col("__hit.decoded")
+    hit = best_hits(F.transform("__targets", lambda t: t["field"]), F.transform("__targets", lambda t: t["value"]), book.plan())
+    out = out.select(*df.columns, F.explode(F.array(hit)).alias("__hit"))
+    code = F.col("__hit.code")
     out = out.select(*df.columns, book.column(code, 0).alias("pattern_group"), book.column(code, 3).alias("pattern"), book.column(code, 1).alias("confidence"),
                      book.column(code, 4).alias("rule_id"), F.col("__hit.field").alias("matched_in"),
-                     book.match(code, text).alias("matched_text"), text.alias("decoded_input"))
+                     F.col("__hit.matched").alias("matched_text"), F.col("__hit.decoded").alias("decoded_input"))
     return out.withColumn(
         "decision", F.when(F.col("confidence") >= 1.0, "MITIGATE").when(F.col("confidence").isNotNull(), "FORWARD_TO_ML").otherwise("ALLOW")
     ).withColumn("score", F.when(F.col("confidence").isNull(), 0.0).otherwise(confidence_to_score(F.col("confidence"))))
