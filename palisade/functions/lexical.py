@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import patterns as P
-from palisade.functions.decode import percent_decode
-from palisade.functions.text import (
-    ALNUM, BLANK, DIGITS, LOWER, UPPER, count_class, count_text, entropy, flag, literals_found,
-)
+from palisade.functions.text import Counts, flag, profile
 
 # Word lists.
 SQL_WORDS = [
@@ -64,20 +64,20 @@ def _regex_count(col: Column, pattern: str) -> Column:
 def lexical_features(df: DataFrame, payload: str) -> DataFrame:
     """Append the 64 lexical features of a text column; NULL counts as empty text.
 
-    All literals are looked for in one Arrow batch helper; patterns run only on texts that have what they need.
+    Literals, character counts and entropy come from one Arrow batch helper; patterns run only on texts that have what they need.
     """
     exact, lower = {}, {}
-    count_text = lambda _, part: F.col("__found")[0][exact.setdefault(part, len(exact))]
-    seen = lambda part: F.col("__found")[1][lower.setdefault(part, len(lower))]
+    count_text = lambda _, part: F.col("__found.counts")[exact.setdefault(part, len(exact))]
+    seen = lambda part: F.col("__found.seen")[lower.setdefault(part, len(lower))]
     has = lambda text, *parts: reduce(lambda a, b: a | b, [(seen(x) if text is low else count_text(text, x)) > 0 for x in parts])
     count_present = lambda _, parts: reduce(lambda a, b: a + b, [seen(x) for x in parts])
     p, low, n = F.col("__p"), F.col("__l"), F.col("__n")
     derived = lambda rows: (rows.withColumn("__l", F.lower("__p"))
               .withColumn("__n", F.length("__p"))
-              .withColumn("__special", F.col("__n") - count_class(F.col("__p"), ALNUM + BLANK))
-              .withColumn("__digits", count_class(F.col("__p"), DIGITS))
-              .withColumn("__upper", count_class(F.col("__p"), UPPER))
-              .withColumn("__lower", count_class(F.col("__p"), LOWER))
+              .withColumn("__special", F.col("__n") - F.col("__found.alnum") - F.col("__found.blank"))
+              .withColumn("__digits", F.col("__found.digits"))
+              .withColumn("__upper", F.col("__found.upper"))
+              .withColumn("__lower", F.col("__found.lower"))
               .withColumn("__sql", count_present(F.col("__l"), SQL_WORDS))
               .withColumn("__cmd", count_present(F.col("__l"), COMMAND_WORDS))
               .withColumn("__dots", count_text(F.col("__p"), ".."))
@@ -89,7 +89,7 @@ def lexical_features(df: DataFrame, payload: str) -> DataFrame:
     windows = has(low, "c:\\", "windows\\")
     f = {
         "length": n,
-        "decoded_length": F.length(percent_decode(p)),
+        "decoded_length": F.col("__found.decoded"),
         "num_special_chars": F.col("__special"),
         "num_digits": F.col("__digits"),
         "num_uppercase": F.col("__upper"),
@@ -99,7 +99,7 @@ def lexical_features(df: DataFrame, payload: str) -> DataFrame:
         "digit_ratio": ratio("__digits"),
         "upper_ratio": ratio("__upper"),
         "lower_ratio": ratio("__lower"),
-        "entropy": entropy(p),
+        "entropy": F.col("__found.entropy"),
         "sql_keyword_count": F.col("__sql"),
         "has_sql_comment": flag(has(p, "--", "/*", "#")),
         "has_union": flag(has(low, "union")),
@@ -158,8 +158,8 @@ def lexical_features(df: DataFrame, payload: str) -> DataFrame:
     }
     kept = [F.col(c) for c in df.columns]
     whole = df.withColumn("__p", F.coalesce(F.col(payload), F.lit("")))
-    derived(whole.withColumn("__found", F.lit(None).cast("array<array<int>>")))  # every feature has now named its literals
-    base = derived(whole.withColumn("__found", literals_found(p, list(exact), list(lower))))
+    derived(whole.withColumn("__found", profile(p, [], [])))  # every feature has now named its literals
+    base = derived(whole.withColumn("__found", profile(p, list(exact), list(lower))))
     return base.select(*kept, *[f[name].alias(name) for name in LEXICAL_FEATURES])
 
 
@@ -170,12 +170,20 @@ COMPACT_FEATURES = [
 
 
 def payload_features(df: DataFrame, payload: str) -> DataFrame:
-    """Append the 15 compact features of the anomaly model (entropy in nats)."""
-    p = F.coalesce(F.col(payload), F.lit(""))
-    f = [
-        F.length(p), count_class(p, DIGITS), count_class(p, r"\p{L}"), F.length(p) - count_class(p, ALNUM),
-        count_text(p, "/"), count_text(p, "."), count_text(p, "%"), count_text(p, "="), count_text(p, "?"),
-        count_text(p, "&"), flag(p.rlike(P.portable(P.COMPACT_SQL))), flag(p.rlike(P.COMPACT_XSS)),
-        flag(p.rlike(P.COMPACT_PATH)), flag(p.rlike(P.COMPACT_CMD)), entropy(p, base=2.718281828459045),
-    ]
-    return df.select("*", *[c.alias(n) for c, n in zip(f, COMPACT_FEATURES)])
+    """Append the 15 compact features of the anomaly model (entropy in nats); NULL counts as empty text."""
+    signs = [(re.compile(pattern.removeprefix("(?i)")), sure, maybe) for pattern, sure, maybe in P.COMPACT]
+
+    @F.pandas_udf(", ".join(f"{c} {'double' if c == 'entropy' else 'int'}" for c in COMPACT_FEATURES))
+    def features(texts: pd.Series) -> pd.DataFrame:
+        def of(text):
+            text = text or ""
+            # These patterns fold ASCII letters only; the two letters that fold to ASCII ones give way to others.
+            low = (text if text.isascii() else text.replace("\u0130", "\u0131").replace("\u212a", "\u0138")).lower()
+            counts = Counts(text)
+            kinds = counts.classes()
+            sign = lambda pattern, sure, maybe: int(any(x in low for x in sure) or (any(x in low for x in maybe) and pattern.search(low) is not None))
+            return (counts.n, kinds["digits"], kinds["letters"], counts.n - kinds["alnum"], *[text.count(x) for x in "/.%=?&"], *[sign(*x) for x in signs], counts.entropy(math.e))
+
+        return pd.DataFrame([of(text) for text in texts], columns=COMPACT_FEATURES)
+
+    return df.select("*", F.explode(F.array(features(F.col(payload)))).alias("__told")).select(*df.columns, *[F.col(f"__told.{c}").alias(c) for c in COMPACT_FEATURES])

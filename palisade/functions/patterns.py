@@ -102,6 +102,8 @@ STATIC_SQLI = [
     r"delete\s+from", r"update\s+\w+\s+set", r"--", r";\s*--",
 ]
 STATIC_XSS = [r"<script>", r"javascript:", r"onerror=", r"onload="]
+# Text that must occur (in lower case) before a body pattern can match, in their order.
+STATIC_GUARDS = ["union", "=", "drop", "insert", "delete", "update", "--", "--", "<script>", "javascript:", "onerror=", "onload="]
 STATIC_PATH = [r"\.\./", r"\.\.\\"]
 STATIC_AGENTS = ["sqlmap", "nikto", "nmap", "curl", "masscan"]
 TOOL_AGENTS = ["curl", "python", "wget", "httpclient"]
@@ -139,6 +141,12 @@ COMPACT_XSS = r"(?i)(<script|onerror=|alert\()"
 COMPACT_PATH = r"(?i)(\.\./|\.\.\\|/etc/passwd)"
 COMPACT_CMD = r"(?i)(;|\|\||&&|\b(cat|ls|whoami)\b)"
 
+# The four in their order, with literals that match by themselves and those without which the rest can't match, in lower case.
+COMPACT = [
+    (COMPACT_SQL, ["select", "union", "insert", "drop"], ["1=1"]), (COMPACT_XSS, ["<script", "onerror=", "alert("], []),
+    (COMPACT_PATH, ["../", "..\\", "/etc/passwd"], []), (COMPACT_CMD, [";", "||", "&&"], ["cat", "ls", "whoami"]),
+]
+
 # Inputs a usable rule must leave alone, and the bare wildcards.
 BENIGN_SAMPLES = [
     "/api/status", "/health", "GET", "POST",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,36 +82,81 @@ def count_present(col: Column, parts: list[str]) -> Column:
     return total
 
 
-def entropy(col: Column, base: float = 2.0) -> Column:
-    """Shannon entropy of the characters; 0 for empty text and null.
+#: Classes that ``Counts`` counts: those of the patterns above, in categories.
+CLASSES = {
+    "digits": lambda c, kind: kind == "Nd" or c in "\xb2\xb3\xb9\u2070" or "\u2074" <= c <= "\u2079" or "\u2080" <= c <= "\u2089",
+    "letters": lambda c, kind: kind[0] == "L",
+    "alnum": lambda c, kind: kind[0] in "LN",
+    "blank": lambda c, kind: kind[0] == "Z" or c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85",
+    "upper": lambda c, kind: kind == "Lu",
+    "lower": lambda c, kind: kind == "Ll" or c in "\xaa\xba",
+}
 
-    Written as log n - sum(c log c)/n over the character counts c, which are taken in Arrow batches.
-    """
-    def bits(text: str | None) -> float:
-        if not text:
-            return 0.0
+
+def in_classes(code: int) -> list[int]:
+    """1 or 0 for each of ``CLASSES``."""
+    one = chr(code)
+    kind = unicodedata.category(one)
+    return [int(test(one, kind)) for test in CLASSES.values()]
+
+
+@lru_cache(1)
+def first_plane() -> np.ndarray:
+    return np.array([in_classes(c) for c in range(1 << 16)])
+
+
+class Counts:
+    """How often each character occurs in a text: what sizes, classes and entropy follow from."""
+
+    def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        c = np.bincount(codes) if codes.max() < 1 << 16 else np.unique(codes, return_counts=True)[1]
-        c = c[c > 1]
-        return float((np.log(len(codes)) - (c * np.log(c)).sum() / len(codes)) / math.log(base))
+        self.n = len(codes)
+        if self.n and codes.max() < 1 << 16:
+            every = np.bincount(codes)
+            self.codes = np.flatnonzero(every)
+            self.counts = every[self.codes]
+        else:
+            self.codes, self.counts = np.unique(codes, return_counts=True)
+
+    def classes(self) -> dict[str, int]:
+        """Characters of each class."""
+        if self.n and self.codes[-1] >= 1 << 16:
+            table = np.array([in_classes(int(c)) for c in self.codes])
+        else:
+            table = first_plane()[self.codes]
+        return dict(zip(CLASSES, (self.counts @ table).tolist()))
+
+    def entropy(self, base: float = 2.0) -> float:
+        """log n - sum(c log c)/n over the character counts c; 0 for empty text."""
+        c = self.counts[self.counts > 1]
+        return float((math.log(self.n) - (c * np.log(c)).sum() / self.n) / math.log(base)) if self.n else 0.0
+
 
+def entropy(col: Column, base: float = 2.0) -> Column:
+    """Shannon entropy of the characters, in Arrow batches; 0 for empty text and null."""
     @F.pandas_udf(T.DoubleType())
     def of(texts: pd.Series) -> pd.Series:
-        return texts.map(bits).astype("float64")
+        return texts.map(lambda text: Counts(text or "").entropy(base)).astype("float64")
 
     return of(col)
 
 
-def literals_found(col: Column, exact: list[str], lower: list[str]) -> Column:
-    """Two lists per text: non-overlapping occurrences of each of ``exact``, and 1 or 0 for each of ``lower`` in lower case."""
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-    def found(texts: pd.Series) -> pd.Series:
+def profile(col: Column, exact: list[str], lower: list[str]) -> Column:
+    """Struct of what one pass over a text in an Arrow batch tells; null counts as empty text.
+
+    ``counts``: non-overlapping occurrences of each of ``exact``; ``seen``: 1 or 0 for each of ``lower`` in lower case; the
+    classes of ``CLASSES`` by name; ``entropy`` in bits; ``decoded``: length after percent decoding.
+    """
+    from palisade.functions.decode import percent_decoded
+
+    @F.pandas_udf("counts array<int>, seen array<int>, " + ", ".join(f"{c} int" for c in CLASSES) + ", entropy double, decoded int")
+    def found(texts: pd.Series) -> pd.DataFrame:
         def of(text):
             text = text or ""
-            low = text.lower()
-            return [[text.count(part) for part in exact], [int(part in low) for part in lower]]
+            low, counts = text.lower(), Counts(text)
+            return [text.count(part) for part in exact], [int(part in low) for part in lower], *counts.classes().values(), counts.entropy(), len(percent_decoded(text))
 
-        return texts.map(of)
+        return pd.DataFrame([of(text) for text in texts], columns=["counts", "seen", *CLASSES, "entropy", "decoded"])
 
     return found(col)
 

@@ -30,18 +30,20 @@ def header(name: str) -> Column:
 # -- first layer -----------------------------------------------------------------------------------
 
 def _any(text: Column, pats: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(P.portable(p)) for p in pats])
+    guards = dict(zip([*P.STATIC_SQLI, *P.STATIC_XSS], P.STATIC_GUARDS, strict=True))
+    return reduce(lambda a, b: a | b, [text.contains(guards[p]) & text.rlike(P.portable(p)) if p in guards else text.rlike(P.portable(p)) for p in pats])
 
 
 def static_rules(df: DataFrame, rate_limited: Column | None = None) -> DataFrame:
     """Ordered first hit over body, path and agent; appends ``static_rule`` (NULL when nothing fires)."""
-    body, path = F.lower(F.coalesce("body", F.lit(""))), F.lower(F.coalesce("path", F.lit("")))
+    body, path = F.col("__low_body"), F.col("__low_path")  # columns of their own: inside the tests they would be folded for each
     rule = (F.when(_any(body, P.STATIC_SQLI), "SQL Injection").when(_any(body, P.STATIC_XSS), "XSS")
              .when(_any(path, P.STATIC_PATH), "Path Traversal")
              .when(has(F.lower(header("user-agent")), *P.STATIC_AGENTS), "Malicious User-Agent"))
     if rate_limited is not None:
         rule = rule.when(rate_limited, "Rate Limiting")
-    return df.withColumn("static_rule", rule)
+    low = df.withColumns({f"__low_{c}": F.lower(F.coalesce(c, F.lit(""))) for c in ("body", "path")})
+    return low.withColumn("static_rule", rule).drop("__low_body", "__low_path")
 
 
 def suspicion(df: DataFrame) -> DataFrame:
